@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, chat, token_file
+from tidewell.llm import bpe, chat, media, mil, simhash, token_file, winnow
 from tidewell.llm.common import stored, table
 
 
@@ -59,8 +59,28 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op4_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edited_by_next(table(spark, sf_dir, "documents"))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_text_digests(table(spark, sf_dir, "documents"))
+
+
+def op7_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = mil.train(docs, table(spark, sf_dir, "labels"))
+    scored = mil.score(docs, model)
+    return scored.select("doc_id", mil.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_file": op1_token_file, "op2_prefix_bpe": op2_prefix_bpe, "op3_chat_format": op3_chat_format}
+    return {"op1_token_file": op1_token_file, "op2_prefix_bpe": op2_prefix_bpe, "op3_chat_format": op3_chat_format, "op4_winnow": op4_winnow, "op6_media": op6_media, "op7_mil_quality": op7_mil_quality, "op8_simhash": op8_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
