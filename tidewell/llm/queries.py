@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, chat, media, mil, simhash, token_file, winnow
+from tidewell.llm import bpe, chat, media, mil, packing, simhash, token_file, winnow
 from tidewell.llm.common import stored, table
 
 
@@ -79,8 +79,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_file": op1_token_file, "op2_prefix_bpe": op2_prefix_bpe, "op3_chat_format": op3_chat_format, "op4_winnow": op4_winnow, "op6_media": op6_media, "op7_mil_quality": op7_mil_quality, "op8_simhash": op8_simhash}
+    return {"op1_token_file": op1_token_file, "op2_prefix_bpe": op2_prefix_bpe, "op3_chat_format": op3_chat_format, "op4_winnow": op4_winnow, "op6_media": op6_media, "op7_mil_quality": op7_mil_quality, "op8_simhash": op8_simhash, "op9_best_fit": op9_best_fit}
 
 
 def oracle_sql() -> dict[str, str]:
