@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewell.llm.common import id_and_text, in_order, rows_of, scratch, small_batches, texts
+from tidewell.llm.common import id_and_text, in_order, rows_of, scratch, small_batches
 from tidewell.llm.units import unit_encoder
 
 #: (ids in a word, bits of each) by selector; 15 is the escape (fixed values of the format).
@@ -46,12 +46,11 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
     bits = np.zeros(n + 64, np.uint8)
-    rest = ids.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        high = rest >> np.uint64(step) > 0
-        bits[:n] += (high * step).astype(np.uint8)
-        rest = np.where(high, rest >> np.uint64(step), rest)
-    bits[:n] += rest > 0
+    most = int(ids.max())
+    if most < 1 << 53:
+        bits[:n] = np.frexp(ids.astype(np.float64))[1]  # exact up to 53 bits
+    else:
+        bits[:n] = [i.bit_length() for i in ids.tolist()]
     widest = {1: bits}
     for p in (2, 4, 8, 16, 32):
         half = widest[p // 2]
@@ -61,7 +60,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         count, width = SELECTORS[selector]
         p = 1 << (count.bit_length() - 1)
         top = np.maximum(widest[p][:n], widest[p][count - p : count - p + n])
-        choice[top <= width] = selector
+        np.copyto(choice, selector, where=top <= width)
     counts = np.array([c for c, _ in SELECTORS] + [1, 1], np.int64)
     place = np.arange(n)
     after = np.minimum(place + counts[choice], np.minimum((place // BLOCK + 1) * BLOCK, n)).tolist()
@@ -119,22 +118,22 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = unit_encoder(tokenizer), int(end_id).to_bytes(4, "little")
+        encoder, end = unit_encoder(tokenizer), np.array([end_id], "<u4")
         shard, segment, before = TaskContext.get().partitionId(), 0, 0
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         names: list[int | None] = []
         size = 0
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate([x for own in held for x in (own, end)])
             words, offsets, exceptions = pack(ids)
-            return rows_of(_FILE, {"shard": [shard], "segment": [segment], "before": [before], "n_ids": [len(ids)], "doc_ids": [names], "lengths": [[len(b) // 4 for b in held]], "offsets": [offsets], "words": [words.astype("<u8").tobytes()], "exceptions": [exceptions.astype("<u8").tobytes()]})
+            return rows_of(_FILE, {"shard": [shard], "segment": [segment], "before": [before], "n_ids": [len(ids)], "doc_ids": [names], "lengths": [[len(own) + 1 for own in held]], "offsets": [offsets], "words": [words.astype("<u8").tobytes()], "exceptions": [exceptions.astype("<u8").tobytes()]})
 
-        for batch in batches:
-            for doc_id, text in texts(batch):
-                held.append(encoder.encode(text) + end)
+        for doc_ids, coded in encoder.groups(batches):
+            for doc_id, ids in zip(doc_ids, coded, strict=True):
+                held.append(ids)
                 names.append(doc_id)
-                size += len(held[-1]) // 4
+                size += len(ids) + 1
                 if size >= SEGMENT:
                     yield close()
                     segment, before, size, held, names = segment + 1, before + size, 0, [], []
