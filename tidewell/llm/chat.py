@@ -68,20 +68,20 @@ def chains(nodes: DataFrame) -> DataFrame:
     up = up.join(exists, ["tree", "parent"], "left")
     # A node whose parent has it as the only child continues the parent's chain; any other is a head.
     continues = F.col("known") & (F.col("children") == 1)
-    return up.select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("parent"), F.when(continues, F.col("parent")).otherwise(F.col("node")).alias("jump"), F.when(continues, 1).otherwise(0).cast("long").alias("distance"))
+    return up.select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("parent"), F.when(continues, F.col("parent")).otherwise(F.col("node")).alias("jump"), F.when(continues, 1).otherwise(0).cast("long").alias("distance"), F.coalesce(continues, F.lit(False)).alias("open"))
 
 
 def _contracted(links: DataFrame) -> DataFrame:
+    """Pointer doubling; a row whose target has reached its head is closed and not joined again."""
     current = stored(links, "chains")
     while True:
-        ahead = current.select("tree", F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("distance").alias("more"))
-        moved = current.join(ahead, ["tree", "jump"]).select("tree", "node", "parent", F.col("next").alias("jump"), (F.col("distance") + F.col("more")).alias("distance"), (F.col("more") > 0).alias("moved"))
-        result = stored(moved, "chains")
-        state = result.agg(F.max("moved").alias("moved"), F.max("distance").alias("far")).first()
-        total = 0 if state.far is None else state.far
-        current = result.drop("moved")
-        if not state.moved or total > 1 << 40:  # only a cycle grows for ever
-            return current.filter(F.col("distance") <= 1 << 40)
+        ahead = current.select("tree", F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("distance").alias("more"), F.col("open").alias("still"))
+        moved = current.filter("open").join(ahead, ["tree", "jump"]).select("tree", "node", "parent", F.col("next").alias("jump"), (F.col("distance") + F.col("more")).alias("distance"), F.col("still").alias("open"))
+        state = moved.unionByName(current.filter("NOT open"))
+        current = stored(state, "chains")
+        left = current.agg(F.count_if("open").alias("n"), F.max(F.when(F.col("open"), F.col("distance"))).alias("far")).first()
+        if not left.n or left.far > 1 << 40:  # only a cycle grows for ever
+            return current.filter("NOT open").drop("open")
 
 
 def root_to_leaf(nodes: DataFrame, best: int | None = None) -> DataFrame:
