@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, chat, media, mil, packing, simhash, token_file, winnow
+from tidewell.llm import bpe, chat, extraction, media, mil, packing, pii, simhash, token_file, winnow
 from tidewell.llm.common import stored, table
 
 
@@ -63,6 +63,10 @@ def op4_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edited_by_next(table(spark, sf_dir, "documents"))
 
 
+def op5_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_text_digests(table(spark, sf_dir, "documents"))
 
@@ -83,8 +87,24 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op10_dom_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_file": op1_token_file, "op2_prefix_bpe": op2_prefix_bpe, "op3_chat_format": op3_chat_format, "op4_winnow": op4_winnow, "op6_media": op6_media, "op7_mil_quality": op7_mil_quality, "op8_simhash": op8_simhash, "op9_best_fit": op9_best_fit}
+    return {
+        "op1_token_file": op1_token_file,
+        "op2_prefix_bpe": op2_prefix_bpe,
+        "op3_chat_format": op3_chat_format,
+        "op4_winnow": op4_winnow,
+        "op5_boosted_pii": op5_boosted_pii,
+        "op6_media": op6_media,
+        "op7_mil_quality": op7_mil_quality,
+        "op8_simhash": op8_simhash,
+        "op9_best_fit": op9_best_fit,
+        "op10_dom_model": op10_dom_model,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
