@@ -237,3 +237,15 @@ def text_scores(model: Model | None, found: list[str]) -> np.ndarray:
     if model is None:
         return np.full(len(found), 0.5)
     return np.round(model.scores([passages(t) for t in found]), 9)
+
+
+def accepted(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose text scores at least ``least``; one pass, no shuffle."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = text_scores(model, [t or "" for t in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array(scores >= least))
+
+    return docs.mapInArrow(run, docs.schema)

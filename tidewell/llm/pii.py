@@ -21,7 +21,6 @@ a text's length but for its candidates.
 from __future__ import annotations
 
 import functools
-import hashlib
 import random
 import re
 from collections.abc import Iterator
@@ -290,5 +289,20 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *kinds, F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows with all their columns; found spans in ``text`` are replaced by their kind and
+    ``n_chars``, if there is one, counts the new text. Null texts stay null."""
+    small_batches(docs.sparkSession)
+    model = model or default_model()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = []
+            for text in batch.column("text").to_pylist():
+                base = base_spans(text or "")
+                spans = base + model.added(text or "", base)
+                new.append(redacted(text, spans) if spans else text)
+            arrays = [pa.array(new, f.type) if f.name == "text" else pa.array([None if t is None else len(t) for t in new], f.type) if f.name == "n_chars" else batch.column(k) for k, f in enumerate(batch.schema)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewell.llm.common import id_and_text, rows_of, scratch, small_batches, stored
 
@@ -243,3 +244,25 @@ def classes(marked: DataFrame, distance: int = 3) -> DataFrame:
     roots = components(named.filter("u is not null and v is not null").select("u", "v"))
     known = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return marked.join(known, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
+    """One row, with all its columns, of each component: that of the smallest ``doc_id``.
+
+    Of rows that share that id and fingerprint one stays, and of rows without an id one
+    for each fingerprint that no row with an id has."""
+    marked = stored(fingerprints(docs, words), "fingerprints")
+    kept = classes(marked, distance).filter("doc_id <=> component_id").select("doc_id", "fp")
+    kept = stored(kept, "kept")
+    if kept.filter("doc_id IS NULL").isEmpty() and kept.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    out = StructType([*docs.schema.fields, StructField("fp_", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t or "", words) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], names=[*batch.schema.names, "fp_"])
+
+    wanted = kept.distinct().select(F.col("doc_id").alias("id_"), F.col("fp").alias("kept_"))
+    both = docs.mapInArrow(run, out).join(wanted, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("fp_") == F.col("kept_")), "left_semi")
+    return both.dropDuplicates(["doc_id", "fp_"]).select(docs.columns)
