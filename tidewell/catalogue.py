@@ -1,4 +1,6 @@
 """Queries of the library and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from tidewell.plans import base, text_queries  # noqa: F401
+
+QUERIES = base.QUERIES
+ORACLE = base.ORACLE
