@@ -16,14 +16,13 @@ Encodings of units (see units.py) are kept in a store of bounded size.
 from __future__ import annotations
 
 import base64
-import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import id_and_text, rows_of, small_batches, texts
+from tidewell.llm.common import held, id_and_text, rows_of, small_batches, texts
 from tidewell.llm.units import UNIT, WHITE, Recent
 
 #: Token pairs kept in a worker.
@@ -137,10 +136,9 @@ class PrefixEncoder:
         return b"".join(map(self.v.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@functools.lru_cache(maxsize=2)
 def prefix_encoder(ranks_path: str, pattern: str) -> PrefixEncoder:
     """One for each worker process, so that its tasks share the stores."""
-    return PrefixEncoder(read_ranks(ranks_path), pattern)
+    return held(("prefixes", ranks_path, pattern), lambda: PrefixEncoder(read_ranks(ranks_path), pattern))
 
 
 def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -10,14 +10,30 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handed to Python at once: long texts must not add up to a large batch.
-BATCH_ROWS = 256
+BATCH_ROWS = 128
+
+
+_HELD: dict = {}
+
+
+def held(name: object, make: Callable[[], object]) -> object:
+    """One large thing (a tokenizer's store, say) that a worker process keeps between tasks. Asking for another
+    one lets go of it, so that stages which follow each other do not add up."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def nothing_held() -> None:
+    _HELD.clear()
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import rows_of, small_batches
+from tidewell.llm.common import nothing_held, rows_of, small_batches
 from tidewell.llm.dom import INLINE, Page, parse, text_of
 from tidewell.llm.labelled_pages import labelled_pages
 
@@ -213,6 +213,7 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_held()
         for batch in batches:
             yield rows_of(out, {"page_id": batch.column("page_id").to_pylist(), "url": batch.column("url").to_pylist(), "text": model.texts(batch.column("html").to_pylist())})
 

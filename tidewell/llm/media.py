@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import id_and_text, rows_of, small_batches, stored
+from tidewell.llm.common import id_and_text, nothing_held, rows_of, small_batches, stored
 
 #: Bytes of a stored row: 192 pixels of three samples.
 ROW = 576
@@ -162,6 +162,7 @@ def media_features(media: DataFrame, key: str = "id", column: str = "media") ->
     out = pa.schema([("id", pa.int64()), ("height", pa.int32()), ("width", pa.int32()), ("channels", pa.int32()), ("tile", pa.binary()), ("dhash", pa.string()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_held()
         for batch in batches:
             rows = []
             for i, data in zip(batch.column("id").to_pylist(), batch.column("media").to_pylist(), strict=True):
@@ -182,6 +183,7 @@ def text_as_media(docs: DataFrame) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_held()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -205,6 +207,7 @@ def stored_text_digests(docs: DataFrame) -> DataFrame:
     written = stored(text_as_media(docs), "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_held()
         for batch in batches:
             rows = []
             for doc_id, n, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import id_and_text, rows_of, small_batches
+from tidewell.llm.common import id_and_text, nothing_held, rows_of, small_batches
 
 #: Code points of a passage.
 PASSAGE = 400
@@ -203,6 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     out = pa.schema([("doc_id", pa.int64()), ("bag", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_held()
         for batch in batches:
             bags = []
             for text in batch.column("text").to_pylist():
@@ -227,6 +228,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_held()
         for batch in batches:
             yield rows_of(out, {"doc_id": batch.column("doc_id").to_pylist(), "score": text_scores(model, batch.column("text").to_pylist())})
 
@@ -244,6 +246,7 @@ def accepted(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFr
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_held()
         for batch in batches:
             scores = text_scores(model, [t or "" for t in batch.column("text").to_pylist()])
             yield batch.filter(pa.array(scores >= least))

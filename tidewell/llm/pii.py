@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm import boosting
-from tidewell.llm.common import id_and_text, rows_of, small_batches, texts
+from tidewell.llm.common import id_and_text, nothing_held, rows_of, small_batches, texts
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the base rules (fixed values).
@@ -273,6 +273,7 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("base", pa.string()), ("spans", pa.string()), ("redacted", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_held()
         for batch in batches:
             rows = []
             for doc_id, text in texts(batch):
@@ -296,6 +297,7 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_held()
         for batch in batches:
             new = []
             for text in batch.column("text").to_pylist():

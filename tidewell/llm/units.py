@@ -9,7 +9,6 @@ store of units holds two generations of at most ``UNITS`` entries, so memory is
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 from array import array
@@ -19,15 +18,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tidewell.llm.common import held
+
 #: Unicode White_Space, as the library's pre-tokenizer sees it (fixed values).
 WHITE = "\t-\r \x85\xa0  -     　"
 UNIT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Marks that may end a unit after a letter.
 MARKS = ".,;:!?)\"%$#&*"
 #: Units kept in a worker, in each of two generations.
-UNITS = 700_000
+UNITS = 450_000
 #: Text that is encoded at once.
-GROUP_BYTES = 6_000_000
+GROUP_BYTES = 5_000_000
 
 
 class Recent(dict):
@@ -51,7 +52,7 @@ class Recent(dict):
 class UnitEncoder:
     """``encode(text)`` gives the ids of a whole text as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, size: int = UNITS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,7 +63,7 @@ class UnitEncoder:
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.units = Recent(self._unit)
+        self.units = Recent(self._unit, size)
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -92,12 +93,12 @@ class UnitEncoder:
         numbers = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
         if len(numbers):
             lists = pc.split_pattern(pc.replace_substring(plain, "\n", " \n "), " ")
-            offsets = lists.offsets.to_numpy()
+            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             coded = lists.flatten().dictionary_encode()
-            at, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+            at, words = coded.indices.to_numpy(zero_copy_only=False).copy(), coded.dictionary.to_pylist()
             line = words.index("\n") if "\n" in words else -1
             bare = np.zeros(len(at), bool)  # no blank before it: first of its text or line
-            bare[offsets[:-1] - offsets[0]] = True
+            bare[offsets[:-1]] = True
             bare[1:] |= at[:-1] == line
             first, place = np.unique(at[bare], return_inverse=True)
             units = [" " + w for w in words]
@@ -105,13 +106,15 @@ class UnitEncoder:
                 units[line] = "\n"
             at[bare] = len(words) + place
             found = list(map(self.units.__getitem__, units + [words[i] for i in first.tolist()]))
-            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
             flat = np.frombuffer(b"".join(found), "<u4")
-            begins = np.cumsum(sizes) - sizes
+            begins = np.cumsum(sizes, dtype=np.int32) - sizes
             each = sizes[at]
-            ends = np.cumsum(each)
-            ids = flat[np.arange(ends[-1]) + np.repeat(begins[at] - (ends - each), each)]
-            stops = ends[offsets[1:] - offsets[0] - 1].tolist()
+            ends = np.cumsum(each, dtype=np.int32)
+            places = np.repeat(begins[at] - (ends - each), each)
+            places += np.arange(len(places), dtype=np.int32)
+            ids = flat[places]
+            stops = ends[offsets[1:] - 1].tolist()
             for number, low, high in zip(numbers.tolist(), [0, *stops], stops, strict=False):
                 out[number] = ids[low:high]
         for number, text in enumerate(texts):
@@ -120,26 +123,28 @@ class UnitEncoder:
         return out
 
 
-    def groups(self, batches: Iterator[pa.RecordBatch], size: int = GROUP_BYTES) -> Iterator[tuple[list, list[np.ndarray]]]:
-        """``doc_id``s and ids of rows, batches put together until they hold ``size`` bytes of text."""
-        held, total = [], 0
+    def groups(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
+        """``doc_id``s and ids of rows that are put together, or cut, to about ``GROUP_BYTES`` bytes of text."""
+        held: list[pa.RecordBatch] = []
+        total = 0
         for batch in batches:
-            held.append(batch)
-            total += batch.nbytes
-            if total >= size:
-                yield self._group(held)
-                held, total = [], 0
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).tolist()
+            start = 0
+            for row, size in enumerate(sizes):
+                total += size
+                if total >= GROUP_BYTES:
+                    yield self._group([*held, batch.slice(start, row + 1 - start)])
+                    held, total, start = [], 0, row + 1
+            if start < len(sizes):
+                held.append(batch.slice(start))
         if held:
             yield self._group(held)
 
     def _group(self, held: list[pa.RecordBatch]) -> tuple[list, list[np.ndarray]]:
         rows = pa.Table.from_batches(held).combine_chunks()
-        if rows.num_rows == 0:
-            return [], []
         return rows.column("doc_id").to_pylist(), self.encode_many(rows.column("text").chunk(0))
 
 
-@functools.lru_cache(maxsize=2)
-def unit_encoder(path: str) -> UnitEncoder:
-    """One for each worker process, so that its tasks share the store."""
-    return UnitEncoder(path)
+def unit_encoder(path: str, size: int = UNITS) -> UnitEncoder:
+    """One for each worker process, so that its tasks share the store of twice ``size`` units."""
+    return held(("units", path, size), lambda: UnitEncoder(path, size))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import boundaries, bucket_of, id_and_text, partitions, rows_of, small_batches
+from tidewell.llm.common import boundaries, bucket_of, id_and_text, nothing_held, partitions, rows_of, small_batches
 
 #: Code points of a gram, hashes of a window.
 GRAM, WINDOW = 16, 16
@@ -116,6 +116,7 @@ def fingerprints(docs: DataFrame, k: int = GRAM, window: int = WINDOW) -> DataFr
     out = pa.schema([("doc_id", pa.int64()), ("hashes", pa.list_(pa.int64())), ("positions", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_held()
         for batch in batches:
             found = [winnow(t, k, window) for t in batch.column("text").to_pylist()]
             yield rows_of(out, {"doc_id": batch.column("doc_id").to_pylist(), "hashes": [h.astype(np.int64) for h, _ in found], "positions": [p for _, p in found]})
@@ -155,6 +156,7 @@ def edited_by_next(docs: DataFrame, k: int = GRAM, window: int = WINDOW) -> Data
         return doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), digest(*own), digest(*changed), likeness(own[0], changed[0]), likeness(own[0], next_own[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_held()
         held, ended = None, False
         for batch in batches:
             rows = []
