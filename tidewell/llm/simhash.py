@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidewell.llm.common import id_and_text, rows_of, scratch, small_batches, stored
+from tidewell.llm.common import id_and_text, nothing_held, rows_of, scratch, small_batches, stored
 
 SEED = 42
 GROUPS = 6
@@ -75,6 +75,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_held()
         for batch in batches:
             fps = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
             yield rows_of(out, {"doc_id": batch.column("doc_id").to_pylist(), "fp": fps.view(np.int64)})
@@ -156,6 +157,7 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_held()
         held: list[np.ndarray] = []
         for batch in batches:
             now = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("cell", "low", "high", "mine", "fp")])
@@ -255,14 +257,16 @@ def one_of_each(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame
     kept = classes(marked, distance).filter("doc_id <=> component_id").select("doc_id", "fp")
     kept = stored(kept, "kept")
     if kept.filter("doc_id IS NULL").isEmpty() and kept.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+        # The ids grow with the corpus, so they are never broadcast: the same plan at every size.
+        return docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
     out = StructType([*docs.schema.fields, StructField("fp_", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_held()
         for batch in batches:
             fps = np.array([fingerprint(t or "", words) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], names=[*batch.schema.names, "fp_"])
 
-    wanted = kept.distinct().select(F.col("doc_id").alias("id_"), F.col("fp").alias("kept_"))
+    wanted = kept.distinct().select(F.col("doc_id").alias("id_"), F.col("fp").alias("kept_")).hint("merge")
     both = docs.mapInArrow(run, out).join(wanted, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("fp_") == F.col("kept_")), "left_semi")
     return both.dropDuplicates(["doc_id", "fp_"]).select(docs.columns)
