@@ -19,6 +19,7 @@ table gives empty files; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ from tidewell.llm.units import unit_encoder
 #: (ids in a word, bits of each) by selector; 15 is the escape (fixed values of the format).
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 ESCAPE = 15
+#: Units that a writer keeps, in each of two generations.
+STORE = 700_000
 #: Ids between two block starts.
 BLOCK = 1024
 #: Ids after which a segment of whole documents is closed.
@@ -85,26 +88,31 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def unpack(words: np.ndarray, offsets: np.ndarray, exceptions: np.ndarray, n: int) -> np.ndarray:
-    """The ids again: one vector operation per selector."""
-    out = np.zeros(n + 64, np.uint64)
+    """The ids again: one vector operation per selector.
+
+    A block's last word may hold fewer ids than its selector says; blocks are decoded with room
+    behind them for the rest."""
     if n == 0:
-        return out[:0]
+        return np.zeros(0, np.uint64)
     chosen = (words >> np.uint64(60)).astype(np.int64)
+    small = len(exceptions) == 0 and chosen.max(initial=0) < 13
+    stride = BLOCK + 64
+    out = np.zeros((len(offsets), stride), np.uint32 if small else np.uint64)
+    flat = out.reshape(-1)
     counts = np.array([c for c, _ in SELECTORS] + [1, 1], np.int64)[chosen]
     running = np.cumsum(counts) - counts
     sizes = np.diff(np.append(offsets, len(words)))
-    block = np.repeat(np.arange(len(offsets)), sizes)
-    place = running - running[offsets][block] + block * BLOCK
-    end = np.minimum((block + 1) * BLOCK, n)
-    for selector, (count, width) in enumerate(SELECTORS):
-        if len(of := np.flatnonzero(chosen == selector)):
-            lanes = words[of, None] >> (np.arange(count) * width).astype(np.uint64) & np.uint64((1 << width) - 1)
-            where = place[of, None] + np.arange(count)
-            kept = where < end[of, None]
-            out[where[kept]] = lanes[kept]
-    of = np.flatnonzero(chosen == ESCAPE)
-    out[place[of]] = exceptions[(words[of] & np.uint64((1 << 60) - 1)).astype(np.int64)]
-    return out[:n]
+    place = running + np.repeat(np.arange(len(offsets)) * stride - running[offsets], sizes)
+    for selector in np.unique(chosen).tolist():
+        of = np.flatnonzero(chosen == selector)
+        if selector == ESCAPE:
+            flat[place[of]] = exceptions[(words[of] & np.uint64((1 << 60) - 1)).astype(np.int64)]
+            continue
+        count, width = SELECTORS[selector]
+        held, at, mask = words[of], place[of], np.uint64((1 << width) - 1)
+        for lane in range(count):
+            flat[at + lane] = held >> np.uint64(lane * width) & mask
+    return out[:, :BLOCK].reshape(-1)[:n]
 
 
 FILE = "shard int, segment long, before long, n_ids long, doc_ids array<long>, lengths array<long>, offsets array<int>, words binary, exceptions binary"
@@ -118,7 +126,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = unit_encoder(tokenizer), np.array([end_id], "<u4")
+        encoder, end = unit_encoder(tokenizer, STORE), np.array([end_id], "<u4")
         shard, segment, before = TaskContext.get().partitionId(), 0, 0
         held: list[np.ndarray] = []
         names: list[int | None] = []
@@ -144,8 +152,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
     ordered.mapInArrow(write, FILE).write.option("compression", "none").parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, ids`` of every document, ``ids`` as little-endian unsigned 32-bit integers.
+def read_token_files(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
+    """``doc_id, start, ids`` of every document, ``ids`` as little-endian unsigned 32-bit integers; with
+    ``digests`` instead of them ``n_tokens`` and ``ids_crc32``, so that the ids stay in the reader.
 
     ``start`` counts the ids of all documents before it. Only the shards' totals, one
     row for each file, are gathered to compute it.
@@ -153,30 +162,26 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema(FILE).parquet(path)
     totals = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     ahead = totals.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("ahead"))
-
-    out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
+    kept = [("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] if digests else [("ids", pa.binary())]
+    out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), *kept])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = unpack(np.frombuffer(row["words"], "<u8"), np.array(row["offsets"], np.int64), np.frombuffer(row["exceptions"], "<u8"), row["n_ids"]).astype("<u4")
+                ids = unpack(np.frombuffer(row["words"], "<u8"), np.array(row["offsets"], np.int64), np.frombuffer(row["exceptions"], "<u8"), row["n_ids"]).astype("<u4").tobytes()
                 lengths = np.array(row["lengths"], np.int64)
                 ends = np.cumsum(lengths)
-                start = row["ahead"] + row["before"] + ends - lengths
-                yield rows_of(out, {"doc_id": row["doc_ids"], "start": start, "ids": [ids[e - k : e].tobytes() for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]})
+                parts = [ids[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                body = {"n_tokens": lengths, "ids_crc32": list(map(zlib.crc32, parts))} if digests else {"ids": parts}
+                yield rows_of(out, {"doc_id": row["doc_ids"], "start": row["ahead"] + row["before"] + ends - lengths} | body)
 
     joined = files.join(F.broadcast(ahead), "shard")  # one row for each shard: bounded by the number of write tasks
-    return joined.mapInArrow(read, "doc_id long, start long, ids binary")
-
-
-def token_digests(read: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of what ``read_token_files`` returns."""
-    return read.select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return joined.mapInArrow(read, "doc_id long, start long, " + ("n_tokens long, ids_crc32 long" if digests else "ids binary"))
 
 
 def token_output(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of the documents' files, written and read back."""
     spark = docs.sparkSession
     path = scratch(spark, "tokens")
     write_token_files(docs, path, tokenizer, end_id)
-    return token_digests(read_token_files(spark, path))
-
+    return read_token_files(spark, path, digests=True)
