@@ -113,11 +113,12 @@ def table_rows(lines: DataFrame) -> DataFrame:
     w = W.partitionBy("doc").orderBy("line_no")
     upto = w.rowsBetween(W.unboundedPreceding, 0)
     rows = lines.withColumn("cells", cells(F.col("line"))).withColumn("fields", F.transform("cells", lambda c: field_of(c)))
-    head = F.array_contains("fields", "product_name") & (F.size(F.filter("fields", lambda f: f.isNotNull())) >= 2)
+    named = F.array_contains(F.array_compact("fields"), "product_name")
+    head = named & (F.size(F.array_compact("fields")) >= 2)
     rows = rows.withColumn("map", F.first(F.when(head, F.struct("line_no", "fields")), ignorenulls=True).over(upto))
     rows = rows.filter("map IS NOT NULL AND line_no > map.line_no AND trim(line) != ''")
-    rows = rows.withColumn("over", F.max(_has(header(F.col("line")), SECTION_BREAKS).cast("int")).over(upto)).filter("over = 0").filter(~F.array_contains("fields", "product_name"))
-    known = F.size(F.filter("map.fields", lambda f: f.isNotNull()))
+    rows = rows.withColumn("over", F.max(_has(header(F.col("line")), SECTION_BREAKS).cast("int")).over(upto)).filter("over = 0").filter(~named)
+    known = F.size(F.array_compact("map.fields"))
     place = F.array_position("map.fields", "product_name")
     starts = (F.size("cells") >= F.greatest(F.lit(2), known - 1)) & (place <= F.size("cells"))
     rows = rows.withColumns({"starts": starts, "row": F.sum(starts.cast("int")).over(upto)}).filter("row > 0")
@@ -156,7 +157,10 @@ def layout_lines(words: DataFrame) -> DataFrame:
     placed = words.filter(F.trim("text") != "").select("doc", "page", y.alias("y"), "x0", clean(F.col("text")).alias("t"), band.alias("band"))
     gathered = placed.groupBy("doc", "page", "y").agg(F.array_sort(F.collect_list(F.struct("x0", "t", "band"))).alias("w"))
     join = lambda rows: F.nullif(F.array_join(F.transform(rows, lambda s: s.t), " "), F.lit(""))
-    columns = [join(F.filter("w", lambda s, k=k: s.band == k)).alias(f"col_{n}") for k, n in enumerate(COLUMN_NAMES)]
+    def column(k: int, name: str) -> Column:
+        return join(F.filter("w", lambda s: s.band == k)).alias(f"col_{name}")
+
+    columns = [column(k, n) for k, n in enumerate(COLUMN_NAMES)]
     return gathered.select("doc", "page", "y", join(F.col("w")).alias("full_text"), *columns)
 
 
@@ -243,7 +247,7 @@ def country_prefix(x: Column) -> Column:
     t, out = cleaned(x), None
     for upper, name in COUNTRIES.items():
         spelled = re.escape(name if name != "UK (Reino Unido)" else "UK (Reino Unido)")
-        pattern = rf"(?i)^\s*(?:{spelled}|{re.escape(upper)})(?=\W|$)[.;,:\s-]*"
+        pattern = rf"(?iu)^\s*(?:{spelled}|{re.escape(upper)})(?=\W|$)[.;,:\s-]*"
         hit = F.rlike(t, F.lit(pattern))
         value = F.struct(F.lit(name).alias("country"), F.nullif(F.trim(F.regexp_replace(t, pattern, "")), F.lit("")).alias("rest"))
         out = F.when(hit, value) if out is None else out.when(hit, value)
@@ -267,7 +271,7 @@ def maker_and_country(x: Column) -> Column:
     parts = F.filter(F.transform(F.split(t, r"\s*/\s*"), lambda p: F.trim(p)), lambda p: p != "")
     behind = F.array_join(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), " ")
     names = "|".join(sorted({re.escape(c) for c in COUNTRIES} | {re.escape(n.upper()) for n in COUNTRIES.values()}, key=len, reverse=True))
-    without = F.nullif(F.regexp_replace(clean(F.regexp_replace(t, rf"(?i)(?<![\p{{L}}])(?:{names})(?![\p{{L}}])", " ")), r"^[ ,;/]+|[ ,;/]+$", ""), F.lit(""))
+    without = F.nullif(F.regexp_replace(clean(F.regexp_replace(t, rf"(?iu)(?<![\p{{L}}])(?:{names})(?![\p{{L}}])", " ")), r"^[ ,;/]+|[ ,;/]+$", ""), F.lit(""))
     whole = F.coalesce(country(t), country_anywhere(t))
     slashed = F.struct(F.get(parts, F.lit(0)).alias("maker"), F.coalesce(country(behind), country_anywhere(behind)).alias("country"))
     return F.when(F.contains(t, F.lit("/")), slashed).otherwise(F.struct(F.when(whole.isNotNull(), without).otherwise(F.nullif(t, F.lit(""))).alias("maker"), whole.alias("country")))

@@ -224,10 +224,10 @@ def burn_rate(history: DataFrame, key: str, now: Column, days: int = 14) -> Data
     return ends.select(key, F.when((F.col("n") >= 2) & (elapsed > 0) & (used > 0), F.col("last") / (used / elapsed)).alias("days_left"))
 
 
-def staleness(rows: DataFrame, ts: str, now: Column, limit: int = 5) -> DataFrame:
+def staleness(rows: DataFrame, ts: str, now: Column, limit: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
     """AGG19: whole days since the newest row, and whether that is too long."""
     days = F.floor((F.unix_seconds(now) - F.unix_seconds(F.max(ts).cast("timestamp"))) / 86400)
-    return rows.agg(days.alias("days"), (days >= limit).alias("stale"))
+    return rows.groupBy(*by).agg(days.alias("days"), (days >= limit).alias("stale"))
 
 
 def concatenated(pages: DataFrame, by: str, order: str, text: str, cap: int | None = 15_000, between: str = "\n\n") -> DataFrame:

@@ -59,7 +59,7 @@ def rank(text: Column, words: list[str], stem: bool = False) -> Column:
     held = F.filter(found, lambda w: w.isin(*words))
     total = F.lit(0.0)
     for w in words:
-        n = F.least(F.size(F.filter(held, lambda x, w=w: x == w)), F.lit(PLACES))
+        n = F.least(F.size(held) - F.size(F.array_remove(held, w)), F.lit(PLACES))
         series = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda a, i: a + F.lit(1.0) / (i * i))).otherwise(0.0)
         total = total + series * WEIGHT / PI_SIXTH
     return total / len(words)
