@@ -219,6 +219,60 @@ def test_op8_odd_rows(odd, none):
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == sorted([(False, 1), (False, 2), (False, 4), (True, None)], key=str) or kept.count() == 4
 
 
+def _shingles(text, words=5):
+    w = text.encode().lower().split()
+    return {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))}
+
+
+def _check_classes(texts, classes):
+    """Against all pairs: what is alike is together, and what is together is linked by brute force."""
+    wide = {i: simhash.wide_fingerprint(t) for i, t in texts.items()}
+    exact = {i: simhash.fingerprint(t) for i, t in texts.items()}
+    sets = {i: _shingles(t) for i, t in texts.items()}
+    up = {i: i for i in texts}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(texts)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if (exact[a] ^ exact[b]).bit_count() <= 3 or np.bitwise_count(wide[a] ^ wide[b]).sum() <= simhash.WIDE:
+                up[find(b)] = find(a)
+            if len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b]) or (exact[a] ^ exact[b]).bit_count() <= 3:
+                assert classes[a] == classes[b]
+    for i in ids:
+        assert find(i) == find(classes[i]) and classes[i] <= i
+
+
+def test_wide_classes_catch_edited_copies(spark):
+    import random
+
+    r = random.Random(7)
+    vocabulary = ["".join(r.choice("aeioustrnlm") for _ in range(r.randint(3, 9))) for _ in range(2000)]
+    texts, n = {}, 0
+    for _ in range(40):
+        words = [r.choice(vocabulary) for _ in range(r.randint(60, 500))]
+        for _ in range(4):
+            copy = list(words)
+            for _ in range(len(words) // 100):
+                copy[r.randrange(len(copy))] = r.choice(vocabulary)
+            texts[n] = " ".join(copy)
+            n += 1
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicate_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    _check_classes(texts, got)
+    assert len(set(got.values())) == 40
+
+
+def test_wide_hot_cells(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL", 3)
+    texts = {i: "una frase comun que se repite en cada documento con " + " ".join(f"w{k}" for k in range(80)) + (f" x{i}" if i % 3 else "") for i in range(30)}
+    got = simhash.near_duplicate_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {x.component_id for x in got} == {0} and len(got) == 30
+
+
 def test_op9_packs_every_id_once(spark, docs):
     t, by, bins = library(), defaultdict(list), defaultdict(list)
     for r in queries.op9_best_fit(spark, SF).collect():
@@ -273,11 +327,13 @@ def test_pipeline_is_its_stages(spark, docs):
     rows = {r.doc_id: r.text for r in kept.collect()}
     one = corpus_pipeline.near_duplicates(spark, kept, SF)
     assert one.columns == table.columns
-    components = _components([(i, simhash.fingerprint(t)) for i, t in rows.items()])
-    assert sorted(r.doc_id for r in one.collect()) == sorted(set(components.values()))
+    survivors = {r.doc_id for r in one.collect()}
+    classes = {r.doc_id: r.component_id for r in simhash.near_duplicate_classes(kept).collect()}
+    assert survivors == set(classes.values()) and set(classes) == set(rows)
+    _check_classes(rows, classes)
     clean = corpus_pipeline.personal_data(spark, one, SF)
     model = pii.default_model()
     for r in clean.collect():
         base = pii.base_spans(rows[r.doc_id])
         assert r.text == pii.redacted(rows[r.doc_id], base + model.added(rows[r.doc_id], base)) and r.n_chars == len(r.text)
-    assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == set(components.values())
+    assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == survivors

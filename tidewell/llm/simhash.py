@@ -41,6 +41,8 @@ SEED = 42
 GROUPS = 6
 #: Fingerprints of a cell that one task compares; larger cells are split into blocks of this size.
 CELL = 20_000
+#: Rows of a cell up to which all its links are given.
+SMALL = 32
 _PAIRS = 0x5555555555555555
 
 
@@ -102,7 +104,7 @@ def group_masks(groups: int = GROUPS) -> list[int]:
 
 
 def cells(distinct: DataFrame, distance: int) -> DataFrame:
-    """``cell, fp``: a row for each choice of groups whose counts make a cell."""
+    """``cell, id, bits``: a row for each choice of groups whose counts make a cell; a fingerprint is its own id."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     fp = F.col("fp")
     half = F.shiftrightunsigned(fp, 1)
@@ -111,66 +113,70 @@ def cells(distinct: DataFrame, distance: int) -> DataFrame:
     keys: list[Column] = []
     for number, chosen in enumerate(combinations(masks, GROUPS - distance)):
         keys.append(F.xxhash64(F.lit(number), F.col("counts").bitwiseAND(F.lit(signed(sum(chosen))))))
-    return distinct.withColumn("counts", counts).select(F.explode(F.array(*keys)).alias("cell"), "fp")
+    return distinct.withColumn("counts", counts).select(F.explode(F.array(*keys)).alias("cell"), F.col("fp").alias("id"), F.col("fp").alias("bits"))
 
 
-def linked(fps: np.ndarray, others: np.ndarray | None, distance: int) -> list[tuple[int, int]]:
-    """A forest that connects whatever links within ``fps`` (or between it and ``others``) connect.
+def forest(bits: np.ndarray, side: np.ndarray | None, distance: int, bounded: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the two ends of a forest's edges that connect whatever links connect (with ``side``: links
+    between the two sides).
 
     Breadth first: what is reached leaves the rest, so each is a target once."""
-    if others is None:
-        all_fps, side = fps, None
-    else:
-        all_fps = np.concatenate([fps, others])
-        side = np.concatenate([np.zeros(len(fps), bool), np.ones(len(others), bool)])
-    counts = segment_counts(all_fps)
-    rest, edges = np.arange(len(all_fps)), []
+    counts = segment_counts(bits)
+    rest, x_, y_ = np.arange(len(bits)), [], []
     while len(rest):
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            near = manhattan(counts[rest], counts[x]) <= distance
+            hit = np.flatnonzero(manhattan(counts[rest], counts[x]) <= distance) if bounded else np.arange(len(rest))
+            near = np.bitwise_count(bits[rest[hit]] ^ bits[x]) <= distance
             if side is not None:
-                near &= side[rest] != side[x]
-            hit = np.flatnonzero(near)
-            hit = hit[np.bitwise_count(all_fps[rest[hit]].view(np.uint64) ^ all_fps[x : x + 1].view(np.uint64)) <= distance]
+                near &= side[rest[hit]] != side[x]
+            hit = hit[near]
             if len(hit):
                 found = rest[hit]
-                edges.extend((int(all_fps[x]), int(all_fps[y])) for y in found.tolist())
+                x_.append(np.full(len(found), x))
+                y_.append(found)
                 queue.extend(found.tolist())
                 rest = np.delete(rest, hit)
-    return edges
+    none = np.zeros(0, np.int64)
+    return np.concatenate(x_) if x_ else none, np.concatenate(y_) if y_ else none
 
 
-def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
-    """``a, b``: links between fingerprints within the distance that connect all such links connect."""
-    spark = distinct.sparkSession
+def links(dealt: DataFrame, distance: int, bounded: bool = True) -> DataFrame:
+    """``a, b``: ids of ``dealt`` rows (``cell, id, bits``) that share a cell and lie within the distance.
+
+    In a cell of up to ``SMALL`` rows all such pairs; in a larger one a forest that connects what they connect.
+    ``bounded``: bits pass the Manhattan bound of their segment counts before the exact count."""
+    spark = dealt.sparkSession
     small_batches(spark)
-    dealt = stored(cells(distinct, distance), "cells")
+    dealt = stored(dealt, "cells")
     shared = dealt.groupBy("cell").count().filter("count > 1")
     rows = dealt.join(shared, "cell")
     blocks = F.ceil(F.col("count") / F.lit(CELL)).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
     other = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.least(b, F.col("mine")).alias("low"), F.greatest(b, F.col("mine")).alias("high")))
-    rows = rows.withColumn("mine", F.when(F.col("count") > CELL, mine).otherwise(0)).select("cell", "fp", "mine", F.inline(F.when(F.col("count") > CELL, other).otherwise(F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high"))))))
-    grouped = rows.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high", "mine", "fp")
+    rows = rows.withColumn("mine", F.when(F.col("count") > CELL, mine).otherwise(0)).select("cell", "id", "bits", "mine", F.inline(F.when(F.col("count") > CELL, other).otherwise(F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high"))))))
+    grouped = rows.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high", "mine", "id")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing_held()
         held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            now = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("cell", "low", "high", "mine", "fp")])
+            now = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("cell", "low", "high", "mine", "id", "bits")])
             if now.shape[1] == 0:
                 continue
             held.append(now)
-            if (now[:3, 0] == now[:3, -1]).all() and (held[0][:3, 0] == now[:3, -1]).all():
-                continue  # still the one group that began before
+            size += now.shape[1]
+            if size < CELL // 4 or ((now[:3, 0] == now[:3, -1]).all() and (held[0][:3, 0] == now[:3, -1]).all()):
+                continue  # few rows yet, or still the one group that began before
             table = np.concatenate(held, axis=1)
             last = (table[:3] == table[:3, -1:]).all(0)
             cut = table.shape[1] - int(last[::-1].argmin()) if not last.all() else 0
             yield from emit(table[:, :cut])
             held = [table[:, cut:]]
+            size = held[0].shape[1]
         if held:
             yield from emit(np.concatenate(held, axis=1))
 
@@ -180,25 +186,28 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
         new = np.flatnonzero((table[:3, 1:] != table[:3, :-1]).any(0)) + 1
         bounds = np.concatenate([[0], new, [table.shape[1]]])
         sizes = np.diff(bounds)
-        fps = np.ascontiguousarray(table[4])
-        counts = segment_counts(fps)
+        ids, bits = np.ascontiguousarray(table[4]), np.ascontiguousarray(table[5]).view(np.uint64)
+        counts = segment_counts(bits)
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        few = (sizes <= SMALL)[group] & (table[1] == table[2])
         a, b = [], []
-        two = bounds[:-1][sizes == 2]
-        if len(two):
-            near = two[manhattan(counts[two], counts[two + 1]) <= distance]
-            near = near[np.bitwise_count(fps[near].view(np.uint64) ^ fps[near + 1].view(np.uint64)) <= distance]
-            a, b = fps[near].tolist(), fps[near + 1].tolist()
-        for k in np.flatnonzero(sizes > 2).tolist():
-            part = table[:, bounds[k] : bounds[k + 1]]
-            if part[1, 0] == part[2, 0]:
-                found = linked(np.ascontiguousarray(part[4]), None, distance)
-            else:
-                first = part[3] == part[1, 0]
-                found = linked(np.ascontiguousarray(part[4][first]), np.ascontiguousarray(part[4][~first]), distance)
-            a.extend(x for x, _ in found)
-            b.extend(y for _, y in found)
-        if a:
-            yield rows_of(out, {"a": a, "b": b})
+        for step in range(1, min(SMALL, int(sizes.max()))):
+            at = np.flatnonzero((group[step:] == group[:-step]) & few[step:])
+            if len(at) == 0:
+                break
+            if bounded:
+                at = at[manhattan(counts[at], counts[at + step]) <= distance]
+            at = at[np.bitwise_count(bits[at] ^ bits[at + step]) <= distance]
+            a.append(ids[at])
+            b.append(ids[at + step])
+        for k in np.flatnonzero((sizes > SMALL) | (table[1] != table[2])[bounds[:-1]]).tolist():
+            low, high = int(bounds[k]), int(bounds[k + 1])
+            side = None if table[1, low] == table[2, low] else table[3, low:high] != table[1, low]
+            x, y = forest(bits[low:high], side, distance, bounded)
+            a.append(ids[low:high][x])
+            b.append(ids[low:high][y])
+        if a and sum(map(len, a)):
+            yield rows_of(out, {"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return grouped.mapInArrow(run, "a long, b long").distinct()
 
@@ -241,20 +250,97 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 3) -> Da
 def classes(marked: DataFrame, distance: int = 3) -> DataFrame:
     """The same from ``doc_id, fp`` rows."""
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = links(distinct.select("fp"), distance)
-    named = found.join(distinct.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a").join(distinct.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b")
+    named = links(cells(distinct.select("fp"), distance), distance)
+    named = named.join(distinct.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a").join(distinct.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b")
     roots = components(named.filter("u is not null and v is not null").select("u", "v"))
     known = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return marked.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
-    """One row, with all its columns, of each component: that of the smallest ``doc_id``.
+#: The wide fingerprint: lanes of 64 bits, of which the last is the sketch that cells compare; segments of two bits in
+#: a cell's group; groups; and the bits of all lanes in which near-duplicates may differ (a Jaccard similarity of 0.8 of
+#: two equally large sets makes 155 of 1024, with a standard deviation of 12).
+LANES, SEGMENTS, CELLS, SKETCH, WIDE = 16, 10, 48, 20, 170
+_STEPS = np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def wide_fingerprint(text: str, words: int = 5) -> np.ndarray:
+    """SimHash of ``LANES`` x 64 bits over the set of a text's shingles; a shingle's lanes are mixed from its one hash."""
+    hashes = np.unique(shingle_hashes(text, words))
+    counts = np.zeros(64 * LANES, np.int64)
+    for k in range(0, len(hashes), 2040):
+        part = hashes[k : k + 2040, None] + _STEPS
+        part ^= part >> np.uint64(30)
+        part *= np.uint64(0xBF58476D1CE4E5B9)
+        part ^= part >> np.uint64(31)
+        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+        for j in range(0, len(bits), 255):  # sums of so many bits fit a byte
+            counts += np.add.reduce(bits[j : j + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
+
+
+def wide_cells(fp: np.ndarray) -> list[int]:
+    """The counts of each group of segments, as one number with the group's."""
+    bits = np.unpackbits(fp.astype("<u8").view(np.uint8), bitorder="little")
+    counts = (bits[0::2].astype(np.int64) + bits[1::2])[: SEGMENTS * CELLS].reshape(CELLS, SEGMENTS)
+    return (np.arange(CELLS) * 3**SEGMENTS + counts @ 3 ** np.arange(SEGMENTS)).tolist()
+
+
+def near_duplicate_classes(docs: DataFrame, words: int = 5, exact_words: int = 3, distance: int = 3) -> DataFrame:
+    """``doc_id, fp, component_id`` by links of two kinds: fingerprints of ``exact_words`` within ``distance`` bits, and
+    texts whose shingle sets of ``words`` words have a Jaccard similarity of about 0.8 or more.
+
+    The second kind is the same range join on a wide fingerprint: cells are the segment counts of one group of many, a
+    64-bit sketch that no cell uses bounds what is compared further, and the wide bits decide. Texts of equal wide
+    fingerprints are one node. A row without an id is only linked by equal fingerprints."""
+    small_batches(docs.sparkSession)
+    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("wide", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_held()
+        for batch in batches:
+            found = batch.column("text").to_pylist()
+            fps = np.array([fingerprint(t, exact_words) for t in found], np.uint64)
+            yield rows_of(out, {"doc_id": batch.column("doc_id").to_pylist(), "fp": fps.view(np.int64), "wide": [wide_fingerprint(t, words).tobytes() for t in found]})
+
+    marked = stored(id_and_text(docs).mapInArrow(run, "doc_id long, fp long, wide binary"), "fingerprints")
+    nodes = stored(marked.groupBy("wide").agg(F.min("doc_id").alias("id")).filter("id IS NOT NULL"), "nodes")
+    dealt = pa.schema([("cell", pa.int64()), ("id", pa.int64()), ("bits", pa.int64())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.repeat(batch.column("id").to_numpy(), CELLS)
+            found = [np.frombuffer(w, "<u8") for w in batch.column("wide").to_pylist()]
+            sketches = np.repeat(np.array([f[-1] for f in found], np.uint64).view(np.int64), CELLS)
+            yield rows_of(dealt, {"cell": [c for f in found for c in wide_cells(f)], "id": ids, "bits": sketches})
+
+    pairs = links(nodes.mapInArrow(deal, "cell long, id long, bits long"), SKETCH, bounded=False)
+    both = pairs.join(nodes.select(F.col("id").alias("a"), F.col("wide").alias("wa")), "a").join(nodes.select(F.col("id").alias("b"), F.col("wide").alias("wb")), "b")
+    edge = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, LANES) for c in ("wa", "wb"))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=edge).filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= WIDE))
+
+    similar = both.mapInArrow(verify, "u long, v long")
+    named = marked.join(nodes, "wide").select("fp", "id").distinct()
+    named = stored(named, "named")
+    reps = stored(named.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
+    equal = named.join(reps, "fp").filter("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    close = links(cells(reps.select("fp"), distance), distance)
+    close = close.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b").select("u", "v")
+    roots = components(similar.unionByName(equal).unionByName(close))
+    known = nodes.join(roots, nodes.id == roots.node, "left").select("wide", F.coalesce("root", "id").alias("component_id"))
+    return marked.join(known, "wide", "left").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
+    """One row, with all its columns, of each class of near-duplicates: that of the smallest ``doc_id``.
 
     Of rows that share that id and fingerprint one stays, and of rows without an id one
-    for each fingerprint that no row with an id has."""
-    marked = stored(fingerprints(docs, words), "fingerprints")
-    kept = classes(marked, distance).filter("doc_id <=> component_id").select("doc_id", "fp")
+    for each fingerprint, unless a row with an id has it."""
+    kept = near_duplicate_classes(docs, words).filter("doc_id <=> component_id").select("doc_id", "fp")
     kept = stored(kept, "kept")
     if kept.filter("doc_id IS NULL").isEmpty() and kept.groupBy("doc_id").count().filter("count > 1").isEmpty():
         # The ids grow with the corpus, so they are never broadcast: the same plan at every size.
@@ -264,7 +350,7 @@ def one_of_each(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing_held()
         for batch in batches:
-            fps = np.array([fingerprint(t or "", words) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t or "") for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], names=[*batch.schema.names, "fp_"])
 
     wanted = kept.distinct().select(F.col("doc_id").alias("id_"), F.col("fp").alias("kept_")).hint("merge")
