@@ -277,3 +277,18 @@ def page_candidates(base: Column, page: Column) -> Column:
 def lima(ts: Column) -> Column:
     """SCL21: a UTC time in the business zone, five hours behind all year."""
     return ts - F.expr("INTERVAL 5 HOURS")
+
+
+def lima_calendar(ts: Column) -> Column:
+    """SCL21: struct of the business day, its ISO weekday, its week's Monday and Sunday, its month's first day and
+    the next month's, and the day's midnight in UTC."""
+    local = lima(ts)
+    day = F.to_date(local)
+    monday = F.to_date(F.date_trunc("week", local))
+    month = F.to_date(F.date_trunc("month", local))
+    return F.struct(day.alias("day"), (F.weekday(day) + 1).alias("weekday"), monday.alias("monday"), F.date_add(monday, 6).alias("sunday"), month.alias("month"), F.add_months(month, 1).alias("next_month"), (F.date_trunc("day", local) + F.expr("INTERVAL 5 HOURS")).alias("midnight_utc"))
+
+
+def lima_hour(ts: Column) -> Column:
+    """SCL23: the business hour as twelve-hour text."""
+    return F.date_format(lima(ts), "h:mm a")

@@ -443,3 +443,23 @@ def narrative_product(text: Column) -> Column:
     maker = cleaned(first(text, r"(?i)(?:fabricado por|fabricante:?)\s+([^,.;\n]{3,80})"))
     sure = F.when(name.isNotNull() & lot.isNotNull() & maker.isNotNull(), 0.92).when(name.isNotNull() & (lot.isNotNull() | maker.isNotNull()), 0.82).otherwise(0.76)
     return F.struct(name.alias("product_name"), lot.alias("lot_number"), maker.alias("manufacturer"), country_anywhere(text).alias("manufacturer_country"), sure.alias("confidence"))
+
+
+def merged_cell_products(zone: DataFrame) -> DataFrame:
+    """EXR15: each lot of a zone takes the product and the maker whose merged cell it lies in or is nearest to; the
+    zone's places are joined, its first department is everyone's; the first of equal lots stays."""
+    from tidewell.operators.matching import interval_first
+
+    page = zone.filter("page IS NOT NULL")
+    lots = blocks_by_y(page, "col_lote", starts_lot(F.col("col_lote")), continues_lot(F.col("col_lote"))).select("doc", "block_id", repaired_lot(F.col("text")).alias("lot_number"), F.col("center").alias("y"))
+    once = lots.groupBy("doc", "lot_number").agg(F.min_by("y", "block_id").alias("y"), F.min("block_id").alias("n"))
+    heading = _has(fold(F.col("col_producto")), ("NOMBRE", "PRODUCTO", "DATOS"))
+    name = F.rlike(blank(F.col("col_producto")), F.lit(r"^[A-ZÁÉÍÓÚÑ]")) & ~heading
+    products = blocks_by_y(page, "col_producto", name, ~name & ~heading).select("doc", "block_id", "text", "center", "start", "end")
+    made = ~_has(fold(F.col("col_fabricante_pais")), ("FABRICANTE",)) & country(F.col("col_fabricante_pais")).isNull()
+    makers = blocks_by_y(page, "col_fabricante_pais", made, country(F.col("col_fabricante_pais")).isNotNull()).select("doc", "block_id", "text", "center", "start", "end")
+    a = interval_first(once, products, "doc", forward=55.0).join(products.select("doc", "block_id", F.col("text").alias("product_name")), ["doc", "block_id"], "left").drop("block_id")
+    b = interval_first(a, makers, "doc", forward=65.0).join(makers.select("doc", "block_id", maker_and_country(F.col("text")).alias("m")), ["doc", "block_id"], "left").drop("block_id")
+    places = page.groupBy("doc").agg(F.min_by(clean(F.col("col_departamento")), F.when(is_department(F.col("col_departamento")), F.struct("page", "y"))).alias("department"))
+    sure = F.when(F.col("product_name").isNotNull() & F.col("m.maker").isNotNull() & F.col("m.country").isNotNull() & F.col("department").isNotNull(), 0.88).otherwise(0.72)
+    return b.join(places, "doc", "left").filter("product_name IS NOT NULL").select("doc", "lot_number", "product_name", F.col("m.maker").alias("manufacturer"), F.col("m.country").alias("manufacturer_country"), "department", sure.alias("confidence"))

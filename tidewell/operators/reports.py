@@ -246,3 +246,25 @@ def trial_counts(users: DataFrame, sent: DataFrame, most: int = 3) -> DataFrame:
     """AGG26: alerts sent in a trial so far and with this batch; the trial ends at ``most``."""
     n = F.coalesce("prueba_alertas_enviadas", F.lit(0)) + F.coalesce("sent", F.lit(0))
     return users.join(sent, "telegram_chat_id", "left").select("telegram_chat_id", n.alias("enviadas"), F.when(n >= most, "finalizada").otherwise(F.col("prueba_estado")).alias("prueba_estado"))
+
+
+def open_counts(pages: DataFrame, norms: DataFrame) -> DataFrame:
+    """JON5: how many pages of each norm's key wait; pages without a known norm count under '?'."""
+    joined = pages.join(norms.select(F.col("id").alias("norma_id"), "document_key"), "norma_id", "left")
+    return joined.groupBy(F.coalesce("document_key", F.lit("?")).alias("document_key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def counts_by_year(rows: DataFrame, column: str = "anio") -> DataFrame:
+    """AGG8: how many of each year, those without one first, then the newest."""
+    year = F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit("SIN_ANIO"))
+    return rows.groupBy(year.alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy((F.col("value") == "SIN_ANIO").desc(), F.col("value").desc())
+
+
+def rejections(links: DataFrame, by: str) -> DataFrame:
+    """SRC4: how many links of each source were taken and why others were not (``reason``, null: taken)."""
+    return links.groupBy(by).agg(F.count_if(F.col("reason").isNull()).alias("taken"), F.count_if(F.col("reason").isNotNull()).alias("rejected"), F.count_distinct("reason").alias("reasons"))
+
+
+def layout_counts(pages: DataFrame, words: str = "words") -> DataFrame:
+    """SRC11: words and lines of pages with word boxes."""
+    return pages.select("*", F.size(words).alias("word_count"), F.size(F.array_distinct(F.transform(words, lambda w: F.bround(w.y0 / 3, 0)))).alias("line_count"))

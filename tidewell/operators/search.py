@@ -50,16 +50,31 @@ def stem_of(word: str) -> str:
     return word
 
 
+LETTERS = "a-záéíóúñü0-9"
+
+
+def _alone(words: list[str]) -> str:
+    """Pattern of the words as whole tokens."""
+    return rf"(?<![{LETTERS}])(?:{'|'.join(words)})(?![{LETTERS}])"
+
+
+def matches(text: Column, words: list[str]) -> Column:
+    """FTS2: whether some of the words occurs; one pass over the text."""
+    return F.rlike(F.lower(blank(text)), F.lit(_alone(words)))
+
+
 def rank(text: Column, words: list[str], stem: bool = False) -> Column:
-    """FTS2, FTS3: mean over the query's words of weight times the sum of 1/i^2 over their places; 0 if none occurs."""
-    found = F.split(F.lower(blank(text)), BETWEEN)
+    """FTS3: mean over the query's words of weight times the sum of 1/i^2 over their places; 0 if none occurs.
+
+    Places are counted by whole-token patterns inside generated code; stems need the tokens themselves."""
+    low = F.lower(blank(text))
     if stem:
         pattern = "(?<=.{3})(?:" + "|".join(SUFFIXES) + ")$"
-        found = F.transform(found, lambda w: F.regexp_replace(w, pattern, ""))
-    held = F.filter(found, lambda w: w.isin(*words))
+        tokens = F.array_join(F.transform(F.split(low, BETWEEN), lambda w: F.regexp_replace(w, pattern, "")), "  ")
+        low = F.concat(F.lit(" "), tokens, F.lit(" "))
     total = F.lit(0.0)
     for w in words:
-        n = F.least(F.size(held) - F.size(F.array_remove(held, w)), F.lit(PLACES))
+        n = F.least(F.regexp_count(low, F.lit(_alone([w]))), F.lit(PLACES))
         series = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda a, i: a + F.lit(1.0) / (i * i))).otherwise(0.0)
         total = total + series * WEIGHT / PI_SIXTH
     return total / len(words)
@@ -86,7 +101,10 @@ def search(alerts: DataFrame, norms: DataFrame | None, query: str, k: int = 4, s
         both = both.unionByName(aligned(norms))
     if not words:
         return both.withColumn("rank", F.lit(0.0)).limit(0)
-    ranked = both.withColumn("rank", rank(F.col("text_content"), words, stem)).filter("rank > 0")
+    # Only pages that hold a word are ranked; the stems of others are not known before.
+    found = both.filter("text_content IS NOT NULL") if stem else both.filter(matches(F.col("text_content"), words))
+    ranked = found.withColumn("rank", rank(F.col("text_content"), words, stem))
+    ranked = ranked.filter("rank > 0") if stem else ranked
     kept = list(PAGE_FIELDS)[: VERSIONS[version]]
     return ranked.select(*kept, "rank").orderBy(F.col("rank").desc(), "document_key", "page_number").limit(k)
 
