@@ -142,10 +142,32 @@ def forest(bits: np.ndarray, side: np.ndarray | None, distance: int, bounded: bo
     return np.concatenate(x_) if x_ else none, np.concatenate(y_) if y_ else none
 
 
+def spanning(first: np.ndarray, second: np.ndarray, far: np.ndarray, group: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links in each group those that connect the same, closest first; links of groups without cycles all stay."""
+    many = (np.bincount(group[first], minlength=len(sizes)) >= sizes)[group[first]]
+    order = np.lexsort((first, far, group[first]))
+    order = order[many[order]]
+    up: dict[int, int] = {}
+    kept = []
+    for k, x, y in zip(order.tolist(), first[order].tolist(), second[order].tolist(), strict=True):
+        while (p := up.get(x, x)) != x:
+            up[x] = up.get(p, p)
+            x = p
+        while (p := up.get(y, y)) != y:
+            up[y] = up.get(p, p)
+            y = p
+        if x != y:
+            up[y] = x
+            kept.append(k)
+    at = np.concatenate([np.flatnonzero(~many), np.array(kept, np.int64)])
+    return first[at], second[at]
+
+
 def links(dealt: DataFrame, distance: int, bounded: bool = True) -> DataFrame:
     """``a, b``: ids of ``dealt`` rows (``cell, id, bits``) that share a cell and lie within the distance.
 
-    In a cell of up to ``SMALL`` rows all such pairs; in a larger one a forest that connects what they connect.
+    Of a cell's links come only so many as connect what all of them connect: of up to ``SMALL`` rows the closest
+    ones, of more those of a breadth-first search.
     ``bounded``: bits pass the Manhattan bound of their segment counts before the exact count."""
     spark = dealt.sparkSession
     small_batches(spark)
@@ -191,15 +213,22 @@ def links(dealt: DataFrame, distance: int, bounded: bool = True) -> DataFrame:
         group = np.repeat(np.arange(len(sizes)), sizes)
         few = (sizes <= SMALL)[group] & (table[1] == table[2])
         a, b = [], []
+        first, second, far = [], [], []
         for step in range(1, min(SMALL, int(sizes.max()))):
             at = np.flatnonzero((group[step:] == group[:-step]) & few[step:])
             if len(at) == 0:
                 break
             if bounded:
                 at = at[manhattan(counts[at], counts[at + step]) <= distance]
-            at = at[np.bitwise_count(bits[at] ^ bits[at + step]) <= distance]
-            a.append(ids[at])
-            b.append(ids[at + step])
+            apart = np.bitwise_count(bits[at] ^ bits[at + step])
+            near = apart <= distance
+            first.append(at[near])
+            second.append(at[near] + step)
+            far.append(apart[near])
+        if first:
+            kept = spanning(*map(np.concatenate, (first, second, far)), group, sizes)
+            a.append(ids[kept[0]])
+            b.append(ids[kept[1]])
         for k in np.flatnonzero((sizes > SMALL) | (table[1] != table[2])[bounds[:-1]]).tolist():
             low, high = int(bounds[k]), int(bounds[k + 1])
             side = None if table[1, low] == table[2, low] else table[3, low:high] != table[1, low]
