@@ -1,8 +1,8 @@
 """Main-text extraction by a tree-structured graphical model over DOM nodes.
 
 Each node has a hidden state, content or not.  A log-linear potential scores the
-state by the node's tag, the words of its class, id and role, and its text (length,
-share in links, sentence marks, place); a potential for each parent and child scores
+state by the node's tag, the words of its class, id and role, those of its next three
+ancestors, and its text (length, share in links, sentence marks, place); a potential for each parent and child scores
 their pair of states by the kind of the child.  The graph is a tree, so sum-product
 messages, once up and once down, give exact marginals.  Weights maximise the
 likelihood of labelled pages (``labelled_pages``; their number is a parameter), by
@@ -31,7 +31,9 @@ from tidewell.llm.dom import INLINE, Page, parse, text_of
 from tidewell.llm.labelled_pages import labelled_pages
 
 #: Labelled pages that a model is fitted on, and steps of the fit.
-PAGES, STEPS = 1200, 300
+PAGES, STEPS = 1600, 300
+#: How far up a node sees tags and names.
+ANCESTORS = 3
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption tr tbody thead table ul ol dl figure".split())
 GROUPS = 4
 
@@ -86,8 +88,15 @@ def node_features(page: Page) -> list[list[str]]:
             f.append(f"share={_bin(c / max(total, 1), (0.02, 0.1, 0.3, 0.6, 0.9))}")
             f.append(f"place={_bin(first[k] / max(total, 1), (0.01, 0.1, 0.5, 0.9))}")
         f.append(f"depth={min(page.depth[k], 8)}")
-        if parent[k] >= 0:
-            f.append("under=" + page.tag[parent[k]])
+        above = parent[k]
+        if above >= 0:
+            f.append("under=" + page.tag[above])
+        for _ in range(ANCESTORS):
+            if above < 0:
+                break
+            f.append("in=" + page.tag[above])
+            f.extend("in=." + w for w in page.words[above])
+            above = parent[above]
         out.append(f)
     return out
 

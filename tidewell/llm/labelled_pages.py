@@ -105,7 +105,7 @@ class _Writer:
     def comments(self) -> str:
         def one() -> str:
             text = self.sentences(1, self.r.choice([1, 3, 8]))
-            return self.r.choice([f"<p>{text}</p>", f"<div class='comment'><b>{self.word()}</b><p>{text}</p></div>", f"<li>{text}</li>", f"<article class='comment'><p>{text}</p></article>", f"<div>{text}</div>"])
+            return self.r.choice([f"<p>{text}</p>", f"<div class='comment'><b>{self.word()}</b><p>{text}</p></div>", f"<li>{text}</li>", f"<article class='comment'><p>{text}</p></article>", f"<article><p>{text}</p></article>", f"<article><h4>{self.word()}</h4><p>{text}</p></article>", f"<div>{text}</div>"])
 
         inner = self.r.choice(["", f"<h2>{self.words(1, 3)}</h2>", f"<h3>{self.words(1, 3)}</h3>"]) + "".join(one() for _ in range(self.r.randint(1, 6)))
         tag = self.r.choice(["div", "section", "section", "ol", "aside"])
@@ -136,11 +136,15 @@ class _Writer:
     def inside(self) -> str:
         """What stands in the main content: blocks, and now and then something that is not content."""
         parts = [f"<h1>{self.words(1, 10)}</h1>"] if self.r.random() < 0.8 else []
-        parts += [self.block() for _ in range(self.r.choice([1, 2, 3, 5, 9]))]
+        parts += [f"<p>{self.words(1, 3)}.</p>"] if self.r.random() < 0.1 else [self.block() for _ in range(self.r.choice([1, 2, 3, 5, 9]))]
         if self.r.random() < 0.35:
             parts.insert(self.r.randint(1, len(parts)), self.r.choice([self.advert, self.share, self.form, self.side, self.notice, self.advert])())
         if self.r.random() < 0.15:
             parts.append(self.comments())
+        if self.r.random() < 0.2:  # an article may have a header and a footer of its own
+            parts.insert(0, f'<header data-y="0">{self.r.choice([f"<h1>{self.words(1, 8)}</h1>", f"<p>{self.words(1, 6)}</p>", f"<h1>{self.words(1, 6)}</h1><p>{self.words(2, 8)}</p>"])}</header>')
+        if self.r.random() < 0.2:
+            parts.append(f'<footer data-y="0">{self.r.choice([self.words(1, 8), f"<p>{self.words(2, 9)}</p>", self.link_list()])}</footer>')
         return "".join(parts)
 
     def content(self) -> str:
@@ -167,6 +171,10 @@ class _Writer:
         for make, chance in ((self.comments, 0.35), (self.share, 0.2), (self.side, 0.35), (self.advert, 0.3), (self.form, 0.2), (self.menu, 0.15), (self.notice, 0.2), (self.footer, 0.85)):
             if r.random() < chance:
                 after.append(make())
+        if r.random() < 0.15:
+            before = []
+        if r.random() < 0.15:
+            after = []
         if r.random() < 0.3:
             r.shuffle(before)
         main = "" if r.random() < 0.03 else self.content()
