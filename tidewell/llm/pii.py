@@ -84,7 +84,7 @@ _RUN = re.compile(r"\+?\(?[0-9][0-9 ().\-/]{5,}[0-9]")
 _GROUP = re.compile(r"[0-9]+")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:[\[({]\s?(?:at|AT)\s?[\])}]|\s(?:at|AT)\s|@)\s?[A-Za-z0-9-]+(?:\s?(?:[\[({]\s?(?:dot|DOT)\s?[\])}]|\s(?:dot|DOT)\s|\.)\s?[A-Za-z0-9-]+)+")
 _SIGN = re.compile(r"[\[({]\s?(?:at|AT)\s?[\])}]|\s(?:dot|DOT)\s|[\[({]\s?(?:dot|DOT)\s?[\])}]")
-_V6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}:?(?:[0-9A-Fa-f]{1,4}:?){0,6}(?<=[0-9A-Fa-f:])(?![0-9A-Za-z])")
+_V6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:{1,2}){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 #: Groups of digits that one candidate may hold.
 GROUPS = 7
 
