@@ -222,3 +222,35 @@ def verified_quotes(items: DataFrame, pages: DataFrame) -> DataFrame:
     return items.join(pages, "doc_id").withColumn("verified", quoted_in(F.col("fragment"), F.col("text")))
 
 
+
+
+def _harmonic(n: Column) -> Column:
+    n = F.least(n, F.lit(PLACES)).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, i: a + F.lit(1.0) / (i * i))
+
+
+def term_table(pages: DataFrame, buckets: int = 64) -> DataFrame:
+    """FTS4: the pages' terms with how often each occurs, ``bucket`` by the term's hash: the one structure worth
+    storing (``write.partitionBy("bucket")``), as a query then reads its own terms' buckets only.
+
+    Occurrences combine inside each page before anything is shuffled: a page's rows come from one task."""
+    tokens = F.filter(F.split(F.lower(blank(F.col("text_content"))), BETWEEN), lambda w: w != "")
+    rows = pages.select("document_key", "page_number", F.explode(tokens).alias("term"))
+    counted = rows.groupBy("document_key", "page_number", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return counted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+
+
+def search_terms(index: DataFrame, query: str, k: int = 4, buckets: int = 64) -> DataFrame:
+    """FTS2, FTS3, TOP6 over a stored term table: ``document_key, page_number, rank``."""
+    words = tokens_of(query)
+    if not words:
+        return index.select("document_key", "page_number", F.lit(0.0).alias("rank")).limit(0)
+    mine = index.filter(F.col("term").isin(*words) & F.col("bucket").isin(*_buckets(index, words, buckets)))
+    score = F.sum(_harmonic(F.col("tf")) * WEIGHT / PI_SIXTH) / len(words)
+    return mine.groupBy("document_key", "page_number").agg(score.alias("rank")).orderBy(F.col("rank").desc(), "document_key", "page_number").limit(k)
+
+
+def _buckets(index: DataFrame, words: list[str], buckets: int) -> list[int]:
+    """The buckets of a few literals, so that partitions are pruned before the scan."""
+    rows = index.sparkSession.range(1).select(*[F.pmod(F.xxhash64(F.lit(w)), F.lit(buckets)).cast("int") for w in words]).first()
+    return sorted(set(rows))

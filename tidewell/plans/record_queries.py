@@ -31,6 +31,12 @@ def search_topk(spark, sf):
     return found.select(F.col("page_number").alias("doc_id"), "document_key", F.round("rank", 6).alias("rank"))
 
 
+@query("search_indexed", f"SELECT doc_id, source AS document_key, round(r, 6) AS rank FROM (SELECT *, {rank_sql('text')} AS r FROM documents) WHERE r > 0 ORDER BY r DESC, source, doc_id LIMIT 10")
+def search_indexed(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("text").alias("text_content"), F.col("doc_id").alias("page_number"), F.col("source").alias("document_key"))
+    return S.search_terms(S.term_table(d), QUERY, 10).select(F.col("page_number").alias("doc_id"), "document_key", F.round("rank", 6).alias("rank"))
+
+
 _UNION = f"""WITH u AS (
   SELECT source AS document_key, doc_id AS page_number, text AS body, NULL::VARCHAR AS detail_url, contains(text, '|') AS has_tables FROM documents
   UNION ALL SELECT 'page', page_id, html, url, false FROM pages)
