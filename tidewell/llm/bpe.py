@@ -16,14 +16,16 @@ Encodings of units (see units.py) are kept in a store of bounded size.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import held, id_and_text, rows_of, small_batches, texts
-from tidewell.llm.units import UNIT, WHITE, Recent
+from tidewell.llm.common import held, id_and_text, rows_of, small_batches
+from tidewell.llm.units import UNITS, WHITE, Encoder
 
 #: Token pairs kept in a worker.
 STORE = 400_000
@@ -109,30 +111,26 @@ class Prefixes:
         return out[::-1]
 
 
-class PrefixEncoder:
+class PrefixEncoder(Encoder):
     """``encode(text)`` as little-endian unsigned 32-bit integers; ``decode`` gives the bytes again."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, size: int = UNITS):
         import regex
 
+        super().__init__(size, [])
         self.v = Vocabulary(ranks)
         # White space in the pattern's sense is Unicode White_Space, which the library's own \s is not exactly.
         self.word = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]"))
-        self.units = Recent(self._unit)
 
-    def word_ids(self, word: bytes) -> list[int]:
-        whole = self.v.ranks.get(word)
-        return [whole] if whole is not None else Prefixes(self.v, word).ids()
+    def letters(self, word: str) -> bytes:
+        data = word.encode("utf-8", "surrogatepass")
+        whole = self.v.ranks.get(data)
+        return array("I", [whole] if whole is not None else Prefixes(self.v, data).ids()).tobytes()
 
-    def _unit(self, unit: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for word in self.word.findall(unit) for i in self.word_ids(word.encode("utf-8", "surrogatepass")))
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.units.__getitem__, UNIT.findall(text)))  # a unit holds whole words; see units.py
-
-    def decode(self, ids: bytes) -> bytes:
-        import numpy as np
+    def make(self, text: str) -> bytes:
+        return b"".join(map(self.letters, self.word.findall(text)))
 
+    def decode(self, ids: bytes | np.ndarray) -> bytes:
         return b"".join(map(self.v.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
@@ -153,9 +151,8 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = prefix_encoder(ranks_path, pattern)
-        for batch in batches:
-            coded = [(i, encoder.encode(t)) for i, t in texts(batch)]
-            yield rows_of(out, {"doc_id": [i for i, _ in coded], "ids": [c for _, c in coded], "decoded": [encoder.decode(c) for _, c in coded]})
+        for doc_ids, coded in encoder.groups(batches):
+            yield rows_of(out, {"doc_id": doc_ids, "ids": [ids.tobytes() for ids in coded], "decoded": list(map(encoder.decode, coded))})
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, ids binary, decoded binary")
 

@@ -49,37 +49,32 @@ class Recent(dict):
         return found
 
 
-class UnitEncoder:
-    """``encode(text)`` gives the ids of a whole text as little-endian unsigned 32-bit integers."""
+class Encoder:
+    """Ids of texts by those of their units; what a unit's ids are is left to ``make``."""
 
-    def __init__(self, path: str, size: int = UNITS):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.special = [str(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        self.model = self.library.model
-        # Byte-level BPE writes a byte as a visible character: itself if it has a glyph, else the next one from 256 on.
-        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        hidden = [b for b in range(256) if b not in shown]
-        self.alphabet = {b: chr(256 + k) for k, b in enumerate(hidden)}
+    def __init__(self, size: int, special: list[str]):
+        self.special = special  # such a string is a token of its own wherever it stands
         self.units = Recent(self._unit, size)
 
-    def _ids(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+    def make(self, text: str) -> bytes:
+        """Ids of any text, as little-endian unsigned 32-bit integers."""
+        raise NotImplementedError
+
+    def letters(self, word: str) -> bytes:
+        """Ids of letters that a blank may precede: one pre-token."""
+        return self.make(word)
 
     def _unit(self, unit: str) -> bytes:
-        """A blank and letters are one pre-token, which the library's model encodes directly;
-        marks behind letters are pre-tokens of their own; the rest goes through the whole library."""
         core = unit.rstrip(MARKS)
-        if core.removeprefix(" ").isalpha():
-            ids = array("I", [t.id for t in self.model.tokenize(core.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
-            return ids if core == unit else ids + self.units[unit[len(core) :]]
-        return self._ids(unit)
+        if not core.removeprefix(" ").isalpha():
+            return self.make(unit)
+        if core == unit:
+            return self.letters(unit)
+        return self.units[core] + self.units[unit[len(core) :]]  # a pre-token ends between a letter and such a mark
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):  # such a string is a token of its own wherever it stands
-            return self._ids(text)
+        if any(s in text for s in self.special):
+            return self.make(text)
         return b"".join(map(self.units.__getitem__, UNIT.findall(text)))
 
     def encode_many(self, texts: pa.Array) -> list[np.ndarray]:
@@ -145,6 +140,29 @@ class UnitEncoder:
         return rows.column("doc_id").to_pylist(), self.encode_many(rows.column("text").chunk(0))
 
 
+class UnitEncoder(Encoder):
+    """The tokenizers library over units."""
+
+    def __init__(self, path: str, size: int = UNITS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        super().__init__(size, [str(t.content) for t in self.library.get_added_tokens_decoder().values()])
+        self.model = self.library.model
+        # Byte-level BPE writes a byte as a visible character: itself if it has a glyph, else the next one from 256 on.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+    def make(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def letters(self, word: str) -> bytes:
+        """One pre-token: the library's model encodes it directly."""
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+
+
 def unit_encoder(path: str, size: int = UNITS) -> UnitEncoder:
     """One for each worker process, so that its tasks share the store of twice ``size`` units."""
     return held(("units", path, size), lambda: UnitEncoder(path, size))
