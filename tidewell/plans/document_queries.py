@@ -42,7 +42,7 @@ def table_rows(spark, sf):
     return E.table_rows(values(spark, TABLE_LINES)).select("doc", "product_name", "lot_number", "manufacturer", "manufacturer_country")
 
 
-@query("islands_rows", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), s AS (SELECT *, sum((contains(line, '|'))::INT) OVER (PARTITION BY doc_id ORDER BY n) AS isl FROM l)
+@query("islands_rows", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), s AS (SELECT *, (sum((contains(line, '|'))::INT) OVER (PARTITION BY doc_id ORDER BY n))::BIGINT AS isl FROM l)
 SELECT doc_id, isl, count(*) AS lines, min(n)::BIGINT AS first_line FROM s WHERE isl > 0 GROUP BY 1, 2""")
 def islands_rows(spark, sf):
     from pyspark.sql import Window as W
