@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import blank, clean
+from tidewell.functions.text import SPACES, blank, clean, let
 
 #: Signs of formulas (fixed values).
 FORMULA_SIGNS = "=×÷≤≥≠≈∑∏∫√πΩ∆αβγδθλμσφ±"
@@ -13,25 +13,27 @@ LOW, HIGH = 0.5, 0.85
 
 
 def stripped(x: Column) -> Column:
-    return F.regexp_replace(blank(x), r"(?U)^\s+|\s+$", "")
+    return F.btrim(blank(x), F.lit(SPACES))
 
 
 def quality_score(x: Column) -> Column:
-    """QLT1: 1 less penalties for glued words, long words and few letters; 0 under 15 characters."""
-    t = stripped(x)
-    words = F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "")
-    n = F.size(words)
-    sizes = F.transform(words, lambda w: F.length(w))
-    glued = F.size(F.filter(sizes, lambda s: s > 25)) / n
-    mean = F.aggregate(sizes, F.lit(0), lambda a, s: a + s) / n
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", "")) / F.length(t)
-    score = F.lit(1.0) - glued * 1.6 - F.greatest(F.lit(0.0), (mean - 12) / 22) - F.greatest(F.lit(0.0), F.lit(0.55) - letters)
-    return F.when(F.length(t) < 15, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    """QLT1: 1 less penalties for glued words, long words and few letters; 0 under 15 characters.
+
+    Words and their lengths are counted on the text with single blanks: no array of words is made."""
+    def score(p: Column) -> Column:
+        blanks = F.length(p.s) - F.length(F.replace(p.s, F.lit(" "), F.lit("")))
+        n = blanks + 1
+        glued = F.regexp_count(p.s, F.lit("[^ ]{26,}")) / n
+        mean = (F.length(p.s) - blanks) / n
+        letters = F.length(F.regexp_replace(p.s, r"[^\p{L}]+", "")) / F.length(p.t)
+        value = F.lit(1.0) - glued * 1.6 - F.greatest(F.lit(0.0), (mean - 12) / 22) - F.greatest(F.lit(0.0), F.lit(0.55) - letters)
+        return F.when(F.length(p.t) < 15, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
+
+    return let(stripped(x), lambda t: let(F.struct(t.alias("t"), F.regexp_replace(t, r"(?U)\s+", " ").alias("s")), score))
 
 
 def formula_signs(x: Column, signs: str = FORMULA_SIGNS) -> Column:
-    t = stripped(x)
-    return F.length(t) - F.length(F.translate(t, signs, ""))
+    return F.length(blank(x)) - F.length(F.translate(blank(x), signs, ""))
 
 
 def maybe_formula(x: Column, least: int = 3, density: float = 0.01, signs: str = FORMULA_SIGNS) -> Column:

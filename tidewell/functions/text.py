@@ -5,6 +5,8 @@ Tags such as SCL1 name the entry of the operator inventory that a function cover
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,15 @@ HEADER_FROM, HEADER_TO = "ÁÉÍÓÚÑ°", "AEIOUNº"
 GENERIC_WORDS = ("alerta", "digemid", "n", "no", "sanitaria", "de")
 
 
+#: Unicode White_Space, for trimming (fixed values).
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it stands in it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank(x: Column) -> Column:
     return F.coalesce(x, F.lit(""))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.functions.text import ACCENTED, PLAIN, blank, lower_fold, quoted_in
+from tidewell.functions.text import ACCENTED, PLAIN, blank, let, lower_fold, quoted_in
 
 #: Words that a query does not search for (fixed values).
 STOP_WORDS = (
@@ -50,34 +50,37 @@ def stem_of(word: str) -> str:
     return word
 
 
-LETTERS = "a-záéíóúñü0-9"
-
-
-def _alone(words: list[str]) -> str:
-    """Pattern of the words as whole tokens."""
-    return rf"(?<![{LETTERS}])(?:{'|'.join(words)})(?![{LETTERS}])"
-
-
 def matches(text: Column, words: list[str]) -> Column:
-    """FTS2: whether some of the words occurs; one pass over the text."""
-    return F.rlike(F.lower(blank(text)), F.lit(_alone(words)))
+    """FTS2: whether some of the words stands in the text, as a token or inside one; plain searches, no pattern."""
+    low, out = F.lower(blank(text)), F.lit(False)
+    for w in words:
+        out = out | F.contains(low, F.lit(w))
+    return out
 
 
 def rank(text: Column, words: list[str], stem: bool = False) -> Column:
     """FTS3: mean over the query's words of weight times the sum of 1/i^2 over their places; 0 if none occurs.
 
-    Places are counted by whole-token patterns inside generated code; stems need the tokens themselves."""
-    low = F.lower(blank(text))
+    The text is brought to tokens between single blanks on either side once; a word's places are what its removal
+    shortens that by."""
     if stem:
         pattern = "(?<=.{3})(?:" + "|".join(SUFFIXES) + ")$"
-        tokens = F.array_join(F.transform(F.split(low, BETWEEN), lambda w: F.regexp_replace(w, pattern, "")), "  ")
-        low = F.concat(F.lit(" "), tokens, F.lit(" "))
-    total = F.lit(0.0)
-    for w in words:
-        n = F.least(F.regexp_count(low, F.lit(_alone([w]))), F.lit(PLACES))
-        series = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda a, i: a + F.lit(1.0) / (i * i))).otherwise(0.0)
-        total = total + series * WEIGHT / PI_SIXTH
-    return total / len(words)
+        spaced = F.array_join(F.transform(F.split(F.lower(blank(text)), BETWEEN), lambda w: F.regexp_replace(w, pattern, "")), "  ")
+    else:
+        spaced = F.regexp_replace(F.lower(blank(text)), BETWEEN, "  ")
+
+    def score(s: Column) -> Column:
+        total = F.lit(0.0)
+        for w in words:
+            places = ((F.length(s) - F.length(F.replace(s, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int")
+            total = total + _harmonic(places) * WEIGHT / PI_SIXTH
+        return total / len(words)
+
+    return let(F.concat(F.lit(" "), spaced, F.lit(" ")), score)
+
+
+def _harmonic(n: Column) -> Column:
+    return let(F.least(n, F.lit(PLACES)).cast("int"), lambda m: F.when(m < 1, 0.0).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), F.lit(0.0), lambda a, i: a + F.lit(1.0) / (i * i))))
 
 
 PAGE_FIELDS = {"text_content": "string", "page_number": "long", "document_key": "string", "title": "string", "published_date": "date", "detail_url": "string", "quality_score": "double", "has_tables": "boolean", "posible_formula": "boolean", "ocr_confidence": "double", "revisado_manual": "boolean", "estado_vigencia": "string"}
@@ -101,12 +104,16 @@ def search(alerts: DataFrame, norms: DataFrame | None, query: str, k: int = 4, s
         both = both.unionByName(aligned(norms))
     if not words:
         return both.withColumn("rank", F.lit(0.0)).limit(0)
-    # Only pages that hold a word are ranked; the stems of others are not known before.
+    # Only pages that may hold a word are ranked; the stems of others are not known before. Pages of rank 0 sort
+    # last, so they are dropped from the best ones and the rank is computed once.
     found = both.filter("text_content IS NOT NULL") if stem else both.filter(matches(F.col("text_content"), words))
     ranked = found.withColumn("rank", rank(F.col("text_content"), words, stem))
-    ranked = ranked.filter("rank > 0") if stem else ranked
-    kept = list(PAGE_FIELDS)[: VERSIONS[version]]
-    return ranked.select(*kept, "rank").orderBy(F.col("rank").desc(), "document_key", "page_number").limit(k)
+    return ranked.select(*kept_columns(version), "rank").orderBy(F.col("rank").desc(), "document_key", "page_number").limit(k).filter("rank > 0")
+
+
+def kept_columns(version: int) -> list[str]:
+    """SET2: what a version of the search returns."""
+    return list(PAGE_FIELDS)[: VERSIONS[version]]
 
 
 def warnings(low: float = 0.5, high: float = 0.85) -> Column:
@@ -224,11 +231,6 @@ def verified_quotes(items: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 
-def _harmonic(n: Column) -> Column:
-    n = F.least(n, F.lit(PLACES)).cast("int")
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, i: a + F.lit(1.0) / (i * i))
-
-
 def term_table(pages: DataFrame, buckets: int = 64) -> DataFrame:
     """FTS4: the pages' terms with how often each occurs, ``bucket`` by the term's hash: the one structure worth
     storing (``write.partitionBy("bucket")``), as a query then reads its own terms' buckets only.
