@@ -39,7 +39,7 @@ STORE = 700_000
 #: Ids between two block starts.
 BLOCK = 1024
 #: Ids after which a segment of whole documents is closed.
-SEGMENT = 1 << 16
+SEGMENT = 1 << 19
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,23 +66,31 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         np.copyto(choice, selector, where=top <= width)
     counts = np.array([c for c, _ in SELECTORS] + [1, 1], np.int64)
     place = np.arange(n)
-    after = np.minimum(place + counts[choice], np.minimum((place // BLOCK + 1) * BLOCK, n)).tolist()
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
+    after = np.minimum(place + counts[choice], np.minimum((place // BLOCK + 1) * BLOCK, n))
+    at = np.arange(0, n, BLOCK)
+    stop = np.minimum(at + BLOCK, n)
+    begins = np.zeros(n, bool)
+    while len(at):  # all blocks take a word at once
+        begins[at] = True
         at = after[at]
-    starts = np.array(starts)
+        going = at < stop
+        at, stop = at[going], stop[going]
+    starts = np.flatnonzero(begins)
     chosen = choice[starts]
-    ends = np.append(starts[1:], n)
+    held = np.append(starts[1:], n) - starts  # ids in each word; a block's last one may be short
     padded = np.append(ids, np.zeros(64, np.uint64))
-    words = chosen.astype(np.uint64) << np.uint64(60)
-    for selector, (count, width) in enumerate(SELECTORS):
-        if len(of := np.flatnonzero(chosen == selector)):
-            where = starts[of, None] + np.arange(count)
-            lanes = np.where(where < ends[of, None], padded[where], np.uint64(0))
-            words[of] |= np.bitwise_or.reduce(lanes << (np.arange(count) * width).astype(np.uint64), axis=1)
+    words = np.zeros(len(starts), np.uint64)
+    for selector in np.unique(chosen).tolist():
+        if selector < ESCAPE:
+            of = np.flatnonzero(chosen == selector)
+            count, width = SELECTORS[selector]
+            first = starts[of]
+            packed = padded[first]
+            for lane in range(1, count):
+                packed |= padded[first + lane] << np.uint64(lane * width)
+            words[of] = packed & ((np.uint64(1) << (held[of] * width).astype(np.uint64)) - np.uint64(1)) | np.uint64(selector << 60)
     escaped = np.flatnonzero(chosen == ESCAPE)
-    words[escaped] |= np.arange(len(escaped)).astype(np.uint64)
+    words[escaped] = np.arange(len(escaped)).astype(np.uint64) | np.uint64(ESCAPE << 60)
     offsets = np.searchsorted(starts, np.arange(0, n, BLOCK)).astype(np.int32)
     return words, offsets, ids[starts[escaped]]
 
