@@ -1,6 +1,7 @@
 """Operators on tables: brute-force versions, odd rows, and the queries of this subpackage."""
 
 import hashlib
+import os
 import zlib
 from collections import defaultdict
 
@@ -44,6 +45,17 @@ def u4(ids):
     return np.array(ids, "<u4").tobytes()
 
 
+def test_scratch_is_dropped_on_request(spark):
+    from tidewell.llm import common
+
+    df = common.stored(spark.range(3), "x")
+    assert df.count() == 3
+    folder = common._MADE[-1].removeprefix("file:").replace("//", "/")
+    assert os.path.isdir(folder)
+    common.drop_scratch(spark)
+    assert not os.path.exists(folder) and common._MADE == []
+
+
 def test_op1_reads_back_what_the_library_encodes(spark, docs):
     t, at, expected = library(), 0, set()
     for i, text in docs:

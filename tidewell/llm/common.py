@@ -48,8 +48,21 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tidewell-{name}-{uuid.uuid4().hex}"
+    """A new folder's path in the shared folder."""
+    _MADE.append(f"{shared_folder(spark)}/tidewell-{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this process wrote to the shared folder: when no result that reads it is needed any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
