@@ -107,12 +107,12 @@ def bucket_of(key: str, bounds: list) -> Column:
     return F.when(F.col(key).isNull(), 0).otherwise(F.size(F.filter(held, lambda b: b <= F.col(key))))
 
 
-def in_order(df: DataFrame, key: str) -> DataFrame:
-    """Rows dealt to partitions by ranges of ``key`` and sorted inside each: one shuffle, whose
+def in_order(df: DataFrame, key: str, *then: str) -> DataFrame:
+    """Rows dealt to partitions by ranges of ``key`` and sorted inside each, also by ``then``: one shuffle, whose
     boundaries come from a scan of the key column alone."""
     n = partitions(df.sparkSession)
     bounds = boundaries(df, key, n)
-    return df.repartitionById(len(bounds) + 1, bucket_of(key, bounds)).sortWithinPartitions(key)
+    return df.repartitionById(len(bounds) + 1, bucket_of(key, bounds)).sortWithinPartitions(key, *then)
 
 
 def rows_of(schema: pa.Schema, rows: dict[str, list]) -> pa.RecordBatch:

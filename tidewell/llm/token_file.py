@@ -156,7 +156,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
         if held:
             yield close()
 
-    ordered = in_order(id_and_text(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = in_order(id_and_text(docs), "doc_id", "text")
     ordered.mapInArrow(write, FILE).write.option("compression", "none").parquet(path)
 
 
