@@ -285,6 +285,30 @@ def test_wide_hot_cells(spark, monkeypatch):
     assert {x.component_id for x in got} == {0} and len(got) == 30
 
 
+@pytest.mark.parametrize("small", [simhash.SMALL, 3])
+def test_wide_pairs_of_a_hubs_family(spark, monkeypatch, small):
+    """A hub and members of similarity 0.6 to it, each with a near copy, in one cell: the hub reaches all by their sketches."""
+    import random
+
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "CELLS", 1)
+    monkeypatch.setattr(simhash, "wide_cells", lambda fp: [0])
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("aeioustrnlm") for _ in range(8))
+    hub = [word() for _ in range(400)]
+    texts = {0: " ".join(hub)}
+    for k in range(200):
+        at = r.randrange(300)
+        member = hub[:at] + [word() for _ in range(100)] + hub[at + 100 :]
+        copy = list(member)
+        copy[r.randrange(400)] = word()
+        texts |= {1 + k: " ".join(member), 1001 + k: " ".join(copy)}
+    sets = {i: _shingles(t) for i, t in texts.items()}
+    assert all(0.55 < len(sets[0] & sets[i]) / len(sets[0] | sets[i]) < 0.65 for i in texts if 0 < i < 1000)
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicate_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    _check_classes(texts, got)
+
+
 def test_op9_packs_every_id_once(spark, docs):
     t, by, bins = library(), defaultdict(list), defaultdict(list)
     for r in queries.op9_best_fit(spark, SF).collect():

@@ -116,9 +116,9 @@ def cells(distinct: DataFrame, distance: int) -> DataFrame:
     return distinct.withColumn("counts", counts).select(F.explode(F.array(*keys)).alias("cell"), F.col("fp").alias("id"), F.col("fp").alias("bits"))
 
 
-def forest(bits: np.ndarray, side: np.ndarray | None, distance: int, bounded: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def forest(bits: np.ndarray, side: np.ndarray | None, distance: int, bounded: bool = True, wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places of the two ends of a forest's edges that connect whatever links connect (with ``side``: links
-    between the two sides).
+    between the two sides; with ``wide``: links of at most ``WIDE`` of these bits).
 
     Breadth first: what is reached leaves the rest, so each is a target once."""
     counts = segment_counts(bits)
@@ -132,6 +132,8 @@ def forest(bits: np.ndarray, side: np.ndarray | None, distance: int, bounded: bo
             if side is not None:
                 near &= side[rest[hit]] != side[x]
             hit = hit[near]
+            if wide is not None:
+                hit = hit[np.bitwise_count(wide[rest[hit]] ^ wide[x]).sum(1) <= WIDE]
             if len(hit):
                 found = rest[hit]
                 x_.append(np.full(len(found), x))
@@ -163,12 +165,28 @@ def spanning(first: np.ndarray, second: np.ndarray, far: np.ndarray, group: np.n
     return first[at], second[at]
 
 
-def links(dealt: DataFrame, distance: int, bounded: bool = True) -> DataFrame:
+def connected(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest place that each of ``n`` places reaches by the edges."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[a], root[b])
+        if (least == root[a]).all() and (least == root[b]).all():
+            return root
+        for at in (root[a], root[b]):
+            np.minimum.at(root, at, least)
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def links(dealt: DataFrame, distance: int, bounded: bool = True, wide: DataFrame | None = None) -> DataFrame:
     """``a, b``: ids of ``dealt`` rows (``cell, id, bits``) that share a cell and lie within the distance.
 
     Of a cell's links come only so many as connect what all of them connect: of up to ``SMALL`` rows the closest
     ones, of more those of a breadth-first search.
-    ``bounded``: bits pass the Manhattan bound of their segment counts before the exact count."""
+    ``bounded``: bits pass the Manhattan bound of their segment counts before the exact count.
+    ``wide``: rows (``id, wide``); a link is then one of at most ``WIDE`` of these bits too. Rows of a cell that no
+    bits link go first; the others, by what their bits connect, meet again with their wide bits, and only links that
+    pass are thinned."""
     spark = dealt.sparkSession
     small_batches(spark)
     dealt = stored(dealt, "cells")
@@ -180,39 +198,42 @@ def links(dealt: DataFrame, distance: int, bounded: bool = True) -> DataFrame:
     rows = rows.withColumn("mine", F.when(F.col("count") > CELL, mine).otherwise(0)).select("cell", "id", "bits", "mine", F.inline(F.when(F.col("count") > CELL, other).otherwise(F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high"))))))
     grouped = rows.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high", "mine", "id")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    marks = pa.schema([(c, pa.int64()) for c in ("cell", "low", "high", "part", "mine", "id")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole_groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], keys: int) -> Iterator[np.ndarray]:
+        """Tables of the columns and, if there are any, the wide bits' words; no group of equal keys is divided."""
         nothing_held()
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            now = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("cell", "low", "high", "mine", "id", "bits")])
-            if now.shape[1] == 0:
+            if batch.num_rows == 0:
                 continue
+            now = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns])
+            if "wide" in batch.schema.names:
+                now = np.concatenate([now, np.frombuffer(b"".join(batch.column("wide").to_pylist()), "<i8").reshape(-1, LANES).T])
             held.append(now)
             size += now.shape[1]
-            if size < CELL // 4 or ((now[:3, 0] == now[:3, -1]).all() and (held[0][:3, 0] == now[:3, -1]).all()):
+            if size < CELL // 4 or ((now[:keys, 0] == now[:keys, -1]).all() and (held[0][:keys, 0] == now[:keys, -1]).all()):
                 continue  # few rows yet, or still the one group that began before
             table = np.concatenate(held, axis=1)
-            last = (table[:3] == table[:3, -1:]).all(0)
+            last = (table[:keys] == table[:keys, -1:]).all(0)
             cut = table.shape[1] - int(last[::-1].argmin()) if not last.all() else 0
-            yield from emit(table[:, :cut])
+            if cut:
+                yield table[:, :cut]
             held = [table[:, cut:]]
             size = held[0].shape[1]
         if held:
-            yield from emit(np.concatenate(held, axis=1))
+            yield np.concatenate(held, axis=1)
 
-    def emit(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if table.shape[1] == 0:
-            return
-        new = np.flatnonzero((table[:3, 1:] != table[:3, :-1]).any(0)) + 1
-        bounds = np.concatenate([[0], new, [table.shape[1]]])
+    def ends(keys: np.ndarray, mine: np.ndarray, bits: np.ndarray, words: np.ndarray | None, thin: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Places of both ends of the groups' links; those of groups of few rows all come unless ``thin``."""
+        new = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+        bounds = np.concatenate([[0], new, [keys.shape[1]]])
         sizes = np.diff(bounds)
-        ids, bits = np.ascontiguousarray(table[4]), np.ascontiguousarray(table[5]).view(np.uint64)
         counts = segment_counts(bits)
         group = np.repeat(np.arange(len(sizes)), sizes)
-        few = (sizes <= SMALL)[group] & (table[1] == table[2])
-        a, b = [], []
+        few = (sizes <= SMALL)[group] & (keys[1] == keys[2])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         first, second, far = [], [], []
         for step in range(1, min(SMALL, int(sizes.max()))):
             at = np.flatnonzero((group[step:] == group[:-step]) & few[step:])
@@ -222,23 +243,54 @@ def links(dealt: DataFrame, distance: int, bounded: bool = True) -> DataFrame:
                 at = at[manhattan(counts[at], counts[at + step]) <= distance]
             apart = np.bitwise_count(bits[at] ^ bits[at + step])
             near = apart <= distance
+            if words is not None:
+                at = at[near]
+                apart = np.bitwise_count(words[at] ^ words[at + step]).sum(1)
+                near = apart <= WIDE
             first.append(at[near])
             second.append(at[near] + step)
             far.append(apart[near])
         if first:
-            kept = spanning(*map(np.concatenate, (first, second, far)), group, sizes)
-            a.append(ids[kept[0]])
-            b.append(ids[kept[1]])
-        for k in np.flatnonzero((sizes > SMALL) | (table[1] != table[2])[bounds[:-1]]).tolist():
+            kept = (np.concatenate(first), np.concatenate(second))
+            if thin:
+                kept = spanning(*kept, np.concatenate(far), group, sizes)
+            a.append(kept[0])
+            b.append(kept[1])
+        for k in np.flatnonzero((sizes > SMALL) | (keys[1] != keys[2])[bounds[:-1]]).tolist():
             low, high = int(bounds[k]), int(bounds[k + 1])
-            side = None if table[1, low] == table[2, low] else table[3, low:high] != table[1, low]
-            x, y = forest(bits[low:high], side, distance, bounded)
-            a.append(ids[low:high][x])
-            b.append(ids[low:high][y])
-        if a and sum(map(len, a)):
-            yield rows_of(out, {"a": np.concatenate(a), "b": np.concatenate(b)})
+            side = None if keys[1, low] == keys[2, low] else mine[low:high] != keys[1, low]
+            x, y = forest(bits[low:high], side, distance, bounded, None if words is None else words[low:high])
+            a.append(low + x)
+            b.append(low + y)
+        return np.concatenate(a), np.concatenate(b)
 
-    return grouped.mapInArrow(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ("cell", "low", "high", "mine", "id", "bits"), 3):
+            a, b = ends(table[:3], table[3], np.ascontiguousarray(table[5]).view(np.uint64), None, True)
+            if len(a):
+                yield rows_of(out, {"a": table[4][a], "b": table[4][b]})
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ("cell", "low", "high", "mine", "id", "bits"), 3):
+            a, b = ends(table[:3], table[3], np.ascontiguousarray(table[5]).view(np.uint64), None, False)
+            if len(a) == 0:
+                continue
+            part = connected(a, b, table.shape[1])
+            at = np.unique(np.concatenate([a, b]))
+            yield rows_of(marks, {"cell": table[0][at], "low": table[1][at], "high": table[2][at], "part": table[4][part[at]], "mine": table[3][at], "id": table[4][at]})
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ("cell", "low", "high", "part", "mine", "id"), 4):
+            words = np.ascontiguousarray(table[6:].T).view(np.uint64)
+            a, b = ends(table[:4], table[4], np.ascontiguousarray(words[:, -1]), words, True)
+            if len(a):
+                yield rows_of(out, {"a": table[5][a], "b": table[5][b]})
+
+    if wide is None:
+        return grouped.mapInArrow(run, "a long, b long").distinct()
+    marked = stored(grouped.mapInArrow(mark, ", ".join(f"{c} long" for c in marks.names)), "marks")
+    grouped = marked.join(wide.select("id", "wide"), "id").repartition("cell", "low", "high", "part").sortWithinPartitions("cell", "low", "high", "part", "mine", "id")
+    return grouped.mapInArrow(verify, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -320,8 +372,8 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, exact_words: int = 3
     texts whose shingle sets of ``words`` words have a Jaccard similarity of about 0.8 or more.
 
     The second kind is the same range join on a wide fingerprint: cells are the segment counts of one group of many, a
-    64-bit sketch that no cell uses bounds what is compared further, and the wide bits decide. Texts of equal wide
-    fingerprints are one node. A row without an id is only linked by equal fingerprints."""
+    64-bit sketch that no cell uses bounds what is compared further, and the wide bits decide before a cell's links are
+    thinned. Texts of equal wide fingerprints are one node. A row without an id is only linked by equal fingerprints."""
     small_batches(docs.sparkSession)
     out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("wide", pa.binary())])
 
@@ -343,16 +395,7 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, exact_words: int = 3
             sketches = np.repeat(np.array([f[-1] for f in found], np.uint64).view(np.int64), CELLS)
             yield rows_of(dealt, {"cell": [c for f in found for c in wide_cells(f)], "id": ids, "bits": sketches})
 
-    pairs = links(nodes.mapInArrow(deal, "cell long, id long, bits long"), SKETCH, bounded=False)
-    both = pairs.join(nodes.select(F.col("id").alias("a"), F.col("wide").alias("wa")), "a").join(nodes.select(F.col("id").alias("b"), F.col("wide").alias("wb")), "b")
-    edge = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, LANES) for c in ("wa", "wb"))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=edge).filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= WIDE))
-
-    similar = both.mapInArrow(verify, "u long, v long")
+    similar = links(nodes.mapInArrow(deal, "cell long, id long, bits long"), SKETCH, bounded=False, wide=nodes).select(F.col("a").alias("u"), F.col("b").alias("v"))
     named = marked.join(nodes, "wide").select("fp", "id").distinct()
     named = stored(named, "named")
     reps = stored(named.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
