@@ -138,6 +138,36 @@ def test_added_spans_split_runs_and_leave_prose():
     assert model.added("In 2023, version 1.2.3 cost 1,000 for 12-24 items at page 7", []) == []
 
 
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "1." * 500_000, "+1 555-123-4567, " * 60_000, "a@" * 300_000, "a" * 1_000_000 + " [at] b [dot] c", "1" + " " * 1_000_000, "a[at]b" * 150_000])
+def test_personal_data_in_long_texts_of_any_kind(text):
+    import time
+
+    model, began = pii.default_model(), time.time()
+    model.added(text, pii.base_spans(text))
+    assert time.time() - began < 8
+
+
+def test_ip_parts_of_any_length():
+    assert pii.base_spans("1" * 5000 + ".1.1.1") == [] and pii.base_spans("0" * 5000 + "1.255.1.1") == [(0, 1, 5009 - 1)]
+    assert pii.base_spans("1.2.3.4.5.6.7.8.9 256.1.1.1") == [(0, 1, 7), (8, 1, 15)]
+
+
+def test_candidates_have_no_window():
+    long = "x" * 90
+    assert pii.candidates(f"mail {long} [at] example [dot] com") == [(5, 0, 118)]
+    assert pii.candidates(f"mail me [at] {long} [dot] com") == [(5, 0, 113)]
+    digits = "call 5 5 5 1 2 3 4 5 6 7 now"
+    assert (5, 3, 24) in pii.candidates(digits)
+    card = ".".join("4111111111111111")
+    assert (3, 2, 34) in pii.candidates(f"to {card}")
+
+
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), max_size=12), st.integers(0, 60), st.integers(1, 9))
+def test_covered_is_any_overlap(found, start, size):
+    spans = [(s, 0, s + n) for s, n in found]
+    assert pii.Covered(spans).overlaps(start, start + size) == any(s < start + size and start < e for s, _, e in spans)
+
+
 def test_media_formats():
     rng = np.random.default_rng(1)
     image = rng.integers(0, 256, (5, 7, 3)).astype(np.uint8)

@@ -14,12 +14,13 @@ negatives, so no document's text is a label.
 Places are in code points, ends exclusive.
 
 Cases: null or empty text has no spans; repeated rows are each searched; null ids
-are kept; other columns are ignored; an empty table gives no rows; work is linear in
-a text's length but for its candidates.
+are kept; other columns are ignored; an empty table gives no rows; a long text of any
+content, runs of digits or of signs too, is searched in time linear in its length.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import random
 import re
@@ -40,30 +41,43 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: The matches of ``IP``: one cannot begin inside a run of digits, as it could begin before it; so each run is read once
+#: for each part that it can be.
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 Span = tuple[int, int, int]  # start, place in KINDS, end
 
 
+_DOUBLED = bytes.maketrans(b"0123456789", bytes([0, 2, 4, 6, 8, 1, 3, 5, 7, 9]))
+
+
 def luhn(digits: str) -> bool:
-    total = 0
-    for k, c in enumerate(reversed(digits)):
-        d = ord(c) - 48
-        total += d if k % 2 == 0 else d * 2 - 9 * (d > 4)
-    return total % 10 == 0
+    own = digits.encode()
+    return (sum(own[-1::-2]) - 48 * len(own[-1::-2]) + sum(own[-2::-2].translate(_DOUBLED))) % 10 == 0
 
 
 def _digits(text: str) -> str:
     return re.sub("[^0-9]", "", text)
 
 
+def _octet(part: str) -> bool:
+    part = part.lstrip("0")
+    return len(part) < 3 or len(part) == 3 and part <= "255"
+
+
+def _local_start(text: str, end: int, least: int) -> int:
+    """Where the run of local-part characters that ends at ``end`` begins, not before ``least``."""
+    while end > least and text[end - 1] in _LOCAL:
+        end -= 1
+    return end
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """As the pattern finds them, looking only around each @: a local part is the whole run before it."""
     done, at = 0, text.find("@")
     while at >= 0:
-        start = at
-        while start > done and text[start - 1] in _LOCAL:
-            start -= 1
+        start = _local_start(text, at, done)
         if start < at and (m := EMAIL.match(text, start)):
             yield m.span()
             done = m.end()
@@ -73,7 +87,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[Span]:
     found = [(s, 0, e) for s, e in _emails(text)] if "@" in text else []
     if re.search("[0-9]", text):
-        found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        found += [(m.start(), 1, m.end()) for m in _DOTTED.finditer(text) if all(map(_octet, m[0].split(".")))]
         found += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 14 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         if "+" in text:
             found += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 10 <= len(_digits(m[0])) <= 15]
@@ -82,36 +96,75 @@ def base_spans(text: str) -> list[Span]:
 
 _RUN = re.compile(r"\+?\(?[0-9][0-9 ().\-/]{5,}[0-9]")
 _GROUP = re.compile(r"[0-9]+")
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:[\[({]\s?(?:at|AT)\s?[\])}]|\s(?:at|AT)\s|@)\s?[A-Za-z0-9-]+(?:\s?(?:[\[({]\s?(?:dot|DOT)\s?[\])}]|\s(?:dot|DOT)\s|\.)\s?[A-Za-z0-9-]+)+")
+_AT = r"(?:[\[({]\s?(?:at|AT)\s?[\])}]|\s(?:at|AT)\s|@)"
+_DOT = r"(?:[\[({]\s?(?:dot|DOT)\s?[\])}]|\s(?:dot|DOT)\s|\.)"
+_SPELLED_AT = re.compile(_AT)
+#: From the sign for "at" on.
+_SPELLED = re.compile(rf"\s?{_AT}\s?[A-Za-z0-9-]++(?:\s?{_DOT}\s?[A-Za-z0-9-]++)+")
 _SIGN = re.compile(r"[\[({]\s?(?:at|AT)\s?[\])}]|\s(?:dot|DOT)\s|[\[({]\s?(?:dot|DOT)\s?[\])}]")
 _V6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:{1,2}){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
-#: Groups of digits that one candidate may hold.
-GROUPS = 7
-
-
-def candidates(text: str) -> list[Span]:
-    """High recall: every stretch of up to GROUPS digit groups that could be a phone or card number, and the rest."""
+#: Digits of the longest card number; a candidate has no more.
+DIGITS = 19
+
+
+def _spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses that hold a spelled-out sign, whole: the run before each "at", and what follows it."""
+    signs = [m.start() for m in _SIGN.finditer(text)]
+    done, at = 0, _SPELLED_AT.search(text) if signs else None
+    while at:
+        space = at.start() > done and text[at.start() - 1].isspace()
+        start = _local_start(text, at.start() - space, done)
+        m = _SPELLED.match(text, at.start() - space) if start < at.start() - space else None
+        if m and (k := bisect.bisect_left(signs, start)) < len(signs) and signs[k] < m.end():
+            yield start, m.end()
+        done = m.end() if m else done
+        at = _SPELLED_AT.search(text, max(at.start() + 1, done))
+
+
+def candidates(text: str, taken: Covered | None = None) -> list[Span]:
+    """High recall: every stretch of digit groups that could be a phone or card number, and the rest; with ``taken``
+    only what does not overlap it."""
     out: list[Span] = []
     if re.search("[0-9]", text):
         for run in _RUN.finditer(text):
             groups = [(m.start(), m.end()) for m in _GROUP.finditer(text, run.start(), run.end())]
             for i, (start, _) in enumerate(groups):
-                size = 0
-                for j in range(i, min(i + GROUPS, len(groups))):
-                    size += groups[j][1] - groups[j][0]
-                    if size > 19:
-                        break
+                size, j = 0, i
+                while j < len(groups) and not (taken and taken.overlaps(start, groups[j][1])) and (size := size + groups[j][1] - groups[j][0]) <= DIGITS:
                     if 7 <= size <= 15:
                         left = start - (start > 0 and text[start - 1] == "(")
                         out.append((left - (left > 0 and text[left - 1] == "+"), 3, groups[j][1]))
-                    if 13 <= size <= 19:
+                    if 13 <= size:
                         out.append((start, 2, groups[j][1]))
+                    j += 1
         if "::" in text or text.count(":") > 3:
             out += [(m.start(), 1, m.end()) for m in _V6.finditer(text) if m[0].count(":") >= 3 or "::" in m[0]]
-    for sign in _SIGN.finditer(text):
-        left = max(0, sign.start() - 80)
-        out += [(m.start(), 0, m.end()) for m in _SPELLED.finditer(text, left, min(len(text), sign.end() + 80)) if m.start() <= sign.start() < m.end()]
-    return sorted(set(out))
+    out += [(s, 0, e) for s, e in _spelled(text)]
+    return sorted({s for s in out if not (taken and taken.overlaps(s[0], s[2]))})
+
+
+class Covered:
+    """Stretches of a text, to be asked whether any overlaps another one; touching is no overlap."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, _, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def overlaps(self, start: int, end: int) -> bool:
+        k = bisect.bisect_right(self.ends, start)
+        return k < len(self.starts) and self.starts[k] < end
+
+    def add(self, start: int, end: int) -> None:
+        """A stretch that overlaps none."""
+        k = bisect.bisect_left(self.starts, start)
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
 
 
 # Words whose stems tell something when they stand before a candidate (fixed values).
@@ -123,24 +176,40 @@ def _around(c: str) -> int:
     return 0 if not c else 1 if c.isspace() else 2 if c.isdigit() else 3 if c.isalpha() else 4 if c in ".,;:!?)\"'" else 5
 
 
-def features(text: str, span: Span, base: list[Span]) -> list[int]:
-    start, kind, end = span
-    body = text[start:end]
-    groups = [len(g) for g in _GROUP.findall(body)]
-    digits = _digits(body)
-    before, after = text[max(0, start - 24) : start], text[end : end + 1]
-    word = _FOR.search(before)
-    separators = {c for c in body if not c.isalnum()}
-    numbers = [int(g) for g in _GROUP.findall(body)[:3]]
-    dated = len(numbers) == 3 and any(1900 <= n <= 2100 for n in (numbers[0], numbers[2])) and numbers[1] <= 31
-    return [
-        kind, min(len(digits), 20), min(len(body), 60), len(groups), groups[0] if groups else 0, groups[-1] if groups else 0,
-        max(groups, default=0), min(groups, default=0), int(body[:1] == "+"), int("(" in body), int("-" in body), int(" " in body), int("." in body), int("/" in body),
-        len(separators), int(bool(digits) and luhn(digits)), int(digits[:1] == "0") + int(digits[:2] == "00"), _around(before[-1:]), _around(after),
-        int(word is not None), int(_AGAINST.search(before) is not None), int(dated), int(any(s < end and start < e for s, _, e in base)),
-        int(bool(re.search(r"[0-9][ ().\-/+]*$", before))), int(bool(re.match(r"[ ().\-/]?[0-9]", text[end : end + 2]))), int(digits[:1] in "3456" and bool(digits)),
-        int(body.count("(") != body.count(")")), int("at" in body.lower()), int("dot" in body.lower()), int(len(set(digits)) <= 2), body.count(":"),
-    ]
+_MORE_BEFORE, _MORE_AFTER = re.compile(r"[0-9][ ().\-/+]*$"), re.compile(r"[ ().\-/]?[0-9]")
+
+
+def _before(text: str, start: int) -> tuple[int, ...]:
+    lead = text[max(0, start - 24) : start]
+    return _around(lead[-1:]), int(_FOR.search(lead) is not None), int(_AGAINST.search(lead) is not None), int(_MORE_BEFORE.search(lead) is not None)
+
+
+def _after(text: str, end: int) -> tuple[int, ...]:
+    return _around(text[end : end + 1]), int(_MORE_AFTER.match(text[end : end + 2]) is not None)
+
+
+def features(text: str, spans: list[Span], base: Covered) -> np.ndarray:
+    """A row of whole numbers for each span: its kind, format and context. What stands before or behind is looked at once
+    for all candidates that begin or end there."""
+    ahead, behind = {s: _before(text, s) for s, _, _ in spans}, {e: _after(text, e) for _, _, e in spans}
+    rows = []
+    for start, kind, end in spans:
+        body = text[start:end]
+        parts = _GROUP.findall(body)
+        groups, digits = [len(g) for g in parts], "".join(parts)
+        separators = {c for c in body if not c.isalnum()}
+        dated = 0
+        if len(parts) == 3:
+            numbers = [int(g[-4:]) if len(g.lstrip("0")) <= 4 else 0 for g in parts]
+            dated = int(any(1900 <= n <= 2100 for n in (numbers[0], numbers[2])) and numbers[1] <= 31)
+        rows.append((
+            kind, min(len(digits), 20), min(len(body), 60), len(groups), groups[0] if groups else 0, groups[-1] if groups else 0,
+            max(groups, default=0), min(groups, default=0), body[:1] == "+", "(" in separators, "-" in separators, " " in separators, "." in separators, "/" in separators,
+            len(separators), bool(digits) and luhn(digits), (digits[:1] == "0") + (digits[:2] == "00"), *ahead[start], *behind[end],
+            dated, base.overlaps(start, end), digits[:1] in "3456" and bool(digits), body.count("(") != body.count(")"),
+            "at" in (low := body.lower()), "dot" in low, len(set(digits)) <= 2, body.count(":"),
+        ))
+    return np.array(rows, np.int64)
 
 
 @dataclass
@@ -149,16 +218,17 @@ class Model:
     threshold: dict[int, float]
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
-        found = candidates(text)
-        if not found:
-            return []
-        free = [s for s in found if not any(b < s[2] and s[0] < e for b, _, e in base)]
+        covered = Covered(base)
+        free = candidates(text, covered)
         if not free:
             return []
-        scores = self.trees.probability(np.array([features(text, s, base) for s in free], np.int64))
+        scores = self.trees.probability(features(text, free, covered))
         chosen: list[Span] = []
         for p, s in sorted(zip(scores.tolist(), free, strict=True), key=lambda x: (-x[0], x[1][0] - x[1][2], x[1])):
-            if p >= self.threshold[s[1]] and not any(b < s[2] and s[0] < e for b, _, e in chosen):
+            if p < self.threshold[s[1]]:
+                continue
+            if not covered.overlaps(s[0], s[2]):
+                covered.add(s[0], s[2])
                 chosen.append(s)
         return sorted(chosen)
 
@@ -181,6 +251,7 @@ def _line(r: random.Random) -> tuple[str, list[Span]]:
             lambda: f"({number(3)}) {number(3)}-{number(4)}", lambda: f"{number(3)}-{number(3)}-{number(4)}", lambda: f"{number(3)}.{number(3)}.{number(4)}",
             lambda: f"0{number(1)} {number(2)} {number(2)} {number(2)} {number(2)}", lambda: f"00{r.randint(30, 99)} {number(3)} {number(3)} {number(3)}",
             lambda: f"+{r.randint(1, 99)} ({number(3)}) {number(3)}-{number(4)}", lambda: f"+{r.randint(1, 99)} {number(3)} {number(3)} {number(4)}", lambda: f"0{number(3)}/{number(7)}",
+            lambda: " ".join([f"0{number(1)}", *(number(1) for _ in range(8))]), lambda: "-".join(number(1) for _ in range(10)),
         ])()
 
     def mail() -> str:
@@ -208,7 +279,7 @@ def _line(r: random.Random) -> tuple[str, list[Span]]:
             kind, make, lead = r.choice([(3, phone, ["tel", "phone", "call", "mobile:", "fax"]), (3, phone, ["tel.", "call me:", "phone"]), (2, card, ["card", "visa", "credit card:"]), (0, mail, ["mail", "contact", "write to"]), (1, v6, ["host", "server", "from"])])
             body = make()
             if kind == 2:
-                body = r.choice([body, spaced(body, " "), spaced(body, "-"), spaced(body, ".")])
+                body = r.choice([body, spaced(body, " "), spaced(body, "-"), spaced(body, "."), ".".join(body)])
             if r.random() < 0.35 or (kind == 3 and body[0] not in "+(0"):
                 text += " " + r.choice(lead)
             text += " "
@@ -227,11 +298,11 @@ def training_rows(lines: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.nda
     x, y = [], []
     for _ in range(lines):
         text, planted = _line(r)
-        base = base_spans(text)
-        for span in candidates(text):
-            x.append(features(text, span, base))
-            y.append(int(span in planted))
-    x = np.array(x, np.int64)
+        base = Covered(base_spans(text))
+        if found := candidates(text):
+            x.append(features(text, found, base))
+            y += [int(span in planted) for span in found]
+    x = np.concatenate(x)
     return x, np.array(y), x[:, 0]
 
 
