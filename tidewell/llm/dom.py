@@ -4,16 +4,20 @@
 HTML closes by itself (paragraphs, list items, rows, cells, options) and ignores
 end tags of what is not open.  Elements that are inline and carry no class, id or
 role belong to the block around them.  Character references are decoded.  Nothing
-recurses and no step looks at the whole stack, so depth and length are no concern.
+recurses, no step walks the stack but to close what it passes, and a tag that is
+never closed is not searched again from every place inside it: work is linear in
+the page's length, whatever it holds.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass, field
 from html import unescape
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>", re.S)
+NAME = re.compile(r"</?[a-zA-Z][^\s/>]*+")
 ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -35,6 +39,28 @@ SILENT = frozenset("script style template noscript head title textarea select op
 SCOPES = frozenset("table td th article section div main aside nav header footer form ul ol blockquote body html".split())
 
 
+class Closings:
+    """Where tags end, asked only after one did not. A place from which no end was reached is never tried again."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.marks = [m.start() for m in re.finditer("[>\"']", html)]
+        self.dead: set[int] = set()
+
+    def closed(self, at: int) -> bool:
+        """Whether the tag whose attributes begin at ``at`` ends: at a ``>`` outside quotes."""
+        passed = []
+        while (k := bisect.bisect_left(self.marks, at)) < len(self.marks) and (mark := self.marks[k]) not in self.dead:
+            if self.html[mark] == ">":
+                return True
+            passed.append(mark)
+            at = self.html.find(self.html[mark], mark + 1) + 1
+            if not at:
+                break
+        self.dead.update(passed)
+        return False
+
+
 @dataclass
 class Page:
     parent: list[int] = field(default_factory=list)
@@ -72,14 +98,15 @@ def parse(html: str) -> Page:
 
     root = node("#page", -1, [], 0)
     stack: list[tuple[str, int]] = []  # open elements with the node that their text belongs to
-    opened: dict[str, int] = {}
+    opened: dict[str, list[int]] = {}  # places in the stack of each open element
     links = silent = 0
-    at, end = 0, len(html)
+    at, begun, end, last = 0, 0, len(html), html.rfind(">")
+    closings: Closings | None = None
 
     def close() -> None:
         nonlocal links, silent
         name, _ = stack.pop()
-        opened[name] -= 1
+        opened[name].pop()
         links -= name == "a"
         silent -= name in SILENT
         if name not in INLINE:
@@ -90,24 +117,32 @@ def parse(html: str) -> Page:
             pieces.append((stack[-1][1] if stack else root, unescape(text) if "&" in text else text, links > 0))
 
     def close_back(names: set[str], stop: set[str] | frozenset[str]) -> None:
-        if any(opened.get(n) for n in names):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in names:
-                    while len(stack) > k:
-                        close()
-                    return
-                if stack[k][0] in stop:
-                    return
+        """Close the last open element of ``names``, unless one of ``stop`` was opened since."""
+        place = max((opened[n][-1] for n in names if opened.get(n)), default=-1)
+        if place >= 0 and all(opened[n][-1] < place for n in stop if opened.get(n)):
+            while len(stack) > place:
+                close()
 
     while at < end:
-        m = TAG.search(html, at)
+        at = html.find("<", at)
+        if at > last:  # only a comment needs no end
+            at = html.find("<!--", at)
+        m = None
+        if at >= 0:
+            name = closings and NAME.match(html, at)
+            if not name or closings.closed(name.end()):
+                m = TAG.match(html, at)
+            if m is None:
+                closings = closings or Closings(html)
+                at += 1
+                continue
         if m is None:
-            rest = html[at:]
+            rest = html[begun:]
             cut = rest.rfind("<")  # a tag that the end of the page cuts off is markup
             add(rest[:cut] if cut >= 0 and re.match(r"<[a-zA-Z/!?]", rest[cut:]) else rest)
             break
-        add(html[at : m.start()])
-        at = m.end()
+        add(html[begun:at])
+        at = begun = m.end()
         if m[2] is None:
             continue
         name = m[2].lower()
@@ -131,12 +166,12 @@ def parse(html: str) -> Page:
         above = stack[-1][1] if stack else root
         mine = above if name in INLINE and not own and label < 0 else node(name, above, own, label)
         stack.append((name, mine))
-        opened[name] = opened.get(name, 0) + 1
+        opened.setdefault(name, []).append(len(stack) - 1)
         links += name == "a"
         silent += name in SILENT
         if name in RAW:
-            done = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            at = done.end() if done else end
+            done = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at, last + 1)  # an end tag before the last ">" ends
+            at = begun = done.end() if done else end
             close()
         elif m[3].endswith("/") and name in ("svg", "path"):
             close()
