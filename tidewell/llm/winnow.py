@@ -31,7 +31,7 @@ from tidewell.llm.common import boundaries, bucket_of, id_and_text, nothing_held
 GRAM, WINDOW = 16, 16
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
-#: A hash keeps its 44 high bits for comparison; the low bits hold the place, later places smaller.
+#: A hash keeps its 44 high bits for comparison; the low bits hold the place in a piece of the text, later places smaller.
 _PLACE = 20
 
 
@@ -76,20 +76,24 @@ def winnow(text: str, k: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray,
     if n == 0:
         return hashes, np.zeros(0, np.int64)
     w = min(window, n)
-    places = np.arange(n, dtype=np.uint64)
+    step = (1 << _PLACE) - w + 1  # windows of a piece; pieces overlap by a window less one, so each window is in one
+    if step < 1:
+        raise ValueError("the window is too wide")
+    at = np.unique(np.concatenate([begin + _chosen(hashes[begin : begin + step + w - 1], w) for begin in range(0, n - w + 1, step)]))
+    return hashes[at] >> np.uint64(_PLACE), at
+
+
+def _chosen(hashes: np.ndarray, w: int) -> np.ndarray:
+    """The place of each window's smallest hash, of equal ones the rightmost; at most 2 ** _PLACE hashes."""
     low = np.uint64((1 << _PLACE) - 1)
-    key = (hashes & ~low) | (low - (places & low))
-    least, length, need = key, 1, w
-    while length * 2 <= need:
+    least = (hashes & ~low) | (low - np.arange(len(hashes), dtype=np.uint64))
+    length, windows = 1, len(hashes) - w + 1
+    while length * 2 <= w:
         least = np.minimum(least[: len(least) - length], least[length:])
         length *= 2
-    if length < need:
-        least = np.minimum(least[: n - w + 1], least[need - length : need - length + n - w + 1])
-    offset = low - (least & low)
-    starts = places[: len(least)]
-    chosen = starts + ((offset - starts) & low)  # the place is within a window of its start
-    at = np.unique(chosen).astype(np.int64)
-    return hashes[at] >> np.uint64(_PLACE), at
+    if length < w:
+        least = np.minimum(least[:windows], least[w - length : w - length + windows])
+    return (low - (least & low)).astype(np.int64)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
