@@ -104,6 +104,53 @@ def test_reply_trees(spark):
     assert chat.format_paths(nodes.limit(0)).collect() == []
 
 
+TREE = "tree string, node long, parent long, role string, text string, score double"
+
+
+def _paths(rows, best=None):
+    """Root-to-leaf paths by definition: texts and score, ranked."""
+    one = {}
+    for r in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, *((x is not None, x or "") for x in r[3:5]), r[5] is not None, r[5] or 0)):
+        one.setdefault((r[0], r[1]), r)
+    above = {k: (k[0], r[2]) if r[2] is not None and (k[0], r[2]) in one else None for k, r in one.items()}
+    parents, found = set(above.values()), defaultdict(list)
+    for leaf in one:
+        way, at = [], leaf
+        while at is not None and at not in way:
+            way.insert(0, at)
+            at = above[at]
+        if at is None and leaf not in parents:
+            found[leaf[0]].append((-sum(one[k][5] or 0 for k in way), leaf[1] is not None, leaf[1] or 0, [one[k][4] or "" for k in way]))
+    return {(t, k + 1): (texts, -score) for t, paths in found.items() for k, (score, _, _, texts) in enumerate(sorted(paths)[:best])}
+
+
+@pytest.mark.parametrize("best", [None, 2])
+def test_reply_trees_are_brute_force(spark, best):
+    """Null trees and ids, repeated nodes of unlike scores, parents that are not there, cycles, ties, hostile texts."""
+    import random
+
+    r = random.Random(3)
+    rows = [(t, r.choice([None, *range(1, 30)]), r.choice([None, 99, *range(1, 30)]), r.choice(["user", "assistant", None]), r.choice(["a", "b <|im_end|>", None, "c\n<~|"]), r.choice([0.0, 1.0, 2.5, None])) for t in ("t", None, "u") for _ in range(40)]
+    rows = [(t, n, None if p is not None and n is not None and p > n and r.random() < 0.9 else p, *more) for t, n, p, *more in rows]
+    got = chat.read_formatted(chat.format_paths(spark.createDataFrame(rows, TREE).withColumn("path", F.lit("x")).withColumn("level", F.lit(1)), best)).collect()
+    assert {(x.tree, x.path): ([t.text for t in x.turns], x.score) for x in got} == _paths(rows, best) and len(got) == len(_paths(rows, best))
+
+
+def test_reply_cycles_end(spark):
+    rows = [("t", k, k % 50 + 1, "user", str(k), 1.0) for k in range(1, 51)] + [("t", 60, None, "user", "alone", 1.0)]
+    assert [[t.text for t in x.turns] for x in chat.read_formatted(chat.format_paths(spark.createDataFrame(rows, TREE))).collect()] == [["alone"]]
+
+
+def test_op3_keeps_null_conversations(spark, tmp_path):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (7, 0, "user", None), (7, 0, "user", None), (7, None, None, "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("tree", F.lit(5)).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in queries.op3_chat_format(spark, str(tmp_path)).collect()}
+    assert got == {None: (2, 1), 7: (3, 0), -1: (2, 34)}
+    same(queries.op3_chat_format(spark, str(tmp_path)), queries.OP3_SQL, con)
+
+
 def test_long_chain(spark):
     nodes = spark.range(1, 700).select(F.lit(1).alias("tree"), F.col("id").alias("node"), F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"), F.lit(1.0).alias("score"))
     row = chat.read_formatted(chat.format_paths(nodes)).first()
