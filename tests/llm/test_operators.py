@@ -199,14 +199,36 @@ def test_op6_stores_without_loss(spark, docs):
         padded = data + b"\xff" * (-len(data) % 576 if data else 576)
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
+        image = np.frombuffer(padded, np.uint8).reshape(-1, 192, 3)
+        rows, size = len(image), image.size
+        if rows % 2 == 0:  # a PPM; else a BMP, whose rows go upward and whose channels are blue, green, red
+            form = b"P6\n192 %d\n255\n" % rows + padded
+        else:
+            numbers = [(54 + size, 4), (0, 4), (54, 4), (40, 4), (192, 4), (rows, 4), (1, 2), (24, 2), (0, 4), (size, 4), (2835, 4), (2835, 4), (0, 4), (0, 4)]
+            form = b"BM" + b"".join(n.to_bytes(k, "little") for n, k in numbers) + image[::-1, :, ::-1].tobytes()
+        assert (r.media_bytes, r.media_sha256) == (len(form), hashlib.sha256(form).hexdigest())
+        _, tile, bits = media.features(form)
+        assert r.feature == f"{bits}:{zlib.crc32(tile):08x}"
+
+
+def test_op6_tiles_are_stored(spark, docs):
+    import io
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    tiles = media.stored_text_tiles(table)
+    assert tiles.inputFiles() and tiles.count() == len(docs)
+    for r in tiles.limit(20).collect():
+        assert np.load(io.BytesIO(r.tile)).shape == media.TILE and len(r.dhash) == 16
 
 
 def test_op6_odd_rows(spark, odd, none):
     rows = media.stored_text_digests(odd).collect()
     assert len(rows) == len(ODD) and len({(r.media_sha256, r.feature) for r in rows if r.n_bytes == 5}) == 1
     assert media.stored_text_digests(none).collect() == []
-    mixed = spark.createDataFrame([(1, bytearray(b"GIF")), (2, None), (3, bytearray(media.encode_ppm(np.zeros((2, 2, 3), np.uint8))))], "id long, media binary")
-    assert {r.id: r.error is None for r in media.media_features(mixed).collect()} == {1: False, 2: False, 3: True}
+    mixed = spark.createDataFrame([(1, bytearray(b"GIF")), (2, None), (3, bytearray(media.encode_ppm(np.zeros((2, 2, 3), np.uint8)))), (4, bytearray(b"P5 0 5 255 ")), (None, bytearray(b"P6 999999999999999999999999 1 255 "))], "id long, media binary")
+    rows = {r.id: r for r in media.media_features(mixed).collect()}
+    assert {i: r.error is None for i, r in rows.items()} == {1: False, 2: False, 3: True, 4: False, None: False}
+    assert all((r.tile is None) == (r.dhash is None) == (r.error is not None) for r in rows.values())
 
 
 def test_op7_held_out_accuracy(spark):

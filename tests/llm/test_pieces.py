@@ -198,6 +198,46 @@ def test_media_formats():
         media.decode(b"GIF")
 
 
+def _bmp(depth, packing, width, height, body, masks=()):
+    import struct
+
+    start = 54 + 4 * len(masks)
+    return b"BM" + struct.pack("<IHHIIiiHHIIiiII", start + len(body), 0, 0, start, 40, width, height, 1, depth, packing, len(body), 0, 0, 0, 0) + struct.pack(f"<{len(masks)}I", *masks) + body
+
+
+def test_bmp_masks():
+    assert media.decode(_bmp(32, 3, 1, 1, bytes([1, 2, 3, 4]), (0xFF, 0xFF00, 0xFF0000))).tolist() == [[[1, 2, 3]]]
+    assert media.decode(_bmp(32, 0, 1, 1, bytes([1, 2, 3, 4]))).tolist() == [[[3, 2, 1]]]
+    assert media.decode(_bmp(16, 0, 2, 1, (31 << 10 | 1).to_bytes(2, "little") + bytes(2))).tolist() == [[[255, 0, 8], [0, 0, 0]]]
+    assert media.decode(_bmp(16, 3, 1, 1, (0xF800 | 63 << 5).to_bytes(2, "little") + bytes(2), (0xF800, 0x7E0, 0))).tolist() == [[[255, 255, 0]]]
+
+
+@pytest.mark.parametrize("data", [b"", b"P6", b"P5 0 3 255\n", b"P5 3 0 255\n", b"P4 0 0\n", b"P2 1 1 0\n1", b"P5 1 1 70000\n\x01\x01", b"P6 9999999999999999999999 9 255\n", _bmp(24, 0, 0, 1, b""), _bmp(24, 0, 1, 0, b""), _bmp(8, 3, 1, 1, bytes(4)), b"BM"])
+def test_pictures_without_samples(data):
+    import struct
+
+    with pytest.raises((ValueError, IndexError, OverflowError, struct.error)):
+        media.features(data)
+
+
+def _slow_features(image):
+    """Tile and difference hash by whole boxes of a picture whose sizes are multiples of theirs."""
+    flat = image.astype(float).mean(2)
+    h, w = flat.shape
+    mean = lambda rows, columns: np.array([[flat[h * i // rows : h * (i + 1) // rows, w * j // columns : w * (j + 1) // columns].mean() for j in range(columns)] for i in range(rows)])
+    small = mean(8, 9)
+    return mean(*media.TILE), sum(1 << 63 - (8 * i + j) for i in range(8) for j in range(8) if round(small[i, j + 1], 6) > round(small[i, j], 6))
+
+
+def test_features_are_means_of_boxes():
+    image = np.random.default_rng(5).integers(0, 256, (64, 288, 3)).astype(np.uint8)
+    _, tile, bits = media.features(media.encode_ppm(image))
+    import io
+
+    slow, hashed = _slow_features(image)
+    assert (np.abs(np.load(io.BytesIO(tile)) - slow) <= 0.5 + 1e-6).all() and int(bits, 16) == hashed
+
+
 @given(st.lists(st.integers(1, 60), max_size=200), st.sampled_from([60, 100]))
 @settings(max_examples=200, deadline=None)
 def test_plan_is_best_fit_decreasing(lengths, capacity):

@@ -1,7 +1,8 @@
 """Media columns: Netpbm and BMP files in a binary column, decoded to numpy arrays.
 
 ``decode`` reads PBM, PGM, PPM (plain and raw, 8- and 16-bit) and uncompressed BMP
-(1, 4, 8 bits with palette, 24, 32 bits; bottom-up and top-down).  ``area_resize``
+(1, 4, 8 bits with palette, 16, 24, 32 bits, also with channel masks; bottom-up and
+top-down).  ``area_resize``
 averages exactly over fractional boxes by an integral image, so its cost does not
 depend on the scale.  ``features`` writes the resized grey tile as NPY bytes and a
 64-bit difference hash of it.
@@ -10,8 +11,9 @@ Text can be stored as media without loss: bytes as samples of an RGB picture who
 rows hold ``ROW`` bytes, padded with 255 to whole rows.
 
 Cases: null or empty text is one row of padding; equal texts give equal bytes and
-features; a media column's undecodable or null value gives null features and an
-``error``; other columns are ignored; an empty table gives no rows.
+features; a media column's undecodable or null value, and a picture without a row or a
+column, gives null features and an ``error``; other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -50,6 +52,8 @@ def _netpbm(data: bytes) -> np.ndarray:
         fields.append(int(data[at:end]))
         at = end
     width, height, most = fields[0], fields[1], fields[2] if need == 3 else 1
+    if width < 1 or height < 1 or not 0 < most < 65536:
+        raise ValueError("the picture has no samples, or they have no range")
     channels = 3 if kind in (3, 6) else 1
     count = width * height * channels
     if kind <= 3:
@@ -76,8 +80,10 @@ def _netpbm(data: bytes) -> np.ndarray:
 def _bmp(data: bytes) -> np.ndarray:
     start, header = struct.unpack_from("<I", data, 10)[0], struct.unpack_from("<I", data, 14)[0]
     width, height, _, depth, packing = struct.unpack_from("<iiHHI", data, 18)
-    if packing not in (0, 3) or depth not in (1, 4, 8, 24, 32):
+    if packing not in (0, 3) or depth not in (1, 4, 8, 16, 24, 32) or packing == 3 and depth not in (16, 32):
         raise ValueError("this kind of BMP is not supported")
+    if width < 1 or height == 0:
+        raise ValueError("the picture has no samples")
     rows, stride = abs(height), (width * depth + 31) // 32 * 4
     body = np.frombuffer(data, np.uint8, stride * rows, start).reshape(rows, stride)
     if depth <= 8:
@@ -86,11 +92,24 @@ def _bmp(data: bytes) -> np.ndarray:
         bits = np.unpackbits(body, axis=1).reshape(rows, -1, depth)
         places = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(2)[:, :width]
         image = palette[places]
+    elif packing == 3 or depth == 16:  # masks of red, green and blue, if not five bits each
+        values = np.ascontiguousarray(body[:, : width * depth // 8]).view(f"<u{depth // 8}").astype(np.int64)
+        masks = struct.unpack_from("<III", data, 54) if packing == 3 else (0x7C00, 0x3E0, 0x1F)
+        image = np.stack([_channel(values, mask) for mask in masks], axis=2)
     else:
         image = body[:, : width * depth // 8].reshape(rows, width, depth // 8)[:, :, 2::-1]
     return image[::-1] if height > 0 else image
 
 
+def _channel(values: np.ndarray, mask: int) -> np.ndarray:
+    """The masked bits of each value as 0 .. 255; 0 without a mask."""
+    if mask == 0:
+        return np.zeros(values.shape, np.uint8)
+    low = mask & -mask
+    top = mask // low
+    return (((values & mask) // low * 255 + top // 2) // top).astype(np.uint8)
+
+
 def decode(data: bytes) -> np.ndarray:
     """Height x width x channels, 8- or 16-bit samples."""
     if data[:1] == b"P" and data[1:2] in (b"1", b"2", b"3", b"4", b"5", b"6"):
@@ -169,7 +188,7 @@ def media_features(media: DataFrame, key: str = "id", column: str = "media") ->
                 try:
                     image, tile, bits = features(data or b"")
                     rows.append((i, *image.shape, tile, bits, None))
-                except (ValueError, IndexError, struct.error) as e:
+                except (ValueError, IndexError, OverflowError, struct.error) as e:
                     rows.append((i, None, None, None, None, None, str(e)[:200]))
             yield rows_of(out, {f.name: [r[k] for r in rows] for k, f in enumerate(out)})
 
@@ -196,14 +215,13 @@ def text_as_media(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-_DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+_TILES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tile binary, dhash string"
+_TILE_ROWS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("tile", pa.binary()), ("dhash", pa.string())])
 
 
-def stored_text_digests(docs: DataFrame) -> DataFrame:
-    """Store each text as media in a table, read the stored bytes back, and digest what they hold.
-
-    ``feature`` is the difference hash and the checksum of the NPY tile."""
+def stored_text_tiles(docs: DataFrame) -> DataFrame:
+    """Store each text as media in a table, read the stored bytes back, digest what they hold, and write each
+    picture's NPY tile and difference hash to a second table, which is returned."""
     written = stored(text_as_media(docs), "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +231,14 @@ def stored_text_digests(docs: DataFrame) -> DataFrame:
             for doc_id, n, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
                 image, tile, bits = features(data)
                 payload = image.tobytes()
-                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), f"{bits}:{zlib.crc32(tile):08x}"))
-            yield rows_of(_DIGEST, {f.name: [r[k] for r in rows] for k, f in enumerate(_DIGEST)})
+                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), tile, bits))
+            yield rows_of(_TILE_ROWS, {f.name: [r[k] for r in rows] for k, f in enumerate(_TILE_ROWS)})
 
-    return written.mapInArrow(run, DIGEST)
+    return stored(written.mapInArrow(run, _TILES), "tiles")
+
+
+def stored_text_digests(docs: DataFrame) -> DataFrame:
+    """The rows of ``stored_text_tiles``, of which ``feature`` is the difference hash and the checksum of the stored NPY tile."""
+    tiles = stored_text_tiles(docs)
+    feature = F.concat("dhash", F.lit(":"), F.lower(F.lpad(F.hex(F.crc32("tile")), 8, "0")))
+    return tiles.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
