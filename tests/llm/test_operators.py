@@ -239,6 +239,103 @@ def test_op7_held_out_accuracy(spark):
     assert np.mean([r.predicted == r.quality for r in truth]) > 0.97 and got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
+def _slow_passage(whole, at):
+    """The numbers of the passage at a place by their definitions; a word counts whole where it begins."""
+    text = whole[at : at + mil.PASSAGE]
+
+    def kind(c):
+        if c.isdigit() and ord(c) < 0x10000:
+            return 2
+        if c in "\n\r":
+            return 4
+        if ord(c) >= 0x10000:
+            return 9
+        if c.isspace():
+            return 3
+        if c in ".,;:'\"-?()":
+            return 5
+        if c.isascii() and not c.isalnum():
+            return 6
+        if c.isupper():
+            return 1 if c.isascii() else 8
+        return (0 if c.isascii() else 7) if c.isalpha() else 9
+
+    out = [sum(kind(c) == k for c in text) / len(text) if text else 0.0 for k in range(mil.CLASSES)]
+    blank = lambda k: k < 0 or k >= len(whole) or kind(whole[k]) in (3, 4)
+    words = []
+    for k in range(at, at + len(text)):
+        if blank(k - 1) and not blank(k):
+            end = k
+            while not blank(end):
+                end += 1
+            words.append(whole[k:end])
+    if not words:
+        return [*out, *[0.0] * 9, 0.0 if text else 1.0]
+    n, sizes = len(words), [len(x) for x in words]
+    mean = sum(sizes) / n
+    share = lambda it: sum(map(bool, it)) / n
+    return [
+        *out, (n - len(set(words))) / n, share(a == b for a, b in zip(words, words[1:], strict=False)), mean / 10, max(sum(x * x for x in sizes) / n - mean**2, 0) ** 0.5 / 10,
+        share(kind(x[-1]) == 6 for x in words), share(kind(x[0]) in (1, 8) for x in words), share(len(x) == 1 and kind(x) == 6 for x in words), share(x > 20 for x in sizes), min(n / 100, 1), 0.0,
+    ]
+
+
+def _slow_score(model, text):
+    """Gated attention by its formula, one passage after another."""
+    from math import exp, tanh
+
+    w = {k: np.asarray(v).tolist() for k, v in model.weights.items()}
+    dot = lambda v, m, j: sum(x * row[j] for x, row in zip(v, m, strict=True))
+    hs, raws = [], []
+    for at in range(0, max(len(text), 1), mil.PASSAGE):
+        x = [(f - m) / s for f, m, s in zip(_slow_passage(text, at), model.mean.tolist(), model.spread.tolist(), strict=True)]
+        h = [tanh(dot(x, w["E"], j) + w["e"][j]) for j in range(mil.HIDDEN)]
+        raws.append(sum(w["a"][j] * tanh(dot(h, w["V"], j)) / (1 + exp(-dot(h, w["U"], j))) for j in range(mil.ATTENTION)))
+        hs.append(h)
+    top = max(raws)
+    weight = [exp(r - top) for r in raws]
+    z = [sum(a * h[j] for a, h in zip(weight, hs, strict=True)) / sum(weight) for j in range(mil.HIDDEN)]
+    return 1 / (1 + exp(-max(-30, min(30, sum(a * b for a, b in zip(z, w["o"], strict=True)) + w["b"]))))
+
+
+def test_op7_is_brute_force(spark, docs):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = mil.train(table, labels)
+    got = {r.doc_id: r for r in queries.op7_mil_quality(spark, SF).collect()}
+    assert set(got) == {i for i, _ in docs}
+    for i, text in docs:
+        score = _slow_score(model, text or "")
+        assert abs(got[i].score - score) < 1e-6 and got[i].predicted == (got[i].score >= 0.5) and got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
+def test_op7_passages_are_their_definition(docs):
+    for text in ["", " \n", "a A é É 9 ² \U0001f389!", "# # x" * 300, "w" * 900 + " v", *(t or "" for _, t in docs[:40])]:
+        slow = [_slow_passage(text, at) for at in range(0, max(len(text), 1), mil.PASSAGE)]
+        assert np.allclose(mil.passages(text), slow)
+
+
+def test_op7_learns_from_every_passage(spark, monkeypatch):
+    """Bags longer than any sample, gradients in pieces, ids that repeat."""
+    seen = {}
+    fit = mil.fit
+
+    def note(bags, labels):
+        seen["sizes"] = sorted(map(len, bags))
+        return fit(bags, labels)
+
+    monkeypatch.setattr(mil, "fit", note)
+    monkeypatch.setattr(mil, "STEPS", 5)
+    texts = [(1, "good words here " * 5000), (7, "# # #" * 100), (7, "# # #" * 90), (7, None)]
+    texts = spark.createDataFrame([*texts, *[(1, "z" * 90_000)] * 50], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (7, 0)], "doc_id long, quality int")
+    whole = mil.train(texts, labels)
+    assert seen["sizes"] == [1, 200]
+    monkeypatch.setattr(mil, "CHUNK", 1)
+    pieces = mil.train(texts, labels)
+    assert all(np.allclose(whole.weights[k], pieces.weights[k]) for k in whole.weights)
+
+
 def test_op7_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (3, 0), (99, 1), (4, None)], "doc_id long, quality int")
     assert all(0 <= r.score <= 1 for r in mil.score(odd, mil.train(odd, labels)).collect())

@@ -5,15 +5,18 @@ empty text is one empty passage).  Each passage is encoded by counts of characte
 classes, word shapes and repetitions; a small network embeds it, gated attention
 ``softmax(w . (tanh(V h) * sigmoid(U h)))`` weighs the passages, and the weighted
 sum of the embeddings is scored by a logistic unit.  All parameters are learned
-together from document labels by full gradients (Adam), on a bounded sample.
+together from document labels by full gradients (Adam), on a bounded sample of
+labelled rows, of which every passage counts: the driver holds ``FEATURES`` small
+floats for each 400 code points of at most 2 x ``SAMPLE`` texts.
 
 Only the text enters a score.  Passages are vectors of ``FEATURES`` numbers, so a
 document of any length is scored from its whole text in memory linear in it.
 
 Cases: null text is the empty text and gets a score like any; labels that are null
 or not 0/1 and labelled ids without a document are not used; if no labelled row of
-both classes is left, every score is 0.5; repeated rows are scored alike; other
-columns are ignored; an empty table gives no rows.
+both classes is left, every score is 0.5; repeated rows are scored alike; of rows that share
+a labelled id the smallest text is learned from; other columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ from tidewell.llm.common import id_and_text, nothing_held, rows_of, small_batche
 PASSAGE = 400
 #: Most labelled rows of each class that a model is fitted on (chosen by the hash of their id).
 SAMPLE = 1500
-#: Most passages of a fitted row that enter training, evenly spread over its whole text.
-BAG = 64
+#: Passages of whole bags that one step of the gradient holds at once, or those of one bag: bounds memory, not what counts.
+CHUNK = 20_000
 HIDDEN, ATTENTION, STEPS = 12, 8, 250
 _SEED = 7
 
@@ -129,21 +132,39 @@ class Model:
         if not bags:
             return np.zeros(0)
         x = (np.concatenate(bags) - self.mean) / self.spread
-        logit, _ = _forward(self.weights, x, np.repeat(np.arange(len(bags)), [len(b) for b in bags]), len(bags))
+        sizes = [len(b) for b in bags]
+        logit, _ = _forward(self.weights, x, np.cumsum([0, *sizes[:-1]]), np.repeat(np.arange(len(bags)), sizes))
         return 1 / (1 + np.exp(-np.clip(logit - self.cut, -30, 30)))
 
 
-def _forward(w: dict[str, np.ndarray], x: np.ndarray, bag: np.ndarray, n: int) -> tuple[np.ndarray, tuple]:
+def _forward(w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray, bag: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Logit of each bag: the rows from its start to the next; ``bag`` has each row's."""
     h = np.tanh(x @ w["E"] + w["e"])
     t, s = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
     gate = t * s
     raw = gate @ w["a"]
-    most = np.full(n, -np.inf)
-    np.maximum.at(most, bag, raw)
-    e = np.exp(raw - most[bag])
-    alpha = e / np.bincount(bag, weights=e, minlength=n)[bag]
-    z = np.stack([np.bincount(bag, weights=alpha * h[:, k], minlength=n) for k in range(h.shape[1])], axis=1)
-    return z @ w["o"] + w["b"], (x, h, t, s, gate, alpha, z)
+    e = np.exp(raw - np.maximum.reduceat(raw, starts)[bag])
+    alpha = e / np.add.reduceat(e, starts)[bag]
+    z = np.add.reduceat(alpha[:, None] * h, starts)
+    return z @ w["o"] + w["b"], (h, t, s, gate, alpha, z)
+
+
+def _gradient(w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray, bag: np.ndarray, labels: np.ndarray, share: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the log loss, each bag's with its share."""
+    logit, (h, t, s, gate, alpha, z) = _forward(w, x, starts, bag)
+    d = share * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels)
+    g = {"b": d.sum(), "o": z.T @ d}
+    dz = d[:, None] * w["o"]
+    pull = dz[bag]
+    toward = (h * pull).sum(1)
+    draw = alpha * (toward - np.add.reduceat(alpha * toward, starts)[bag])
+    g["a"] = gate.T @ draw
+    dgate = draw[:, None] * w["a"]
+    dt, ds = dgate * s * (1 - t**2), dgate * t * s * (1 - s)
+    g["V"], g["U"] = h.T @ dt, h.T @ ds
+    dh = (alpha[:, None] * pull + dt @ w["V"].T + ds @ w["U"].T) * (1 - h**2)
+    g["E"], g["e"] = x.T @ dh, dh.sum(0)
+    return g
 
 
 def fit(bags: list[np.ndarray], labels: np.ndarray) -> Model | None:
@@ -162,20 +183,18 @@ def fit(bags: list[np.ndarray], labels: np.ndarray) -> Model | None:
     first = {k: np.zeros(v) for k, v in shape.items()}
     second = {k: np.zeros(v) for k, v in shape.items()}
     share = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
+    ends = np.cumsum([len(b) for b in bags])
+    starts = np.concatenate([[0], ends[:-1]])
+    parts, low = [], 0
+    while low < n:  # stretches of bags
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + CHUNK, side="right")))
+        parts.append((slice(low, high), slice(int(starts[low]), int(ends[high - 1]))))
+        low = high
     for step in range(1, STEPS + 1):
-        logit, (x_, h, t, s, gate, alpha, z) = _forward(w, x, bag, n)
-        d = share * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels)
-        g = {"b": d.sum(), "o": z.T @ d}
-        dz = d[:, None] * w["o"]
-        toward = (h * dz[bag]).sum(1)
-        centre = np.bincount(bag, weights=alpha * toward, minlength=n)
-        draw = alpha * (toward - centre[bag])
-        g["a"] = gate.T @ draw
-        dgate = draw[:, None] * w["a"]
-        dt, ds = dgate * s * (1 - t**2), dgate * t * s * (1 - s)
-        g["V"], g["U"] = h.T @ dt, h.T @ ds
-        dh = (alpha[:, None] * dz[bag] + dt @ w["V"].T + ds @ w["U"].T) * (1 - h**2)
-        g["E"], g["e"] = x_.T @ dh, dh.sum(0)
+        g = {k: np.zeros(v) for k, v in shape.items()}
+        for docs, rows in parts:
+            for k, v in _gradient(w, x[rows], starts[docs] - rows.start, bag[rows] - docs.start, labels[docs], share[docs]).items():
+                g[k] += v
         for k in w:
             g[k] = g[k] + 1e-4 * w[k]
             first[k] = 0.9 * first[k] + 0.1 * g[k]
@@ -205,19 +224,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing_held()
         for batch in batches:
-            bags = []
-            for text in batch.column("text").to_pylist():
-                found = passages(text)
-                if len(found) > BAG:
-                    found = found[np.linspace(0, len(found) - 1, BAG).round().astype(int)]
-                bags.append(found.astype("<f4").tobytes())
-            yield rows_of(out, {"doc_id": batch.column("doc_id").to_pylist(), "bag": bags})
+            yield rows_of(out, {"doc_id": batch.column("doc_id").to_pylist(), "bag": [passages(t).astype("<f4").tobytes() for t in batch.column("text").to_pylist()]})
 
     if not named:
         return None
     wanted = spark.createDataFrame([(i,) for i in named], "doc_id long")
     texts = id_and_text(docs).join(F.broadcast(wanted), "doc_id", "left_semi")  # at most 2 x sample ids
-    bags = {r.doc_id: r.bag for r in texts.mapInArrow(encode, "doc_id long, bag binary").collect()}
+    one = texts.groupBy("doc_id").agg(F.min("text").alias("text"))  # so at most 2 x sample rows leave, however often an id repeats
+    bags = {r.doc_id: r.bag for r in one.mapInArrow(encode, "doc_id long, bag binary").toLocalIterator()}
     ids = sorted(bags)
     return fit([np.frombuffer(bags[i], "<f4").reshape(-1, FEATURES).astype(float) for i in ids], np.array([named[i] for i in ids]))
 
