@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidewell.operators.store import durable
+
 
 def _struct(columns: list[str]) -> Column:
     return F.struct(*columns)
@@ -123,13 +125,21 @@ def capped_per(rows: DataFrame, by: str, order: list[str], cap: int) -> DataFram
 
 def folder_paths(nodes: DataFrame) -> DataFrame:
     """SRC9: full path of every node of a folder tree (``id, parent, name``), by self-joins that double the
-    known stretch: log2(depth) rounds. A parent that is not there ends the path."""
-    rows = nodes.select("id", F.col("parent").alias("up"), F.col("name").alias("path"))
-    durable = nodes.sparkSession.sparkContext.getCheckpointDir() is not None
-    while True:
-        above = rows.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"))
-        rows = rows.join(above, "up", "left").select("id", F.col("next").alias("up"), F.concat_ws("/", "head", "path").alias("path"))
-        if durable:
-            rows = rows.checkpoint()
-        if rows.filter("up IS NOT NULL").isEmpty():
-            return rows.select("id", "path")
+    known stretch: log2(depth) rounds. A parent that is not there ends the path; a node whose parents lead into a
+    cycle has no path (null). Ids are distinct."""
+    rounds = nodes.count().bit_length() + 1  # a stretch of so many doublings is longer than any path without a cycle
+
+    def doubled(rows: DataFrame, more: Column | None) -> DataFrame:
+        above = rows.select(F.col("id").alias("up"), F.col("up").alias("next"), *([F.col("path").alias("head")] if more is not None else []))
+        return durable(rows.join(above, "up", "left").select("id", F.col("next").alias("up"), *([more] if more is not None else [])))
+
+    links = nodes.select("id", F.col("parent").alias("up"))
+    for _ in range(rounds):  # without names: these would grow on a cycle
+        links = doubled(links, None)
+        if links.filter("up IS NOT NULL").isEmpty():
+            break
+    ends = nodes.join(links.filter("up IS NOT NULL").select("id"), "id", "left_anti")
+    rows = ends.select("id", F.col("parent").alias("up"), F.col("name").alias("path"))
+    while not rows.filter("up IS NOT NULL").isEmpty():
+        rows = doubled(rows, F.concat_ws("/", "head", "path").alias("path"))
+    return nodes.select("id").join(rows.select("id", "path"), "id", "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewell.functions.keys import lima
+from tidewell.operators.store import durable
 
 #: List prices and daily questions by plan (fixed values).
 PRICES = {"gratis": 0, "basico": 29, "consultoria": 79, "empresarial": 199}
@@ -193,19 +194,18 @@ def daily_usage(log: DataFrame, command: str, ts: str = "created_at") -> DataFra
 def quota_decisions(log: DataFrame, command: str, plan: Column, ts: str = "created_at", global_quota: int = GLOBAL_QUOTA) -> DataFrame:
     """AGG17: for each question whether it was within the day's global and own quota when it came.
 
-    The global running number is a day's running sum of per-hour counts plus the place inside the hour, so no
-    task ranks a whole day."""
-    asked = log.filter(F.col("command") == command).withColumns({"dia": F.to_date(lima(F.col(ts))), "hora": F.date_trunc("hour", F.col(ts)), "plan": plan})
-    hours = asked.groupBy("dia", "hora").agg(F.count(F.lit(1)).alias("n"))
-    ahead = hours.select("dia", "hora", (F.sum("n").over(W.partitionBy("dia").orderBy("hora")) - F.col("n")).alias("ahead"))
-    own = F.row_number().over(W.partitionBy("dia", "chat_id").orderBy(ts, "id"))
-    within = F.row_number().over(W.partitionBy("dia", "hora").orderBy(ts, "id"))
-    numbered = asked.withColumns({"own": own, "within": within}).join(ahead, ["dia", "hora"]).withColumn("overall", F.col("ahead") + F.col("within"))
+    Of a day only the last question within the global quota is wanted: a rank with a bound, which each task applies to
+    its own rows before anything is shuffled. Later questions are over it."""
+    asked = log.filter(F.col("command") == command).withColumns({"dia": F.to_date(lima(F.col(ts))), "at": F.struct(ts, "id"), "plan": plan})
+    first = asked.select("dia", "at").withColumn("n", F.row_number().over(W.partitionBy("dia").orderBy("at"))).filter(F.col("n") <= global_quota)
+    last = first.groupBy("dia").agg(F.max(F.when(F.col("n") == global_quota, F.col("at"))).alias("last"))
+    own = F.row_number().over(W.partitionBy("dia", "chat_id").orderBy("at"))
+    numbered = asked.withColumn("own", own).join(last, "dia")
     limit = None
     for name, quota in QUOTAS.items():
         if quota is not None:
             limit = F.when(F.col("plan") == name, quota) if limit is None else limit.when(F.col("plan") == name, quota)
-    decision = F.when(F.col("overall") > global_quota, "global_limit").when(F.col("own") > limit, "own_limit").otherwise("ok")
+    decision = F.when(F.col("at") > F.col("last"), "global_limit").when(F.col("own") > limit, "own_limit").otherwise("ok")
     return numbered.select("id", "chat_id", "dia", decision.alias("decision"))
 
 
@@ -268,3 +268,18 @@ def rejections(links: DataFrame, by: str) -> DataFrame:
 def layout_counts(pages: DataFrame, words: str = "words") -> DataFrame:
     """SRC11: words and lines of pages with word boxes."""
     return pages.select("*", F.size(words).alias("word_count"), F.size(F.array_distinct(F.transform(words, lambda w: F.bround(w.y0 / 3, 0)))).alias("line_count"))
+
+
+def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """TOP13: all rows with their ``place`` in the order, from 1. Rows are sorted by ranges and numbered inside each;
+    of the ranges only their sizes are gathered, a row for each task."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *order).withColumn("range_", F.spark_partition_id()).sortWithinPartitions(*order)
+    dealt = dealt.withColumn("row_", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    dealt = durable(dealt)  # both uses below see the same ranges
+    sizes = dealt.groupBy("range_").agg(F.count(F.lit(1)).alias("n")).orderBy("range_").collect()
+    ahead, total = {}, 0
+    for r in sizes:
+        ahead[r.range_], total = total, total + r.n
+    begins = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in ahead.items() for x in pair]), F.col("range_").cast("long")) if ahead else F.lit(0)
+    return dealt.withColumn("place", begins + F.col("row_") + 1).drop("range_", "row_")

@@ -97,8 +97,11 @@ def used_invitations(users: DataFrame, invitations: DataFrame, used: DataFrame)
     return users.join(hit, "telegram_chat_id", "left").select("telegram_chat_id", F.coalesce(F.nullif("i.telefono", F.lit("")), F.col("telefono")).alias("telefono"), F.coalesce(F.nullif("i.n", F.lit("")), F.col("nombre")).alias("nombre"), (F.coalesce("plan_gratis_legado", F.lit(False)) | F.col("i").isNotNull()).alias("plan_gratis_legado"))
 
 
-def fan_out(docs: DataFrame, users: DataFrame, subscriptions: DataFrame, today: Column) -> DataFrame:
-    """SET3: messages to paid and to trial chats; a chat in both gets both."""
+def fan_out(docs: DataFrame, users: DataFrame, subscriptions: DataFrame, today: Column, order: list[str], batch: int = 50) -> DataFrame:
+    """SET3: messages to paid and to trial chats; a chat in both gets both.
+
+    A run sends the first ``batch`` documents in the order; the others wait in their queue for the next run."""
     paid = subscriptions.filter((F.col("estado") == "activo") & (F.col("nivel") != "gratis") & (F.col("fecha_fin").isNull() | (F.col("fecha_fin") >= today))).select("telegram_chat_id", F.lit("plan").alias("audience"))
     trial = users.filter("prueba_estado = 'activa'").select("telegram_chat_id", F.lit("prueba").alias("audience"))
-    return paid.unionByName(trial).crossJoin(F.broadcast(docs.limit(50)))  # a batch holds 50 documents by definition
+    first = docs.orderBy(*order).limit(batch).agg(F.collect_list(F.struct(*docs.columns)).alias("docs"))  # one row of at most a batch
+    return paid.unionByName(trial).join(F.broadcast(first)).select("telegram_chat_id", "audience", F.inline("docs"))

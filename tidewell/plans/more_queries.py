@@ -40,13 +40,11 @@ def value_dedup(spark, sf):
     return e.select("user_id", F.array_join("k", ",").alias("kinds"))
 
 
-@query("sorted_records", "SELECT row_number() OVER (ORDER BY coalesce(d, '') DESC, y DESC, p_name DESC, p_partkey) AS place, p_partkey FROM (SELECT *, CASE WHEN p_partkey % 3 <> 0 THEN '20' || (p_size % 10) END AS d, p_size AS y FROM part) QUALIFY place <= 100")
+@query("sorted_records", "SELECT row_number() OVER (ORDER BY coalesce(d, '') DESC, y DESC, p_name DESC, p_partkey) AS place, p_partkey FROM (SELECT *, CASE WHEN p_partkey % 3 <> 0 THEN '20' || (p_size % 10) END AS d, p_size AS y FROM part)")
 def sorted_records(spark, sf):
-    """TOP13: date, year and title downwards, nulls as empty."""
+    """TOP13: date, year and title downwards, nulls as empty; all rows with their place."""
     p = table(spark, sf, "part").select("p_partkey", "p_name", F.col("p_size").alias("y"), F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("20"), F.col("p_size") % 10)).alias("d"))
-    top = p.orderBy(F.coalesce("d", F.lit("")).desc(), F.col("y").desc(), F.col("p_name").desc(), "p_partkey").limit(100)
-    rows = F.array_sort(F.collect_list(F.struct((F.lit(0)).alias("z"), "d", "y", "p_name", "p_partkey")), lambda a, b: F.when(F.coalesce(a.d, F.lit("")) > F.coalesce(b.d, F.lit("")), -1).when(F.coalesce(a.d, F.lit("")) < F.coalesce(b.d, F.lit("")), 1).when(a.y > b.y, -1).when(a.y < b.y, 1).when(a.p_name > b.p_name, -1).when(a.p_name < b.p_name, 1).when(a.p_partkey < b.p_partkey, -1).otherwise(1))
-    return top.agg(rows.alias("r")).select(F.posexplode("r").alias("i", "s")).select((F.col("i") + 1).cast("long").alias("place"), "s.p_partkey")  # a hundred rows
+    return R.placed(p, [F.coalesce("d", F.lit("")).desc(), F.col("y").desc(), F.col("p_name").desc(), F.col("p_partkey").asc()]).select("place", "p_partkey")
 
 
 @query("today_rows", "SELECT event_id FROM events WHERE ts::DATE = DATE '2024-01-10'")

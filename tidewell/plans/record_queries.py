@@ -222,11 +222,12 @@ def asset_reuse(spark, sf):
     return G.reused_assets(values(spark, WANTED), values(spark, ASSETS)).select("wanted_id", "asset_id", "action")
 
 
-@query("folder_paths", "WITH RECURSIVE t AS (SELECT r_regionkey AS id, r_name::VARCHAR AS path FROM region UNION ALL SELECT 100 + n_nationkey, r.path || '/' || n_name FROM nation JOIN t r ON r.id = n_regionkey AND r.id < 100) SELECT * FROM t")
+@query("folder_paths", "WITH RECURSIVE t AS (SELECT r_regionkey AS id, r_name::VARCHAR AS path FROM region UNION ALL SELECT 100 + n_nationkey, r.path || '/' || n_name FROM nation JOIN t r ON r.id = n_regionkey AND r.id < 100) SELECT * FROM t UNION ALL SELECT * FROM (VALUES (900, NULL), (901, NULL), (902, NULL), (903, 'solo')) AS c(id, path)")
 def folder_paths(spark, sf):
     r = table(spark, sf, "region").select(F.col("r_regionkey").alias("id"), F.lit(None).cast("int").alias("parent"), F.col("r_name").alias("name"))
     n = table(spark, sf, "nation").select((F.col("n_nationkey") + 100).alias("id"), F.col("n_regionkey").alias("parent"), F.col("n_name").alias("name"))
-    return G.folder_paths(r.unionByName(n))
+    cycle = spark.sql("SELECT * FROM VALUES (900, 901, 'a'), (901, 900, 'b'), (902, 900, 'c'), (903, 999, 'solo') AS t(id, parent, name)")
+    return G.folder_paths(r.unionByName(n).unionByName(cycle))
 
 
 # --- Matching -------------------------------------------------------------------------------------------
@@ -255,14 +256,16 @@ def action_summary(spark, sf):
     return R.action_summary(import_reasons(spark, sf))
 
 
-_CAND = """WITH f AS (SELECT p_partkey AS file_id, p_brand AS k, p_name AS n FROM part WHERE p_partkey % 4 = 0), r AS (SELECT p_partkey AS id, p_brand AS rk, p_name AS rn, p_type AS rt, p_partkey + p_partkey % 3 AS did FROM part WHERE p_partkey % 2 = 1 OR p_partkey % 8 = 0),
+_CAND = """WITH f AS (SELECT p_partkey AS file_id, p_brand AS k, p_name AS n FROM part), r AS (SELECT s_suppkey AS id, 'BRAND#' || (s_suppkey % 60) AS rk, s_name AS rn, 'LISTA ' || s_nationkey || ' (Brand#' || (s_suppkey % 60) || '.)' AS rt, s_suppkey * 7 AS did FROM supplier),
 s AS (SELECT file_id, id, 100 * (file_id = did)::INT + 60 * (upper(k) = upper(rk))::INT + 40 * (upper(n) = upper(rn))::INT + 20 * contains(upper(rt), upper(k))::INT + 10 * (contains(upper(rn), upper(n)) OR contains(upper(n), upper(rn)))::INT AS score FROM f JOIN r ON file_id = did OR upper(k) = upper(rk) OR upper(n) = upper(rn) OR contains(upper(rk || ' ' || rn || ' ' || rt), upper(k)) OR contains(upper(rk || ' ' || rn || ' ' || rt), upper(n)))"""
 
 
 def _files(spark, sf):
-    p = table(spark, sf, "part")
-    f = p.filter("p_partkey % 4 = 0").select(F.col("p_partkey").alias("file_id"), F.col("p_brand").alias("key"), F.col("p_name").alias("name"))
-    r = p.filter("p_partkey % 2 = 1 OR p_partkey % 8 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("document_key"), F.col("p_name").alias("file_name"), F.col("p_type").alias("title"), (F.col("p_partkey") + F.col("p_partkey") % 3).alias("drive_file_id"))
+    """Parts as files, suppliers as rows of the catalogue: both whole; keys stand beside marks and inside longer ones."""
+    f = table(spark, sf, "part").select(F.col("p_partkey").alias("file_id"), F.col("p_brand").alias("key"), F.col("p_name").alias("name"))
+    brand = F.concat(F.lit("BRAND#"), F.col("s_suppkey") % 60)
+    title = F.concat(F.lit("LISTA "), F.col("s_nationkey"), F.lit(" (Brand#"), F.col("s_suppkey") % 60, F.lit(".)"))
+    r = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), brand.alias("document_key"), F.col("s_name").alias("file_name"), title.alias("title"), (F.col("s_suppkey") * 7).alias("drive_file_id"))
     return f, r
 
 
@@ -279,11 +282,10 @@ def ambiguity_rule(spark, sf):
     return M.decided(M.scored_candidates(f, r), f)
 
 
-@query("unreferenced_rows", "WITH f AS (SELECT p_partkey AS file_id, p_brand AS k, p_name AS n FROM part WHERE p_partkey % 50 = 0) SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT file_id FROM f) AND upper(p_brand) NOT IN (SELECT upper(k) FROM f) AND upper(p_name) NOT IN (SELECT upper(n) FROM f)")
+@query("unreferenced_rows", "WITH f AS (SELECT s_suppkey * 7 AS file_id, 'BRAND#' || (s_suppkey % 25) AS k, s_name AS n FROM supplier) SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT file_id FROM f) AND upper(p_brand) NOT IN (SELECT upper(k) FROM f) AND upper(p_name) NOT IN (SELECT upper(n) FROM f)")
 def unreferenced_rows(spark, sf):
-    p = table(spark, sf, "part")
-    f = p.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("file_id"), F.col("p_brand").alias("key"), F.col("p_name").alias("name"))
-    r = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("document_key"), F.col("p_name").alias("file_name"), F.col("p_partkey").alias("drive_file_id"))
+    f = table(spark, sf, "supplier").select((F.col("s_suppkey") * 7).alias("file_id"), F.concat(F.lit("BRAND#"), F.col("s_suppkey") % 25).alias("key"), F.col("s_name").alias("name"))
+    r = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("document_key"), F.col("p_name").alias("file_name"), F.col("p_partkey").alias("drive_file_id"))
     return M.unreferenced(r, f).select("id")
 
 
@@ -323,10 +325,12 @@ def interval_first_join(spark, sf):
 PLACES = "SELECT * FROM (VALUES (1, 100.0, 1, 'Perú'), (1, 100.0, 3, 'Chile'), (1, 130.0, 1, 'India'), (2, 500.0, 2, 'China')) AS t(g, cy, priority, country)"
 
 
-@query("near_country", "SELECT * FROM (VALUES (1, 'Perú'), (2, 'India'), (3, NULL), (4, NULL), (5, NULL), (6, NULL), (7, NULL), (8, 'India')) AS t(id, country)")
+@query("near_country", f"""WITH p AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'x' END AS extra FROM ({POINTS})), c AS ({PLACES})
+SELECT id, extra, (SELECT country FROM c WHERE c.g = p.g AND abs(cy - y) <= 45 ORDER BY abs(cy - y), priority, country LIMIT 1) AS country FROM p""")
 def near_country(spark, sf):
     c = values(spark, PLACES).withColumn("cy", F.col("cy").cast("double"))
-    return M.near_country(values(spark, POINTS).withColumn("y", F.col("y").cast("double")), c, "g").select("id", "country")
+    points = values(spark, POINTS).withColumn("y", F.col("y").cast("double")).withColumn("extra", F.when(F.col("id") % 2 == 0, "x"))
+    return M.near_country(points, c, "g").select("id", "extra", "country")
 
 
 LINKS = "SELECT * FROM (VALUES (1, 'http://x.pe/archivos/a.pdf', 'PDF'), (2, 'http://x.pe/ver', 'Descargar documento'), (3, 'http://x.pe/c', 'c')) AS t(id, url, t_)"
@@ -720,8 +724,8 @@ def relation_detection(spark, sf):
 
 @query("audience_fan_out", f"""SELECT telegram_chat_id, audience, o_orderkey FROM (SELECT telegram_chat_id, 'plan' AS audience FROM ({_SUBS}) WHERE estado = 'activo' AND nivel <> 'gratis' AND fecha_fin >= {_TODAY} UNION ALL SELECT telegram_chat_id, 'prueba' FROM ({_USERS}) WHERE prueba_estado = 'activa'), (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5)""")
 def audience_fan_out(spark, sf):
-    docs = table(spark, sf, "orders").select("o_orderkey").orderBy("o_orderkey").limit(5)
-    return Z.fan_out(docs, _users(spark, sf), _subscriptions(spark, sf), F.expr(_TODAY))
+    docs = table(spark, sf, "orders").select("o_orderkey")
+    return Z.fan_out(docs, _users(spark, sf), _subscriptions(spark, sf), F.expr(_TODAY), ["o_orderkey"], 5)
 
 
 @query("quality_by_language", f"WITH {PAGES_SQL} SELECT d.lang, round(avg(p.quality_score), 6) AS quality FROM pages p JOIN documents d USING (doc_id) GROUP BY 1")
