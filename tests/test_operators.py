@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions.ranges import place_in
@@ -62,7 +63,9 @@ def test_folder_cycles_have_no_path(spark):
     assert [got[k] for k in (10, 11, 12, 13, 30)] == [None] * 5 and len(got) == len(rows)
 
 
-def test_fragments_of_any_length(spark):
+@pytest.mark.parametrize("few", [S.FEW, 2])
+def test_fragments_of_any_length(spark, monkeypatch, few):
+    monkeypatch.setattr(S, "FEW", few)
     texts = [(1, "Uno dos  tres cuatro cinco seis siete ocho nueve diez"), (2, "el uno"), (3, "prefijouno dos treso"), (4, None), (5, "")]
     fragments = ["uno", "no dos tr", "UNO DOS", "tres cuatro", "dos tres cuatro", "s tres cuatro c", "dos tres cuatro cinco seis siete ocho nueve di", "diez once doce", "", None, "seis  siete ocho nueve die", "x"]
     items = list(enumerate(fragments))
