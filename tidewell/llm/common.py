@@ -3,7 +3,8 @@
 Intermediate results are written as Parquet under the shared folder that the
 session names in ``spark.checkpoint.dir``; a lost executor then costs a re-read
 and never a missing file.  A machine-local folder is used only where that
-setting is absent (tests on one machine).
+setting is absent and Spark runs on one machine (tests); a cluster without the
+setting is an error.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to Python at once: long texts must not add up to a large batch.
-BATCH_ROWS = 128
+from tidewell.functions.ranges import place_in
+
+#: Rows and bytes handed to Python at once: long texts must not add up to a large batch.
+BATCH_ROWS, BATCH_BYTES = 128, 16 << 20
 
 
 _HELD: dict = {}
@@ -41,6 +44,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewell-")
         sc.setCheckpointDir(base)
     elif not sc.getCheckpointDir():
@@ -74,7 +79,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Bound what Python is handed at once. Spark reads these settings of the session when a frame runs, so they stay set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,10 +108,7 @@ def boundaries(df: DataFrame, key: str, n: int) -> list:
 
 def bucket_of(key: str, bounds: list) -> Column:
     """Number of boundaries at or below the key: 0 .. len(bounds). A null key goes to bucket 0."""
-    if not bounds:
-        return F.lit(0)
-    held = F.array(*map(F.lit, bounds))
-    return F.when(F.col(key).isNull(), 0).otherwise(F.size(F.filter(held, lambda b: b <= F.col(key))))
+    return place_in(bounds, F.col(key))
 
 
 def in_order(df: DataFrame, key: str, *then: str) -> DataFrame:
@@ -115,6 +119,19 @@ def in_order(df: DataFrame, key: str, *then: str) -> DataFrame:
     return df.repartitionById(len(bounds) + 1, bucket_of(key, bounds)).sortWithinPartitions(key, *then)
 
 
+def fair_join(many: DataFrame, one: DataFrame, key: str, n: str, rows: int) -> DataFrame:
+    """``many`` (of ``rows`` rows) joined with ``one``: a row for each key, which tells in ``n`` how many rows of ``many``
+    have it. A key with more rows than a task's fair share would fill a task; of such keys there are no more than
+    tasks, so their rows of ``one`` are broadcast, and only the others meet by a shuffle. ``one`` should be stored."""
+    share = max(1, -(-rows // partitions(many.sparkSession)))
+    added = [c for c in one.columns if c not in (key, n)]
+    hot = one.filter(F.col(n) > share).select(key, F.struct(*added).alias("hot_"))
+    marked = many.join(F.broadcast(hot), key, "left")
+    by_task = marked.filter("hot_ IS NOT NULL").select(*many.columns, *[F.col(f"hot_.{c}").alias(c) for c in added])
+    by_key = marked.filter("hot_ IS NULL").drop("hot_").join(one.filter(F.col(n) <= share).drop(n), key)
+    return by_task.unionByName(by_key)
+
+
 def rows_of(schema: pa.Schema, rows: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 

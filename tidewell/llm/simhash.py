@@ -19,8 +19,9 @@ Components are found on distinct fingerprints by large-star and small-star round
 over tables in the shared folder; nothing is gathered on the driver but counts.
 
 Cases: a null or empty text has fingerprint zero and links like any other; repeated
-rows share a fingerprint; null ids are kept and get their component; other columns
-are ignored; an empty table gives no rows.
+rows share a fingerprint; rows without an id link, and connect others, like any; their
+component is the smallest id that it holds, null if it holds none; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tidewell.llm.common import id_and_text, nothing_held, rows_of, scratch, small_batches, stored
+from tidewell.llm.common import fair_join, id_and_text, nothing_held, rows_of, small_batches, stored
 
 SEED = 42
 GROUPS = 6
@@ -296,15 +297,14 @@ def links(dealt: DataFrame, distance: int, bounded: bool = True, wide: DataFrame
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node reachable from each node that has an edge (u, v).
 
-    Large-star and small-star rounds until no edge changes; each round is a table in
-    the shared folder. The least neighbour comes from a partial aggregate and a join,
-    so a node of very many edges needs no task of its own."""
-    spark = edges.sparkSession
+    Large-star and small-star rounds until no edge changes; each step is a table in
+    the shared folder. The least neighbour comes from a partial aggregate and a join.
+    A node of very many edges needs no task of its own (``fair_join``)."""
 
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
+    def star(pairs: DataFrame, large: bool, rows: int) -> DataFrame:
         around = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = around.join(least, "u")
+        least = stored(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        joined = fair_join(around, least, "u", "n", 2 * rows if large else rows)
         if large:
             moved = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
@@ -312,13 +312,14 @@ def components(edges: DataFrame) -> DataFrame:
         return moved.filter("u != v").distinct()
 
     current = stored(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u != v").distinct(), "edges")
-    before = None
+    before, rows = None, current.count()
     while True:
-        current = stored(star(star(current, True), False), "edges")
+        current = stored(star(current, True, rows), "edges")
+        current = stored(star(current, False, rows), "edges")
         state = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"), F.max(F.col("v") >= F.col("u")).alias("up")).first()
         if before == (state.n, state.s):
             break
-        before = (state.n, state.s)
+        before, rows = (state.n, state.s), state.n
     return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -330,12 +331,27 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 3) -> Da
 
 def classes(marked: DataFrame, distance: int = 3) -> DataFrame:
     """The same from ``doc_id, fp`` rows."""
-    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    distinct, greatest = numbered(stored(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "distinct"), "rep")
     named = links(cells(distinct.select("fp"), distance), distance)
     named = named.join(distinct.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a").join(distinct.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b")
-    roots = components(named.filter("u is not null and v is not null").select("u", "v"))
-    known = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return marked.join(known, "fp").select("doc_id", "fp", "component_id")
+    roots = components(named.select("u", "v"))
+    known = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "n", real(F.coalesce("root", "rep"), greatest).alias("component_id"))
+    return fair_join(marked, stored(known, "known"), "fp", "n", marked.count()).select("doc_id", "fp", "component_id")
+
+
+def numbered(nodes: DataFrame, key: str) -> tuple[DataFrame, int | None]:
+    """Stored nodes whose null keys are replaced by numbers above all keys, and the greatest key (None: none was null).
+
+    The keys leave room above them for as many numbers, that is, they are below 2^62."""
+    if nodes.filter(F.col(key).isNull()).isEmpty():
+        return nodes, None
+    greatest = nodes.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
+    return stored(nodes.withColumn(key, F.coalesce(key, F.lit(greatest) + 1 + F.monotonically_increasing_id())), "numbered"), greatest
+
+
+def real(key: Column, greatest: int | None) -> Column:
+    """The key, null in place of a number that stands in for one."""
+    return key if greatest is None else F.when(key <= greatest, key)
 
 
 #: The wide fingerprint: lanes of 64 bits, of which the last is the sketch that cells compare; segments of two bits in
@@ -373,7 +389,12 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, exact_words: int = 3
 
     The second kind is the same range join on a wide fingerprint: cells are the segment counts of one group of many, a
     64-bit sketch that no cell uses bounds what is compared further, and the wide bits decide before a cell's links are
-    thinned. Texts of equal wide fingerprints are one node. A row without an id is only linked by equal fingerprints."""
+    thinned. Texts of equal wide fingerprints are one node; rows without an id are nodes like any other."""
+    return _classes_of(_marked(docs, words, exact_words), distance).select("doc_id", "fp", "component_id")
+
+
+def _marked(docs: DataFrame, words: int, exact_words: int) -> DataFrame:
+    """``doc_id, fp, wide`` of each row, stored."""
     small_batches(docs.sparkSession)
     out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("wide", pa.binary())])
 
@@ -384,8 +405,12 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, exact_words: int = 3
             fps = np.array([fingerprint(t, exact_words) for t in found], np.uint64)
             yield rows_of(out, {"doc_id": batch.column("doc_id").to_pylist(), "fp": fps.view(np.int64), "wide": [wide_fingerprint(t, words).tobytes() for t in found]})
 
-    marked = stored(id_and_text(docs).mapInArrow(run, "doc_id long, fp long, wide binary"), "fingerprints")
-    nodes = stored(marked.groupBy("wide").agg(F.min("doc_id").alias("id")).filter("id IS NOT NULL"), "nodes")
+    return stored(id_and_text(docs).mapInArrow(run, "doc_id long, fp long, wide binary"), "fingerprints")
+
+
+def _classes_of(marked: DataFrame, distance: int) -> DataFrame:
+    """Adds ``class``, never null, and ``component_id``, its smallest id, to ``doc_id, fp, wide`` rows."""
+    nodes, greatest = numbered(stored(marked.groupBy("wide").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes"), "id")
     dealt = pa.schema([("cell", pa.int64()), ("id", pa.int64()), ("bits", pa.int64())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,35 +421,35 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, exact_words: int = 3
             yield rows_of(dealt, {"cell": [c for f in found for c in wide_cells(f)], "id": ids, "bits": sketches})
 
     similar = links(nodes.mapInArrow(deal, "cell long, id long, bits long"), SKETCH, bounded=False, wide=nodes).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    named = marked.join(nodes, "wide").select("fp", "id").distinct()
+    named = marked.select("fp", "wide").distinct().join(nodes, "wide").select("fp", "id").distinct()
     named = stored(named, "named")
     reps = stored(named.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
     equal = named.join(reps, "fp").filter("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     close = links(cells(reps.select("fp"), distance), distance)
     close = close.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b").select("u", "v")
     roots = components(similar.unionByName(equal).unionByName(close))
-    known = nodes.join(roots, nodes.id == roots.node, "left").select("wide", F.coalesce("root", "id").alias("component_id"))
-    return marked.join(known, "wide", "left").select("doc_id", "fp", "component_id")
-
+    known = nodes.join(roots, nodes.id == roots.node, "left").select("wide", "n", F.coalesce("root", "id").alias("class"))
+    return fair_join(marked, stored(known, "known"), "wide", "n", marked.count()).select("doc_id", "fp", "wide", "class", real(F.col("class"), greatest).alias("component_id"))
 
-def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
-    """One row, with all its columns, of each class of near-duplicates: that of the smallest ``doc_id``.
 
-    Of rows that share that id and fingerprint one stays, and of rows without an id one
-    for each fingerprint, unless a row with an id has it."""
-    kept = near_duplicate_classes(docs, words).filter("doc_id <=> component_id").select("doc_id", "fp")
-    kept = stored(kept, "kept")
-    if kept.filter("doc_id IS NULL").isEmpty() and kept.groupBy("doc_id").count().filter("count > 1").isEmpty():
+def one_of_each(docs: DataFrame, words: int = 5, exact_words: int = 3, distance: int = 3) -> DataFrame:
+    """One row, with all its columns, of each class of near-duplicates: that of the smallest ``doc_id``, or of a class
+    without ids that of the smallest fingerprint. Of rows that share these the one of the smallest text stays."""
+    found = stored(_classes_of(_marked(docs, words, exact_words), distance), "classes")
+    repeated = not found.filter("component_id IS NULL").isEmpty() or not found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    if not repeated:
         # The ids grow with the corpus, so they are never broadcast: the same plan at every size.
-        return docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
-    out = StructType([*docs.schema.fields, StructField("fp_", LongType())])
+        return docs.join(found.filter("doc_id = component_id").select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    own, id_, wide_ = (name + "_" * max(map(len, docs.columns)) for name in ("own", "id", "wide"))  # longer than any column's name
+    kept = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "wide")).alias("k")).select(F.col("k.doc_id").alias(id_), F.col("k.wide").alias(wide_))
+    out = StructType([*docs.schema.fields, StructField(own, BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing_held()
         for batch in batches:
-            fps = np.array([fingerprint(t or "") for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], names=[*batch.schema.names, "fp_"])
+            wide = [wide_fingerprint(t or "", words).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(wide, pa.binary())], names=[*batch.schema.names, own])
 
-    wanted = kept.distinct().select(F.col("doc_id").alias("id_"), F.col("fp").alias("kept_")).hint("merge")
-    both = docs.mapInArrow(run, out).join(wanted, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("fp_") == F.col("kept_")), "left_semi")
-    return both.dropDuplicates(["doc_id", "fp_"]).select(docs.columns)
+    both = docs.mapInArrow(run, out).join(kept.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(wide_)))
+    first = both.groupBy(id_, wide_).agg(F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNull().alias("none"), "text")).alias("row"))
+    return first.select("row.*").select(docs.columns)
