@@ -535,11 +535,11 @@ def _best_fit(lengths, capacity=1024):
     return left
 
 
-@pytest.mark.parametrize("group", [packing.GROUP, 3])
-def test_op9_ranks_in_groups(spark, monkeypatch, group):
+@pytest.mark.parametrize("spread", [packing.SPREAD, 30])
+def test_op9_ranks_in_groups(spark, monkeypatch, spread):
     import random
 
-    monkeypatch.setattr(packing, "GROUP", group)
+    monkeypatch.setattr(packing, "SPREAD", spread)
     r = random.Random(8)
     lengths = [r.choice([10, 10, 10, 7, 3, 20]) for _ in range(300)]
     found = spark.createDataFrame([(k // 2, k % 2, n, k) for k, n in enumerate(lengths)], "doc_id long, piece int, length long, ids_crc32 long").withColumn("start", F.lit(0))

@@ -11,9 +11,9 @@ one by one; the bins are those that best-fit decreasing makes piece by piece.
 The plan says: pieces of length l with ranks [first, first + n) go to bins from
 ``bin`` on, ``each`` of them to a bin, from ``offset`` on.  Ranks within a length
 are local ranks in a (length, salt) group plus the counts of smaller salts.  A length
-has a salt for every ``GROUP`` of its pieces, so one that holds most pieces is spread
-over as many tasks as it needs.  The plan's rows are bounded by the capacity alone, the
-groups by the capacity and a row for each ``GROUP`` pieces; both go to the tasks.
+has as many salts as it has parts of a task's share of all pieces, so one that holds most
+pieces is spread over most tasks.  The plan's rows are bounded by the capacity alone, the
+groups by the capacity and ``SPREAD`` for each shuffle partition; both go to the tasks.
 
 Cases: a null or empty text is one piece that holds the end id; repeated rows and
 rows with a null id are packed each; a text of any length is cut into pieces of the
@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidewell.llm.common import id_and_text, rows_of, small_batches, stored
+from tidewell.llm.common import id_and_text, partitions, rows_of, small_batches, stored
 from tidewell.llm.units import unit_encoder
 
 CAPACITY = 1024
-#: Pieces of one length that a task ranks, about.
-GROUP = 50_000
+#: Groups of ranks for each shuffle partition, besides one for each length.
+SPREAD = 4
 
 
 class Capacities:
@@ -144,10 +144,11 @@ def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows that have a ``length`` of 1 to ``capacity``, and a
     ``doc_id`` and ``piece`` that order pieces of one length. ``found`` should be a stored table: it is
     read twice, once for its lengths."""
-    many = found.groupBy("length").count().select(F.col("length").alias("of_"), F.ceil(F.col("count") / GROUP).alias("salts"))  # capacity rows at most
+    share = -(-found.count() // (SPREAD * partitions(found.sparkSession))) or 1
+    many = found.groupBy("length").count().select(F.col("length").alias("of_"), F.ceil(F.col("count") / share).alias("salts"))  # capacity rows at most
     salted = found.join(F.broadcast(many), F.col("length") == F.col("of_")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")).cast("int")).drop("of_", "salts")
     sizes: dict[int, dict[int, int]] = {}
-    for r in salted.groupBy("length", "salt").count().collect():  # capacity + pieces / GROUP rows at most
+    for r in salted.groupBy("length", "salt").count().collect():  # capacity + SPREAD x partitions rows at most
         sizes.setdefault(r.length, {})[r.salt] = r["count"]
     rows = plan({k: sum(v.values()) for k, v in sizes.items()}, capacity)
     begins: dict[tuple[int, int], int] = {}
