@@ -95,3 +95,25 @@ def test_places_of_all_rows(spark):
     order = sorted(rows, key=lambda x: (-x[1], x[0]))
     assert {(x.place, x.id) for x in got} == {(k + 1, i) for k, (i, _) in enumerate(order)}
     assert R.placed(spark.createDataFrame([], "id int"), [F.col("id")]).collect() == []
+
+
+def test_suggestions_by_words(spark):
+    """All pages scored, against the pages that the bound lets through; the score by its definition on every stretch."""
+    r = random.Random(6)
+    words = ["heron", "herons", "andio", "andiou", "xyz", "xy", "agua", "norma", "her", "on"]
+    pages = [(f"k{n % 9}", " ".join(r.choice(words) for _ in range(r.randint(0, 8)))) for n in range(60)] + [("null", None), ("empty", "")]
+    query = "Andiou heron xyz"
+
+    def grams(t):
+        return [("  " + w + " ")[i : i + 3] for w in (t or "").lower().split() for i in range(len(w) + 1)]
+
+    def score(t):
+        wanted, found = set(grams(query)), grams(t)
+        return max((len(wanted & set(found[i:j])) / len(wanted | set(found[i:j])) for i in range(len(found)) for j in range(i + 1, len(found) + 1)), default=0.0)
+
+    assert all(abs(S.word_similarity(query, t or "") - score(t)) < 1e-9 for _, t in pages)
+    best = {}
+    for k, t in pages:
+        best[k] = max(best.get(k, 0.0), score(t))
+    got = S.suggestions(spark.createDataFrame(pages, "document_key string, text_content string"), query, k=5, by_words=True).collect()
+    assert [(x.document_key, round(x.similarity, 9)) for x in got] == [(k, round(v, 9)) for k, v in sorted(best.items(), key=lambda x: (-x[1], x[0])) if v > 0.15][:5]

@@ -122,8 +122,14 @@ def heading_kind(s: Column) -> Column:
     )
 
 
-def review_flags(raw: Column, ocr: Column) -> Column:
-    """QLT11: struct of ratios and flags that send a page to review."""
+def review_flags(raw: Column, ocr: Column, normalized: Column | None = None, layout: Column | None = None) -> Column:
+    """QLT11: struct of ratios, flags that send a page to review, and the values that must not be misread.
+
+    ``normalized``: the text in which those values are looked for (None: the raw one). ``layout``: a struct of what the
+    layout says (``possible_numbered_list_split``, ``possible_index_alignment_issue``, ``possible_bad_layout_order``)."""
+    text = raw if normalized is None else normalized
+    told = lambda name: F.coalesce(layout[f"possible_{name}"], F.lit(False)) if layout is not None else F.lit(False)
+    matches = F.struct(*[F.array_sort(F.array_distinct(F.regexp_extract_all(blank(text), F.lit(p), 1))).alias(n) for n, p in {"temperatures": TEMPERATURE, "articles": SENSITIVE["article"], "numerals": SENSITIVE["numeral"], "roman_numerals": ROMAN, "dates": SENSITIVE["date"]}.items()])
     size = F.greatest(F.length(blank(raw)), F.lit(1))
     rare = F.regexp_count(blank(raw), F.lit(r"""(?U)[^\w\s.,;:!?¿¡()\-/"'%°º\n]""")) / size
     symbols = F.regexp_count(blank(raw), F.lit(r"(?U)[^A-Za-z0-9ÁÉÍÓÚÜÑáéíóúüñ\s]")) / size
@@ -136,10 +142,14 @@ def review_flags(raw: Column, ocr: Column) -> Column:
     return F.struct(
         F.round(rare, 4).alias("rare_ratio"), F.round(symbols, 4).alias("symbol_ratio"), short.alias("short_fragments"),
         (F.size(numeric) > 0).alias("numeric_error"), (F.size(roman) > 0).alias("roman_error"), heads.alias("heading_error"), F.coalesce(hand, F.lit(False)).alias("handwriting"),
+        F.rlike(blank(text), F.lit(SENSITIVE["temperature"])).alias("temperature_value"), told("numbered_list_split").alias("list_split"), told("index_alignment_issue").alias("index_alignment"), told("bad_layout_order").alias("layout_order"),
+        F.slice(numeric, 1, 20).alias("numeric_tokens"), F.slice(roman, 1, 20).alias("roman_tokens"), matches.alias("matches"), sensitive_values(text).alias("values"),
     )
 
 
 # Patterns of values that must not be misread (fixed values).
+ROMAN = r"\b([IVXLCDM]{1,8})\b"
+TEMPERATURE = r"((?<!\d)-?\d{1,3}\s*[°º]?\s*[Cc]\b)"
 SENSITIVE = {
     "temperature": r"((?<!\d)-?\d{1,3}\s*[°º]?\s*[Cc](?:\s*y\s*-?\d{1,3}\s*[°º]?\s*[Cc])?)",
     "date": r"\b(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\b",

@@ -168,14 +168,16 @@ def trigrams(x: Column) -> Column:
     return F.array_distinct(F.flatten(grams))
 
 
-def suggestions(pages: DataFrame, query: str, k: int = 3, least: float = 0.15) -> DataFrame:
-    """FTS5, AGG7: documents whose pages hold the largest share of the query's trigrams.
+def suggestions(pages: DataFrame, query: str, k: int = 3, least: float = 0.15, by_words: bool = False) -> DataFrame:
+    """FTS5, AGG7: documents whose pages hold the largest share of the query's trigrams, by built-ins alone.
 
-    The share of the query's trigrams in the page's set bounds ``word_similarity`` from above and orders alike
-    for short queries; all built-ins."""
+    ``by_words``: by ``word_similarity``, that is, within a stretch of the page. The share in the whole page bounds it
+    from above, so only pages above ``least`` by their share are scored by it, in Arrow batches."""
     wanted = F.broadcast(pages.sparkSession.createDataFrame([(query,)], "q string")).select(trigrams(F.col("q")).alias("wanted"))
     score = F.size(F.array_intersect("wanted", trigrams(F.col("text_content")))) / F.size("wanted")
-    scored = pages.crossJoin(wanted).select("document_key", score.alias("similarity"))  # one row on the right
+    scored = pages.crossJoin(wanted).select("document_key", "text_content", score.alias("similarity"))  # one row on the right
+    if by_words:
+        scored = scored.filter(F.col("similarity") > least).select("document_key", word_similarity_udf(query)("text_content").alias("similarity"))
     return scored.groupBy("document_key").agg(F.max("similarity").alias("similarity")).filter(F.col("similarity") > least).orderBy(F.col("similarity").desc(), "document_key").limit(k)
 
 

@@ -148,25 +148,25 @@ def recommended_actions(spark, sf):
     return E.recommended_actions(values(spark, ACTIONS)).select("doc", F.col("b").cast("int").alias("b"), "action")
 
 
-@query("quality_products")
+@query("quality_products", """SELECT * FROM (VALUES ('Ibuprofeno 400 mg', 'M0655', 'EE-1234', 'Laboratorio Uno', 'PERU', 'DROGUERIA X S.A.C.', 'No conforme', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, 0.86::DOUBLE, 'ok'), (NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, 0.0::DOUBLE, 'no_header'), (NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, 0.0::DOUBLE, 'no_header')) AS t(product_name, lot_number, sanitary_registration, manufacturer, manufacturer_country, registration_holder, analytical_result, expiry_date, department, intervention_address, confidence, status)""")
 def quality_products(spark, sf):
     rows = ["Nombre del producto", "Nº de lote", "Resultados analíticos", "Ibuprofeno", "400 mg", "M0655", "EE-1234", "Laboratorio Uno", "PERU", "DROGUERIA X S.A.C.", "No conforme", "Lima, 3"]
     return spark.createDataFrame([(rows,), ([],), (None,)], "rows array<string>").lateralJoin(E.QualityProducts(F.col("rows").outer())).drop("rows")
 
 
-@query("falsified_products")
+@query("falsified_products", """SELECT * FROM (VALUES ('Crema A', 'A1', NULL::VARCHAR, 'Lab', 'Perú', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, 0.84::DOUBLE, 'ok'), ('Crema B', 'B1', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, 0.84::DOUBLE, 'ok'), (NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, 0.0::DOUBLE, 'no_header')) AS t(product_name, lot_number, sanitary_registration, manufacturer, manufacturer_country, registration_holder, analytical_result, expiry_date, department, intervention_address, confidence, status)""")
 def falsified_products(spark, sf):
     rows = ["Datos de productos farmacéuticos falsificados", "Nombre", "Crema A", "Lote", "A1", "Fabricante/País", "Lab / Perú", "Nombre", "Crema B", "Lote", "B1", "Lima, 3", "Nombre", "no"]
     return spark.createDataFrame([(rows,), ([],)], "rows array<string>").lateralJoin(E.FalsifiedProducts(F.col("rows").outer())).drop("rows")
 
 
-@query("compared_products")
+@query("compared_products", """SELECT * FROM (VALUES ('FRASCO', 'Plástico', 'Vidrio'), ('CAJA', 'No presenta', NULL::VARCHAR), ('ETIQUETA', 'a', 'b')) AS t(name, without_rs, with_rs)""")
 def compared_products(spark, sf):
     rows = ["Frasco", "Plástico", "Vidrio", "Caja:", "No presenta", "Etiqueta", "a", "b"]
     return spark.createDataFrame([(rows,)], "rows array<string>").lateralJoin(E.ComparedCharacteristics(F.col("rows").outer())).drop("rows")
 
 
-@query("narrative_products")
+@query("narrative_products", """SELECT * FROM (VALUES (1, 'OPDIVO polvo', 'AB123', 'Lab Uno', 'India', 0.92::DOUBLE), (2, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, 0.76::DOUBLE)) AS t(id, product_name, lot_number, manufacturer, manufacturer_country, confidence)""")
 def narrative_products(spark, sf):
     v = values(spark, "SELECT 1 AS id, 'El producto OPDIVO polvo, lote N° AB123, fabricado por Lab Uno, de India' AS body UNION ALL SELECT 2, 'nada'")
     return v.select("id", F.inline(F.array(E.narrative_product(F.col("body")))))
@@ -175,12 +175,12 @@ def narrative_products(spark, sf):
 BOXES = "SELECT * FROM (VALUES (1, 1, 10, 10, 20, 10, 'Hola'), (1, 1, 40, 12, 20, 10, 'mundo'), (1, 1, 10, 40, 10, 10, '1.'), (1, 1, 30, 52, 50, 10, 'punto'), (1, 1, 10, 90, 50, 10, 'Indice'), (1, 1, 300, 90, 10, 10, '12')) AS t(doc, page, `left`, top, width, height, text)"
 
 
-@query("rebuilt_pages")
+@query("rebuilt_pages", """SELECT * FROM (VALUES (1, 1, 'Hola mundo' || chr(10) || '1. punto' || chr(10) || 'Indice .......... 12')) AS t(doc, page, text)""")
 def rebuilt_pages(spark, sf):
     return L.rebuilt_pages(spark.sql(BOXES))
 
 
-@query("editable_tables")
+@query("editable_tables", """SELECT * FROM (VALUES (1, 'Antes' || chr(10) || '----- VISTA PREVIA TABLA 1 -----' || chr(10) || '| a   | b   |' || chr(10) || '| --- | --- |' || chr(10) || '| 1   | x:y |' || chr(10) || '----- FIN VISTA PREVIA TABLA 1 -----' || chr(10) || '===== TABLA 1 =====' || chr(10) || '-- Fila 1 --' || chr(10) || 'a: 1' || chr(10) || 'b: x:y' || chr(10) || '===== FIN TABLA 1 =====' || chr(10) || 'Despues', true), (2, 'sin tabla', true)) AS t(id, editable, round_trip)""")
 def editable_tables(spark, sf):
     t = "Antes\\n| a   | b   |\\n| --- | --- |\\n| 1   | x:y |\\nDespues"
     v = spark.sql(f"SELECT 1 AS id, '{t}' AS body UNION ALL SELECT 2, 'sin tabla'")
@@ -188,14 +188,14 @@ def editable_tables(spark, sf):
     return e.select("id", "editable", (L.rebuilt_udf("editable") == F.col("body")).alias("round_trip"))
 
 
-@query("manual_review")
+@query("manual_review", """SELECT * FROM (VALUES ('DS-1-2020', 1, 'nuevo texto', 1.0::DOUBLE, 'revision_manual', true, true), ('DS-1-2020', 2, 'otro', 0.9::DOUBLE, 'plain', true, false)) AS t(document_key, page_number, text, quality_score, extraction_method, revisado_manual, tabla_verificada)""")
 def manual_review(spark, sf):
     pages = spark.sql("SELECT * FROM VALUES ('DS-1-2020', 1, 'viejo', 0.2D, 'ocr', false, false), ('DS-1-2020', 2, 'otro', 0.9D, 'plain', true, false) AS t(document_key, page_number, text, quality_score, extraction_method, revisado_manual, tabla_verificada)")
     files = spark.sql("SELECT '# NORMA: DS-1-2020\\n\\n### PAGINA 1 (baja)\\nnuevo texto\\n### PAGINA 9 (x)\\n\\n' AS content")
     return L.reviewed_pages(pages, files, F.expr("TIMESTAMP '2024-01-01'")).drop("revisado_en")
 
 
-@query("replaced_text")
+@query("replaced_text", """SELECT * FROM (VALUES (1, 'nuevo', 0.9::DOUBLE, 'a'), (2, 'b', 0.3::DOUBLE, NULL::VARCHAR)) AS t(page_id, text, quality_score, "before")""")
 def replaced_text(spark, sf):
     pages = spark.sql("SELECT * FROM VALUES (1, 'a', 0.2D, map('k', 'v')), (2, 'b', 0.3D, map('k', 'w')) AS t(page_id, text, quality_score, metadata)")
     new = spark.sql("SELECT 1 AS page_id, 'nuevo' AS text")
@@ -203,7 +203,7 @@ def replaced_text(spark, sf):
     return r.select("page_id", "text", "quality_score", F.col("metadata").getItem("texto_anterior").alias("before"))
 
 
-@query("deep_merge")
+@query("deep_merge", """SELECT * FROM (VALUES (1, '{"a": {"x": 1, "y": 3}, "b": 1, "c": [1]}'), (2, '{"z": 1}'), (3, '{}')) AS t(id, merged)""")
 def deep_merge(spark, sf):
     v = spark.sql("""SELECT 1 AS id, '{"a": {"x": 1, "y": 2}, "b": 1}' AS base, '{"a": {"y": 3}, "c": [1]}' AS patch UNION ALL SELECT 2, null, '{"z": 1}' UNION ALL SELECT 3, 'broken', null""")
     return v.select("id", L.merge_json("base", "patch").alias("merged"))
@@ -254,12 +254,12 @@ def _page(spark):
     return spark.createDataFrame([(1, "http://x.pe/alertas/lista", HTML)], "page_id int, url string, html string")
 
 
-@query("html_alerts")
+@query("html_alerts", """SELECT * FROM (VALUES (1, true, true, '41-2026', '2026-03-05', 'http://x.pe/alertas-modificaciones/2026/alerta-digemid-no-41-2026/'), (1, false, true, 'comunicado', NULL::VARCHAR, 'http://x.pe/alertas-modificaciones/2025/comunicado/')) AS t(page_id, strict, near, document_key, published_date, detail_url)""")
 def html_alerts(spark, sf):
     return H.alerts(H.anchors(_page(spark))).select("page_id", "strict", "near", "document_key", "published_date", "detail_url")
 
 
-@query("html_detail")
+@query("html_detail", """SELECT * FROM (VALUES (1, 'Retiro | DIGEMID', '05/03/2026', '2026-03-05', 'http://x.pe/archivos/normatividad/a.pdf')) AS t(page_id, title, published_date_display, published_date, file_url)""")
 def html_detail(spark, sf):
     return H.detail(_page(spark))
 

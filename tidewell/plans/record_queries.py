@@ -113,6 +113,12 @@ def fuzzy_suggest(spark, sf):
     return S.suggestions(d, "Andiou heron xyz").select("document_key", F.round("similarity", 6).alias("similarity"))
 
 
+@query("similar_alerts")
+def similar_alerts(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("source").alias("document_key"), F.col("text").alias("text_content"))
+    return S.suggestions(d, "Andiou heron xyz", by_words=True).select("document_key", F.round("similarity", 6).alias("similarity"))
+
+
 @query("word_similarity")
 def word_similarity(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.round(S.word_similarity_udf("Andiou heron xyz")("text"), 6).alias("similarity"))
@@ -120,9 +126,10 @@ def word_similarity(spark, sf):
 
 @query("word_diff")
 def word_diff(spark, sf):
+    """Each turn against the one before it."""
     c = table(spark, sf, "conversations")
-    a, b = c.filter("turn = 0").select("conv_id", F.col("text").alias("a")), c.filter("turn = 1").select("conv_id", F.col("text").alias("b"))
-    return a.join(b, "conv_id").select("conv_id", F.round(S.changed_ratio("a", "b"), 6).alias("changed")).orderBy(F.col("changed").desc(), "conv_id")
+    a, b = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("a")), c.select("conv_id", "turn", F.col("text").alias("b"))
+    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(S.changed_ratio("a", "b"), 6).alias("changed"))
 
 
 # --- Merging --------------------------------------------------------------------------------------------

@@ -291,16 +291,18 @@ def line_kind_counts(spark, sf):
 VALUES_ = "SELECT * FROM (VALUES (1, 'Guardar a 25 °C y 30 °C segun articulo 5 del 01/02/2024, numeral 3.2.1 y articulo 5'), (2, null), (3, 'nada'), (4, 'de 2-8 C el 3-4-21; ver 1.2')) AS t(id, body)"
 
 
-@query("sensitive_values")
+@query("sensitive_values", """SELECT * FROM (VALUES (1, 'temperature=25 °C y 30 °C;date=01/02/2024;article=articulo 5;numeral=3.2.1'), (2, ''), (3, ''), (4, 'temperature=8 C;date=3-4-21;numeral=1.2')) AS t(id, found)""")
 def sensitive_values(spark, sf):
     return values(spark, VALUES_).select("id", F.array_join(F.transform(Q.sensitive_values(F.col("body")), lambda s: F.concat_ws("=", s.kind, s.value)), ";").alias("found"))
 
 
 @query("review_flags", f"""WITH a AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(list_transform({_LINES}, lambda s: trim(s)), lambda s: s <> '') AS ls FROM documents)
-SELECT doc_id, len(list_filter(ls, lambda s: length(s) <= 3)) AS short_fragments, len(regexp_extract_all(t, '\\b(\\d+[A-Za-z]|[A-Za-z]\\d+)\\b', 1)) > 0 AS numeric_error FROM a""")
+SELECT doc_id, len(list_filter(ls, lambda s: length(s) <= 3)) AS short_fragments, len(regexp_extract_all(t, '\\b(\\d+[A-Za-z]|[A-Za-z]\\d+)\\b', 1)) > 0 AS numeric_error,
+  regexp_matches(t, '(^|[^0-9])-?[0-9]{{1,3}}\\s*[°º]?\\s*[Cc]') AS temperature_value, doc_id % 2 = 0 AS list_split, false AS layout_order, len(list_distinct(regexp_extract_all(t, '\\b([IVXLCDM]{{1,8}})\\b', 1))) AS romans, len(list_distinct(regexp_extract_all(t, '\\b([0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}})\\b', 1))) AS dates FROM a""")
 def review_flags(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", Q.review_flags(F.col("text"), F.lit(True)).alias("f"))
-    return d.select("doc_id", F.col("f.short_fragments").cast("long").alias("short_fragments"), "f.numeric_error")
+    layout = F.struct((F.col("doc_id") % 2 == 0).alias("possible_numbered_list_split"), F.lit(None).cast("boolean").alias("possible_index_alignment_issue"), F.lit(False).alias("possible_bad_layout_order"))
+    d = table(spark, sf, "documents").select("doc_id", Q.review_flags(F.col("text"), F.lit(True), layout=layout).alias("f"))
+    return d.select("doc_id", F.col("f.short_fragments").cast("long").alias("short_fragments"), "f.numeric_error", "f.temperature_value", "f.list_split", "f.layout_order", F.size("f.matches.roman_numerals").cast("long").alias("romans"), F.size("f.matches.dates").cast("long").alias("dates"))
 
 
 LAYERS = "SELECT * FROM (VALUES (1, 'Texto normal de una pagina con varias palabras claras.', 'otro', 'ocr', 0.9, 10.0), (2, '', '', '', null, 255.0), (3, 'pegadopegadopegadopegadopegadopegado x', 'Un texto mejor leido por la segunda capa del lector.', '', null, 10.0), (4, '', 'x', 'Un texto que solo se lee con reconocimiento optico.', 0.8, 10.0), (5, '', '', 'Un texto que solo se lee con reconocimiento optico.', null, 10.0)) AS t(id, plain, second, ocr, conf, px)"
@@ -329,13 +331,13 @@ def chart_flag(spark, sf):
 GRIDS = "SELECT 1 AS id, [['a', 'bb|b'], ['cccc']] AS g UNION ALL SELECT 2, [['Producto', 'Lote'], ['Ibuprofeno 400 mg', 'M0655'], ['Paracetamol', '']] "
 
 
-@query("table_markdown")
+@query("table_markdown", """SELECT * FROM (VALUES (1, false, '| a    | bb\\|b |' || chr(10) || '| ---- | ----- |' || chr(10) || '| cccc |       |', 'Tabla 1:' || chr(10) || '| a    | bb\\|b |' || chr(10) || '| ---- | ----- |' || chr(10) || '| cccc |       |' || chr(10) || '' || chr(10) || 'Tabla 2:' || chr(10) || '| a    | bb\\|b |' || chr(10) || '| ---- | ----- |' || chr(10) || '| cccc |       |'), (2, true, '| Producto          | Lote  |' || chr(10) || '| ----------------- | ----- |' || chr(10) || '| Ibuprofeno 400 mg | M0655 |' || chr(10) || '| Paracetamol       |       |', 'Tabla 1:' || chr(10) || '| Producto          | Lote  |' || chr(10) || '| ----------------- | ----- |' || chr(10) || '| Ibuprofeno 400 mg | M0655 |' || chr(10) || '| Paracetamol       |       |' || chr(10) || '' || chr(10) || 'Tabla 2:' || chr(10) || '| Producto          | Lote  |' || chr(10) || '| ----------------- | ----- |' || chr(10) || '| Ibuprofeno 400 mg | M0655 |' || chr(10) || '| Paracetamol       |       |')) AS t(id, real, markdown, "all")""")
 def table_markdown(spark, sf):
     v = spark.sql("SELECT * FROM VALUES (1, array(array('a', 'bb|b'), array('cccc'))), (2, array(array('Producto', 'Lote'), array('Ibuprofeno 400 mg', 'M0655'), array('Paracetamol', ''))) AS t(id, g)")
     return v.select("id", Q.is_real_table(F.col("g")).alias("real"), Q.table_markdown(F.col("g")).alias("markdown"), Q.tables_markdown(F.array("g", "g")).alias("all"))
 
 
-@query("tolerant_json")
+@query("tolerant_json", """SELECT * FROM (VALUES (1, 'x'), (2, 'y'), (3, 'z'), (4, NULL::VARCHAR), (5, NULL::VARCHAR)) AS t(id, a)""")
 def tolerant_json(spark, sf):
     v = spark.sql("""SELECT * FROM VALUES (1, '{"a": "x"}'), (2, '```json {"a": "y"} ```'), (3, 'said: {"a": "z"} end'), (4, 'none'), (5, null) AS t(id, body)""")
     return v.select("id", X.tolerant_json(F.col("body"), "a string").a.alias("a"))
