@@ -445,6 +445,58 @@ def narrative_product(text: Column) -> Column:
     return F.struct(name.alias("product_name"), lot.alias("lot_number"), maker.alias("manufacturer"), country_anywhere(text).alias("manufacturer_country"), sure.alias("confidence"))
 
 
+# What a narrative alert of an illegal product is known by, and how it names things (fixed values).
+NARRATIVE = {
+    "product_name": r"(?i)\bproducto\s+([A-Z0-9][A-Z0-9\-\s]{2,40})\b",
+    "active_ingredient": r"(?i)(?:principio activo|dci)\s*[:\-]?\s*([A-Za-z0-9\-\s]{3,80})",
+    "concentration": r"(?i)\b(\d{1,4}\s*mg\s*/\s*\d{1,4}\s*m[lL])\b",
+    "sanitary_registration": r"\b([A-Z]{1,3}\s*-\s*\d{4,6})\b",
+    "holder_of": r"(?i)en\s+el\s+per[uú]\s+es\s+la\s+empresa\s+(.+?)\s+el\s+titular",
+    "holder": r"(?i)titular del registro sanitario\s*[:\-]?\s*([^\n.]{4,180})",
+    "maker_of": r"(?is)el\s+producto\s+original\s+es\s+manufacturado\s+y\s+acondicionado\s+por\s+(.+?)\s+con\s+ubicaci[oó]n",
+    "maker": r"(?i)\bfabricante\s*[:\-]?\s*([^\n]{4,220})",
+    "risk": r"(?i)((?:no cuenta con registro sanitario|producto sin registro sanitario|producto sospechoso|presunta falsificaci[oó]n)[^\n.]{0,240})",
+}
+MARKERS = ("COMERCIALIZACION ILEGAL", "NO CUENTA CON REGISTRO SANITARIO", "PRODUCTO SIN REGISTRO SANITARIO", "PRESUNTA FALSIFICACION", "PRODUCTO SOSPECHOSO", "NO CORRESPONDE A UNA PRESENTACION COMERCIALIZADA")
+NAMED_PRODUCT, NAMED_INGREDIENT = "OPDIVO", "NIVOLUMAB"
+FORMS = {"solución inyectable": r"(?i)soluci[oó]n\s+inyectable", "polvo": r"(?i)\bpolvo\b"}
+ABROAD = "Puerto Rico / Estados Unidos de América"
+REASON, FORGED = "comercialización ilegal / producto sin registro sanitario en Perú", " / presunta falsificación"
+#: Rows of the comparison that make it complete.
+COMPARED = 6
+
+
+def narrative_alerts(documents: DataFrame, markers: tuple[str, ...] = MARKERS) -> DataFrame:
+    """EXR8: the product of each narrative alert of an illegal sale (``doc_id, lines``), with its comparison (EXR9).
+
+    Only documents with a line that holds one of the markers, and a product's name, give a row. What is sure depends on
+    how many of seven fields were found and on how much of the comparison is there."""
+    told = documents.filter(F.exists("lines", lambda s: F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains(fold(s), m)))).withColumn("text", F.array_join("lines", "\n"))
+    compared = documents.select("doc_id", "lines").lateralJoin(ComparedCharacteristics(F.col("lines").outer())).groupBy("doc_id").agg(F.count("name").alias("rows"), F.count_if(F.col("name").isNotNull() & F.col("without_rs").isNotNull() & F.col("with_rs").isNotNull()).alias("rows_complete"))
+    text, plain = F.col("text"), fold(F.col("text"))
+    found = {k: F.nullif(clean(first(text, p)), F.lit("")) for k, p in NARRATIVE.items()}
+    stripped = lambda c: F.nullif(F.regexp_replace(c, r"^[ ,.;:]+|[ ,.;:]+$", ""), F.lit(""))
+    forms = F.filter(F.array(*[F.when(F.rlike(text, F.lit(p)), f) for f, p in FORMS.items()]), lambda f: f.isNotNull())
+    fields = {
+        "product_name": F.when(F.contains(plain, F.lit(NAMED_PRODUCT)), NAMED_PRODUCT).otherwise(found["product_name"]),
+        "active_ingredient": F.when(F.contains(plain, F.lit(NAMED_INGREDIENT)), NAMED_INGREDIENT.lower()).otherwise(found["active_ingredient"]),
+        "concentration": found["concentration"],
+        "sanitary_registration": F.replace(found["sanitary_registration"], F.lit(" "), F.lit("")),
+        "registration_holder": F.coalesce(stripped(found["holder_of"]), found["holder"]),
+        "manufacturer": F.coalesce(stripped(found["maker_of"]), found["maker"]),
+        "manufacturer_country": F.when(F.contains(plain, F.lit("PUERTO RICO")) & F.contains(plain, F.lit("ESTADOS UNIDOS")), ABROAD),
+    }
+    product = told.join(compared, "doc_id", "left").fillna(0, ["rows", "rows_complete"]).withColumns(fields | {
+        "dosage_form": F.nullif(F.array_join(forms, " / "), F.lit("")), "risk_summary": found["risk"],
+        "alert_reason": F.concat(F.lit(REASON), F.when(F.contains(plain, F.lit("PRESUNTA FALSIFIC")), FORGED).otherwise("")),
+        "without_registration": F.contains(plain, F.lit("COMERCIALIZACION ILEGAL")) & F.contains(plain, F.lit("NO CUENTA CON REGISTRO SANITARIO")),
+    }).filter("product_name IS NOT NULL")
+    known = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in fields), F.lit(0))
+    whole = F.col("rows_complete") >= COMPARED
+    sure = F.when(whole & (known >= 6), 0.92).when((F.col("rows") > 0) & (known >= 5), 0.82).otherwise(0.76)
+    return product.withColumns({"confidence": sure, "manual_review": (sure < 0.85) | ~whole}).drop("lines", "text")
+
+
 def merged_cell_products(zone: DataFrame) -> DataFrame:
     """EXR15: each lot of a zone takes the product and the maker whose merged cell it lies in or is nearest to; the
     zone's places are joined, its first department is everyone's; the first of equal lots stays."""

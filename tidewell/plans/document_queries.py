@@ -172,6 +172,23 @@ def narrative_products(spark, sf):
     return v.select("id", F.inline(F.array(E.narrative_product(F.col("body")))))
 
 
+_ALERT = [
+    "Comercialización ilegal del producto OPDIVO", "Nivolumab 100 mg / 10 mL solución inyectable en polvo", "R.S. BE-01234 en el Perú es la empresa ACME SA, el titular", "El producto original es manufacturado y acondicionado por Lab Uno,", "con ubicación en Manati, Puerto Rico - Estados Unidos de America", "No cuenta con registro sanitario en el país. Fin",
+    "Frasco", "Plástico", "Vidrio", "Caja", "a", "b", "Etiqueta", "c", "d", "Concentraciones", "e", "f", "Almacenamiento", "g", "h", "Forma farmacéutica", "i", "j",
+]
+
+
+@query("narrative_alerts", """SELECT * FROM (VALUES
+  (1, 'OPDIVO', 'nivolumab', '100 mg / 10 mL', 'BE-01234', 'ACME SA', 'Lab Uno', 'Puerto Rico / Estados Unidos de América', 'solución inyectable / polvo', 'No cuenta con registro sanitario en el país', 'comercialización ilegal / producto sin registro sanitario en Perú', true, 6, 0.92::DOUBLE, false),
+  (4, 'sospechoso', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'Producto sospechoso', 'comercialización ilegal / producto sin registro sanitario en Perú', false, 0, 0.76::DOUBLE, true),
+  (3, 'XYZ', NULL, NULL, NULL, NULL, 'Otro', NULL, NULL, 'presunta falsificación del producto XYZ', 'comercialización ilegal / producto sin registro sanitario en Perú / presunta falsificación', false, 0, 0.76::DOUBLE, true)
+) AS t(doc_id, product_name, active_ingredient, concentration, sanitary_registration, registration_holder, manufacturer, manufacturer_country, dosage_form, risk_summary, alert_reason, without_registration, rows_complete, confidence, manual_review)""")
+def narrative_alerts(spark, sf):
+    lines = [(1, _ALERT), (2, ["Alerta de calidad", "producto ABC"]), (3, ["Alerta por presunta falsificación del producto XYZ.", "Fabricante: Otro"]), (4, ["Producto sospechoso."]), (5, None), (6, [])]
+    found = E.narrative_alerts(spark.createDataFrame(lines, "doc_id int, lines array<string>"))
+    return found.withColumn("rows_complete", F.col("rows_complete").cast("int")).drop("rows")
+
+
 BOXES = "SELECT * FROM (VALUES (1, 1, 10, 10, 20, 10, 'Hola'), (1, 1, 40, 12, 20, 10, 'mundo'), (1, 1, 10, 40, 10, 10, '1.'), (1, 1, 30, 52, 50, 10, 'punto'), (1, 1, 10, 90, 50, 10, 'Indice'), (1, 1, 300, 90, 10, 10, '12')) AS t(doc, page, `left`, top, width, height, text)"
 
 
