@@ -446,7 +446,7 @@ def narrative_product(text: Column) -> Column:
 
 
 # What a narrative alert of an illegal product is known by, and how it names things (fixed values).
-NARRATIVE = {
+NARRATIVE_PATTERNS = {
     "product_name": r"(?i)\bproducto\s+([A-Z0-9][A-Z0-9\-\s]{2,40})\b",
     "active_ingredient": r"(?i)(?:principio activo|dci)\s*[:\-]?\s*([A-Za-z0-9\-\s]{3,80})",
     "concentration": r"(?i)\b(\d{1,4}\s*mg\s*/\s*\d{1,4}\s*m[lL])\b",
@@ -474,7 +474,7 @@ def narrative_alerts(documents: DataFrame, markers: tuple[str, ...] = ILLEGAL_MA
     told = documents.filter(F.exists("lines", lambda s: F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains(fold(s), m)))).withColumn("text", F.array_join("lines", "\n"))
     compared = documents.select("doc_id", "lines").lateralJoin(ComparedCharacteristics(F.col("lines").outer())).groupBy("doc_id").agg(F.count("name").alias("rows"), F.count_if(F.col("name").isNotNull() & F.col("without_rs").isNotNull() & F.col("with_rs").isNotNull()).alias("rows_complete"))
     text, plain = F.col("text"), fold(F.col("text"))
-    found = {k: F.nullif(clean(first(text, p)), F.lit("")) for k, p in NARRATIVE.items()}
+    found = {k: F.nullif(clean(first(text, p)), F.lit("")) for k, p in NARRATIVE_PATTERNS.items()}
     stripped = lambda c: F.nullif(F.regexp_replace(c, r"^[ ,.;:]+|[ ,.;:]+$", ""), F.lit(""))
     forms = F.filter(F.array(*[F.when(F.rlike(text, F.lit(p)), f) for f, p in FORMS.items()]), lambda f: f.isNotNull())
     fields = {
