@@ -457,7 +457,6 @@ NARRATIVE_PATTERNS = {
     "maker": r"(?i)\bfabricante\s*[:\-]?\s*([^\n]{4,220})",
     "risk": r"(?i)((?:no cuenta con registro sanitario|producto sin registro sanitario|producto sospechoso|presunta falsificaci[oó]n)[^\n.]{0,240})",
 }
-ILLEGAL_MARKS = ("COMERCIALIZACION ILEGAL", "NO CUENTA CON REGISTRO SANITARIO", "PRODUCTO SIN REGISTRO SANITARIO", "PRESUNTA FALSIFICACION", "PRODUCTO SOSPECHOSO", "NO CORRESPONDE A UNA PRESENTACION COMERCIALIZADA")
 NAMED_PRODUCT, NAMED_INGREDIENT = "OPDIVO", "NIVOLUMAB"
 FORMS = {"solución inyectable": r"(?i)soluci[oó]n\s+inyectable", "polvo": r"(?i)\bpolvo\b"}
 ABROAD = "Puerto Rico / Estados Unidos de América"
@@ -466,7 +465,7 @@ REASON, FORGED = "comercialización ilegal / producto sin registro sanitario en
 COMPARED = 6
 
 
-def narrative_alerts(documents: DataFrame, markers: tuple[str, ...] = ILLEGAL_MARKS) -> DataFrame:
+def narrative_alerts(documents: DataFrame, markers: tuple[str, ...] = NARRATIVE) -> DataFrame:
     """EXR8: the product of each narrative alert of an illegal sale (``doc_id, lines``), with its comparison (EXR9).
 
     Only documents with a line that holds one of the markers, and a product's name, give a row. What is sure depends on
