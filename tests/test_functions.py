@@ -74,10 +74,24 @@ def test_trials_end_by_alerts(spark, tmp_path):
     rows = [(1, "start", "2024-01-01 00:00:00")] + [(1, "alert", f"2024-01-0{k} 00:00:00") for k in (2, 3, 4)] + [(2, "start", "2024-01-01 00:00:00")]
     spark.createDataFrame(rows, "chat_id long, event string, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = I.events(spark, f"{tmp_path}/in", "chat_id long, event string, ts timestamp")
-    got = {(r.chat_id, r.state, r.sent) for r in I.run_to_memory(I.trials(stream), "trials", "update").collect()}
+    got = {(r.chat_id, r.state, r.sent) for r in I.run_to_table(I.trials(stream), f"{tmp_path}/out", "update").collect()}
     assert (1, "finalizada", 3) in got and (2, "activa", 0) in got
 
 
+@pytest.mark.parametrize("mode, want", [("append", {(1, "a"), (2, "b"), (3, "c")}), ("complete", {(1, "a"), (2, "b"), (3, "c")}), ("none", set())])
+def test_streams_are_written_as_tables(spark, tmp_path, mode, want):
+    """Several batches, each of one file; a stream that has no rows."""
+    from tidewell.streaming import incremental as I
+
+    rows = [] if mode == "none" else [(1, "a"), (2, "b"), (3, "c")]
+    spark.createDataFrame(rows, "k int, v string").repartition(3, "k").write.parquet(f"{tmp_path}/in")
+    stream = I.events(spark, f"{tmp_path}/in", "k int, v string")
+    if mode == "complete":
+        stream = stream.groupBy("k").agg(F.max("v").alias("v"))
+    got = I.run_to_table(stream, f"{tmp_path}/out", "complete" if mode == "complete" else "append")
+    assert got.columns == ["k", "v"] and sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_upserted_stream_is_the_last_row_of_each_key(spark, tmp_path):
     from tidewell.streaming import incremental as I
 

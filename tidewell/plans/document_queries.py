@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from tidewell.functions import quality as Q
 from tidewell.operators import extraction as E
 from tidewell.operators import layout as L
+from tidewell.operators.store import shared_folder
 from tidewell.plans.base import query, table, values
 from tidewell.sources import html as H
 from tidewell.streaming import incremental as I
@@ -300,22 +301,23 @@ def _stream(spark, sf):
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @query("stream_dedup", "SELECT DISTINCT user_id FROM events")
 def stream_dedup(spark, sf):
-    name = "seen_" + next(tempfile._get_candidate_names())
-    return I.run_to_memory(I.first_seen(_stream(spark, sf), "user_id", delay="60 days"), name).select("user_id")
+    return I.run_to_table(I.first_seen(_stream(spark, sf), "user_id", delay="60 days"), _folder(spark, "seen")).select("user_id")
 
 
 @query("stream_quota", "SELECT (ts - INTERVAL 5 HOUR)::DATE AS dia, user_id AS chat_id, count(*) AS consultas FROM events GROUP BY 1, 2")
 def stream_quota(spark, sf):
-    name = "quota_" + next(tempfile._get_candidate_names())
-    return I.run_to_memory(I.daily_quota(_stream(spark, sf).withColumnRenamed("user_id", "chat_id"), delay="60 days"), name, "complete")
+    return I.run_to_table(I.daily_quota(_stream(spark, sf).withColumnRenamed("user_id", "chat_id"), delay="60 days"), _folder(spark, "quota"), "complete")
 
 
 @query("stream_recent", "WITH d AS (SELECT unnest(range(TIMESTAMP '2023-12-20', TIMESTAMP '2024-02-10', INTERVAL 1 DAY)) AS s) SELECT s::TIMESTAMP AS start, (s + INTERVAL 7 DAY)::TIMESTAMP AS \"end\", count(*) AS n FROM d JOIN events ON ts >= s AND ts < s + INTERVAL 7 DAY GROUP BY 1, 2")
 def stream_recent(spark, sf):
-    name = "recent_" + next(tempfile._get_candidate_names())
-    return I.run_to_memory(I.sliding_counts(_stream(spark, sf), delay="60 days"), name, "complete")
+    return I.run_to_table(I.sliding_counts(_stream(spark, sf), delay="60 days"), _folder(spark, "recent"), "complete")
 
 
 @query("real_tables", "SELECT conv_id, count(*) >= 2 AND len(list_filter(list(trim(text)), lambda c: c <> '')) >= 3 AND sum(length(trim(text))) + 4 * count(*) >= 20 AS real FROM conversations GROUP BY conv_id")

@@ -88,8 +88,18 @@ def trials(stream: DataFrame) -> DataFrame:
     return rows.transformWithStateInPandas(Trials(), "chat_id long, state string, sent int", "Update", "eventTime")
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Everything that is there, into a table of this session (for tests and small inputs)."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Everything that is there, as a table under ``folder`` (new, and shared by all executors): tasks write the rows.
+
+    A batch has a part of its own, so one that is run again replaces what it wrote; in complete mode each batch holds
+    the whole result and replaces the one before. A stream without rows gives a table without rows."""
+    spark = stream.sparkSession
+    part = lambda n: f"{folder}/rows/batch={n}"
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(part(-1))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(part(0 if mode == "complete" else number))
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows").select(stream.columns)
