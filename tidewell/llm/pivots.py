@@ -136,7 +136,7 @@ def search(block: Vectors, q: np.ndarray, q_norm: float, q_table: np.ndarray, ow
         scores = np.concatenate([scores, products(block.values[rows], q[None, :], plain)[:, 0]])
         ids = np.concatenate([ids, block.ids[rows]])
         good = np.flatnonzero((scores > least) | ((scores == least) & (ids <= least_id)))
-        good = good[np.lexsort((ids[good], -scores[good]))][:k]
+        good = good[np.lexsort((ids[good], ~scores[good]))][:k]
         scores, ids = scores[good], ids[good]
         if len(scores) == k:
             least, least_id = int(scores[-1]), int(ids[-1])
