@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, chat, extraction, media, mil, packing, pii, pivots, simhash, token_file, winnow
+from tidewell.llm import bpe, chat, extraction, media, mil, packing, pii, pivots, simhash, token_file, wavelet, winnow
 from tidewell.llm.common import stored, table
 
 
@@ -92,6 +92,27 @@ def op10_dom_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_wavelet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = wavelet.build(table(spark, sf_dir, "documents"))
+    return wavelet.top_documents(index, table(spark, sf_dir, "benchmark"), k=20)
+
+
+OP11_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), sums AS (SELECT count(*)::BIGINT AS docs, sum(len(ws))::BIGINT AS total FROM words WHERE len(ws) > 0),
+sizes AS (SELECT d, doc_id, 75 + (25 * len(ws)::BIGINT * docs) // total AS m FROM words, sums WHERE len(ws) > 0),
+postings AS (SELECT d, term, count(*)::BIGINT AS tf FROM (SELECT d, unnest(ws) AS term FROM words) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, sums GROUP BY term, docs),
+asked AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, s.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN sizes s USING (d) GROUP BY item_id, d, s.doc_id
+), ranked AS (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def op13_pivot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -119,9 +140,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_best_fit": op9_best_fit,
         "op10_dom_model": op10_dom_model,
+        "op11_wavelet_search": op11_wavelet_search,
         "op13_pivot_table": op13_pivot_table,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op13_pivot_table": OP13_SQL}
+    return {"op3_chat_format": OP3_SQL, "op11_wavelet_search": OP11_SQL, "op13_pivot_table": OP13_SQL}
