@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, chat, extraction, media, mil, packing, pii, pivots, simhash, token_file, wavelet, winnow
+from tidewell.llm import bpe, chat, extraction, media, mil, packing, pii, pivots, repair, simhash, token_file, wavelet, winnow
 from tidewell.llm.common import stored, table
 
 
@@ -113,6 +113,11 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
 """
 
 
+def op12_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.summary(repair.damaged(conversations), conversations)
+
+
 def op13_pivot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -141,6 +146,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_best_fit": op9_best_fit,
         "op10_dom_model": op10_dom_model,
         "op11_wavelet_search": op11_wavelet_search,
+        "op12_signatures": op12_signatures,
         "op13_pivot_table": op13_pivot_table,
     }
 
