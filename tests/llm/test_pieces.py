@@ -1,6 +1,7 @@
 """The Python parts against their definitions."""
 
 import random
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -322,7 +323,7 @@ def test_long_faulty_markup(html):
 
 def test_markup_that_never_ends():
     whole = lambda h: dom.text_of((p := dom.parse(h)), [True] * len(p.tag))
-    assert whole("<p>a <b b='>'>c</b> <i d='>e") == "a c" and whole("x<a 'y<b>z</b>") == "x<a 'yz" and whole("a<!--b") == "a" and whole("<p>1<2<!--c--></p>3") == "1<2 3"
+    assert whole("<p>a <b b='>'>c</b> <i d='>e") == "a c" and whole("x<a 'y<b>z</b>") == "xz" and whole("a<!--b") == "a" and whole("<p>1<2<!--c--></p>3") == "1<2 3"
 
 
 def test_markup_details():
@@ -352,3 +353,49 @@ def test_passages_of_any_text():
 
 def test_crc_is_unsigned():
     assert zlib.crc32(b"abc") == 891568578
+
+
+WORDS = "First paragraph of it Second one it's plain text Third".split()
+STRAY = ["data-note=it's", 'alt="5" tall"', "o'clock", 'x=5"', 'a==b"c', "n= 'x>y' q", 'v="a>b" "', "href=a/b's/"]
+
+
+def _whole(html):
+    page = dom.parse(html)
+    return dom.text_of(page, [True] * len(page.tag))
+
+
+def test_a_stray_quote_in_a_tag_hides_and_shows_nothing():
+    rest = "<p>Second, it's plain text.</p><p>Third \"one\".</p>"
+    assert _whole(f"<p data-note=it's>First paragraph.</p>{rest}") == 'First paragraph. Second, it\'s plain text. Third "one".'
+    assert _whole('<p>One <img alt="5" tall"> two</p>') == "One two"
+    assert _whole("<p title=\"a > b\" class='c > d'>One</p>") == "One"
+    assert _whole("<p>Zero <b data-x=\"never ends>One</p><p>Two's</p>") == "Zero"
+
+
+@given(st.lists(st.tuples(st.sampled_from(["p", "div", "li", "h2"]), st.lists(st.sampled_from(WORDS), max_size=4), st.sampled_from(STRAY)), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_stray_quotes_leave_any_page_as_it_is(blocks):
+    plain = "".join(f"<{t}>{' '.join(w)}</{t}>" for t, w, _ in blocks)
+    assert _whole("".join(f"<{t} {a}>{' '.join(w)}</{t}>" for t, w, a in blocks)) == _whole(plain)
+
+
+def test_tags_that_never_end_are_read_in_linear_time():
+    import time
+
+    for piece in ("<a ", "<a b=", "<a b='", '<a b="', "<a =x", "<a b= ' ", "<a b='\"'"):
+        began = time.process_time()
+        _whole(piece * 60_000 + "='>'")
+        assert time.process_time() - began < 6
+
+
+def test_units_are_kept_within_their_bytes_in_any_language(encoder):
+    def held(store):
+        return sum(sys.getsizeof(k) + sys.getsizeof(v) + units.PLACE for part in (store, store.old) for k, v in part.items())
+
+    r = random.Random(4)
+    sentences = ["".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(n)) for n in [40, 90, 300] * 400]
+    own = units.Recent(encoder.make, 100_000)
+    for s in sentences:
+        assert own[s] == encoder.make(s)
+        assert own.used <= 100_000 and held(own) <= 200_000
+    assert max(map(len, own)) < 300 and len(own) > 50

@@ -4,21 +4,21 @@
 HTML closes by itself (paragraphs, list items, rows, cells, options) and ignores
 end tags of what is not open.  Elements that are inline and carry no class, id or
 role belong to the block around them.  Character references are decoded.  Nothing
-recurses, no step walks the stack but to close what it passes, and a tag that is
-never closed is not searched again from every place inside it: work is linear in
+recurses, no step walks the stack but to close what it passes, and a tag that never
+ends is read once: as in HTML, the rest of the page is inside it.  Work is linear in
 the page's length, whatever it holds.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
 from dataclasses import dataclass, field
 from html import unescape
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>", re.S)
-NAME = re.compile(r"</?[a-zA-Z][^\s/>]*+")
-ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A value is quoted only right behind its "="; any other quote is a plain character.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+|(?![\"'])))*+)>|<[!?][^>]*+>", re.S)
+CUT = re.compile(r"</?[a-zA-Z]")
+ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -39,28 +39,6 @@ SILENT = frozenset("script style template noscript head title textarea select op
 SCOPES = frozenset("table td th article section div main aside nav header footer form ul ol blockquote body html".split())
 
 
-class Closings:
-    """Where tags end, asked only after one did not. A place from which no end was reached is never tried again."""
-
-    def __init__(self, html: str):
-        self.html = html
-        self.marks = [m.start() for m in re.finditer("[>\"']", html)]
-        self.dead: set[int] = set()
-
-    def closed(self, at: int) -> bool:
-        """Whether the tag whose attributes begin at ``at`` ends: at a ``>`` outside quotes."""
-        passed = []
-        while (k := bisect.bisect_left(self.marks, at)) < len(self.marks) and (mark := self.marks[k]) not in self.dead:
-            if self.html[mark] == ">":
-                return True
-            passed.append(mark)
-            at = self.html.find(self.html[mark], mark + 1) + 1
-            if not at:
-                break
-        self.dead.update(passed)
-        return False
-
-
 @dataclass
 class Page:
     parent: list[int] = field(default_factory=list)
@@ -101,7 +79,6 @@ def parse(html: str) -> Page:
     opened: dict[str, list[int]] = {}  # places in the stack of each open element
     links = silent = 0
     at, begun, end, last = 0, 0, len(html), html.rfind(">")
-    closings: Closings | None = None
 
     def close() -> None:
         nonlocal links, silent
@@ -125,21 +102,12 @@ def parse(html: str) -> Page:
 
     while at < end:
         at = html.find("<", at)
-        if at > last:  # only a comment needs no end
-            at = html.find("<!--", at)
-        m = None
-        if at >= 0:
-            name = closings and NAME.match(html, at)
-            if not name or closings.closed(name.end()):
-                m = TAG.match(html, at)
-            if m is None:
-                closings = closings or Closings(html)
+        m = TAG.match(html, at) if 0 <= at <= last or at >= 0 and html.startswith("<!--", at) else None
+        if m is None:
+            if at >= 0 and not (CUT.match(html, at) or at > last and html[at + 1 : at + 2] in ("/", "!", "?")):
                 at += 1
                 continue
-        if m is None:
-            rest = html[begun:]
-            cut = rest.rfind("<")  # a tag that the end of the page cuts off is markup
-            add(rest[:cut] if cut >= 0 and re.match(r"<[a-zA-Z/!?]", rest[cut:]) else rest)
+            add(html[begun:at] if at >= 0 else html[begun:])  # a tag that never ends takes the rest of the page
             break
         add(html[begun:at])
         at = begun = m.end()
