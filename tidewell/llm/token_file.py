@@ -34,8 +34,8 @@ from tidewell.llm.units import unit_encoder
 #: (ids in a word, bits of each) by selector; 15 is the escape (fixed values of the format).
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 ESCAPE = 15
-#: Units that a writer keeps, in each of two generations.
-STORE = 700_000
+#: Bytes of units that a writer keeps, in each of two generations.
+STORE = 150 << 20
 #: Ids between two block starts.
 BLOCK = 1024
 #: Ids after which a segment of whole documents is closed.

@@ -4,7 +4,9 @@ Byte-level BPE never merges across its pre-tokens, and each pre-token lies insid
 one *unit*: an optional blank with the run of non-blanks after it, or a run of
 white space.  A text's ids are therefore its units' ids in order, and units repeat
 far more often than texts do.  The library encodes each unit once per worker; the
-store of units holds two generations of at most ``UNITS`` entries, so memory is bounded.
+store of units holds two generations of at most ``UNITS`` bytes, keys, values and the
+table around them counted, so memory is bounded in any language: where words are not set
+apart, a unit is a sentence, and units of over ``LARGEST`` bytes are not kept.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -25,27 +28,30 @@ WHITE = "\t-\r \x85\xa0  -     　"
 UNIT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Marks that may end a unit after a letter.
 MARKS = ".,;:!?)\"%$#&*"
-#: Units kept in a worker, in each of two generations.
-UNITS = 450_000
+#: Bytes of units kept in a worker, in each of two generations; bytes of a table's place for one; the largest unit kept.
+UNITS, PLACE, LARGEST = 96 << 20, 100, 700
 #: Text that is encoded at once.
 GROUP_BYTES = 5_000_000
 
 
 class Recent(dict):
-    """A store of ``make(key)`` in bounded memory: when it is full it becomes the old
+    """A store of ``make(key)`` in bounded memory: when it has ``size`` bytes it becomes the old
     generation, and what is asked for again moves over to the new one."""
 
     def __init__(self, make: Callable[[str], bytes], size: int = UNITS):
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.used, self.old = make, size, 0, {}
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
-        self[key] = found
+        cost = getsizeof(key) + getsizeof(found) + PLACE
+        if cost <= LARGEST:
+            if self.used + cost > self.size:
+                self.old, self.used = dict(self), 0
+                self.clear()
+            self.used += cost
+            self[key] = found
         return found
 
 
@@ -164,5 +170,5 @@ class UnitEncoder(Encoder):
 
 
 def unit_encoder(path: str, size: int = UNITS) -> UnitEncoder:
-    """One for each worker process, so that its tasks share the store of twice ``size`` units."""
+    """One for each worker process, so that its tasks share the store of twice ``size`` bytes."""
     return held(("units", path, size), lambda: UnitEncoder(path, size))
