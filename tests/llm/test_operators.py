@@ -628,3 +628,10 @@ def test_pipeline_is_its_stages(spark, docs):
         base = pii.base_spans(rows[r.doc_id])
         assert r.text == pii.redacted(rows[r.doc_id], base + model.added(rows[r.doc_id], base)) and r.n_chars == len(r.text)
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == survivors
+
+
+def test_op7_labels_of_strange_ids_take_no_place_of_the_sample(spark):
+    texts = spark.createDataFrame([(i, ("good words here " if i % 2 else "# # @@ 1") * 20) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(10**6 + i, i % 2) for i in range(4000)], "doc_id long, quality int")
+    model = mil.train(texts, labels, sample=5)
+    assert {r.doc_id % 2: r.score >= 0.5 for r in mil.score(texts, model).collect()} == {0: False, 1: True}

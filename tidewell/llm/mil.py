@@ -213,6 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     spark = docs.sparkSession
     small_batches(spark)
     marked = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1) AND doc_id IS NOT NULL").filter(~held_out())
+    marked = marked.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")  # ids without a document take no place of the sample
     chosen = None
     for value in (0, 1):  # a top-k each: partial in every task, no sort of the table
         part = marked.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
