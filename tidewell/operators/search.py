@@ -1,17 +1,20 @@
 """Full-text search over pages: tokens, ranking, routing, context and suggestions.
 
-Terms are folded tokens without stemming.  The query side is a handful of literals,
-so pages are matched inside the scan by array functions: no term table is shuffled,
-only the best ``k`` rows of each task reach the final sort.
+Terms are stems of tokens (``functions.spanish``); ``stem=False`` searches whole tokens.
+The query side is a handful of literals, so pages are matched inside the scan: no term
+table is shuffled, only the best ``k`` rows of each task reach the final sort.  Only
+tokens that begin as a wanted stem does are stemmed there; a stored term table
+(``term_table``) stems each distinct token once.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.functions import spanish
 from tidewell.functions.text import ACCENTED, PLAIN, blank, let, lower_fold, quoted_in, squeezed
 from tidewell.operators.matching import contained
 
@@ -25,8 +28,6 @@ STOP_WORDS = (
 PI_SIXTH, WEIGHT, PLACES = 1.64493406685, 0.1, 255
 #: What separates tokens.
 BETWEEN = "[^a-záéíóúñü0-9]+"
-# Suffixes for the optional stemmed mode, longest first (fixed values).
-SUFFIXES = "amientos imientos amiento imiento aciones uciones idades ación ución mente anzas ismos istas ables ibles antes encias idad anza ismo ista able ible ante encia ivos ivas ivo iva osos osas oso osa es os as s".split()
 
 
 def query_tokens(x: Column) -> Column:
@@ -35,20 +36,17 @@ def query_tokens(x: Column) -> Column:
     return F.array_distinct(words)
 
 
-def tokens_of(query: str, stem: bool = False) -> list[str]:
-    """The same on the driver, for a query given as text."""
+def tokens_of(query: str) -> list[str]:
+    """The same for a literal."""
     import re
 
     words = [w for w in re.split(BETWEEN, query.lower()) if len(w) >= 3 and w not in STOP_WORDS]
-    return list(dict.fromkeys(stem_of(w) if stem else w for w in words))
+    return list(dict.fromkeys(words))
 
 
-def stem_of(word: str) -> str:
-    """A small suffix stripper: off goes the first suffix that leaves three letters."""
-    for s in SUFFIXES:
-        if word.endswith(s) and len(word) - len(s) >= 3:
-            return word[: -len(s)]
-    return word
+def stems_of(spark: SparkSession, words: list[str]) -> list[str]:
+    """The stems of a few literals, each once, sorted."""
+    return sorted({x for x in spark.range(1).select(F.array(*[spanish.stem(F.lit(w)) for w in words])).first()[0] if x})
 
 
 def matches(text: Column, words: list[str]) -> Column:
@@ -59,25 +57,29 @@ def matches(text: Column, words: list[str]) -> Column:
     return out
 
 
-def rank(text: Column, words: list[str], stem: bool = False) -> Column:
-    """FTS3: mean over the query's words of weight times the sum of 1/i^2 over their places; 0 if none occurs.
+def _mean(places: list[Column]) -> Column:
+    """FTS3: mean over words of weight times the sum of 1/i^2 over a word's places, to twelve digits."""
+    total = F.lit(0.0)
+    for n in places:
+        total = total + _harmonic(n) * WEIGHT / PI_SIXTH
+    return F.round(total / len(places), 12)
 
-    The text is brought to tokens between single blanks on either side once; a word's places are what its removal
+
+def rank(text: Column, words: list[str]) -> Column:
+    """FTS3 for whole tokens. The text is brought to tokens between single blanks on either side once; a word's places are what its removal
     shortens that by."""
-    if stem:
-        pattern = "(?<=.{3})(?:" + "|".join(SUFFIXES) + ")$"
-        spaced = F.array_join(F.transform(F.split(F.lower(blank(text)), BETWEEN), lambda w: F.regexp_replace(w, pattern, "")), "  ")
-    else:
-        spaced = F.regexp_replace(F.lower(blank(text)), BETWEEN, "  ")
+    spaced = F.regexp_replace(F.lower(blank(text)), BETWEEN, "  ")
+    places = lambda s, w: ((F.length(s) - F.length(F.replace(s, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int")
+    return let(F.concat(F.lit(" "), spaced, F.lit(" ")), lambda s: _mean([places(s, w) for w in words]))
 
-    def score(s: Column) -> Column:
-        total = F.lit(0.0)
-        for w in words:
-            places = ((F.length(s) - F.length(F.replace(s, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int")
-            total = total + _harmonic(places) * WEIGHT / PI_SIXTH
-        return total / len(words)
 
-    return let(F.concat(F.lit(" "), spaced, F.lit(" ")), score)
+def stem_rank(text: Column, stems: list[str]) -> Column:
+    """FTS3 for stems: one pass over the text takes the tokens that begin like a wanted stem, and only these are stemmed."""
+    accents = dict(zip(spanish.BARE, spanish.ACUTE, strict=True))
+    begin = "|".join(sorted({"".join(f"[{c}{accents[c]}]" if c in accents else c for c in spanish.beginning(s)) for s in stems}))
+    inside = BETWEEN.replace("^", "").removesuffix("+")
+    tokens = F.regexp_extract_all(F.lower(blank(text)), F.lit(f"(?<!{inside})(?:{begin}){inside}*"), F.lit(0))
+    return let(F.transform(tokens, spanish.stem), lambda found: _mean([F.size(F.filter(found, F.lit(s).__eq__)) for s in stems]))
 
 
 def _harmonic(n: Column) -> Column:
@@ -95,20 +97,22 @@ def aligned(pages: DataFrame) -> DataFrame:
     return pages.select([(F.coalesce(F.col(c), default[c]) if c in default else F.col(c)).cast(t).alias(c) if c in pages.columns else default.get(c, F.lit(None)).cast(t).alias(c) for c, t in PAGE_FIELDS.items()])
 
 
-def search(alerts: DataFrame, norms: DataFrame | None, query: str, k: int = 4, stem: bool = False, version: int = 4) -> DataFrame:
+def search(alerts: DataFrame, norms: DataFrame | None, query: str, k: int = 4, stem: bool = True, version: int = 4) -> DataFrame:
     """SET1, SET2, TOP6: the best pages of both kinds; a query without words finds nothing.
 
     Ties: by document key and page."""
-    words = tokens_of(query, stem)
+    words = tokens_of(query)
     both = aligned(alerts)
     if norms is not None and version > 1:
         both = both.unionByName(aligned(norms))
+    if words and stem:
+        words = stems_of(alerts.sparkSession, words)
     if not words:
         return both.withColumn("rank", F.lit(0.0)).limit(0)
-    # Only pages that may hold a word are ranked; the stems of others are not known before. Pages of rank 0 sort
-    # last, so they are dropped from the best ones and the rank is computed once.
+    # Of whole tokens only pages that may hold a word are ranked; the stems of others are not known before. Pages of
+    # rank 0 sort last, so they are dropped from the best ones and the rank is computed once.
     found = both.filter("text_content IS NOT NULL") if stem else both.filter(matches(F.col("text_content"), words))
-    ranked = found.withColumn("rank", rank(F.col("text_content"), words, stem))
+    ranked = found.withColumn("rank", (stem_rank if stem else rank)(F.col("text_content"), words))
     return ranked.select(*kept_columns(version), "rank").orderBy(F.col("rank").desc(), "document_key", "page_number").limit(k).filter("rank > 0")
 
 
@@ -266,23 +270,26 @@ def documents_with(fragments: DataFrame, docs: DataFrame, words: int = 6) -> Dat
 
 
 def term_table(pages: DataFrame, buckets: int = 64) -> DataFrame:
-    """FTS4: the pages' terms with how often each occurs, ``bucket`` by the term's hash: the one structure worth
-    storing (``write.partitionBy("bucket")``), as a query then reads its own terms' buckets only.
+    """FTS4: the pages' stems with how often each occurs, ``bucket`` by the stem's hash: the one structure worth
+    storing (``write.partitionBy("bucket")``), as a query then reads its own stems' buckets only.
 
-    Occurrences combine inside each page before anything is shuffled: a page's rows come from one task."""
+    Occurrences combine inside each page before anything is shuffled; each distinct token is stemmed once and joined
+    back, a token's rows being one for each page that holds it."""
     tokens = F.filter(F.split(F.lower(blank(F.col("text_content"))), BETWEEN), lambda w: w != "")
-    rows = pages.select("document_key", "page_number", F.explode(tokens).alias("term"))
-    counted = rows.groupBy("document_key", "page_number", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return counted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    rows = pages.select("document_key", "page_number", F.explode(tokens).alias("token"))
+    counted = rows.groupBy("document_key", "page_number", "token").agg(F.count(F.lit(1)).alias("tf"))
+    stems = counted.select("token").distinct().select("token", spanish.stem(F.col("token")).alias("term"))
+    found = counted.join(stems, "token").groupBy("document_key", "page_number", "term").agg(F.sum("tf").alias("tf"))
+    return found.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
 
 
 def search_terms(index: DataFrame, query: str, k: int = 4, buckets: int = 64) -> DataFrame:
     """FTS2, FTS3, TOP6 over a stored term table: ``document_key, page_number, rank``."""
-    words = tokens_of(query)
+    words = stems_of(index.sparkSession, tokens_of(query)) if tokens_of(query) else []
     if not words:
         return index.select("document_key", "page_number", F.lit(0.0).alias("rank")).limit(0)
     mine = index.filter(F.col("term").isin(*words) & F.col("bucket").isin(*_buckets(index, words, buckets)))
-    score = F.sum(_harmonic(F.col("tf")) * WEIGHT / PI_SIXTH) / len(words)
+    score = F.round(F.sum(_harmonic(F.col("tf")) * WEIGHT / PI_SIXTH) / len(words), 12)
     return mine.groupBy("document_key", "page_number").agg(score.alias("rank")).orderBy(F.col("rank").desc(), "document_key", "page_number").limit(k)
 
 

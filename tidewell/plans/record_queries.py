@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.functions.quality import quality_score
+from tidewell.functions.spanish import stem
 from tidewell.operators import matching as M
 from tidewell.operators import merge as G
 from tidewell.operators import queues as U
@@ -12,35 +13,51 @@ from tidewell.operators import reports as R
 from tidewell.operators import search as S
 from tidewell.operators import states as Z
 from tidewell.plans.base import COUNTS_SQL, HIGH, LOW, PAGES_SQL, norm_pages, query, table, values
+from tidewell.plans.stems import stems_sql
 
 QUERY = "that with heron enau lichen aux que"
 _WORDS = S.tokens_of(QUERY)
 
 
-def rank_sql(text: str) -> str:
-    """The mean over words of 0.1 times the sum of 1/i^2 over a word's places."""
-    toks = f"string_split_regex(lower(coalesce({text}, '')), '[^a-záéíóúñü0-9]+')"
+def ranked_sql(rows: str, asked: str = QUERY) -> str:
+    """CTEs from rows (``id, body``) to ``ranked(id, r)``: the mean over the stems of the query's words of 0.1 times the
+    sum of 1/i^2 over a stem's places."""
+    words = ", ".join(f"('{w}')" for w in S.tokens_of(asked))
+    return f"""toks AS (SELECT id, unnest(string_split_regex(lower(coalesce(body, '')), '{S.BETWEEN}')) AS w FROM ({rows})),
+  asked AS (SELECT w FROM (VALUES {words}) AS t(w)), {stems_sql("SELECT w FROM toks WHERE w <> '' UNION SELECT w FROM asked")},
+  wanted AS (SELECT DISTINCT stem FROM stems JOIN asked USING (w) WHERE stem <> ''),
+  places AS (SELECT id, stem, least(count(*), 255) AS n FROM toks JOIN stems USING (w) JOIN wanted USING (stem) GROUP BY ALL),
+  ranked AS (SELECT id, round(list_sum(list(list_sum(list_transform(range(1, 1 + n), lambda i: 1.0::DOUBLE / (i * i))) * 0.1 / 1.64493406685 ORDER BY stem)) / (SELECT count(*) FROM wanted), 12) AS r FROM places GROUP BY id)"""
+
+
+def plain_rank_sql(text: str) -> str:
+    """The same for whole tokens."""
+    toks = f"string_split_regex(lower(coalesce({text}, '')), '{S.BETWEEN}')"
     one = "coalesce(list_sum(list_transform(range(1, 1 + least(len(list_filter({t}, lambda w: w = '{w}')), 255)), lambda i: 1.0::DOUBLE / (i * i))), 0.0) * 0.1 / 1.64493406685"
-    return "(" + " + ".join(one.format(t=toks, w=w) for w in _WORDS) + f") / {len(_WORDS)}"
+    return "round((" + " + ".join(one.format(t=toks, w=w) for w in _WORDS) + f") / {len(_WORDS)}, 12)"
+
+
+_TOPK = f"""WITH {ranked_sql('SELECT doc_id AS id, text AS body FROM documents')}
+SELECT doc_id, source AS document_key, round(r, 6) AS rank FROM documents JOIN ranked ON id = doc_id ORDER BY r DESC, source, doc_id LIMIT 10"""
 
 
-@query("search_topk", f"SELECT doc_id, source AS document_key, round(r, 6) AS rank FROM (SELECT *, {rank_sql('text')} AS r FROM documents) WHERE r > 0 ORDER BY r DESC, source, doc_id LIMIT 10")
+@query("search_topk", _TOPK)
 def search_topk(spark, sf):
     d = table(spark, sf, "documents").select(F.col("text").alias("text_content"), F.col("doc_id").alias("page_number"), F.col("source").alias("document_key"))
     found = S.search(d, None, QUERY, 10)
     return found.select(F.col("page_number").alias("doc_id"), "document_key", F.round("rank", 6).alias("rank"))
 
 
-@query("search_indexed", f"SELECT doc_id, source AS document_key, round(r, 6) AS rank FROM (SELECT *, {rank_sql('text')} AS r FROM documents) WHERE r > 0 ORDER BY r DESC, source, doc_id LIMIT 10")
+@query("search_indexed", _TOPK)
 def search_indexed(spark, sf):
     d = table(spark, sf, "documents").select(F.col("text").alias("text_content"), F.col("doc_id").alias("page_number"), F.col("source").alias("document_key"))
     return S.search_terms(S.term_table(d), QUERY, 10).select(F.col("page_number").alias("doc_id"), "document_key", F.round("rank", 6).alias("rank"))
 
 
-_UNION = f"""WITH u AS (
-  SELECT source AS document_key, doc_id AS page_number, text AS body, NULL::VARCHAR AS detail_url, contains(text, '|') AS has_tables FROM documents
-  UNION ALL SELECT 'page', page_id, html, url, false FROM pages)
-SELECT document_key, page_number, detail_url, has_tables, round(r, 6) AS rank FROM (SELECT *, {rank_sql('body')} AS r FROM u) WHERE r > 0 ORDER BY r DESC, document_key, page_number LIMIT 20"""
+_U = """SELECT source AS document_key, doc_id AS page_number, 'd' || doc_id AS id, text AS body, NULL::VARCHAR AS detail_url, contains(text, '|') AS has_tables FROM documents
+  UNION ALL SELECT 'page', page_id, 'p' || page_id, html, url, false FROM pages"""
+_UNION = f"""WITH u AS ({_U}), {ranked_sql('SELECT id, body FROM u')}
+SELECT document_key, page_number, detail_url, has_tables, round(r, 6) AS rank FROM u JOIN ranked USING (id) ORDER BY r DESC, document_key, page_number LIMIT 20"""
 
 
 @query("search_union", _UNION)
@@ -50,8 +67,14 @@ def search_union(spark, sf):
     return S.search(d, p, QUERY, 20).select("document_key", "page_number", "detail_url", "has_tables", F.round("rank", 6).alias("rank"))
 
 
-@query("search_versions")
+_VERSIONS = f"""WITH {ranked_sql('SELECT doc_id AS id, text AS body FROM documents')}, sources AS (SELECT version, side FROM range(1, 5) v(version), range(1, 3) s(side) WHERE version > 1 OR side = 1),
+  placed AS (SELECT version, source AS document_key, doc_id AS page_number, row_number() OVER (PARTITION BY version ORDER BY r DESC, source, doc_id) AS n FROM documents JOIN ranked ON id = doc_id CROSS JOIN sources)
+SELECT version::INTEGER AS version, document_key, page_number FROM placed WHERE n <= 4"""
+
+
+@query("search_versions", _VERSIONS)
 def search_versions(spark, sf):
+    """SET2: the first version lacks the norms; the others find both kinds, here the same table twice."""
     d = table(spark, sf, "documents").select(F.col("text").alias("text_content"), F.col("doc_id").alias("page_number"), F.col("source").alias("document_key"))
     out = [S.search(d, d, QUERY, 4, version=v).select(F.lit(v).alias("version"), "document_key", "page_number") for v in (1, 2, 3, 4)]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
@@ -63,10 +86,30 @@ def search_nothing(spark, sf):
     return S.search(d, None, "que paso con la").select(F.col("page_number").alias("doc_id"))
 
 
-@query("search_stemmed")
+@query("search_plain", f"SELECT doc_id, source AS document_key, round(r, 6) AS rank FROM (SELECT *, {plain_rank_sql('text')} AS r FROM documents) WHERE r > 0 ORDER BY r DESC, source, doc_id LIMIT 10")
+def search_plain(spark, sf):
+    """The search without stems: whole tokens."""
+    d = table(spark, sf, "documents").select(F.col("text").alias("text_content"), F.col("doc_id").alias("page_number"), F.col("source").alias("document_key"))
+    return S.search(d, None, QUERY, 10, stem=False).select(F.col("page_number").alias("doc_id"), "document_key", F.round("rank", 6).alias("rank"))
+
+
+SPANISH = "asciones rapidamente ciónes, lasmente ñecitas doados miez"
+
+
+@query("search_stemmed", f"""WITH {ranked_sql('SELECT doc_id AS id, text AS body FROM documents', SPANISH)}
+SELECT doc_id AS page_number, round(r, 6) AS rank FROM documents JOIN ranked ON id = doc_id ORDER BY r DESC, source, doc_id LIMIT 10""")
 def search_stemmed(spark, sf):
+    """Words in forms of their own find the texts that hold other forms."""
     d = table(spark, sf, "documents").select(F.col("text").alias("text_content"), F.col("doc_id").alias("page_number"), F.col("source").alias("document_key"))
-    return S.search(d, None, QUERY, 10, stem=True).select("page_number", F.round("rank", 6).alias("rank"))
+    return S.search(d, None, SPANISH, 10).select("page_number", F.round("rank", 6).alias("rank"))
+
+
+@query("token_stems", f"""WITH toks AS (SELECT unnest(string_split_regex(lower(coalesce(text, '')), '{S.BETWEEN}')) AS w FROM documents), {stems_sql("SELECT w FROM toks WHERE w <> ''")}
+SELECT stem, count(*) AS tokens, min(w) AS first FROM stems GROUP BY stem""")
+def token_stems(spark, sf):
+    """FTS2: every token of the corpus, stemmed once."""
+    tokens = table(spark, sf, "documents").select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), S.BETWEEN)).alias("w")).filter("w <> ''").distinct()
+    return tokens.groupBy(stem(F.col("w")).alias("stem")).agg(F.count("*").alias("tokens"), F.min("w").alias("first"))
 
 
 @query("search_sources", """SELECT url AS detail_url, arg_min('page', page_id) AS document_key, min(page_id) AS page_number FROM pages GROUP BY url""")
