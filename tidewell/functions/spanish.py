@@ -57,8 +57,7 @@ def _chop(w: Column, n: Column | int) -> Column:
 
 
 def _place(w: Column, region: str) -> Column:
-    found = F.length(F.regexp_extract(w, region, 0))
-    return F.when(found > 0, found).otherwise(F.length(w))
+    return let(F.length(F.regexp_extract(w, region, 0)), lambda n: F.when(n > 0, n).otherwise(F.length(w)))
 
 
 def _without(w: Column, endings: list[str], least: Column) -> Column:
@@ -120,5 +119,9 @@ def stem(word: Column) -> Column:
 
 
 def beginning(stem_: str) -> str:
-    """What every word of a stem begins with, acute accents aside: endings go, or change from the last two letters on."""
-    return stem_[: max(1, len(stem_) - 2)]
+    """What every word of a stem begins with, acute accents aside: of all that stands in for an ending only "ente" has
+    letters that the ending (of "encia") lacks, and its last letter may go."""
+    for end in ("ente", "ent"):
+        if stem_.endswith(end):
+            return stem_[: len(stem_) - len(end) + 2]
+    return stem_

@@ -46,7 +46,8 @@ def tokens_of(query: str) -> list[str]:
 
 def stems_of(spark: SparkSession, words: list[str]) -> list[str]:
     """The stems of a few literals, each once, sorted."""
-    return sorted({x for x in spark.range(1).select(F.array(*[spanish.stem(F.lit(w)) for w in words])).first()[0] if x})
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select(spanish.stem(F.col("w")).alias("stem")).collect()
+    return sorted({r.stem for r in rows if r.stem})
 
 
 def matches(text: Column, words: list[str]) -> Column:
@@ -74,12 +75,18 @@ def rank(text: Column, words: list[str]) -> Column:
 
 
 def stem_rank(text: Column, stems: list[str]) -> Column:
-    """FTS3 for stems: one pass over the text takes the tokens that begin like a wanted stem, and only these are stemmed."""
+    """FTS3 for stems: one pass over the text takes the tokens that begin like a wanted stem, and of these each distinct
+    one of the page is stemmed."""
     accents = dict(zip(spanish.BARE, spanish.ACUTE, strict=True))
     begin = "|".join(sorted({"".join(f"[{c}{accents[c]}]" if c in accents else c for c in spanish.beginning(s)) for s in stems}))
     inside = BETWEEN.replace("^", "").removesuffix("+")
-    tokens = F.regexp_extract_all(F.lower(blank(text)), F.lit(f"(?<!{inside})(?:{begin}){inside}*"), F.lit(0))
-    return let(F.transform(tokens, spanish.stem), lambda found: _mean([F.size(F.filter(found, F.lit(s).__eq__)) for s in stems]))
+    tokens = F.regexp_extract_all(F.lower(blank(text)), F.lit(f"(?<!{inside})(?:{begin}){inside}*+"), F.lit(0))
+
+    def ranked(found: Column) -> Column:
+        forms = let(F.array_distinct(found), lambda f: F.map_from_arrays(f, F.transform(f, spanish.stem)))
+        return let(let(forms, lambda m: F.transform(found, lambda t: m[t])), lambda each: _mean([F.size(F.filter(each, F.lit(s).__eq__)) for s in stems]))
+
+    return let(tokens, ranked)
 
 
 def _harmonic(n: Column) -> Column:
