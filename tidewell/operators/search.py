@@ -9,6 +9,9 @@ tokens that begin as a wanted stem does are stemmed there; a stored term table
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,7 @@ STOP_WORDS = (
 ).split()
 #: Normaliser of the rank: sum of 1/i^2 (fixed value), weight of a term, most places of a term.
 PI_SIXTH, WEIGHT, PLACES = 1.64493406685, 0.1, 255
+_FOLD = str.maketrans(ACCENTED, PLAIN)
 #: What separates tokens.
 BETWEEN = "[^a-záéíóúñü0-9]+"
 
@@ -38,8 +42,6 @@ def query_tokens(x: Column) -> Column:
 
 def tokens_of(query: str) -> list[str]:
     """The same for a literal."""
-    import re
-
     words = [w for w in re.split(BETWEEN, query.lower()) if len(w) >= 3 and w not in STOP_WORDS]
     return list(dict.fromkeys(words))
 
@@ -179,40 +181,88 @@ def trigrams(x: Column) -> Column:
     return F.array_distinct(F.flatten(grams))
 
 
-def suggestions(pages: DataFrame, query: str, k: int = 3, least: float = 0.15, by_words: bool = False) -> DataFrame:
-    """FTS5, AGG7: documents whose pages hold the largest share of the query's trigrams, by built-ins alone.
+def suggestions(pages: DataFrame, query: str, k: int = 3, least: float = 0.15, by_words: bool = True) -> DataFrame:
+    """FTS5, AGG7: documents whose pages are the most similar to the query by ``word_similarity``, each by its best page.
 
-    ``by_words``: by ``word_similarity``, that is, within a stretch of the page. The share in the whole page bounds it
-    from above, so only pages above ``least`` by their share are scored by it, in Arrow batches."""
+    The share of the query's trigrams in the whole page bounds it from above, so only pages above ``least`` by their
+    share go to Python. ``by_words=False``: by that share itself."""
     wanted = F.broadcast(pages.sparkSession.createDataFrame([(query,)], "q string")).select(trigrams(F.col("q")).alias("wanted"))
     score = F.size(F.array_intersect("wanted", trigrams(F.col("text_content")))) / F.size("wanted")
     scored = pages.crossJoin(wanted).select("document_key", "text_content", score.alias("similarity"))  # one row on the right
+    return _best(scored, query, k, least, by_words)
+
+
+def _best(scored: DataFrame, query: str, k: int, least: float, by_words: bool) -> DataFrame:
     if by_words:
         scored = scored.filter(F.col("similarity") > least).select("document_key", word_similarity_udf(query)("text_content").alias("similarity"))
     return scored.groupBy("document_key").agg(F.max("similarity").alias("similarity")).filter(F.col("similarity") > least).orderBy(F.col("similarity").desc(), "document_key").limit(k)
 
 
-def word_similarity(query: str, text: str) -> float:
-    """Greatest share of the query's trigrams in a stretch of the text's trigrams (public definition)."""
-    def grams(s: str) -> list[str]:
-        import re
+def gram_table(pages: DataFrame, buckets: int = 64) -> DataFrame:
+    """FTS5: each trigram of a page once, ``bucket`` by its hash, to be stored by bucket: a query reads the pages of its own trigrams."""
+    rows = pages.select("document_key", "page_number", F.explode(trigrams(F.col("text_content"))).alias("gram"))
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
+
 
-        s = s.lower().translate(str.maketrans(ACCENTED, PLAIN))
-        return [("  " + w + " ")[i : i + 3] for w in re.findall("[a-z0-9]+", s) for i in range(len(w) + 1)]
+def suggestions_indexed(index: DataFrame, pages: DataFrame, query: str, k: int = 3, least: float = 0.15, buckets: int = 64) -> DataFrame:
+    """FTS5, AGG7 over a stored trigram table: only pages that share enough trigrams with the query are read."""
+    grams = pages.sparkSession.createDataFrame([(query,)], "q string").select(trigrams(F.col("q"))).first()[0]
+    if not grams:
+        return pages.select("document_key", F.lit(0.0).alias("similarity")).limit(0)
+    mine = index.filter(F.col("gram").isin(*grams) & F.col("bucket").isin(*_buckets(index, grams, buckets)))
+    shares = mine.groupBy("document_key", "page_number").agg((F.count("*") / len(grams)).alias("similarity")).filter(F.col("similarity") > least)
+    return _best(pages.join(shares, ["document_key", "page_number"]).select("document_key", "text_content", "similarity"), query, k, least, True)
 
-    wanted, best = set(grams(query)), 0.0
-    if not wanted:
+
+def _grams(text: str) -> np.ndarray:
+    """The trigrams of the text's words in order, as numbers."""
+    words = re.findall("[a-z0-9]+", text.translate(_FOLD).lower())
+    if not words:
+        return np.zeros(0, np.int64)
+    padded = np.frombuffer("".join(f"  {w} " for w in words).encode(), np.uint8).astype(np.int64)
+    codes = (padded[:-2] << 16) | (padded[1:-1] << 8) | padded[2:]
+    inside = np.ones(len(codes), bool)
+    ends = np.cumsum([len(w) + 3 for w in words])[:-1]
+    inside[ends - 1] = inside[ends - 2] = False  # these reach into the next word
+    return codes[inside]
+
+
+def word_similarity(query: str, text: str) -> float:
+    """Greatest similarity of the query's trigrams with those of a stretch of the text's trigrams (public definition):
+    common ones over all different ones of both.
+
+    The best stretch begins at one of the query's trigrams that is not in it again, and ends at the first of another
+    after that. So each start is followed to its trigram's next place, or until the stretch has so many different
+    trigrams that none of the query's would lift it above the best: all stretches count, whatever their length. Starts
+    with the most of the query's trigrams before that place go first, and end the search where these are too few."""
+    wanted = np.unique(_grams(query))
+    found = _grams(text)
+    m = len(wanted)
+    ours = np.isin(found, wanted)
+    starts = np.flatnonzero(ours)
+    if not m or not len(starts):
         return 0.0
-    found = grams(text)
-    hits = [i for i, g in enumerate(found) if g in wanted]
-    for k, i in enumerate(hits):
-        seen, stretch = set(), set()
-        for j in hits[k:]:
-            if j - i > 3 * len(wanted):
-                break
-            seen.add(found[j])
-            stretch = seen | set(found[i : j + 1])
-            best = max(best, len(seen) / len(wanted | stretch))
+    order = np.argsort(found, kind="stable")
+    same = found[order[1:]] == found[order[:-1]]
+    before, after = np.full(len(found), -1), np.full(len(found), len(found))
+    before[order[1:][same]] = order[:-1][same]
+    after[order[:-1][same]] = order[1:][same]
+    best, inside = 0.0, np.concatenate([[0], np.cumsum(ours)])
+    most = np.minimum(inside[after[starts]] - inside[starts], m) / m
+    order = np.argsort(-most, kind="stable")
+    for i, bound in zip(starts[order].tolist(), most[order].tolist(), strict=True):
+        if bound <= best:
+            break
+        at, end, step, different, common = i, int(after[i]), 8 * m, 0, 0
+        while at < end and different * best <= m:
+            new = before[at : min(at + step, end)] < i
+            places = np.flatnonzero(new & ours[at : at + len(new)])
+            counts = different + np.cumsum(new)
+            if len(places):
+                c = common + np.arange(1, len(places) + 1)
+                best = max(best, float((c / (m + counts[places] - c)).max()))
+            different, common = int(counts[-1]), common + len(places)
+            at, step = at + len(new), 2 * step
     return best
 
 

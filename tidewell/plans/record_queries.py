@@ -153,20 +153,35 @@ _GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lo
 @query("fuzzy_suggest", f"""WITH q AS (SELECT {_GRAMS.format("'Andiou heron xyz'")} AS w) SELECT document_key, round(similarity, 6) AS similarity FROM (SELECT source AS document_key, max(len(list_intersect(w, {_GRAMS.format('text')}))::DOUBLE / len(w)) AS similarity FROM documents, q GROUP BY source) WHERE similarity > 0.15 ORDER BY similarity DESC, document_key LIMIT 3""")
 def fuzzy_suggest(spark, sf):
     d = table(spark, sf, "documents").select(F.col("source").alias("document_key"), F.col("text").alias("text_content"))
-    return S.suggestions(d, "Andiou heron xyz").select("document_key", F.round("similarity", 6).alias("similarity"))
+    return S.suggestions(d, "Andiou heron xyz", by_words=False).select("document_key", F.round("similarity", 6).alias("similarity"))
 
 
 @query("similar_alerts")
 def similar_alerts(spark, sf):
     d = table(spark, sf, "documents").select(F.col("source").alias("document_key"), F.col("text").alias("text_content"))
-    return S.suggestions(d, "Andiou heron xyz", by_words=True).select("document_key", F.round("similarity", 6).alias("similarity"))
+    return S.suggestions(d, "Andiou heron xyz").select("document_key", F.round("similarity", 6).alias("similarity"))
+
 
+_SEQUENCE = _GRAMS.removeprefix("list_distinct(").removesuffix(")")
 
-@query("word_similarity")
+
+@query("word_similarity", f"""WITH q AS (SELECT unnest({_GRAMS.format("'Andiou heron xyz'")}) AS g), lists AS (SELECT item_id, {_SEQUENCE.format('text')} AS gs FROM benchmark),
+seq AS (SELECT item_id, unnest(gs) AS g, generate_subscripts(gs, 1) AS p FROM lists), hits AS (SELECT item_id, p FROM seq WHERE g IN (SELECT g FROM q)),
+stretches AS (SELECT a.item_id, a.p AS i, b.p AS j, count(DISTINCT s.g) AS u, count(DISTINCT s.g) FILTER (s.g IN (SELECT g FROM q)) AS c
+  FROM hits a JOIN hits b ON b.item_id = a.item_id AND b.p >= a.p JOIN seq s ON s.item_id = a.item_id AND s.p BETWEEN a.p AND b.p GROUP BY ALL)
+SELECT item_id, round(coalesce(max(c::DOUBLE / ((SELECT count(*) FROM q) + u - c)), 0), 6) AS similarity FROM lists LEFT JOIN stretches USING (item_id) GROUP BY item_id""")
 def word_similarity(spark, sf):
+    """FTS5: the SQL tries every stretch between two of the query's trigrams."""
     return table(spark, sf, "benchmark").select("item_id", F.round(S.word_similarity_udf("Andiou heron xyz")("text"), 6).alias("similarity"))
 
 
+@query("similar_indexed")
+def similar_indexed(spark, sf):
+    """FTS5, AGG7 by the trigram table: the same suggestions as similar_alerts."""
+    d = table(spark, sf, "documents").select(F.col("source").alias("document_key"), F.col("doc_id").alias("page_number"), F.col("text").alias("text_content"))
+    return S.suggestions_indexed(S.gram_table(d), d, "Andiou heron xyz").select("document_key", F.round("similarity", 6).alias("similarity"))
+
+
 @query("word_diff")
 def word_diff(spark, sf):
     """Each turn against the one before it."""
