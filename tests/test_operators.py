@@ -9,6 +9,7 @@ from tidewell.functions.ranges import place_in
 from tidewell.operators import matching as M
 from tidewell.operators import merge as G
 from tidewell.operators import reports as R
+from tidewell.operators import patterns
 from tidewell.operators import search as S
 
 
@@ -63,9 +64,9 @@ def test_folder_cycles_have_no_path(spark):
     assert [got[k] for k in (10, 11, 12, 13, 30)] == [None] * 5 and len(got) == len(rows)
 
 
-@pytest.mark.parametrize("few", [S.FEW, 2])
+@pytest.mark.parametrize("few", [patterns.AUTOMATON, 2])
 def test_fragments_of_any_length(spark, monkeypatch, few):
-    monkeypatch.setattr(S, "FEW", few)
+    monkeypatch.setattr(patterns, "AUTOMATON", few)
     texts = [(1, "Uno dos  tres cuatro cinco seis siete ocho nueve diez"), (2, "el uno"), (3, "prefijouno dos treso"), (4, None), (5, "")]
     fragments = ["uno", "no dos tr", "UNO DOS", "tres cuatro", "dos tres cuatro", "s tres cuatro c", "dos tres cuatro cinco seis siete ocho nueve di", "diez once doce", "", None, "seis  siete ocho nueve die", "x"]
     items = list(enumerate(fragments))

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tidewell.functions import spanish
 from tidewell.functions.text import ACCENTED, PLAIN, blank, let, lower_fold, quoted_in, squeezed
-from tidewell.operators.matching import contained
+from tidewell.operators.patterns import found_in
 
 #: Words that a query does not search for (fixed values).
 STOP_WORDS = (
@@ -293,37 +293,12 @@ def verified_quotes(items: DataFrame, pages: DataFrame) -> DataFrame:
     return items.join(pages, "doc_id").withColumn("verified", quoted_in(F.col("fragment"), F.col("text")))
 
 
-#: Fragments of one or two words that are sent to every task; more are joined by their characters.
-FEW = 1000
-
-
-def documents_with(fragments: DataFrame, docs: DataFrame, words: int = 6) -> DataFrame:
+def documents_with(fragments: DataFrame, docs: DataFrame) -> DataFrame:
     """FTS8 over all documents: ``item_id, doc_id`` of each fragment (``item_id, fragment``) with each document
-    (``doc_id, text``) that quotes it.
-
-    All words of a fragment but its first and last stand whole in a document that quotes it. By the hash of up to
-    ``words`` of them the two meet, and the test itself follows; documents are cut only into the lengths that occur.
-    Fragments of one or two words have no such word: up to ``FEW`` of them go to every task, which looks for each in its
-    texts; more meet documents by characters."""
-    squeezed_ = fragments.select("item_id", "fragment", squeezed(F.col("fragment")).alias("k")).filter("k != ''").withColumn("w", F.split("k", " "))
-    inner = F.slice("w", 2, F.greatest(F.least(F.size("w") - 2, F.lit(words)), F.lit(0)))
-    hashed = lambda w: F.xxhash64(F.array_join(w, " "), F.size(w))
-    long = squeezed_.filter(F.size("w") > 2).select("item_id", "fragment", F.size(inner).alias("n"), hashed(inner).alias("h"))
-    sizes = sorted(r.n for r in long.select("n").distinct().collect())  # at most ``words`` numbers
-    d = docs.select("doc_id", F.split(squeezed(F.col("text")), " ").alias("w"))
-    cut = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: hashed(F.slice("w", i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
-    hits = None
-    if sizes:
-        stretches = d.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*map(cut, sizes))))).alias("h"))
-        hits = stretches.join(long.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
-        hits = hits.join(docs.select("doc_id", "text"), "doc_id").join(long.select("item_id", "fragment"), "item_id").filter(quoted_in(F.col("fragment"), F.col("text"))).select("item_id", "doc_id")
-    short = squeezed_.filter(F.size("w") <= 2).select("item_id", "k")
-    if many := short.limit(FEW + 1).count():
-        texts = docs.select("doc_id", squeezed(F.col("text")).alias("rt"))
-        more = texts.join(F.broadcast(short), F.contains("rt", "k")) if many <= FEW else contained(short, texts).join(short, "k").join(texts, "rt")
-        more = more.select("item_id", "doc_id")
-        hits = more if hits is None else hits.unionByName(more)
-    return hits if hits is not None else squeezed_.select("item_id").join(docs.select("doc_id")).limit(0)
+    (``doc_id, text``) that quotes it, white space and case aside. The documents are read once for all fragments."""
+    asked = fragments.select("item_id", squeezed(F.col("fragment")).alias("k")).filter("k != ''")
+    found = found_in(asked, docs.select(F.col("doc_id").alias("id"), squeezed(F.col("text")).alias("rt")))
+    return asked.join(found, "k").select("item_id", F.col("id").alias("doc_id"))
 
 
 def term_table(pages: DataFrame, buckets: int = 64) -> DataFrame:
