@@ -135,26 +135,29 @@ def review_flags(raw: Column, ocr: Column, normalized: Column | None = None, lay
     symbols = F.regexp_count(blank(raw), F.lit(r"(?U)[^A-Za-z0-9ÁÉÍÓÚÜÑáéíóúüñ\s]")) / size
     rows = F.filter(F.transform(lines(raw), lambda s: F.trim(s)), lambda s: s != "")
     short = F.size(F.filter(rows, lambda s: F.length(s) <= 3))
-    numeric = F.regexp_extract_all(blank(raw), F.lit(r"\b(\d+[A-Za-z]|[A-Za-z]\d+)\b"), 1)
-    roman = F.filter(F.regexp_extract_all(blank(raw), F.lit(r"\b([IVXLCDMil1]{1,8})\b"), 1), lambda t: F.rlike(t, F.lit("[a-z1]")))
-    heads = F.exists(F.slice(rows, 1, 40), lambda s: F.rlike(s, F.lit(r"^[IVXLCDMil1]{1,8}[.)]\s+\S+")) & ~F.rlike(s, F.lit(r"^[IVXLCDM]{1,8}[.)]\s+")))
+    numeric = F.regexp_extract_all(blank(raw), F.lit(CONFUSED), 1)
+    roman = F.filter(F.regexp_extract_all(blank(raw), F.lit(ROMAN_LIKE), 1), lambda t: F.rlike(t, F.lit("[a-z1]")))
+    heads = F.filter(F.slice(rows, 1, 40), lambda s: F.rlike(s, F.lit(r"^[IVXLCDMil1]{1,8}[.)]\s+\S+")) & ~F.rlike(s, F.lit(r"^[IVXLCDM]{1,8}[.)]\s+")))
     hand = ocr & ((rare > 0.02) | (symbols > 0.14) | (short >= 5) | F.rlike(blank(raw), F.lit(r"[\\/_|]{3,}")))
     return F.struct(
         F.round(rare, 4).alias("rare_ratio"), F.round(symbols, 4).alias("symbol_ratio"), short.alias("short_fragments"),
-        (F.size(numeric) > 0).alias("numeric_error"), (F.size(roman) > 0).alias("roman_error"), heads.alias("heading_error"), F.coalesce(hand, F.lit(False)).alias("handwriting"),
+        (F.size(numeric) > 0).alias("numeric_error"), (F.size(roman) > 0).alias("roman_error"), (F.size(heads) > 0).alias("heading_error"), F.coalesce(hand, F.lit(False)).alias("handwriting"),
         F.rlike(blank(text), F.lit(SENSITIVE["temperature"])).alias("temperature_value"), told("numbered_list_split").alias("list_split"), told("index_alignment_issue").alias("index_alignment"), told("bad_layout_order").alias("layout_order"),
-        F.slice(numeric, 1, 20).alias("numeric_tokens"), F.slice(roman, 1, 20).alias("roman_tokens"), matches.alias("matches"), sensitive_values(text).alias("values"),
+        F.slice(numeric, 1, 20).alias("numeric_tokens"), F.slice(roman, 1, 20).alias("roman_tokens"), F.slice(heads, 1, 12).alias("malformed_heading_lines"), matches.alias("matches"), sensitive_values(text).alias("values"),
     )
 
 
+# Where a word begins and ends in any script; what a plain \b means differs between versions of Java.
+BEGIN, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 # Patterns of values that must not be misread (fixed values).
-ROMAN = r"\b([IVXLCDM]{1,8})\b"
-TEMPERATURE = r"((?<!\d)-?\d{1,3}\s*[°º]?\s*[Cc]\b)"
+CONFUSED = BEGIN + r"(\d+[A-Za-z]|[A-Za-z]\d+)" + END
+ROMAN, ROMAN_LIKE = BEGIN + r"([IVXLCDM]{1,8})" + END, BEGIN + r"([IVXLCDMil1]{1,8})" + END
+TEMPERATURE = r"((?<!\d)-?\d{1,3}\s*[°º]?\s*[Cc]" + END + ")"
 SENSITIVE = {
     "temperature": r"((?<!\d)-?\d{1,3}\s*[°º]?\s*[Cc](?:\s*y\s*-?\d{1,3}\s*[°º]?\s*[Cc])?)",
-    "date": r"\b(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\b",
-    "article": r"(?i)\b(art[íi]culo\s+\d+)\b",
-    "numeral": r"\b(\d+(?:\.\d+){1,4})\b",
+    "date": BEGIN + r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})" + END,
+    "article": "(?i)" + BEGIN + r"(art[íi]culo\s+\d+)" + END,
+    "numeral": BEGIN + r"(\d+(?:\.\d+){1,4})" + END,
 }
 
 

@@ -296,13 +296,17 @@ def sensitive_values(spark, sf):
     return values(spark, VALUES_).select("id", F.array_join(F.transform(Q.sensitive_values(F.col("body")), lambda s: F.concat_ws("=", s.kind, s.value)), ";").alias("found"))
 
 
-@query("review_flags", f"""WITH a AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(list_transform({_LINES}, lambda s: trim(s)), lambda s: s <> '') AS ls FROM documents)
-SELECT doc_id, len(list_filter(ls, lambda s: length(s) <= 3)) AS short_fragments, len(regexp_extract_all(t, '\\b(\\d+[A-Za-z]|[A-Za-z]\\d+)\\b', 1)) > 0 AS numeric_error,
-  regexp_matches(t, '(^|[^0-9])-?[0-9]{{1,3}}\\s*[°º]?\\s*[Cc]') AS temperature_value, doc_id % 2 = 0 AS list_split, false AS layout_order, len(list_distinct(regexp_extract_all(t, '\\b([IVXLCDM]{{1,8}})\\b', 1))) AS romans, len(list_distinct(regexp_extract_all(t, '\\b([0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}})\\b', 1))) AS dates FROM a""")
+@query("review_flags", f"""WITH a AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(list_transform({_LINES}, lambda s: trim(s)), lambda s: s <> '') AS ls FROM documents),
+b AS (SELECT *, string_split_regex(t, '[^\\p{{L}}\\p{{N}}_]+') AS ws, regexp_replace(t, '([^\\p{{L}}\\p{{N}}_/-])', '\\1\\1', 'g') AS apart FROM a)
+SELECT doc_id, len(list_filter(ls, lambda s: length(s) <= 3)) AS short_fragments, len(list_filter(ws, lambda w: regexp_full_match(w, '[0-9]+[A-Za-z]|[A-Za-z][0-9]+'))) > 0 AS numeric_error,
+  regexp_matches(t, '(^|[^0-9])-?[0-9]{{1,3}}\\s*[°º]?\\s*[Cc]') AS temperature_value, doc_id % 2 = 0 AS list_split, false AS layout_order, len(list_distinct(list_filter(ws, lambda w: regexp_full_match(w, '[IVXLCDM]{{1,8}}')))) AS romans,
+  len(list_filter(ws, lambda w: regexp_full_match(w, '[IVXLCDMil1]{{1,8}}') AND regexp_matches(w, '[a-z1]'))) > 0 AS roman_error,
+  len(list_filter(ls[1:40], lambda s: regexp_matches(s, '^[IVXLCDMil1]{{1,8}}[.)]\\s+\\S+') AND NOT regexp_matches(s, '^[IVXLCDM]{{1,8}}[.)]\\s+'))[1:12]) AS malformed,
+  len(list_distinct(regexp_extract_all(apart, '(^|[^\\p{{L}}\\p{{N}}_])([0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}})($|[^\\p{{L}}\\p{{N}}_])', 2))) AS dates FROM b""")
 def review_flags(spark, sf):
     layout = F.struct((F.col("doc_id") % 2 == 0).alias("possible_numbered_list_split"), F.lit(None).cast("boolean").alias("possible_index_alignment_issue"), F.lit(False).alias("possible_bad_layout_order"))
     d = table(spark, sf, "documents").select("doc_id", Q.review_flags(F.col("text"), F.lit(True), layout=layout).alias("f"))
-    return d.select("doc_id", F.col("f.short_fragments").cast("long").alias("short_fragments"), "f.numeric_error", "f.temperature_value", "f.list_split", "f.layout_order", F.size("f.matches.roman_numerals").cast("long").alias("romans"), F.size("f.matches.dates").cast("long").alias("dates"))
+    return d.select("doc_id", F.col("f.short_fragments").cast("long").alias("short_fragments"), "f.numeric_error", "f.temperature_value", "f.list_split", "f.layout_order", F.size("f.matches.roman_numerals").cast("long").alias("romans"), "f.roman_error", F.size("f.malformed_heading_lines").cast("long").alias("malformed"), F.size("f.matches.dates").cast("long").alias("dates"))
 
 
 LAYERS = "SELECT * FROM (VALUES (1, 'Texto normal de una pagina con varias palabras claras.', 'otro', 'ocr', 0.9, 10.0), (2, '', '', '', null, 255.0), (3, 'pegadopegadopegadopegadopegadopegado x', 'Un texto mejor leido por la segunda capa del lector.', '', null, 10.0), (4, '', 'x', 'Un texto que solo se lee con reconocimiento optico.', 0.8, 10.0), (5, '', '', 'Un texto que solo se lee con reconocimiento optico.', null, 10.0)) AS t(id, plain, second, ocr, conf, px)"
