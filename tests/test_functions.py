@@ -93,12 +93,15 @@ def test_streams_are_written_as_tables(spark, tmp_path, mode, want):
 
 
 def test_upserted_stream_is_the_last_row_of_each_key(spark, tmp_path):
+    from tidewell.operators.merge import last_wins
+    from tidewell.sources.tables import BucketTable
     from tidewell.streaming import incremental as I
 
     spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (1, 2, "c")], "k int, n int, v string").coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = I.events(spark, f"{tmp_path}/in", "k int, n int, v string")
-    I.upserted(stream, f"{tmp_path}/t", ["k"], ["n"], f"{tmp_path}/c").awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/t/v=0").select("k", "v").collect())) == [(1, "c"), (2, "b")]
+    table = BucketTable(spark, f"file://{tmp_path}/t", stream.schema, ["k"], lambda old, new: last_wins(old.unionByName(new), ["k"], ["n"]))
+    I.upserted(stream, table, f"{tmp_path}/c").awaitTermination()
+    assert sorted(map(tuple, table.read().select("k", "v").collect())) == [(1, "c"), (2, "b")]
 
 
 def test_reports_are_written(spark, tmp_path):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidewell.operators.merge import last_wins
+from tidewell.sources.tables import BucketTable, Outbox
 
 
 def events(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
@@ -35,18 +35,18 @@ def sliding_counts(stream: DataFrame, length: str = "7 days", step: str = "1 day
     return counted.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")
 
 
-def upserted(stream: DataFrame, table: str, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
-    """At-least-once upsert: each batch is merged with the table into a new version, named by the batch, so that a
-    batch that is run again writes the same version."""
-    spark = stream.sparkSession
+def upserted(stream: DataFrame, table: BucketTable, checkpoint: str) -> StreamingQuery:
+    """SNK2, SNK6 as a stream: each batch is merged into the buckets that it touches; one that is run again changes nothing."""
+    return stream.writeStream.foreachBatch(lambda batch, number: table.merge(batch, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    def merge(batch: DataFrame, number: int) -> None:
-        new = batch
-        if number > 0:
-            new = spark.read.parquet(f"{table}/v={number - 1}").unionByName(batch)
-        last_wins(new, keys, order).drop("first_seen").write.mode("overwrite").parquet(f"{table}/v={number}")
+def delivered(stream: DataFrame, box: Outbox, deliver: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
+    """STM9: each batch is queued, then everything that waits is sent; rows leave when ``deliver`` returns their keys."""
+    def run(batch: DataFrame, number: int) -> None:
+        box.queue(batch, number)
+        box.send(deliver)
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class Trials(StatefulProcessor):
