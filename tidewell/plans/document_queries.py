@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 from tidewell.functions import quality as Q
 from tidewell.operators import extraction as E
 from tidewell.operators import layout as L
+from tidewell.operators import merge as G
 from tidewell.operators.store import shared_folder
 from tidewell.plans.base import query, table, values
 from tidewell.sources import html as H
+from tidewell.sources import tables as T
 from tidewell.streaming import incremental as I
+from tidewell.streaming import timers as M
 
 TYPED = "SELECT * FROM (VALUES (1, 'Alerta', 'Comercialización ilegal de producto que no cuenta con registro sanitario'), (2, 'ALERTA DIGEMID N° 12 - 2024', 'Retiro del mercado por control de calidad'), (3, null, 'Datos del producto farmacéutico falsificado'), (4, 'x', 'Productos sanitarios falsificados'), (5, 'x', 'productos cosméticos falsificados'), (6, 'x', 'Recomendaciones a la población'), (7, null, null)) AS t(id, title, body)"
 _T = "upper(translate(coalesce(title, '') || ' ' || coalesce(body, ''), 'áéíóúÁÉÍÓÚ', 'aeiouAEIOU'))"
@@ -320,6 +324,62 @@ def stream_recent(spark, sf):
     return I.run_to_table(I.sliding_counts(_stream(spark, sf), delay="60 days"), _folder(spark, "recent"), "complete")
 
 
+@contextlib.contextmanager
+def _keyed_state(spark):
+    """The state store that timers need, for the streams inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+@query("stream_uploads", """WITH e AS (SELECT user_id AS chat_id, event_id AS id, ts, event_type IN ('click', 'view') AS asks FROM events),
+l AS (SELECT *, lead(ts) OVER w AS t2, lead(id) OVER w AS i2, lead(asks) OVER w AS a2, (SELECT max(ts) FROM e) AS clock FROM e WINDOW w AS (PARTITION BY chat_id ORDER BY ts, id)),
+k AS (SELECT *, CASE WHEN t2 < ts + INTERVAL 2 HOUR THEN CASE WHEN a2 THEN 'replaced' ELSE 'matched' END WHEN t2 IS NOT NULL OR ts + INTERVAL 2 HOUR <= clock THEN 'expired' END AS state FROM l WHERE asks)
+SELECT chat_id, id, CASE WHEN state = 'matched' THEN i2 END AS answer_id, state FROM k WHERE state IS NOT NULL""")
+def stream_uploads(spark, sf):
+    """FLT18 by timers: a question waits two hours for its answer."""
+    e = _stream(spark, sf).select(F.col("user_id").cast("long").alias("chat_id"), F.col("event_id").cast("long").alias("id"), F.col("event_type").isin("click", "view").alias("asks"), "ts")
+    with _keyed_state(spark):
+        return I.run_to_table(M.uploads(e, "0 seconds", minutes=120), _folder(spark, "uploads"))
+
+
+@query("stream_silence", """WITH l AS (SELECT user_id || ':' || event_type AS source, ts, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS t2, (SELECT max(ts) FROM events) AS clock FROM events)
+SELECT source, ts AS since FROM l WHERE coalesce(t2, clock) >= ts + INTERVAL 5 DAY""")
+def stream_silence(spark, sf):
+    """AGG19 by timers: since when a source is silent."""
+    e = _stream(spark, sf).select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("source"), "ts")
+    with _keyed_state(spark):
+        return I.run_to_table(M.silences(e, "0 seconds"), _folder(spark, "silence"))
+
+
+@query("stream_upsert", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY user_id")
+def stream_upsert(spark, sf):
+    """SNK2, SNK6: the last event of each user, merged into buckets batch by batch; the second half comes twice."""
+    e = table(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    last = lambda old, new: G.last_wins(old.unionByName(new), ["user_id"], ["ts", "event_id"])
+    t = T.BucketTable(spark, _folder(spark, "upsert"), e.schema, ["user_id"], last, 16)
+    for number in (0, 1, 1):
+        t.merge(e.filter(F.col("event_id") % 2 == number), number)
+    return t.read()
+
+
+@query("stream_outbox", "SELECT event_id, event_id % 2 AS batch FROM events WHERE event_type = 'purchase' AND event_id % 3 = 0 AND event_id % 2 = 1")
+def stream_outbox(spark, sf):
+    """STM9: two batches of messages, of which some are refused at first; the first batch is sent again, the second waits."""
+    e = table(spark, sf, "events").filter("event_type = 'purchase'").select("event_id")
+    box = T.Outbox(spark, _folder(spark, "outbox"), e.schema, "event_id")
+    box.queue(e.filter("event_id % 2 = 0"), 0)
+    box.send(lambda rows: rows.filter("event_id % 3 <> 0"))
+    box.send(lambda rows: rows)
+    box.queue(e.filter("event_id % 2 = 1"), 1)
+    box.send(lambda rows: rows.filter("event_id % 3 <> 0"))
+    return box.pending().select("event_id", "batch")
+
+
 @query("real_tables", "SELECT conv_id, count(*) >= 2 AND len(list_filter(list(trim(text)), lambda c: c <> '')) >= 3 AND sum(length(trim(text))) + 4 * count(*) >= 20 AS real FROM conversations GROUP BY conv_id")
 def real_tables(spark, sf):
     c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.array("text", F.lit("cell"))).alias("g"))

@@ -58,7 +58,7 @@ class Trials(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("trial", "started timestamp, sent int, state string")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         started, sent, state = self.state.get() if self.state.exists() else (None, 0, None)
         for frame in rows:
             for row in frame.sort_values("ts").itertuples():
@@ -72,7 +72,7 @@ class Trials(StatefulProcessor):
             self.state.update((started, sent, state))
             yield pd.DataFrame({"chat_id": [key[0]], "state": [state], "sent": [sent]})
 
-    def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         started, sent, state = self.state.get()
         if state == "activa":
             self.state.update((started, sent, "finalizada"))
