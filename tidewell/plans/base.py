@@ -15,12 +15,27 @@ ORACLE: dict[str, str] = {}
 LOW, HIGH = 0.95, 0.99
 
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def named(sql: str) -> str:
+    """SQL whose tables are written ``{table}``, for DuckDB."""
+    for t in TABLES:
+        sql = sql.replace("{" + t + "}", t)
+    return sql
+
+
+def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Rows made from the tables: the same SQL text runs in both engines, its tables written ``{table}``."""
+    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql})
+
+
 def query(name: str, sql: str | None = None):
     """Register a query and the SQL that gives the same rows."""
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = f
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = named(sql)
         return f
 
     return add

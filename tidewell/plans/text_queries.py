@@ -8,11 +8,12 @@ from tidewell.functions import keys as K
 from tidewell.functions import quality as Q
 from tidewell.functions import text as X
 from tidewell.operators import search as S
-from tidewell.plans.base import PAGES_SQL, SIGNS, STRIPPED, norm_pages, quality_sql, query, table, values
+from tidewell.plans.base import PAGES_SQL, SIGNS, STRIPPED, derived, norm_pages, quality_sql, query, table, values
 
 FOLD = f"translate({{}}, '{X.ACCENTED}', '{X.PLAIN}')"
 CLEAN = "trim(regexp_replace(coalesce({}, ''), '[\\s\\x{{a0}}]+', ' ', 'g'))"
-TITLES = "SELECT * FROM (VALUES (1, 'ALERTA DIGEMID N 81-2026', '81-2026'), (2, 'Alerta Sanitaria N° 14-2025: Retiro del producto Ibuprofeno', '14-2025'), (3, '', 'x-1'), (4, 'Alerta DIGEMID Nº 5-2024', '5-2024'), (5, 'Decreto  Supremo   que modifica', null), (6, null, null), (7, 'ALERTA de 7 2023', '7-2023')) AS t(id, title, doc_key)"
+TITLES = """SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN 'ALERTA DIGEMID N ' || k WHEN 1 THEN 'Alerta Sanitaria N° ' || k || ': Retiro del producto ' || p_name WHEN 2 THEN '' WHEN 3 THEN 'Alerta DIGEMID Nº ' || k WHEN 4 THEN 'Decreto  Supremo   que modifica ' || p_type WHEN 6 THEN 'ALERTA de ' || p_size || ' 2023' WHEN 7 THEN p_name END AS title, CASE WHEN p_partkey % 48 <> 4 THEN k END AS doc_key
+  FROM (SELECT *, p_size || '-' || (2000 + p_partkey % 26) AS k FROM {part}) AS x"""
 
 
 @query("text_normalise", f"SELECT doc_id, {CLEAN.format('text')} AS cleaned, upper(replace({FOLD.format(CLEAN.format('text'))}, 'ß', 'SS')) AS folded FROM documents")
@@ -31,14 +32,14 @@ SELECT id, len(list_filter(string_split_regex(regexp_replace(regexp_replace(lowe
   lambda w: w <> '' AND w NOT IN ('alerta', 'digemid', 'n', 'no', 'sanitaria', 'de') AND NOT list_contains(string_split_regex(lower(coalesce(doc_key, '')), '[-\\s]+'), w))) = 0 AS generic
 FROM ({TITLES})""")
 def generic_title(spark, sf):
-    return values(spark, TITLES).select("id", X.is_generic_title(F.col("title"), F.col("doc_key")).alias("generic"))
+    return derived(spark, sf, TITLES).select("id", X.is_generic_title(F.col("title"), F.col("doc_key")).alias("generic"))
 
 
 @query("title_keys", f"""
 SELECT id, trim(regexp_replace(regexp_replace(replace(replace(lower({CLEAN.format('title')}), 'n°', 'n'), 'nº', 'n'), '[^a-z0-9áéíóúüñ ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS title_key,
   translate(upper(trim(regexp_replace(coalesce(title, ''), '[ \\t]+', ' ', 'g'))), 'ÁÉÍÓÚÑ°', 'AEIOUNº') AS header FROM ({TITLES})""")
 def title_keys(spark, sf):
-    return values(spark, TITLES).select("id", X.title_key(F.col("title")).alias("title_key"), X.header(F.col("title")).alias("header"))
+    return derived(spark, sf, TITLES).select("id", X.title_key(F.col("title")).alias("title_key"), X.header(F.col("title")).alias("header"))
 
 
 @query("html_escape", "SELECT page_id, replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
@@ -58,26 +59,29 @@ def percentages(spark, sf):
     return g.select("source", X.percentage(F.col("a"), F.col("b")).alias("english"))
 
 
-PAGE_TEXTS = "SELECT * FROM (VALUES (1, '  a  b ,c' || chr(10) || chr(10) || chr(10) || chr(10) || ' d . ' || chr(13) || chr(10) || 'e ! '), (2, null), (3, 'x' || chr(9) || 'y ;z')) AS t(id, body)"
+PAGE_TEXTS = """SELECT doc_id AS id, CASE doc_id % 5 WHEN 1 THEN replace(text, '. ', ' .' || chr(13) || chr(10) || chr(10) || chr(10) || chr(10) || chr(9)) WHEN 2 THEN '  ' || replace(text, ' ', '  ') || ' ! ' WHEN 3 THEN replace(text, ', ', chr(9) || ',' || chr(10)) WHEN 4 THEN text END AS body FROM {documents}"""
 _PT = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(coalesce(body, ''), chr(160), ' '), '\\r\\n?', chr(10), 'g'), '(?m)^[ \\t]+|[ \\t]+$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
 @query("page_texts", f"SELECT id, {_PT} AS normal, regexp_replace(regexp_replace(regexp_replace({_PT}, '[ \\t]+', ' ', 'g'), '[ \\t]+([,.;:!?])', '\\1', 'g'), '^\\s+|\\s+$', '', 'g') AS cautious FROM ({PAGE_TEXTS})")
 def page_texts(spark, sf):
-    return values(spark, PAGE_TEXTS).select("id", X.page_text(F.col("body")).alias("normal"), X.cautious_page_text(F.col("body")).alias("cautious"))
+    return derived(spark, sf, PAGE_TEXTS).select("id", X.page_text(F.col("body")).alias("normal"), X.cautious_page_text(F.col("body")).alias("cautious"))
 
 
-FILES = "SELECT * FROM (VALUES (1, '81-2026', DATE '2026-07-22', 'a:b/c*d.pdf'), (2, 'DS-14-2002', null, ' x  y?.pdf '), (3, 'RM-1-2020', DATE '2020-01-02', null)) AS t(id, k, day, name)"
+FILES = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'DS-14-' || (1990 + o_orderkey % 30) ELSE (o_orderkey % 90) || '-' || (2000 + o_orderkey % 26) END AS k, CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_orderdate AS DATE) END AS day,
+  CASE o_orderkey % 4 WHEN 0 THEN 'Clerk ' || o_custkey || ':b/c*d.pdf' WHEN 1 THEN '  x  ' || o_orderstatus || ' ?.pdf ' WHEN 2 THEN 'Clerk ' || o_custkey || '.pdf' END AS name FROM {orders}"""
 _FN = "trim(regexp_replace(regexp_replace(coalesce(name, ''), '[\\\\/:*?\"<>|]+', '_', 'g'), '\\s+', ' ', 'g'))"
 
 
 @query("file_names", f"SELECT id, {_FN} AS clean_name, k || '__' || coalesce(strftime(day, '%Y-%m-%d'), 'sin-fecha') || '__' || {_FN} AS copy_name, coalesce(year(day), regexp_extract(k, '(\\d{{4}})', 1)::INT)::INT AS year FROM ({FILES})")
 def file_names(spark, sf):
-    v = values(spark, FILES)
+    v = derived(spark, sf, FILES)
     return v.select("id", X.file_name(F.col("name")).alias("clean_name"), X.copy_name(F.col("k"), F.col("day"), F.col("name")).alias("copy_name"), K.inferred_year(F.col("day"), F.col("k")).alias("year"))
 
 
-DATES = "SELECT * FROM (VALUES (1, 'publicado el 05/3/2026 hoy'), (2, '31/02/2024'), (3, '5 de marzo de 2024'), (4, '31 de febrero de 2024'), (5, 'sin fecha'), (6, null), (7, '7-8-24'), (8, '12/11/2019 y 1/1/2020'), (9, '1 de setiembre del 2021')) AS t(id, body)"
+DATES = """SELECT o_orderkey AS id, CASE o_orderkey % 11 WHEN 0 THEN 'publicado el ' || d || '/' || m || '/' || y || ' hoy' WHEN 1 THEN '31/02/' || y WHEN 2 THEN d || ' de ' || mes || ' de ' || y WHEN 3 THEN '31 de febrero de ' || y WHEN 4 THEN 'pedido ' || 'Clerk ' || o_custkey WHEN 5 THEN NULL WHEN 6 THEN d || '-' || m || '-' || (y - 2000)
+  WHEN 7 THEN d || '/' || m || '/' || y || ' y 1/1/2020' WHEN 8 THEN d || ' de ' || mes || ' del ' || y WHEN 9 THEN lpad(CAST(d AS STRING), 2, '0') || '/' || lpad(CAST(m AS STRING), 2, '0') || '/' || y ELSE 'Lima, ' || d || ' de ' || mes || ' de ' || y || '.' END AS body
+  FROM (SELECT *, day(o_orderdate) AS d, month(o_orderdate) AS m, year(o_orderdate) + 20 AS y, trim(substr('enero     febrero   marzo     abril     mayo      junio     julio     agosto    setiembre octubre   noviembrediciembre ', month(o_orderdate) * 10 - 9, 10)) AS mes FROM {orders}) AS x"""
 _MON = "map {'enero': 1, 'febrero': 2, 'marzo': 3, 'abril': 4, 'mayo': 5, 'junio': 6, 'julio': 7, 'agosto': 8, 'setiembre': 9, 'septiembre': 9, 'octubre': 10, 'noviembre': 11, 'diciembre': 12}"
 
 
@@ -91,22 +95,24 @@ SELECT id, CASE WHEN s.y <> '' THEN s.y || '-' || lpad(s.m, 2, '0') || '-' || lp
     WHEN tt <> '' THEN try_cast(printf('%04d-%02d-%02d', try_cast(t.y AS INT), {_MON}[lower(t.m)], try_cast(t.d AS INT)) AS DATE) END, '%Y-%m-%d') AS checked,
   nullif(CASE WHEN lt <> '' THEN lt ELSE tt END, '') AS shown FROM p""")
 def date_parse(spark, sf):
-    v = values(spark, DATES)
+    v = derived(spark, sf, DATES)
     info = K.date_info(F.col("body"))
     return v.select("id", K.iso_date(F.col("body")).alias("loose"), info.iso.alias("checked"), info.shown.alias("shown"))
 
 
-CARDS = "SELECT * FROM (VALUES (1, '22 Jul', '81-2026'), (2, '3 set. noticia', '9-2024'), (3, '40 ene', '1-2020'), (4, '5 may', null), (5, 'mayo', '2-2020'), (6, '07 Diciembre', '12-2023')) AS t(id, body, k)"
+CARDS = """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN d || ' ' || substr(mes, 1, 3) WHEN 1 THEN d || ' ' || substr(mes, 1, 3) || '. noticia' WHEN 2 THEN (d + 20) || ' ' || upper(substr(mes, 1, 3)) WHEN 3 THEN mes ELSE lpad(CAST(d AS STRING), 2, '0') || ' ' || mes END AS body, CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 90) || '-' || y END AS k
+  FROM (SELECT *, day(o_orderdate) AS d, year(o_orderdate) + 20 AS y, trim(substr('enero     febrero   marzo     abril     mayo      junio     julio     agosto    setiembre octubre   noviembrediciembre ', month(o_orderdate) * 10 - 9, 10)) AS mes FROM {orders}) AS x"""
 
 
 @query("card_dates", f"""
 WITH p AS (SELECT id, regexp_extract(lower(body), '\\b(\\d{{1,2}})\\s+(ene|feb|mar|abr|may|jun|jul|ago|set|sep|oct|nov|dic)', ['d', 'm']) AS x, regexp_extract(coalesce(k, ''), '(20\\d{{2}})\\b', 1) AS y FROM ({CARDS}))
 SELECT id, CASE WHEN x.d <> '' AND try_cast(x.d AS INT) BETWEEN 1 AND 31 AND y <> '' THEN y || '-' || lpad(map {{'ene': 1, 'feb': 2, 'mar': 3, 'abr': 4, 'may': 5, 'jun': 6, 'jul': 7, 'ago': 8, 'set': 9, 'sep': 9, 'oct': 10, 'nov': 11, 'dic': 12}}[x.m]::VARCHAR, 2, '0') || '-' || lpad(x.d, 2, '0') END AS day FROM p""")
 def card_dates(spark, sf):
-    return values(spark, CARDS).select("id", K.day_month(F.col("body"), F.col("k")).alias("day"))
+    return derived(spark, sf, CARDS).select("id", K.day_month(F.col("body"), F.col("k")).alias("day"))
 
 
-ALERTS = "SELECT * FROM (VALUES (1, 'alerta-digemid-no-41-2026', null), (2, 'Alerta DIGEMID N° 41-2026', null), (3, '41-2026', 'http://x.pe/a/041-2026/'), (4, 'Retiro del producto', 'http://x.pe/alertas/retiro-del-producto/'), (5, 'Título único: Ñandú', null), (6, null, null), (7, 'ALERTA DIGEMID Nº 007/2021', null)) AS t(id, title, url)"
+ALERTS = """SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN 'alerta-digemid-no-' || n || '-' || y WHEN 1 THEN 'Alerta DIGEMID N° ' || n || '-' || y WHEN 2 THEN n || '-' || y WHEN 3 THEN 'Retiro del producto ' || p_name WHEN 4 THEN 'Título único: Ñandú ' || p_brand WHEN 6 THEN 'ALERTA DIGEMID Nº ' || lpad(CAST(n AS STRING), 3, '0') || '/' || y WHEN 7 THEN p_type END AS title,
+  CASE p_partkey % 4 WHEN 2 THEN 'http://x.pe/a/' || lpad(CAST(n AS STRING), 3, '0') || '-' || y || '/' WHEN 3 THEN 'http://x.pe/alertas/retiro-' || lower(replace(p_name, ' ', '-')) || '/' END AS url FROM (SELECT *, 1 + p_partkey % 120 AS n, 2005 + p_partkey % 22 AS y FROM {part}) AS x"""
 _BOTH = "lower(coalesce(title, '') || ' ' || coalesce(url, ''))"
 _NAMED = f"regexp_extract({_BOTH}, 'alerta[-_\\s]*digemid[-_\\s]*(?:n[o°º.]*)?[-_\\s]*(\\d{{1,4}})[-_/](20\\d{{2}})', ['n', 'y'])"
 _PLAIN = f"regexp_extract({_BOTH}, '\\b(\\d{{1,4}})[-/](20\\d{{2}})\\b', ['n', 'y'])"
@@ -118,11 +124,12 @@ WITH a AS (SELECT *, {_NAMED} AS n1, {_PLAIN} AS n2, regexp_extract(regexp_repla
 b AS (SELECT *, CASE WHEN n1.n <> '' THEN try_cast(n1.n AS INT) || '-' || n1.y WHEN n2.n <> '' THEN try_cast(n2.n AS INT) || '-' || n2.y END AS number FROM a)
 SELECT id, number, coalesce(number, nullif(substr(slug, 1, 120), ''), nullif(substr(t, 1, 120), ''), 'documento-digemid') AS document_key FROM b""")
 def alert_key(spark, sf):
-    v = values(spark, ALERTS)
+    v = derived(spark, sf, ALERTS)
     return v.select("id", K.alert_number(F.col("title"), F.col("url")).alias("number"), K.document_key(F.col("title"), F.col("url")).alias("document_key"))
 
 
-NORMS = "SELECT * FROM (VALUES (1, 'Resolución Ministerial N° 014-2021/MINSA', 'http://x.pe/a'), (2, 'DS N° 016-2011-SA que aprueba', 'http://x.pe/b'), (3, 'Ley N° 29459', 'http://x.pe/c'), (4, 'Norma técnica 2020', 'http://x.pe/d'), (5, 'D.L. 1161', 'http://x.pe/e'), (6, 'RD 5-2022-DIGEMID', null), (7, 'R.S. N° 003-2019', 'http://x.pe/f')) AS t(id, title, url)"
+NORMS = """SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN 'Resolución Ministerial N° ' || z || '-' || y || '/MINSA' WHEN 1 THEN 'DS N° ' || z || '-' || y || '-SA que aprueba ' || p_type WHEN 2 THEN 'Ley N° ' || (20000 + p_partkey) WHEN 3 THEN 'Norma técnica ' || y WHEN 4 THEN 'D.L. ' || (1000 + p_partkey % 500) WHEN 5 THEN 'RD ' || n || '-' || y || '-DIGEMID' WHEN 6 THEN 'R.S. N° ' || z || '-' || y WHEN 7 THEN p_name ELSE 'DECRETO SUPREMO N° ' || z || '-' || y || '-SA' END AS title,
+  CASE WHEN p_partkey % 10 <> 3 THEN 'http://x.pe/' || lower(replace(p_brand, '#', '-')) || '/' || p_partkey END AS url FROM (SELECT *, 1 + p_partkey % 300 AS n, lpad(CAST(1 + p_partkey % 300 AS STRING), 3, '0') AS z, 2000 + p_partkey % 26 AS y FROM {part}) AS x"""
 
 
 def _norm_case(kinds: list[tuple[str, str, bool]], text: str, what: str) -> str:
@@ -137,7 +144,7 @@ _KINDS = [("RM", f"(?:R\\.?\\s*M\\.?|RESOLUCI[ÓO]N\\s+MINISTERIAL)\\s*{_SIGN}\\
 WITH a AS (SELECT id, title, url, upper({CLEAN.format('title')}) AS u FROM ({NORMS})), b AS (SELECT *, {_norm_case(_KINDS, 'u', "'{kind}'")} AS tipo, {_norm_case(_KINDS, 'u', "regexp_extract(u, '{p}', 1)")} AS n, {_norm_case(_KINDS, 'u', "nullif(regexp_extract(u, '{p}', 2), '')")} AS anio FROM a)
 SELECT id, tipo, n::INT::VARCHAR AS numero, anio, CASE WHEN tipo IS NOT NULL THEN tipo || '-' || n::INT || coalesce('-' || anio, '') ELSE 'NORM-' || upper(substr(sha1(coalesce(title, '') || '|' || coalesce(url, '')), 1, 10)) END AS inventory_key FROM b""")
 def norm_identity(spark, sf):
-    v = values(spark, NORMS).withColumn("w", K.norm_identity(F.col("title")))
+    v = derived(spark, sf, NORMS).withColumn("w", K.norm_identity(F.col("title")))
     return v.select("id", "w.tipo", "w.numero", "w.anio", K.inventory_key(F.col("w.tipo"), F.col("w.numero"), F.col("w.anio"), F.col("title"), F.col("url")).alias("inventory_key"))
 
 
@@ -153,10 +160,11 @@ SELECT id, coalesce({_norm_case([k for k in _KINDS2 if k[2]] + [k for k in _KIND
   {' '.join(f"WHEN regexp_matches(u, '{p}') THEN " + ("''" if k == 'LEY' else f"coalesce('-' || nullif(upper(trim(replace(replace(regexp_extract(u, '{p}', 2), '/', '-'), '--', '-'), '-')), ''), '')") for k, p, y in _KINDS2 if not y)} END,
   'NORM-NORMAS-' || coalesce(nullif(regexp_extract(u, '\\b(20\\d{{2}})\\b', 1), ''), '0000') || '-' || upper(substr(sha1(u), 1, 8))) AS norm_key FROM a""")
 def norm_key(spark, sf):
-    return values(spark, NORMS).select("id", K.norm_key(F.col("title"), F.col("url"), F.lit("normas"), F.lit(None).cast("string")).alias("norm_key"))
+    return derived(spark, sf, NORMS).select("id", K.norm_key(F.col("title"), F.col("url"), F.lit("normas"), F.lit(None).cast("string")).alias("norm_key"))
 
 
-KEYS = "SELECT * FROM (VALUES (1, 'RM', '014', '2021', 'RM-14-2021-MINSA'), (2, null, null, null, 'DS-008-2025-SA'), (3, 'Decreto Supremo', '014-2011-SA', 'año 2011', 'x'), (4, 'LEY', '29459', null, null), (5, null, null, null, null), (6, 'Resolución  Directoral', null, null, 'RD-0005-1999')) AS t(id, tipo, numero, anio, k)"
+KEYS = """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'RM' WHEN 2 THEN 'Decreto Supremo' WHEN 3 THEN 'LEY' WHEN 5 THEN 'Resolución  Directoral' END AS tipo, CASE p_partkey % 6 WHEN 0 THEN z WHEN 2 THEN z || '-' || y || '-SA' WHEN 3 THEN '2' || z || '9' END AS numero, CASE p_partkey % 6 WHEN 0 THEN CAST(y AS STRING) WHEN 2 THEN 'año ' || y END AS anio,
+  CASE p_partkey % 6 WHEN 0 THEN 'RM-' || n || '-' || y || '-MINSA' WHEN 1 THEN 'DS-' || z || '-' || y || '-SA' WHEN 2 THEN 'x' WHEN 5 THEN 'RD-0' || z || '-' || y END AS k FROM (SELECT *, 1 + p_partkey % 300 AS n, lpad(CAST(1 + p_partkey % 300 AS STRING), 3, '0') AS z, 1990 + p_partkey % 36 AS y FROM {part}) AS x"""
 _RAWT = f"trim(regexp_replace(regexp_replace(upper({FOLD.format('{}')}), '[^A-Z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
@@ -173,11 +181,12 @@ d AS (SELECT *, list_filter(rest, lambda t: t IS DISTINCT FROM ky)[1] AS kn FROM
 e AS (SELECT id, coalesce({_type_sql('tipo')}, {_type_sql('toks[1]')}) AS tipo, coalesce(nullif(regexp_extract(coalesce(numero, ''), '(\\d+)', 1), '')::BIGINT::VARCHAR, kn::BIGINT::VARCHAR) AS numero, coalesce(nullif(regexp_extract(coalesce(anio, ''), '((?:19|20)\\d{{2}})', 1), ''), ky) AS anio FROM d)
 SELECT id, tipo, numero, anio, CASE WHEN tipo IS NOT NULL AND numero IS NOT NULL THEN tipo || '-' || numero || coalesce('-' || anio, '') END AS normalized_key FROM e""")
 def identity_parse(spark, sf):
-    v = values(spark, KEYS).withColumn("w", K.identity(F.col("tipo"), F.col("numero"), F.col("anio"), F.col("k")))
+    v = derived(spark, sf, KEYS).withColumn("w", K.identity(F.col("tipo"), F.col("numero"), F.col("anio"), F.col("k")))
     return v.select("id", "w.tipo", "w.numero", "w.anio", F.col("w.key").alias("normalized_key"))
 
 
-PATHS = "SELECT * FROM (VALUES (1, 'Alertas/ALERTA DIGEMID N 41-26.pdf'), (2, 'normas/DS 016-2011-SA texto.pdf'), (3, 'RM_014-2021/MINSA.pdf'), (4, 'varios/Ley 29459.pdf'), (5, 'otros/foto.png'), (6, null), (7, 'x/ALERTA_007_2020.pdf')) AS t(id, path)"
+PATHS = """SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN 'Alertas/ALERTA DIGEMID N ' || n || '-' || (10 + p_partkey % 17) || '.pdf' WHEN 1 THEN 'normas/DS ' || z || '-' || y || '-SA texto.pdf' WHEN 2 THEN 'RM_' || z || '-' || y || '/MINSA.pdf' WHEN 3 THEN 'varios/Ley ' || (20000 + p_partkey) || '.pdf' WHEN 4 THEN 'otros/' || p_name || '.png' WHEN 6 THEN 'x/ALERTA_' || z || '_' || y || '.pdf' WHEN 7 THEN p_type END AS path
+  FROM (SELECT *, 1 + p_partkey % 120 AS n, lpad(CAST(1 + p_partkey % 120 AS STRING), 3, '0') AS z, 2000 + p_partkey % 26 AS y FROM {part}) AS x"""
 _UP = "regexp_replace(upper(coalesce(path, '')), '\\s+', '', 'g')"
 _AL = f"regexp_extract({_UP}, 'ALERTA(?:DIGEMID)?N?\\D*?(\\d{{1,3}})[-_ ]?(\\d{{2,4}})', ['n', 'y'])"
 _NP = f"trim(regexp_replace(upper({FOLD.format("coalesce(path, '')")}), '[^A-Z0-9]+', '-', 'g'), '-')"
@@ -195,10 +204,11 @@ def _path_case() -> str:
 @query("path_keys", f"""WITH a AS (SELECT id, {_AL} AS x, {_NP} AS p FROM ({PATHS}))
 SELECT id, CASE WHEN x.n <> '' THEN try_cast(x.n AS INT) || '-' || CASE WHEN length(x.y) = 2 THEN '20' || x.y ELSE x.y END END AS alert_key, {_path_case()} AS norm_key FROM a""")
 def path_keys(spark, sf):
-    return values(spark, PATHS).select("id", K.file_alert_key(F.col("path")).alias("alert_key"), K.file_norm_key(F.col("path")).alias("norm_key"))
+    return derived(spark, sf, PATHS).select("id", K.file_alert_key(F.col("path")).alias("alert_key"), K.file_norm_key(F.col("path")).alias("norm_key"))
 
 
-PDFS = "SELECT * FROM (VALUES (1, 'http://x.pe/a/RM_014-2021-MINSA.pdf'), (2, 'http://x.pe/DS016-2011-SA.pdf?x=1'), (3, 'http://x.pe/LEY-29459.pdf'), (4, 'http://x.pe/foto.pdf'), (5, null)) AS t(id, url)"
+PDFS = """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'http://x.pe/a/RM_' || z || '-' || y || '-MINSA.pdf' WHEN 1 THEN 'http://x.pe/DS' || z || '-' || y || '-SA.pdf?x=' || p_size WHEN 2 THEN 'http://x.pe/LEY-' || (20000 + p_partkey) || '.pdf' WHEN 3 THEN 'http://x.pe/' || lower(replace(p_name, ' ', '-')) || '.pdf' WHEN 4 THEN 'http://x.pe/RD-' || n || '-' || y || '-DIGEMID.pdf#p2' END AS url
+  FROM (SELECT *, 1 + p_partkey % 120 AS n, lpad(CAST(1 + p_partkey % 120 AS STRING), 3, '0') AS z, 2000 + p_partkey % 26 AS y FROM {part}) AS x"""
 _PN = "upper(regexp_replace(regexp_extract(regexp_replace(coalesce(url, ''), '[?#].*$', ''), '([^/]*)$', 1), '\\.[^.]*$', ''))"
 
 
@@ -214,16 +224,16 @@ def _pdf_case() -> str:
 
 @query("pdf_keys", f"WITH a AS (SELECT id, {_PN} AS n FROM ({PDFS})) SELECT id, {_pdf_case()} AS pdf_key FROM a")
 def pdf_keys(spark, sf):
-    return values(spark, PDFS).select("id", K.pdf_key(F.col("url")).alias("pdf_key"))
+    return derived(spark, sf, PDFS).select("id", K.pdf_key(F.col("url")).alias("pdf_key"))
 
 
-STUBS = "SELECT * FROM (VALUES (1, 'ds', '14', 2002, 'x'), (2, null, null, null, 'Ley General de Salud, artículo 5'), (3, 'RM', null, 2020, '  ')) AS t(id, tipo, numero, anio, descr)"
+STUBS = """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'ds' WHEN 1 THEN 'RM' WHEN 2 THEN p_brand END AS tipo, CASE WHEN p_partkey % 3 <> 1 THEN CAST(p_size AS STRING) END AS numero, CASE WHEN p_partkey % 5 <> 2 THEN 1990 + p_partkey % 36 END AS anio, CASE p_partkey % 7 WHEN 0 THEN '  ' WHEN 1 THEN NULL WHEN 2 THEN 'Ley General de Salud, artículo ' || p_size ELSE p_type || ', ' || p_name END AS descr FROM {part}"""
 
 
 @query("stub_keys", f"""SELECT id, CASE WHEN tipo IS NOT NULL AND numero IS NOT NULL AND anio IS NOT NULL THEN upper(tipo) || '-' || numero || '-' || anio ELSE 'NORM-' || coalesce(nullif(upper(substr(trim(regexp_replace(coalesce(descr, ''), '[^A-Za-z0-9]+', '-', 'g'), '-'), 1, 40)), ''), upper(substr(sha1(concat_ws('|', tipo, numero, descr)), 1, 8))) END AS stub,
   CASE WHEN tipo IS NOT NULL AND numero IS NOT NULL AND anio IS NOT NULL THEN upper(tipo) || '-' || regexp_extract(numero, '(\\d+)', 1)::INT || '-' || anio END AS candidate FROM ({STUBS})""")
 def stub_keys(spark, sf):
-    v = values(spark, STUBS)
+    v = derived(spark, sf, STUBS)
     return v.select("id", K.stub_key(F.col("tipo"), F.col("numero"), F.col("anio"), F.col("descr")).alias("stub"), K.candidate_key(F.col("tipo"), F.col("numero"), F.col("anio")).alias("candidate"))
 
 
@@ -238,14 +248,14 @@ def url_parts(spark, sf):
     return table(spark, sf, "pages").select("page_id", K.url_path(u).alias("path"), K.slug(u).alias("slug"), K.compared_url(u).alias("compared"), K.crawl_url(u).alias("crawled"))
 
 
-URLS = "SELECT * FROM (VALUES (1, 'http://x.pe/webdigemid/author/admin/'), (2, 'http://x.pe/publicaciones/normas-legales/page/3/'), (3, 'http://x.pe/publicaciones/normas-legales/'), (4, 'http://x.pe/publicaciones/normas-legales/decreto-supremo/'), (5, 'http://x.pe/publicaciones/normas-legales/2024/rm-1-2024/'), (6, 'http://x.pe//a//b'), (7, null)) AS t(id, url)"
+URLS = """SELECT page_id AS id, CASE page_id % 8 WHEN 0 THEN url || '/webdigemid/author/admin/' WHEN 1 THEN 'http://x.pe/publicaciones/normas-legales/page/' || page_id || '/' WHEN 2 THEN 'http://x.pe/publicaciones/normas-legales/' WHEN 3 THEN 'http://x.pe/publicaciones/normas-legales/decreto-supremo/' WHEN 4 THEN 'http://x.pe/publicaciones/normas-legales/2024/rm-' || page_id || '-2024/' WHEN 5 THEN 'http://x.pe//a//' || page_id WHEN 6 THEN url END AS url FROM {pages}"""
 _LP = "regexp_replace(regexp_replace(lower(" + _PATH + "), '/{2,}', '/', 'g'), '/+$', '')"
 _IGN = f"CASE WHEN list_contains(string_split({_LP}, '/'), 'author') THEN 'author' WHEN regexp_matches({_LP}, '/page/\\d+$') THEN 'listing_page' WHEN regexp_matches({_LP}, '/normas-legales$') THEN 'navigation' WHEN regexp_extract({_LP}, '^.*?/normas-legales/(.*)$', 1) IN ({', '.join(repr(s) for s in K.CATEGORY_SLUGS)}) THEN 'category' END"
 
 
 @query("url_classify", f"SELECT id, {_IGN} AS ignored, ({_IGN}) IS NULL AND regexp_matches({_LP}, '/normas-legales/20\\d{{2}}/[^/]+/?$') AS detail FROM ({URLS})")
 def url_classify(spark, sf):
-    return values(spark, URLS).select("id", K.ignored_url(F.col("url")).alias("ignored"), F.coalesce(K.is_detail_url(F.col("url")), F.lit(False)).alias("detail"))
+    return derived(spark, sf, URLS).select("id", K.ignored_url(F.col("url")).alias("ignored"), F.coalesce(K.is_detail_url(F.col("url")), F.lit(False)).alias("detail"))
 
 
 @query("page_candidates", """SELECT page_id, n AS page, CASE WHEN n <= 1 THEN url ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') || '/page/' || n || '/' || ' ' || regexp_replace(url, '[?#].*$', '') || '?' || CASE WHEN regexp_extract(url, '\\?([^#]*)', 1) <> '' THEN regexp_extract(url, '\\?([^#]*)', 1) || '&' ELSE '' END || 'paged=' || n END AS candidates FROM pages, (VALUES (1), (2)) AS t(n)""")
@@ -272,13 +282,13 @@ def table_like(spark, sf):
     return table(spark, sf, "documents").select("doc_id", Q.is_table_like(F.col("text"), 1).alias("table_like"))
 
 
-LINES = "SELECT * FROM (VALUES (1, 'Artículo 5 De la venta'), (2, 'IV. Titulo'), (3, '2.3.1 Alcance'), (4, '- punto'), (5, 'a) literal'), (6, '   '), (7, 'texto normal'), (8, '3) tres'), (9, 'articulo 7'), (10, '• bala')) AS t(id, s)"
+LINES = """SELECT o_orderkey AS id, CASE o_orderkey % 11 WHEN 0 THEN 'Artículo ' || o_custkey || ' De la venta' WHEN 1 THEN substr('IVXLCDM', CAST(1 + o_orderkey % 7 AS INT), 2) || '. Titulo ' || 'Clerk ' || o_custkey WHEN 2 THEN (o_orderkey % 9) || '.' || (o_custkey % 30) || '.1 Alcance' WHEN 3 THEN '- ' || o_orderstatus WHEN 4 THEN 'a) literal' WHEN 5 THEN '   ' WHEN 6 THEN 'Clerk ' || o_custkey || ' ' || o_orderstatus WHEN 7 THEN (o_orderkey % 40) || ') tres' WHEN 8 THEN ' articulo ' || o_custkey WHEN 9 THEN '• bala' ELSE o_orderstatus END AS s FROM {orders}"""
 _KIND = "CASE WHEN trim(s) = '' THEN 'blank' WHEN regexp_matches(s, '(?i)^\\s*art[íi]culo\\s+\\d+') OR regexp_matches(s, '^\\s*[IVXLCDM]{1,8}[.)]\\s+') OR regexp_matches(s, '^\\s*\\d+(?:\\.\\d+){1,4}\\.?\\s+') THEN 'heading' WHEN regexp_matches(s, '^\\s*(?:[-*•]|[a-zA-Z]\\)|\\d+\\)|\\d+\\.)\\s+') THEN 'list_item' ELSE 'paragraph' END"
 
 
 @query("line_kinds", f"SELECT id, {_KIND} AS kind, CASE WHEN regexp_matches(s, '(?i)^\\s*art[íi]culo\\s+\\d+') THEN 'article_heading' WHEN regexp_matches(s, '^\\s*[IVXLCDM]{{1,8}}[.)]\\s+') THEN 'roman_heading' WHEN regexp_matches(s, '^\\s*\\d+(?:\\.\\d+){{1,4}}\\.?\\s+') THEN 'numeric_heading' END AS heading FROM ({LINES})")
 def line_kinds(spark, sf):
-    return values(spark, LINES).select("id", Q.line_kind(F.col("s")).alias("kind"), Q.heading_kind(F.col("s")).alias("heading"))
+    return derived(spark, sf, LINES).select("id", Q.line_kind(F.col("s")).alias("kind"), Q.heading_kind(F.col("s")).alias("heading"))
 
 
 @query("line_kind_counts", f"SELECT doc_id, count(*) FILTER (k = 'heading') AS headings, count(*) FILTER (k = 'paragraph') AS paragraphs, count(*) FILTER (k = 'list_item') AS list_items, count(*) FILTER (k = 'blank') AS blanks FROM (SELECT doc_id, {_KIND} AS k FROM (SELECT doc_id, unnest({_LINES}) AS s FROM documents)) GROUP BY doc_id")
@@ -309,7 +319,8 @@ def review_flags(spark, sf):
     return d.select("doc_id", F.col("f.short_fragments").cast("long").alias("short_fragments"), "f.numeric_error", "f.temperature_value", "f.list_split", "f.layout_order", F.size("f.matches.roman_numerals").cast("long").alias("romans"), "f.roman_error", F.size("f.malformed_heading_lines").cast("long").alias("malformed"), F.size("f.matches.dates").cast("long").alias("dates"))
 
 
-LAYERS = "SELECT * FROM (VALUES (1, 'Texto normal de una pagina con varias palabras claras.', 'otro', 'ocr', 0.9, 10.0), (2, '', '', '', null, 255.0), (3, 'pegadopegadopegadopegadopegadopegado x', 'Un texto mejor leido por la segunda capa del lector.', '', null, 10.0), (4, '', 'x', 'Un texto que solo se lee con reconocimiento optico.', 0.8, 10.0), (5, '', '', 'Un texto que solo se lee con reconocimiento optico.', null, 10.0)) AS t(id, plain, second, ocr, conf, px)"
+LAYERS = """SELECT doc_id AS id, CASE WHEN doc_id % 6 IN (1, 3, 4) THEN '' WHEN doc_id % 6 = 2 THEN replace(text, ' ', '') || ' x' ELSE text END AS plain, CASE WHEN doc_id % 6 = 2 THEN text WHEN doc_id % 6 = 3 THEN 'x' ELSE '' END AS second, CASE WHEN doc_id % 6 IN (3, 4) THEN text ELSE '' END AS ocr,
+  CASE WHEN doc_id % 12 = 3 THEN 0.8 WHEN doc_id % 6 = 0 THEN 0.9 END AS conf, CASE WHEN doc_id % 6 = 1 THEN 255.0 ELSE 10.0 END AS px FROM (SELECT doc_id, coalesce(text, '') AS text FROM {documents}) AS x"""
 
 
 @query("page_method", f"""WITH a AS (SELECT *, {quality_sql('plain')} AS q1, {quality_sql('second')} AS q2, {quality_sql('ocr')} AS q3 FROM ({LAYERS})),
@@ -317,7 +328,7 @@ b AS (SELECT *, q1 < 0.75 AND second <> '' AND q2 > q1 AS two FROM a), c AS (SEL
 SELECT id, CASE WHEN plain = '' AND px > 250 THEN 'blank' WHEN (q < 0.5 OR n < 25) AND ocr <> '' AND qo > q THEN 'ocr' WHEN two THEN 'second' ELSE 'plain' END AS method,
   round(CASE WHEN plain = '' AND px > 250 THEN 1.0 WHEN (q < 0.5 OR n < 25) AND ocr <> '' AND qo > q THEN qo ELSE q END, 3) AS quality FROM c""")
 def page_method(spark, sf):
-    v = values(spark, LAYERS)
+    v = derived(spark, sf, LAYERS)
     m = Q.page_method(F.col("plain"), F.col("second"), F.col("ocr"), F.col("conf").cast("double"), F.col("px"))
     return v.select("id", m.method.alias("method"), F.round(m.quality, 3).alias("quality"))
 
