@@ -12,13 +12,14 @@ from tidewell.operators import extraction as E
 from tidewell.operators import layout as L
 from tidewell.operators import merge as G
 from tidewell.operators.store import shared_folder
-from tidewell.plans.base import query, table, values
+from tidewell.plans.base import derived, query, table, values
 from tidewell.sources import html as H
 from tidewell.sources import tables as T
 from tidewell.streaming import incremental as I
 from tidewell.streaming import timers as M
 
-TYPED = "SELECT * FROM (VALUES (1, 'Alerta', 'Comercialización ilegal de producto que no cuenta con registro sanitario'), (2, 'ALERTA DIGEMID N° 12 - 2024', 'Retiro del mercado por control de calidad'), (3, null, 'Datos del producto farmacéutico falsificado'), (4, 'x', 'Productos sanitarios falsificados'), (5, 'x', 'productos cosméticos falsificados'), (6, 'x', 'Recomendaciones a la población'), (7, null, null)) AS t(id, title, body)"
+TYPED = """SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN 'ALERTA DIGEMID N° ' || (1 + p_partkey % 150) || ' - ' || (2000 + p_partkey % 26) WHEN 1 THEN 'Alerta' WHEN 2 THEN 'alerta digemid nº ' || p_size || '-2024' WHEN 3 THEN NULL ELSE p_name END AS title,
+  CASE p_partkey % 9 WHEN 0 THEN 'Comercialización ilegal de ' || p_name || ' que no cuenta con registro sanitario' WHEN 1 THEN 'Retiro del mercado de ' || p_name || ' por control de calidad' WHEN 2 THEN 'Datos del producto farmacéutico falsificado ' || p_type WHEN 3 THEN 'Productos sanitarios ' || p_brand || ' falsificados' WHEN 4 THEN 'productos cosméticos falsificados' WHEN 5 THEN 'Recomendaciones a la población' WHEN 7 THEN p_type || ' retiro del mercado' WHEN 8 THEN p_name END AS body FROM {part}"""
 _T = "upper(translate(coalesce(title, '') || ' ' || coalesce(body, ''), 'áéíóúÁÉÍÓÚ', 'aeiouAEIOU'))"
 
 
@@ -27,7 +28,7 @@ _T = "upper(translate(coalesce(title, '') || ' ' || coalesce(body, ''), 'áéí
   WHEN contains({_T}, 'PRODUCTOS COSMETICOS FALSIFICADOS') THEN 'producto_cosmetico_falsificado' WHEN contains({_T}, 'RECOMENDACIONES') THEN 'recomendacion_seguridad' ELSE 'otro' END AS kind,
   coalesce(nullif(replace(regexp_extract(coalesce(title, ''), '(?i)ALERTA\\s+DIGEMID\\s*N[º°O]?\\s*([0-9]{{1,3}}\\s*-\\s*[0-9]{{4}})', 1), ' ', ''), ''), 'k' || id) AS number FROM ({TYPED})""")
 def alert_type(spark, sf):
-    return values(spark, TYPED).select("id", E.alert_type(F.col("title"), F.col("body")).alias("kind"), E.alert_number(F.col("title"), F.col("body"), F.concat(F.lit("k"), F.col("id"))).alias("number"))
+    return derived(spark, sf, TYPED).select("id", E.alert_type(F.col("title"), F.col("body")).alias("kind"), E.alert_number(F.col("title"), F.col("body"), F.concat(F.lit("k"), F.col("id"))).alias("number"))
 
 
 ROUTED = "SELECT 1 AS id, 'otro' AS kind, 'Nombre del producto;Lote;Registro sanitario;Resultados analíticos' AS body UNION ALL SELECT 2, 'producto_falsificado', '' UNION ALL SELECT 3, 'otro', 'Datos del producto;Nombre;Lote;Fabricante/País' UNION ALL SELECT 4, 'otro', 'presunta falsificación' UNION ALL SELECT 5, 'otro', 'nada'"

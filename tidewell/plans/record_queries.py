@@ -12,7 +12,7 @@ from tidewell.operators import queues as U
 from tidewell.operators import reports as R
 from tidewell.operators import search as S
 from tidewell.operators import states as Z
-from tidewell.plans.base import COUNTS_SQL, HIGH, LOW, PAGES_SQL, norm_pages, query, table, values
+from tidewell.plans.base import COUNTS_SQL, HIGH, LOW, PAGES_SQL, derived, norm_pages, query, table, values
 from tidewell.plans.stems import stems_sql
 
 QUERY = "that with heron enau lichen aux que"
@@ -127,7 +127,7 @@ def search_context_warnings(spark, sf):
     return S.context(p, LOW, HIGH).select("doc_id", "warnings")
 
 
-QUESTIONS = "SELECT * FROM (VALUES (1, '¿Cuántas alertas hubo hoy?'), (2, 'alertas de esta semana'), (3, 'las 3 últimas alertas'), (4, 'la última alerta'), (5, '¿Qué dice la norma de ibuprofeno?'), (6, 'cuantas alertas este mes'), (7, 'alertas nuevas'), (8, null), (9, 'cuántas alertas hay sobre aspirina')) AS t(id, q)"
+QUESTIONS = """SELECT p_partkey AS id, CASE p_partkey % 11 WHEN 0 THEN '¿Cuántas alertas hubo hoy?' WHEN 1 THEN 'alertas de esta semana de ' || p_name WHEN 2 THEN 'las ' || p_size || ' últimas alertas' WHEN 3 THEN 'la última alerta de ' || p_type WHEN 4 THEN '¿Qué dice la norma de ' || p_name || '?' WHEN 5 THEN 'cuantas alertas este mes' WHEN 6 THEN 'alertas nuevas ' || p_size WHEN 8 THEN 'cuántas alertas hay sobre ' || p_brand WHEN 9 THEN (1 + p_size % 12) || ' alertas recientes' WHEN 10 THEN p_name END AS q FROM {part}"""
 _QF = f"lower(translate(coalesce(q, ''), '{S.ACCENTED}', '{S.PLAIN}'))"
 _WHEN = f"CASE WHEN regexp_matches({_QF}, '\\bhoy\\b') THEN 'today' WHEN regexp_matches({_QF}, '\\bsemana\\b') THEN 'week' WHEN regexp_matches({_QF}, '\\bmes\\b') THEN 'month' END"
 
@@ -136,7 +136,7 @@ _WHEN = f"CASE WHEN regexp_matches({_QF}, '\\bhoy\\b') THEN 'today' WHEN regexp_
   WHEN contains({_QF}, 'alerta') AND regexp_matches({_QF}, '\\b(ultima|ultimas|ultimo|ultimos|reciente|recientes|nueva|nuevas|nuevo|nuevos)\\b') THEN 'latest' ELSE 'full_text' END AS route,
   coalesce(try_cast(nullif(regexp_extract({_QF}, '\\b(10|[1-9])\\b', 1), '') AS INT), CASE WHEN regexp_matches({_QF}, '\\b(ultimas|ultimos|recientes|nuevas|nuevos)\\b') THEN 5 WHEN regexp_matches({_QF}, '\\b(ultima|ultimo|reciente|nueva|nuevo)\\b') THEN 1 ELSE 5 END)::INT AS asked FROM ({QUESTIONS})""")
 def query_router(spark, sf):
-    return values(spark, QUESTIONS).select("id", S.route(F.col("q")).alias("route"), S.asked_limit(F.col("q")).alias("asked"))
+    return derived(spark, sf, QUESTIONS).select("id", S.route(F.col("q")).alias("route"), S.asked_limit(F.col("q")).alias("asked"))
 
 
 _TOK = "list_filter(string_split_regex(lower({}), '[^a-záéíóúñü0-9]+'), lambda w: length(w) >= 3 AND w NOT IN (" + ", ".join(f"'{w}'" for w in S.STOP_WORDS) + "))"
@@ -245,13 +245,13 @@ def replace_per_doc(spark, sf):
     return G.replace_by(l.select("l_orderkey", "l_linenumber", "l_quantity"), new, "l_orderkey")
 
 
-FLAGS = "SELECT a.v AS existing, b.v AS norm, c.v AS force_, d.v AS app FROM (VALUES (true), (false)) AS a(v), (VALUES (true), (false)) AS b(v), (VALUES (true), (false)) AS c(v), (VALUES (true), (false)) AS d(v)"
+FLAGS = """SELECT o_orderkey, o_orderkey % 2 = 0 AS existing, o_orderkey % 4 >= 2 AS norm, o_orderkey % 3 = 0 AS force_, o_custkey % 2 = 0 AS app FROM {orders}"""
 
 
 @query("page_action", f"""SELECT *, CASE WHEN existing AND norm THEN CASE WHEN app THEN 'updated_normalized' ELSE 'planned_update_normalized' END WHEN existing AND NOT force_ THEN 'reused' WHEN existing THEN CASE WHEN app THEN 'updated' ELSE 'planned_update' END
   WHEN norm THEN 'skipped_update_normalized_missing' WHEN app THEN 'inserted' ELSE 'planned_insert' END AS action FROM ({FLAGS})""")
 def page_action(spark, sf):
-    return values(spark, FLAGS).withColumn("action", G.page_action(F.col("existing"), F.col("norm"), F.col("force_"), F.col("app")))
+    return derived(spark, sf, FLAGS).withColumn("action", G.page_action(F.col("existing"), F.col("norm"), F.col("force_"), F.col("app")))
 
 
 @query("stamp_keys", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN TIMESTAMP '2000-01-01' ELSE o_orderdate END AS at FROM orders")
@@ -278,13 +278,13 @@ def capped_sources(spark, sf):
     return G.capped_per(table(spark, sf, "documents").select("source", "doc_id"), "source", ["doc_id"], 10)
 
 
-ASSETS = "SELECT * FROM (VALUES (1, 'n1', 'pdf', 'main', 'a.pdf', 'd1'), (2, 'n1', 'pdf', null, 'b.pdf', 'd2'), (3, 'n1', 'img', null, 'b.pdf', 'd2'), (4, 'n2', 'pdf', '', 'a.pdf', null)) AS t(id, norma_id, asset_tipo, asset_subtipo, file_name, drive_file_id)"
-WANTED = "SELECT * FROM (VALUES (10, 'n1', 'pdf', 'main', 'a.pdf', 'x'), (11, 'n1', 'pdf', null, 'zz', 'd2'), (12, 'n2', 'pdf', null, 'a.pdf', null), (13, 'n2', 'img', null, 'q', 'q')) AS t(wanted_id, norma_id, asset_tipo, asset_subtipo, file_name, drive_file_id)"
+ASSETS = """SELECT p_partkey AS id, 'n' || (p_partkey % 500) AS norma_id, CASE p_partkey % 3 WHEN 0 THEN 'img' ELSE 'pdf' END AS asset_tipo, CASE p_partkey % 4 WHEN 0 THEN 'main' WHEN 1 THEN '' END AS asset_subtipo, CASE WHEN p_partkey % 7 <> 0 THEN 'f' || (p_partkey % 20) || '.pdf' END AS file_name, CASE WHEN p_partkey % 5 <> 0 THEN 'd' || (p_partkey % 300) END AS drive_file_id FROM {part}"""
+WANTED = """SELECT c_custkey AS wanted_id, 'n' || (c_custkey % 600) AS norma_id, CASE c_custkey % 3 WHEN 0 THEN 'img' ELSE 'pdf' END AS asset_tipo, CASE c_custkey % 4 WHEN 0 THEN 'main' END AS asset_subtipo, CASE WHEN c_custkey % 9 <> 0 THEN 'f' || (c_custkey % 25) || '.pdf' END AS file_name, CASE WHEN c_custkey % 2 <> 0 THEN 'd' || (c_custkey % 400) END AS drive_file_id FROM {customer}"""
 
 
 @query("asset_reuse", f"""SELECT w.wanted_id, min(a.id) AS asset_id, CASE WHEN min(a.id) IS NULL THEN 'insert' ELSE 'reuse' END AS action FROM ({WANTED}) w LEFT JOIN ({ASSETS}) a ON a.norma_id = w.norma_id AND a.asset_tipo = w.asset_tipo AND ((a.file_name = w.file_name AND coalesce(a.asset_subtipo, '') = coalesce(w.asset_subtipo, '')) OR a.drive_file_id = w.drive_file_id) GROUP BY 1""")
 def asset_reuse(spark, sf):
-    return G.reused_assets(values(spark, WANTED), values(spark, ASSETS)).select("wanted_id", "asset_id", "action")
+    return G.reused_assets(derived(spark, sf, WANTED), derived(spark, sf, ASSETS)).select("wanted_id", "asset_id", "action")
 
 
 @query("folder_paths", "WITH RECURSIVE t AS (SELECT r_regionkey AS id, r_name::VARCHAR AS path FROM region UNION ALL SELECT 100 + n_nationkey, r.path || '/' || n_name FROM nation JOIN t r ON r.id = n_regionkey AND r.id < 100) SELECT * FROM t UNION ALL SELECT * FROM (VALUES (900, NULL), (901, NULL), (902, NULL), (903, 'solo')) AS c(id, path)")
@@ -307,16 +307,26 @@ def import_classify(spark, sf):
     return M.classified_items(rows.filter("item_id % 2 = 0"), rows.filter("item_id % 2 = 1").drop("item_id"))
 
 
-LEFT_ITEMS = "SELECT * FROM (VALUES (1, 'RM-14-2021', 'RM', '14', '2021', 'Norma uno', 'http://x.pe/1'), (2, 'RM-014-2021-MINSA', null, null, null, 'Otra', 'http://x.pe/z'), (3, 'LEY-29459', 'LEY', '29459', null, 'Ley', 'http://x.pe/y'), (4, 'NORM-AB', null, null, null, 'Norma dos', 'http://x.pe/w'), (5, 'DS-9-2024', 'DS', '9', '2024', 'Nueva', 'http://x.pe/v'), (6, 'X', null, null, null, 'Nada', 'HTTP://X.pe/3/?q=1'), (7, null, null, null, null, null, null)) AS t(item_id, document_key, tipo, numero, anio, titulo, source_url)"
-RIGHT_ITEMS = "SELECT * FROM (VALUES ('RM-14-2021', 'RM', '14', '2021', 'Norma Uno', 'http://x.pe/1'), ('LEY-29459-2009', 'LEY', '29459', '2009', 'Ley de productos', 'http://x.pe/2'), ('DS-1-2020', 'DS', '1', '2020', 'norma: dos', 'http://x.pe/3')) AS t(document_key, tipo, numero, anio, titulo, source_url)"
+LEFT_ITEMS = """SELECT p_partkey AS item_id, CASE p_partkey % 6 WHEN 0 THEN 'DS-' || p_partkey || '-' || y WHEN 1 THEN 'DS-0' || p_partkey || '-' || y || '-SA' WHEN 2 THEN 'DS-' || (p_partkey + 1000000) || '-' || y WHEN 3 THEN 'X' END AS document_key, CASE WHEN p_partkey % 6 IN (0, 2) THEN 'DS' END AS tipo, CASE p_partkey % 6 WHEN 0 THEN CAST(p_partkey AS STRING) WHEN 2 THEN CAST(p_partkey + 1000000 AS STRING) END AS numero, CASE WHEN p_partkey % 6 IN (0, 2) THEN CAST(y AS STRING) END AS anio,
+  CASE p_partkey % 6 WHEN 0 THEN 'Norma ' || p_name || ' ' || p_partkey WHEN 1 THEN 'Otra ' || p_partkey WHEN 2 THEN 'Nueva ' || p_partkey WHEN 3 THEN 'Nada' WHEN 4 THEN 'NORMA:  ' || p_name || ' ' || p_partkey END AS titulo, CASE p_partkey % 6 WHEN 0 THEN 'http://x.pe/e/' || p_partkey WHEN 1 THEN 'http://x.pe/z/' || p_partkey WHEN 2 THEN 'http://x.pe/v/' || p_partkey WHEN 3 THEN 'HTTP://X.pe/e/' || p_partkey || '/?q=1' END AS source_url FROM (SELECT *, 2000 + p_partkey % 25 AS y FROM {part}) AS x"""
+RIGHT_ITEMS = """SELECT 'DS-' || p_partkey || '-' || y AS document_key, 'DS' AS tipo, CAST(p_partkey AS STRING) AS numero, CAST(y AS STRING) AS anio, 'norma ' || p_name || ' ' || p_partkey AS titulo, 'http://x.pe/e/' || p_partkey AS source_url FROM (SELECT *, 2000 + p_partkey % 25 AS y FROM {part}) AS x WHERE p_partkey % 4 <> 3"""
 
 
-@query("import_reasons", "SELECT * FROM (VALUES (1, 'exact_document_key,normalized_key,type_number_year,source_url,title_similarity', 'skipped_exact_existing'), (2, 'normalized_key,type_number_year', 'skipped_possible_duplicate'), (3, 'type_number_no_year', 'skipped_possible_duplicate'), (4, '', 'skipped_insufficient_data'), (5, '', 'new_candidate'), (6, 'source_url', 'skipped_possible_duplicate'), (7, '', 'skipped_insufficient_data')) AS t(item_id, reasons, action)")
+_REASONS = f"""l AS (SELECT *, regexp_extract(document_key, '^DS-0*([0-9]+)-([0-9]+)', ['n', 'y']) AS k, lower(regexp_extract(source_url, '^([a-zA-Z]+://[^/?#]*)', 1)) || regexp_replace(regexp_replace(regexp_extract(source_url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+$', ''), '/{{2,}}', '/', 'g') AS u,
+    trim(regexp_replace(regexp_replace(lower(titulo), '[^a-z0-9áéíóúüñ ]+', ' ', 'g'), ' +', ' ', 'g')) AS t FROM ({LEFT_ITEMS})),
+  r AS (SELECT *, trim(regexp_replace(regexp_replace(lower(titulo), '[^a-z0-9áéíóúüñ ]+', ' ', 'g'), ' +', ' ', 'g')) AS t FROM ({RIGHT_ITEMS})),
+  h AS (SELECT item_id, 1 AS o, 'exact_document_key' AS reason FROM l JOIN r USING (document_key) UNION SELECT item_id, 2, 'normalized_key' FROM l JOIN r ON r.document_key = 'DS-' || k.n || '-' || k.y UNION SELECT item_id, 3, 'type_number_year' FROM l JOIN r ON r.numero = coalesce(l.numero, k.n) AND r.anio = coalesce(l.anio, k.y)
+    UNION SELECT item_id, 5, 'source_url' FROM l JOIN r ON l.u = r.source_url UNION SELECT item_id, 6, 'title_similarity' FROM l JOIN r ON l.t = r.t AND (l.anio IS NULL AND k.y IN ('', NULL) OR coalesce(l.anio, k.y, r.anio) = r.anio)),
+  g AS (SELECT l.item_id, coalesce(string_agg(reason, ',' ORDER BY o), '') AS reasons, coalesce(bool_or(reason <> 'title_similarity'), false) AS strong, any_value(document_key) AS key, any_value(k) AS k, any_value(l.tipo) AS tipo FROM l LEFT JOIN h USING (item_id) GROUP BY l.item_id),
+  c AS (SELECT item_id, reasons, CASE WHEN starts_with(reasons, 'exact_document_key') THEN 'skipped_exact_existing' WHEN strong THEN 'skipped_possible_duplicate' WHEN coalesce(k.n, '') = '' THEN 'skipped_insufficient_data' ELSE 'new_candidate' END AS action FROM g)"""
+
+
+@query("import_reasons", f"WITH {_REASONS} SELECT * FROM c")
 def import_reasons(spark, sf):
-    return M.classified_items(values(spark, LEFT_ITEMS), values(spark, RIGHT_ITEMS)).select("item_id", "reasons", "action")
+    return M.classified_items(derived(spark, sf, LEFT_ITEMS), derived(spark, sf, RIGHT_ITEMS)).select("item_id", "reasons", "action")
 
 
-@query("action_summary", "SELECT 7::BIGINT AS total, 1::BIGINT AS existing, 3::BIGINT AS possible, 1::BIGINT AS new_candidates, 2::BIGINT AS insufficient")
+@query("action_summary", f"""WITH {_REASONS} SELECT count(*) AS total, count(*) FILTER (action = 'skipped_exact_existing') AS existing, count(*) FILTER (action = 'skipped_possible_duplicate') AS possible, count(*) FILTER (action = 'new_candidate') AS new_candidates, count(*) FILTER (action = 'skipped_insufficient_data') AS insufficient FROM c""")
 def action_summary(spark, sf):
     return R.action_summary(import_reasons(spark, sf))
 
@@ -360,14 +370,14 @@ def duplicate_keys(spark, sf):
     return M.repeated_keys(p).select("key", "files", F.array_join("file_ids", ",").alias("file_ids"))
 
 
-RELS = "SELECT * FROM (VALUES (1, 'DS', '014-2011', 2011), (2, 'RM', '14', 2021), (3, null, '008', 2025), (4, 'LEY', null, 2009), (5, 'DS', '99', 1999)) AS t(relation_id, tipo, numero, anio)"
-NORMS = "SELECT * FROM (VALUES ('a', 'DS-14-2011', '014-2011-SA', 2011), ('b', 'RM-014-2021-MINSA', '0014', 2021), ('c', 'DS-008-2025-SA', '8', 2025), ('d', 'RD-8-2025', '008', 2025)) AS t(id, document_key, numero, anio)"
+RELS = """SELECT c_custkey AS relation_id, CASE c_custkey % 4 WHEN 0 THEN 'DS' WHEN 1 THEN 'RM' WHEN 2 THEN 'LEY' END AS tipo, CASE c_custkey % 3 WHEN 0 THEN lpad(CAST(c_custkey % 120 AS STRING), 3, '0') || '-2011' WHEN 1 THEN CAST(c_custkey % 120 AS STRING) END AS numero, 1990 + c_nationkey AS anio FROM {customer}"""
+NORMS = """SELECT 'n' || p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'DS-' ELSE 'RM-' END || (p_partkey % 120) || '-' || (1990 + p_partkey % 25) AS document_key, CASE p_partkey % 2 WHEN 0 THEN '00' || (p_partkey % 120) ELSE (p_partkey % 120) || '-2011-SA' END AS numero, 1990 + p_partkey % 25 AS anio FROM {part}"""
 
 
 @query("resolve_affected", f"""WITH r AS (SELECT *, regexp_extract(coalesce(numero, ''), '(\\d+)', 1) AS num FROM ({RELS})), n AS (SELECT *, regexp_extract(numero, '(\\d+)', 1) AS num FROM ({NORMS}))
 SELECT relation_id, coalesce((SELECT min(id) FROM n WHERE n.document_key = upper(r.tipo) || '-' || try_cast(r.num AS INT) || '-' || r.anio), (SELECT min(id) FROM n WHERE n.anio = r.anio AND try_cast(n.num AS INT) = try_cast(r.num AS INT))) AS affected_id FROM r""")
 def resolve_affected(spark, sf):
-    return M.resolved(values(spark, RELS), values(spark, NORMS)).select("relation_id", "affected_id")
+    return M.resolved(derived(spark, sf, RELS), derived(spark, sf, NORMS)).select("relation_id", "affected_id")
 
 
 @query("nearest_join", "SELECT c_custkey, (SELECT s_suppkey FROM supplier WHERE s_nationkey = c_nationkey ORDER BY abs(s_acctbal - c_acctbal), s_suppkey LIMIT 1) AS s_suppkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)")
@@ -377,33 +387,39 @@ def nearest_join(spark, sf):
     return M.nearest(c, s, "g", tie="s_suppkey").select("c_custkey", "s_suppkey").filter("s_suppkey IS NOT NULL")
 
 
-BLOCKS = "SELECT * FROM (VALUES (1, 1, 100.0, 90.0, 110.0), (1, 2, 200.0, 190.0, 230.0), (1, 3, 300.0, 300.0, 300.0), (2, 4, 50.0, 40.0, 60.0)) AS t(g, block_id, center, b_start, b_end)"
-POINTS = "SELECT * FROM (VALUES (1, 1, 95.0), (2, 1, 150.0), (3, 1, 183.0), (4, 1, 250.0), (5, 1, 260.0), (6, 1, 400.0), (7, 2, 0.0), (8, 1, 115.0)) AS t(id, g, y)"
+BLOCKS = """SELECT s_nationkey AS g, s_suppkey AS block_id, s_acctbal AS center, CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal - 10 * (s_suppkey % 30) END AS b_start, CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal + 300 END AS b_end FROM {supplier}"""
+POINTS = """SELECT c_custkey AS id, c_nationkey AS g, c_acctbal AS y FROM {customer}"""
 
 
-@query("interval_first_join", "SELECT * FROM (VALUES (1, 1), (2, 2), (3, 2), (4, 3), (5, 3), (6, 3), (7, 4), (8, 1)) AS t(id, block_id)")
+@query("interval_first_join", f"""WITH b AS (SELECT g, block_id, center AS c, coalesce(b_start, center) AS s, coalesce(b_end, center) AS e FROM ({BLOCKS})), p AS ({POINTS}),
+held AS (SELECT id, arg_min(block_id, (c, block_id)) AS inside FROM p JOIN b USING (g) WHERE y BETWEEN s - 6 AND e + 6 GROUP BY id),
+before AS (SELECT id, max(c) AS pc, arg_max(e, (c, block_id)) AS pe FROM p JOIN b USING (g) WHERE c < y GROUP BY id), first AS (SELECT id, min(block_id) AS pb FROM before JOIN p USING (id) JOIN b ON b.g = p.g AND b.c = pc GROUP BY id),
+behind AS (SELECT id, arg_min(block_id, (c, block_id)) AS nb, min(c) AS nc, arg_min(s, (c, block_id)) AS ns FROM p JOIN b USING (g) WHERE c >= y GROUP BY id)
+SELECT p.id, coalesce(inside, CASE WHEN nb IS NOT NULL AND (y <= ns AND ns - y <= 45 OR pc IS NOT NULL AND y BETWEEN pe AND ns) THEN nb END, CASE WHEN pc IS NULL THEN nb WHEN nb IS NULL OR y - pc <= nc - y THEN pb ELSE nb END) AS block_id
+FROM p LEFT JOIN held USING (id) LEFT JOIN before USING (id) LEFT JOIN first USING (id) LEFT JOIN behind USING (id)""")
 def interval_first_join(spark, sf):
-    b = values(spark, BLOCKS).select("g", "block_id", F.col("center").cast("double"), F.col("b_start").cast("double").alias("start"), F.col("b_end").cast("double").alias("end"))
-    return M.interval_first(values(spark, POINTS).withColumn("y", F.col("y").cast("double")), b, "g").select("id", "block_id")
+    b = derived(spark, sf, BLOCKS).select("g", "block_id", F.col("center").cast("double"), F.col("b_start").cast("double").alias("start"), F.col("b_end").cast("double").alias("end"))
+    return M.interval_first(derived(spark, sf, POINTS).withColumn("y", F.col("y").cast("double")), b, "g").select("id", "block_id")
 
 
-PLACES = "SELECT * FROM (VALUES (1, 100.0, 1, 'Perú'), (1, 100.0, 3, 'Chile'), (1, 130.0, 1, 'India'), (2, 500.0, 2, 'China')) AS t(g, cy, priority, country)"
+PLACES = """SELECT s_nationkey AS g, s_acctbal + 20 * (s_suppkey % 3) AS cy, s_suppkey % 3 AS priority, s_name AS country FROM {supplier}"""
 
 
 @query("near_country", f"""WITH p AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'x' END AS extra FROM ({POINTS})), c AS ({PLACES})
 SELECT id, extra, (SELECT country FROM c WHERE c.g = p.g AND abs(cy - y) <= 45 ORDER BY abs(cy - y), priority, country LIMIT 1) AS country FROM p""")
 def near_country(spark, sf):
-    c = values(spark, PLACES).withColumn("cy", F.col("cy").cast("double"))
-    points = values(spark, POINTS).withColumn("y", F.col("y").cast("double")).withColumn("extra", F.when(F.col("id") % 2 == 0, "x"))
+    c = derived(spark, sf, PLACES).withColumn("cy", F.col("cy").cast("double"))
+    points = derived(spark, sf, POINTS).withColumn("y", F.col("y").cast("double")).withColumn("extra", F.when(F.col("id") % 2 == 0, "x"))
     return M.near_country(points, c, "g").select("id", "extra", "country")
 
 
-LINKS = "SELECT * FROM (VALUES (1, 'http://x.pe/archivos/a.pdf', 'PDF'), (2, 'http://x.pe/ver', 'Descargar documento'), (3, 'http://x.pe/c', 'c')) AS t(id, url, t_)"
+LINKS = """SELECT page_id AS id, CASE page_id % 6 WHEN 0 THEN url || '/archivos/a.pdf' WHEN 1 THEN url || '/ver' WHEN 2 THEN 'http://x.pe/uploads/' || page_id || '.PDF?x=1' WHEN 3 THEN NULL ELSE url END AS url, CASE page_id % 5 WHEN 0 THEN ' PDF ' WHEN 1 THEN 'Descargar documento' WHEN 2 THEN 'Ver más' WHEN 3 THEN NULL ELSE 'c' END AS t_ FROM {pages}"""
 
 
-@query("link_score", "SELECT * FROM (VALUES (1, 22), (2, 12), (3, 0)) AS t(id, score)")
+@query("link_score", f"""SELECT id, (10 * regexp_matches(u, '[.]pdf')::INT + 6 * regexp_matches(u, '/uploads?/|/archivos/|/files?/')::INT + 2 * (t = 'pdf')::INT + list_sum(list_transform(['pdf', 'descargar', 'documento', 'ver'], lambda h: 4 * (contains(t, h) OR contains(u, h))::INT)))::INTEGER AS score
+FROM (SELECT id, lower(coalesce(url, '')) AS u, lower(trim(coalesce(t_, ''))) AS t FROM ({LINKS}))""")
 def link_score(spark, sf):
-    return values(spark, LINKS).select("id", M.link_score(F.col("url"), F.col("t_")).alias("score"))
+    return derived(spark, sf, LINKS).select("id", M.link_score(F.col("url"), F.col("t_")).alias("score"))
 
 
 # --- Reports --------------------------------------------------------------------------------------------
@@ -653,13 +669,16 @@ def pending_storage(spark, sf):
     return U.pending_target(o, "file_storage_path").select("o_orderkey")
 
 
-ADMIT = "SELECT * FROM (VALUES (1, 'resolucion-ministerial', 'Resolución Ministerial N° 14-2021', 'x', 'http://x/resolucion-ministerial/a', false, true, true, true, false), (2, 'decreto-supremo', 'Aprueba decreto supremo', 'x', 'http://x/ds', true, false, true, false, false), (3, 'decreto-supremo', 'Decreto Supremo que aprueba', 'x', 'http://x/ds', true, false, true, false, false), (4, 'otros', 'Portal de trámites', 'x', 'http://x', true, true, true, true, false), (5, 'otros', 'Ley', 'x', 'http://x', true, true, true, true, false), (6, 'otros', 'Ley 29459 de productos', 'x', 'http://x', false, false, true, false, false), (7, 'otros', 'Ley 29459 de productos', 'x', 'http://x', true, false, true, false, false), (8, 'otros', 'Ley 29459', 'x', 'http://x', true, false, true, false, true)) AS t(id, section, title, ctx, url, dated, in_section, normative, numbered, listing)"
+ADMIT = """SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'resolucion-ministerial' WHEN 1 THEN 'decreto-supremo' ELSE 'otros' END AS section, CASE o_orderkey % 8 WHEN 0 THEN 'Resolución Ministerial N° ' || o_custkey || '-2021' WHEN 1 THEN 'Decreto Supremo que aprueba ' || o_custkey WHEN 2 THEN 'Aprueba decreto supremo' WHEN 3 THEN 'Portal de trámites' WHEN 4 THEN 'Ley' WHEN 5 THEN 'Ley ' || o_custkey || ' de productos' WHEN 6 THEN 'Descripción: ' || o_orderstatus ELSE 'RM ' || o_custkey END AS title, 'x ' || o_orderstatus AS ctx,
+  CASE o_orderkey % 5 WHEN 0 THEN 'http://x/resolucion-ministerial/a' WHEN 1 THEN 'http://x/ds ' ELSE 'http://x/' || o_custkey END AS url, o_orderkey % 7 < 4 AS dated, o_orderkey % 11 < 5 AS in_section, o_orderkey % 13 < 9 AS normative, o_custkey % 3 = 0 AS numbered, o_custkey % 17 = 0 AS listing FROM {orders}"""
 
 
-@query("admission", "SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, false), (5, false), (6, false), (7, true), (8, false)) AS t(id, admitted)")
+@query("admission", f"""WITH a AS (SELECT *, translate(lower(title), 'áéíóú', 'aeiou') AS t, lower(url) AS u FROM ({ADMIT})), b AS (SELECT *, t || ' ' || ctx || ' ' || u AS words FROM a)
+SELECT id, NOT (regexp_matches(lower(words), '{"|".join(U.BLOCKED)}') OR t IN ({", ".join(f"'{x}'" for x in U.CATEGORY_TITLES)}) OR starts_with(t, 'descripcion:') OR listing) AND (dated OR numbered)
+  AND CASE section WHEN 'resolucion-ministerial' THEN normative AND (in_section OR regexp_matches(t || ' ' || u, 'resolucion ministerial|r[.]m[.]|rm ')) WHEN 'decreto-supremo' THEN normative AND starts_with(t, 'decreto supremo') AND (in_section OR regexp_matches(t || ' ' || u, 'decreto supremo|d[.]s[.]|ds ')) ELSE in_section OR normative END AS admitted FROM b""")
 def admission(spark, sf):
     c = F.col
-    return values(spark, ADMIT).select("id", U.admitted(c("section"), c("title"), c("ctx"), c("url"), c("dated"), c("in_section"), c("normative"), c("numbered"), c("listing")).alias("admitted"))
+    return derived(spark, sf, ADMIT).select("id", U.admitted(c("section"), c("title"), c("ctx"), c("url"), c("dated"), c("in_section"), c("normative"), c("numbered"), c("listing")).alias("admitted"))
 
 
 @query("blocked_pages", "SELECT page_id, page_id % 10 = 3 OR contains(lower(html), 'cf-browser-verification') AS blocked FROM pages")
@@ -784,7 +803,7 @@ TEXTS = "SELECT * FROM (VALUES ('a', 'Por tanto, queda derogado el decreto anter
 
 @query("relation_detection", "SELECT * FROM (VALUES ('a', 'Decreto 14', true, 'a'), ('b', 'RM catorce', false, 'b')) AS t(origin_id, descripcion, verificado, affected_id)")
 def relation_detection(spark, sf):
-    return Z.new_relations(values(spark, FOUND), values(spark, SEEN), values(spark, NORMS), values(spark, TEXTS)).select("origin_id", "descripcion", "verificado", "affected_id")
+    return Z.new_relations(values(spark, FOUND), values(spark, SEEN), derived(spark, sf, NORMS), values(spark, TEXTS)).select("origin_id", "descripcion", "verificado", "affected_id")
 
 
 @query("audience_fan_out", f"""SELECT telegram_chat_id, audience, o_orderkey FROM (SELECT telegram_chat_id, 'plan' AS audience FROM ({_SUBS}) WHERE estado = 'activo' AND nivel <> 'gratis' AND fecha_fin >= {_TODAY} UNION ALL SELECT telegram_chat_id, 'prueba' FROM ({_USERS}) WHERE prueba_estado = 'activa'), (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5)""")
