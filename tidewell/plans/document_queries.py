@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidewell.functions import quality as Q
+from tidewell.operators import alerts as A
 from tidewell.operators import extraction as E
 from tidewell.operators import layout as L
 from tidewell.operators import merge as G
@@ -31,6 +32,25 @@ def alert_type(spark, sf):
     return derived(spark, sf, TYPED).select("id", E.alert_type(F.col("title"), F.col("body")).alias("kind"), E.alert_number(F.col("title"), F.col("body"), F.concat(F.lit("k"), F.col("id"))).alias("number"))
 
 
+# Alerts made of a document and a part: planted lines before the document's own, every fourth document without any.
+ALERT_TEXTS = """SELECT doc_id, CASE WHEN p_partkey % 5 = 0 THEN 'ALERTA DIGEMID N° ' || (1 + p_partkey % 150) || ' - 2024' END AS title, CASE p_partkey % 4
+  WHEN 0 THEN 'Nombre del producto' || chr(10) || 'Nº de lote' || chr(10) || 'Registro sanitario' || chr(10) || 'Resultados analíticos' || chr(10) || p_name || chr(10) || p_size || ' mg' || chr(10) || lot || chr(10) || 'EE-' || lpad(CAST(p_partkey % 10000 AS STRING), 4, '0') || chr(10) || 'Laboratorio ' || p_type || chr(10) || 'PERU' || chr(10) || holder || chr(10) || 'No conforme' || chr(10) || 'Lima, 3' || chr(10) || text
+  WHEN 1 THEN 'Datos de productos farmacéuticos falsificados' || chr(10) || 'Nombre' || chr(10) || p_name || chr(10) || 'Lote' || chr(10) || lot || chr(10) || 'Fabricante/País' || chr(10) || 'Lab ' || p_type || ' / Perú' || chr(13) || chr(10) || 'Nombre' || chr(10) || p_brand || chr(10) || 'Lote' || chr(10) || 'B' || p_partkey || chr(10) || 'Lima, 3' || chr(10) || text
+  WHEN 2 THEN 'Alerta por presunta falsificación del producto ' || p_name || ', lote N° ' || lot || ', fabricado por Lab ' || p_type || ', de India' || chr(10) || text ELSE text END AS text
+  FROM (SELECT *, 'M0' || lpad(CAST(p_partkey AS STRING), 6, '0') AS lot, 'DROGUERIA ' || replace(p_brand, '#', '') || ' S.A.C.' AS holder FROM {documents} JOIN {part} ON doc_id = p_partkey) AS x"""
+
+
+@query("alert_products", """WITH a AS (SELECT *, CASE WHEN p_partkey % 5 = 0 THEN (1 + p_partkey % 150) || '-2024' END AS alert_number, 'M0' || lpad(p_partkey::VARCHAR, 6, '0') AS lot FROM documents JOIN part ON doc_id = p_partkey)
+SELECT doc_id, alert_number, 'otro' AS alert_type, 'retiro_mercado' AS extractor, p_name || ' ' || p_size || ' mg' AS product_name, lot AS lot_number, 'EE-' || lpad((p_partkey % 10000)::VARCHAR, 4, '0') AS sanitary_registration, 'Laboratorio ' || p_type AS manufacturer, 'PERU' AS manufacturer_country, 'DROGUERIA ' || replace(p_brand, '#', '') || ' S.A.C.' AS registration_holder, 'No conforme' AS analytical_result, 0.86::DOUBLE AS confidence FROM a WHERE p_partkey % 4 = 0
+UNION ALL SELECT doc_id, alert_number, 'producto_falsificado', 'falsificados', p_name, lot, NULL, 'Lab ' || p_type, 'Perú', NULL, NULL, 0.84::DOUBLE FROM a WHERE p_partkey % 4 = 1
+UNION ALL SELECT doc_id, alert_number, 'producto_falsificado', 'falsificados', p_brand, 'B' || p_partkey, NULL, NULL, NULL, NULL, NULL, 0.84::DOUBLE FROM a WHERE p_partkey % 4 = 1
+UNION ALL SELECT doc_id, alert_number, 'otro', 'narrativo_ilegal', p_name, lot, NULL, 'Lab ' || p_type, 'India', NULL, NULL, 0.92::DOUBLE FROM a WHERE p_partkey % 4 = 2""")
+def alert_products(spark, sf):
+    """EXR1-EXR9: products of alerts planted in documents, found by one pass over them; the other documents have none."""
+    found = A.alert_products(derived(spark, sf, ALERT_TEXTS))
+    return found.select("doc_id", "alert_number", "alert_type", "extractor", "product_name", "lot_number", "sanitary_registration", "manufacturer", "manufacturer_country", "registration_holder", "analytical_result", "confidence")
+
+
 ROUTED = "SELECT 1 AS id, 'otro' AS kind, 'Nombre del producto;Lote;Registro sanitario;Resultados analíticos' AS body UNION ALL SELECT 2, 'producto_falsificado', '' UNION ALL SELECT 3, 'otro', 'Datos del producto;Nombre;Lote;Fabricante/País' UNION ALL SELECT 4, 'otro', 'presunta falsificación' UNION ALL SELECT 5, 'otro', 'nada'"
 
 
