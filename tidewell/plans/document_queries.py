@@ -51,21 +51,26 @@ def alert_products(spark, sf):
     return found.select("doc_id", "alert_number", "alert_type", "extractor", "product_name", "lot_number", "sanitary_registration", "manufacturer", "manufacturer_country", "registration_holder", "analytical_result", "confidence")
 
 
-ROUTED = "SELECT 1 AS id, 'otro' AS kind, 'Nombre del producto;Lote;Registro sanitario;Resultados analíticos' AS body UNION ALL SELECT 2, 'producto_falsificado', '' UNION ALL SELECT 3, 'otro', 'Datos del producto;Nombre;Lote;Fabricante/País' UNION ALL SELECT 4, 'otro', 'presunta falsificación' UNION ALL SELECT 5, 'otro', 'nada'"
+ROUTED = """SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN 'producto_falsificado' WHEN 1 THEN 'retiro_mercado_control_calidad' ELSE 'otro' END AS kind, CASE p_partkey % 7 WHEN 0 THEN 'Nombre del producto ' || p_name || ';Nº de lote;Registro sanitario;Resultados analíticos' WHEN 1 THEN p_name WHEN 2 THEN 'Datos del producto;Nombre;' || p_name || ';Lote;Fabricante/País' WHEN 3 THEN 'presunta falsificación de ' || p_name WHEN 4 THEN 'Nombre;Lote;' || p_type WHEN 5 THEN 'Nombre del producto;Registro sanitario;' || p_brand ELSE 'nada' END AS body FROM {part}"""
 
 
-@query("extractor_router", "SELECT * FROM (VALUES (1, 'retiro_mercado'), (2, 'falsificados'), (3, 'falsificados'), (4, 'narrativo_ilegal'), (5, 'ninguno')) AS t(id, extractor)")
+@query("extractor_router", f"""WITH r AS (SELECT id, kind, ';' || upper(translate(body, 'áéíóú', 'aeiou')) || ';' AS b FROM ({ROUTED}))
+SELECT id, CASE WHEN kind = 'retiro_mercado_control_calidad' OR contains(b, 'NOMBRE DEL PRODUCTO') AND contains(b, 'LOTE') AND contains(b, 'REGISTRO SANITARIO') AND contains(b, 'RESULTADOS ANALITICOS') THEN 'retiro_mercado'
+  WHEN kind IN ({", ".join(f"'{k}'" for k in E.FALSIFIED_TYPES)}) OR (contains(b, 'DATOS DEL PRODUCTO') OR contains(b, 'DATOS DE PRODUCTOS FARMACEUTICOS FALSIFICADOS')) AND (contains(b, ';NOMBRE;') OR contains(b, 'NOMBRE DEL PRODUCTO')) AND (contains(b, ';LOTE;') OR contains(b, 'N° DE LOTE')) AND (contains(b, 'FABRICANTE/PAIS') OR contains(b, 'FABRICANTE / PAIS')) THEN 'falsificados'
+  WHEN {" OR ".join(f"contains(b, '{m}')" for m in E.NARRATIVE)} THEN 'narrativo_ilegal' ELSE 'ninguno' END AS extractor FROM r""")
 def extractor_router(spark, sf):
-    return values(spark, ROUTED).select("id", E.extractor(F.col("kind"), F.split("body", ";")).alias("extractor"))
+    return derived(spark, sf, ROUTED).select("id", E.extractor(F.col("kind"), F.split("body", ";")).alias("extractor"))
 
 
-TABLE_LINES = """SELECT * FROM (VALUES (1, 1, 'Alerta'), (1, 2, 'Nombre del producto  Nº de lote  Fabricante  País'), (1, 3, 'Ibuprofeno 400 mg  M0655  Lab Uno  Perú'), (1, 4, 'sigue el nombre'), (1, 5, 'Paracetamol  77A  Lab Dos  Chile'), (1, 6, 'Recomendaciones'), (1, 7, 'No usar  x  y  z'),
-(2, 1, 'PRODUCTO | LOTE'), (2, 2, 'Crema | 123'), (2, 3, 'solo una celda'), (3, 1, 'sin tabla')) AS t(doc, line_no, line)"""
+TABLE_LINES = """SELECT p_partkey AS doc, CASE p_partkey % 3 WHEN 0 THEN 'Alerta;Nombre del producto  Nº de lote  Fabricante  País;' || p_name || ' ' || p_size || ' mg  ' || 'M0' || lpad(CAST(p_partkey AS STRING), 4, '0') || '  Lab ' || p_type || '  Perú;sigue ' || p_type || ';' || p_brand || '  77A' || p_size || '  Lab Dos  Chile;Recomendaciones;No usar  x  y  z' WHEN 1 THEN 'PRODUCTO | LOTE;Crema ' || p_name || ' | 1' || p_partkey || ';solo una celda' ELSE 'sin tabla;' || p_name END AS body FROM {part}"""
 
 
-@query("table_rows", """SELECT * FROM (VALUES (1, 'Ibuprofeno 400 mg', 'M0655', 'Lab Uno sigue el nombre', 'Perú'), (1, 'Paracetamol', '77A', 'Lab Dos', 'Chile'), (2, 'Crema solo una celda', '123', NULL, NULL)) AS t(doc, product_name, lot_number, manufacturer, manufacturer_country)""")
+@query("table_rows", """SELECT p_partkey AS doc, p_name || ' ' || p_size || ' mg' AS product_name, 'M0' || lpad(p_partkey::VARCHAR, 4, '0') AS lot_number, 'Lab ' || p_type || ' sigue ' || p_type AS manufacturer, 'Perú' AS manufacturer_country FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_partkey, p_brand, '77A' || p_size, 'Lab Dos', 'Chile' FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_partkey, 'Crema ' || p_name || ' solo una celda', '1' || p_partkey, NULL, NULL FROM part WHERE p_partkey % 3 = 1""")
 def table_rows(spark, sf):
-    return E.table_rows(values(spark, TABLE_LINES)).select("doc", "product_name", "lot_number", "manufacturer", "manufacturer_country")
+    rows = derived(spark, sf, TABLE_LINES).select("doc", F.posexplode(F.split("body", ";")).alias("line_no", "line"))
+    return E.table_rows(rows).select("doc", "product_name", "lot_number", "manufacturer", "manufacturer_country")
 
 
 @query("islands_rows", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), s AS (SELECT *, (sum((contains(line, '|'))::INT) OVER (PARTITION BY doc_id ORDER BY n))::BIGINT AS isl FROM l)
@@ -115,31 +120,31 @@ def lot_blocks(spark, sf):
     return E.blocks_by_y(values(spark, LOTS), "col_lote", E.starts_lot(F.col("col_lote")), E.continues_lot(F.col("col_lote"))).select("doc", F.col("block_id").cast("int").alias("block_id"), "text", "center")
 
 
-LOT_TEXTS = "SELECT * FROM (VALUES (1, '0380-20'), (2, '1984385'), (3, 'M07484'), (4, 'M0655 (envase mediato)'), (5, '8902*'), (6, '4344**'), (7, 'LOTE'), (8, 'MO655'), (9, '03/2025'), (10, 'abc'), (11, null)) AS t(id, s)"
+LOT_TEXTS = """SELECT p_partkey AS id, CASE p_partkey % 12 WHEN 0 THEN '0' || p_partkey || '-20' WHEN 1 THEN CAST(1900000 + p_partkey AS STRING) WHEN 2 THEN 'M07' || p_partkey WHEN 3 THEN 'M0' || p_partkey || ' (envase mediato)' WHEN 4 THEN (8000 + p_partkey) || '*' WHEN 5 THEN (4000 + p_partkey) || '**' WHEN 6 THEN 'LOTE' WHEN 7 THEN 'MO' || p_partkey || '5' WHEN 8 THEN '03/20' || (10 + p_size % 20) WHEN 9 THEN p_type WHEN 10 THEN p_name END AS s FROM {part}"""
 
 
-@query("lot_rules", "SELECT * FROM (VALUES (1, true, true, '0380-20'), (2, true, true, '1984385'), (3, true, true, 'M07484'), (4, true, false, 'M0655 (envase mediato)'), (5, true, false, '8902'), (6, true, false, '4344'), (7, false, false, 'LOTE'), (8, true, true, 'M0655'), (9, false, false, '03/2025'), (10, false, false, 'abc'), (11, false, false, NULL)) AS t(id, starts, valid, repaired)")
+@query("lot_rules", f"""SELECT id, id % 12 IN (0, 1, 2, 3, 4, 5, 7) AS starts, id % 12 IN (0, 1, 2, 7) AS valid, CASE WHEN id % 12 IN (0, 1, 2, 3) THEN s WHEN id % 12 IN (4, 5) THEN replace(s, '*', '') WHEN id % 12 = 7 THEN 'M0' || id || '5' ELSE s END AS repaired FROM ({LOT_TEXTS})""")
 def lot_rules(spark, sf):
-    return values(spark, LOT_TEXTS).select("id", E.starts_lot(F.col("s")).alias("starts"), E.is_lot(F.col("s")).alias("valid"), E.repaired_lot(F.col("s")).alias("repaired"))
+    return derived(spark, sf, LOT_TEXTS).select("id", E.starts_lot(F.col("s")).alias("starts"), E.is_lot(F.col("s")).alias("valid"), E.repaired_lot(F.col("s")).alias("repaired"))
 
 
-MAKERS = "SELECT * FROM (VALUES (1, 'Indeurec S.A. / Ecuador'), (2, 'Laboratorio Cifarma S.A.C. Perú'), (3, 'P&G Prestige Beaute Geneva / UK (Reino Unido)'), (4, 'Lab sin pais'), (5, null), (6, 'Francia Cosméticos incautados...')) AS t(id, s)"
+MAKERS = """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'Lab ' || p_type || ' S.A. / Ecuador' WHEN 1 THEN 'Laboratorio ' || p_type || ' S.A.C. Perú' WHEN 2 THEN p_name || ' Geneva / UK (Reino Unido)' WHEN 3 THEN 'Lab ' || p_name WHEN 5 THEN 'Francia ' || p_type || ' incautados...' END AS s FROM {part}"""
 
 
-@query("maker_country", "SELECT * FROM (VALUES (1, 'Indeurec S.A.', 'Ecuador', NULL), (2, 'Laboratorio Cifarma S.A.C.', 'Perú', NULL), (3, 'P&G Prestige Beaute Geneva', 'UK (Reino Unido)', NULL), (4, 'Lab sin pais', NULL, NULL), (5, NULL, NULL, NULL), (6, 'Cosméticos incautados...', 'Francia', 'Francia')) AS t(id, maker, country, prefix)")
+@query("maker_country", """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'Lab ' || p_type || ' S.A.' WHEN 1 THEN 'Laboratorio ' || p_type || ' S.A.C.' WHEN 2 THEN p_name || ' Geneva' WHEN 3 THEN 'Lab ' || p_name WHEN 5 THEN p_type || ' incautados...' END AS maker, CASE p_partkey % 6 WHEN 0 THEN 'Ecuador' WHEN 1 THEN 'Perú' WHEN 2 THEN 'UK (Reino Unido)' WHEN 5 THEN 'Francia' END AS country, CASE WHEN p_partkey % 6 = 5 THEN 'Francia' END AS prefix FROM part""")
 def maker_country(spark, sf):
-    v = values(spark, MAKERS)
+    v = derived(spark, sf, MAKERS)
     m, p = E.maker_and_country(F.col("s")), E.country_prefix(F.col("s"))
     return v.select("id", m.maker.alias("maker"), m.country.alias("country"), p.country.alias("prefix"))
 
 
-HOLDERS = "SELECT * FROM (VALUES (1, 'DROGUERÍA DIPHASAC S.A.C. No conforme para el ensayo de', 'Contenido de Ácido Clavulánico'), (2, 'DROGUERÍA PERÚ S.A.C.', 'No conforme'), (3, null, ' * x * ')) AS t(id, h, r)"
+HOLDERS = """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'DROGUERÍA ' || p_type || ' S.A.C. No conforme para el ensayo de' WHEN 1 THEN 'DROGUERÍA  ' || p_name || ' S.A.C.' WHEN 3 THEN p_brand || ' *' END AS h, CASE p_partkey % 4 WHEN 0 THEN 'Contenido de ' || p_name WHEN 1 THEN 'No conforme' WHEN 2 THEN ' * ' || p_type || ' * ' END AS r FROM {part}"""
 
 
-@query("holder_repair", "SELECT * FROM (VALUES (1, 'DROGUERÍA DIPHASAC S.A.C.', 'No conforme para el ensayo de Contenido de Ácido Clavulánico'), (2, 'DROGUERÍA PERÚ S.A.C.', 'No conforme'), (3, NULL, 'x')) AS t(id, holder, result)")
+@query("holder_repair", """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'DROGUERÍA ' || p_type || ' S.A.C.' WHEN 1 THEN 'DROGUERÍA ' || p_name || ' S.A.C.' WHEN 3 THEN p_brand END AS holder, CASE p_partkey % 4 WHEN 0 THEN 'No conforme para el ensayo de Contenido de ' || p_name WHEN 1 THEN 'No conforme' WHEN 2 THEN p_type END AS result FROM part""")
 def holder_repair(spark, sf):
     x = E.holder_and_result(F.col("h"), F.col("r"))
-    return values(spark, HOLDERS).select("id", x.holder.alias("holder"), x.result.alias("result"))
+    return derived(spark, sf, HOLDERS).select("id", x.holder.alias("holder"), x.result.alias("result"))
 
 
 PRODUCTS = "SELECT * FROM (VALUES (1, 'Folio de aluminio x', 'A1234', 0.9), (2, 'Ibuprofeno', 'A1234', 0.9), (3, '', 'A1234', 0.5), (4, 'Ibuprofeno', 'FECHA DE', 0.9), (5, 'Ibuprofeno', null, 0.8)) AS t(doc, product_name, lot_number, confidence)"
@@ -166,36 +171,53 @@ def lot_in_name(spark, sf):
     return v.select("id", F.when(E.lot_in_name(F.regexp_replace("name", r"\*", "")).isNotNull() & F.contains("name", F.lit("*")), F.concat(E.lot_in_name(F.regexp_replace("name", r"\*", "")), F.lit("*"))).otherwise(E.lot_in_name(F.col("name"))).alias("lot"))
 
 
-ACTIONS = "SELECT * FROM (VALUES (1, 1, 'Se recomienda:'), (1, 2, '- No comprar'), (1, 3, 'en la calle'), (1, 4, '2) Avisar'), (1, 5, '• no comprar en la calle'), (1, 6, 'Fuente: x'), (1, 7, '- fuera'), (2, 1, '- nada')) AS t(doc, line_no, line)"
+ACTIONS = """SELECT p_partkey AS doc, CASE p_partkey % 4 WHEN 0 THEN 'Se recomienda:;- No comprar ' || p_name || ';en la calle;2) Avisar a ' || p_brand || ';• no comprar ' || upper(p_name) || ' en la calle;Fuente: x;- fuera' WHEN 1 THEN '- nada;' || p_name WHEN 2 THEN p_name || ';Se recomienda:;- Revisar el lote ' || p_size || ';' || p_type ELSE p_type END AS body FROM {part}"""
 
 
-@query("recommended_actions", "SELECT * FROM (VALUES (1, 1, 'No comprar en la calle'), (1, 2, 'Avisar')) AS t(doc, b, action)")
+@query("recommended_actions", """SELECT p_partkey AS doc, 1 AS b, 'No comprar ' || p_name || ' en la calle' AS action FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT p_partkey, 2, 'Avisar a ' || p_brand FROM part WHERE p_partkey % 4 = 0
+UNION ALL SELECT p_partkey, 1, 'Revisar el lote ' || p_size || ' ' || p_type FROM part WHERE p_partkey % 4 = 2""")
 def recommended_actions(spark, sf):
-    return E.recommended_actions(values(spark, ACTIONS)).select("doc", F.col("b").cast("int").alias("b"), "action")
+    rows = derived(spark, sf, ACTIONS).select("doc", F.posexplode(F.split("body", ";")).alias("line_no", "line"))
+    return E.recommended_actions(rows).select("doc", F.col("b").cast("int").alias("b"), "action")
 
 
-@query("quality_products", """SELECT * FROM (VALUES ('Ibuprofeno 400 mg', 'M0655', 'EE-1234', 'Laboratorio Uno', 'PERU', 'DROGUERIA X S.A.C.', 'No conforme', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, 0.86::DOUBLE, 'ok'), (NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, 0.0::DOUBLE, 'no_header'), (NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, 0.0::DOUBLE, 'no_header')) AS t(product_name, lot_number, sanitary_registration, manufacturer, manufacturer_country, registration_holder, analytical_result, expiry_date, department, intervention_address, confidence, status)""")
+QUALITY_LINES = """SELECT p_partkey AS doc, CASE p_partkey % 4 WHEN 0 THEN 'Nombre del producto;Nº de lote;Resultados analíticos;' || p_name || ';' || p_size || ' mg;' || 'M0' || lpad(CAST(p_partkey AS STRING), 4, '0') || ';EE-1' || p_size || ';Laboratorio ' || p_type || ';PERU;DROGUERIA X' || p_size || ' S.A.C.;No conforme;Lima, 3' WHEN 1 THEN p_name WHEN 2 THEN 'Resultados analíticos;' || p_name || ' crema' END AS body FROM {part}"""
+
+
+@query("quality_products", """SELECT p_partkey AS doc, CASE p_partkey % 4 WHEN 0 THEN p_name || ' ' || p_size || ' mg' WHEN 2 THEN p_name || ' crema' END AS product_name, CASE WHEN f THEN 'M0' || lpad(p_partkey::VARCHAR, 4, '0') END AS lot_number, CASE WHEN f THEN 'EE-1' || p_size END AS sanitary_registration, CASE WHEN f THEN 'Laboratorio ' || p_type END AS manufacturer, CASE WHEN f THEN 'PERU' END AS manufacturer_country,
+  CASE WHEN f THEN 'DROGUERIA X' || p_size || ' S.A.C.' END AS registration_holder, CASE WHEN f THEN 'No conforme' END AS analytical_result, NULL::VARCHAR AS expiry_date, NULL::VARCHAR AS department, NULL::VARCHAR AS intervention_address, CASE p_partkey % 4 WHEN 0 THEN 0.86 WHEN 2 THEN 0.55 ELSE 0 END::DOUBLE AS confidence, CASE p_partkey % 4 WHEN 0 THEN 'ok' WHEN 2 THEN 'no_lot' ELSE 'no_header' END AS status
+FROM (SELECT *, p_partkey % 4 = 0 AS f FROM part)""")
 def quality_products(spark, sf):
-    rows = ["Nombre del producto", "Nº de lote", "Resultados analíticos", "Ibuprofeno", "400 mg", "M0655", "EE-1234", "Laboratorio Uno", "PERU", "DROGUERIA X S.A.C.", "No conforme", "Lima, 3"]
-    return spark.createDataFrame([(rows,), ([],), (None,)], "rows array<string>").lateralJoin(E.QualityProducts(F.col("rows").outer())).drop("rows")
+    rows = derived(spark, sf, QUALITY_LINES).select("doc", F.split("body", ";").alias("rows"))
+    return rows.lateralJoin(E.QualityProducts(F.col("rows").outer())).drop("rows")
+
+
+LABEL_LINES = """SELECT p_partkey AS doc, CASE p_partkey % 3 WHEN 0 THEN 'Datos de productos farmacéuticos falsificados;Nombre;' || p_name || ';' || p_type || ';Lote;A' || p_partkey || ';Fabricante/País;Lab ' || p_type || ' / Perú;Nombre;' || p_brand || ';Lote;B1;Lima, 3;Nombre;no' WHEN 1 THEN 'Nombre;' || p_name END AS body FROM {part}"""
 
 
-@query("falsified_products", """SELECT * FROM (VALUES ('Crema A', 'A1', NULL::VARCHAR, 'Lab', 'Perú', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, 0.84::DOUBLE, 'ok'), ('Crema B', 'B1', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, 0.84::DOUBLE, 'ok'), (NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, 0.0::DOUBLE, 'no_header')) AS t(product_name, lot_number, sanitary_registration, manufacturer, manufacturer_country, registration_holder, analytical_result, expiry_date, department, intervention_address, confidence, status)""")
+@query("falsified_products", """SELECT p_partkey AS doc, p_name || ' ' || p_type AS product_name, 'A' || p_partkey AS lot_number, NULL::VARCHAR AS sanitary_registration, 'Lab ' || p_type AS manufacturer, 'Perú' AS manufacturer_country, NULL::VARCHAR AS registration_holder, NULL::VARCHAR AS analytical_result, NULL::VARCHAR AS expiry_date, NULL::VARCHAR AS department, NULL::VARCHAR AS intervention_address, 0.84::DOUBLE AS confidence, 'ok' AS status FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_partkey, p_brand, 'B1', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0.84, 'ok' FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0, 'no_header' FROM part WHERE p_partkey % 3 <> 0""")
 def falsified_products(spark, sf):
-    rows = ["Datos de productos farmacéuticos falsificados", "Nombre", "Crema A", "Lote", "A1", "Fabricante/País", "Lab / Perú", "Nombre", "Crema B", "Lote", "B1", "Lima, 3", "Nombre", "no"]
-    return spark.createDataFrame([(rows,), ([],)], "rows array<string>").lateralJoin(E.FalsifiedProducts(F.col("rows").outer())).drop("rows")
+    rows = derived(spark, sf, LABEL_LINES).select("doc", F.split("body", ";").alias("rows"))
+    return rows.lateralJoin(E.FalsifiedProducts(F.col("rows").outer())).drop("rows")
 
 
-@query("compared_products", """SELECT * FROM (VALUES ('FRASCO', 'Plástico', 'Vidrio'), ('CAJA', 'No presenta', NULL::VARCHAR), ('ETIQUETA', 'a', 'b')) AS t(name, without_rs, with_rs)""")
+COMPARED_LINES = """SELECT p_partkey AS doc, CASE WHEN p_partkey % 2 = 0 THEN 'Frasco;' || p_name || ';Vidrio;Caja:;' || p_type || ';Etiqueta;' || p_brand || ';b' ELSE p_name || ';' || p_type END AS body FROM {part}"""
+
+
+@query("compared_products", """SELECT p_partkey AS doc, 'FRASCO' AS name, p_name AS without_rs, 'Vidrio' AS with_rs FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'CAJA', p_type, NULL FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'ETIQUETA', p_brand, 'b' FROM part WHERE p_partkey % 2 = 0""")
 def compared_products(spark, sf):
-    rows = ["Frasco", "Plástico", "Vidrio", "Caja:", "No presenta", "Etiqueta", "a", "b"]
-    return spark.createDataFrame([(rows,)], "rows array<string>").lateralJoin(E.ComparedCharacteristics(F.col("rows").outer())).drop("rows")
+    rows = derived(spark, sf, COMPARED_LINES).select("doc", F.split("body", ";").alias("rows"))
+    return rows.lateralJoin(E.ComparedCharacteristics(F.col("rows").outer())).drop("rows")
+
+
+NARRATED = """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'El producto ' || p_name || ', lote N° AB' || p_partkey || 'X, fabricado por Lab ' || p_type || ', de India' WHEN 1 THEN 'denominado "' || p_name || '" sin lote conocido; fabricante: ' || p_brand || '.' WHEN 2 THEN p_type || ' de Chile' END AS body FROM {part}"""
 
 
-@query("narrative_products", """SELECT * FROM (VALUES (1, 'OPDIVO polvo', 'AB123', 'Lab Uno', 'India', 0.92::DOUBLE), (2, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, 0.76::DOUBLE)) AS t(id, product_name, lot_number, manufacturer, manufacturer_country, confidence)""")
+@query("narrative_products", """SELECT p_partkey AS id, CASE WHEN p_partkey % 4 < 2 THEN p_name END AS product_name, CASE p_partkey % 4 WHEN 0 THEN 'AB' || p_partkey || 'X' WHEN 1 THEN 'conocido' END AS lot_number, CASE p_partkey % 4 WHEN 0 THEN 'Lab ' || p_type WHEN 1 THEN p_brand END AS manufacturer, CASE p_partkey % 4 WHEN 0 THEN 'India' WHEN 2 THEN 'Chile' END AS manufacturer_country,
+  CASE WHEN p_partkey % 4 < 2 THEN 0.92 ELSE 0.76 END::DOUBLE AS confidence FROM part""")
 def narrative_products(spark, sf):
-    v = values(spark, "SELECT 1 AS id, 'El producto OPDIVO polvo, lote N° AB123, fabricado por Lab Uno, de India' AS body UNION ALL SELECT 2, 'nada'")
-    return v.select("id", F.inline(F.array(E.narrative_product(F.col("body")))))
+    return derived(spark, sf, NARRATED).select("id", F.inline(F.array(E.narrative_product(F.col("body")))))
 
 
 _ALERT = [
