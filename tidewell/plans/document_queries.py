@@ -147,28 +147,31 @@ def holder_repair(spark, sf):
     return derived(spark, sf, HOLDERS).select("id", x.holder.alias("holder"), x.result.alias("result"))
 
 
-PRODUCTS = "SELECT * FROM (VALUES (1, 'Folio de aluminio x', 'A1234', 0.9), (2, 'Ibuprofeno', 'A1234', 0.9), (3, '', 'A1234', 0.5), (4, 'Ibuprofeno', 'FECHA DE', 0.9), (5, 'Ibuprofeno', null, 0.8)) AS t(doc, product_name, lot_number, confidence)"
+PRODUCTS = """SELECT p_partkey AS doc, CASE p_partkey % 5 WHEN 0 THEN 'Folio de aluminio ' || p_name WHEN 2 THEN '' ELSE p_name END AS product_name, CASE p_partkey % 7 WHEN 0 THEN 'FECHA DE' WHEN 1 THEN NULL ELSE 'A' || p_partkey END AS lot_number, CASE p_partkey % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.5 ELSE 0.8 END AS confidence FROM {part}"""
 
 
-@query("product_quality", "SELECT * FROM (VALUES (1, true, 0.6::DOUBLE, false), (2, false, 0.9::DOUBLE, false), (3, true, 0.5::DOUBLE, true), (4, false, 0.9::DOUBLE, true), (5, false, 0.8::DOUBLE, true)) AS t(doc, suspicious, confidence, low)")
+@query("product_quality", f"""SELECT doc, doc % 5 IN (0, 2) AS suspicious, CASE WHEN doc % 5 IN (0, 2) THEN least(confidence, 0.6) ELSE confidence END::DOUBLE AS confidence, product_name = '' OR doc % 7 < 2 OR confidence <= 0.65 AS low FROM ({PRODUCTS})""")
 def product_quality(spark, sf):
-    v = values(spark, PRODUCTS).withColumn("confidence", F.col("confidence").cast("double"))
+    v = derived(spark, sf, PRODUCTS).withColumn("confidence", F.col("confidence").cast("double"))
     return v.select("doc", E.is_suspicious(F.col("product_name")).alias("suspicious"), E.capped_confidence(F.col("product_name"), F.col("confidence")).alias("confidence"), E.is_low_quality(F.col("product_name"), F.col("lot_number"), F.lit(""), F.lit(""), F.col("confidence")).alias("low"))
 
 
-@query("layout_fallback", "SELECT * FROM (VALUES (1, 'text'), (2, 'text'), (4, 'layout'), (6, 'layout')) AS t(doc, origin)")
+@query("layout_fallback", f"""WITH x AS (SELECT *, product_name = '' OR doc % 7 < 2 OR confidence <= 0.65 AS low FROM ({PRODUCTS}) WHERE doc % 4 <> 0), l AS (SELECT p_partkey AS doc FROM part WHERE p_partkey % 3 <> 0),
+b AS (SELECT l.doc FROM l LEFT JOIN x USING (doc) WHERE l.doc % 5 <> 1 AND coalesce(x.low, true)) SELECT doc, 'text' AS origin FROM x WHERE doc NOT IN (SELECT doc FROM b) UNION ALL SELECT doc, 'layout' FROM b""")
 def layout_fallback(spark, sf):
     add = lambda d, o: d.withColumns({"manufacturer": F.lit(""), "manufacturer_country": F.lit(""), "origin": F.lit(o), "confidence": F.col("confidence").cast("double")})
-    texts = add(values(spark, PRODUCTS).filter("doc IN (1, 2, 4)"), "text")
-    lay = add(values(spark, "SELECT * FROM (VALUES (2, 'L', 'B1', 0.9), (4, 'L', 'B1', 0.9), (6, 'L', 'B1', 0.9), (7, 'L', 'B1', 0.9)) AS t(doc, product_name, lot_number, confidence)"), "layout")
-    types = values(spark, "SELECT * FROM (VALUES (1, 'producto_falsificado'), (2, 'producto_falsificado'), (4, 'producto_falsificado'), (6, 'producto_falsificado'), (7, 'otro')) AS t(doc, alert_type)")
+    texts = add(derived(spark, sf, PRODUCTS).filter("doc % 4 <> 0"), "text")
+    lay = add(derived(spark, sf, "SELECT p_partkey AS doc, 'L' AS product_name, 'B1' AS lot_number, 0.9 AS confidence FROM {part} WHERE p_partkey % 3 <> 0"), "layout")
+    types = derived(spark, sf, "SELECT p_partkey AS doc, CASE WHEN p_partkey % 5 = 1 THEN 'otro' ELSE 'producto_falsificado' END AS alert_type FROM {part}")
     return E.with_layout_fallback(texts, lay, types).select("doc", "origin")
 
 
-@query("lot_in_name", "SELECT * FROM (VALUES (1, 'A12345*'), (2, 'B777'), (3, NULL), (4, '1234567')) AS t(id, lot)")
+NAMED_LOTS = """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'Ibuprofeno ' || p_type || ' A1' || (1000 + p_partkey) || '* caja B777' WHEN 1 THEN 'Crema ' || p_name || ' B' || (7000 + p_partkey) || ' 100 ML' WHEN 2 THEN 'solo ' || p_name WHEN 3 THEN 'Jarabe ' || (1000000 + p_partkey) END AS name FROM {part}"""
+
+
+@query("lot_in_name", "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'A1' || (1000 + p_partkey) || '*' WHEN 1 THEN 'B' || (7000 + p_partkey) WHEN 3 THEN (1000000 + p_partkey)::VARCHAR END AS lot FROM part")
 def lot_in_name(spark, sf):
-    v = values(spark, "SELECT * FROM (VALUES (1, 'Ibuprofeno A12345* caja B777'), (2, 'Crema B777 100 ML'), (3, 'solo palabras'), (4, 'Jarabe 1234567')) AS t(id, name)")
-    return v.select("id", F.when(E.lot_in_name(F.regexp_replace("name", r"\*", "")).isNotNull() & F.contains("name", F.lit("*")), F.concat(E.lot_in_name(F.regexp_replace("name", r"\*", "")), F.lit("*"))).otherwise(E.lot_in_name(F.col("name"))).alias("lot"))
+    return derived(spark, sf, NAMED_LOTS).select("id", F.when(E.lot_in_name(F.regexp_replace("name", r"\*", "")).isNotNull() & F.contains("name", F.lit("*")), F.concat(E.lot_in_name(F.regexp_replace("name", r"\*", "")), F.lit("*"))).otherwise(E.lot_in_name(F.col("name"))).alias("lot"))
 
 
 ACTIONS = """SELECT p_partkey AS doc, CASE p_partkey % 4 WHEN 0 THEN 'Se recomienda:;- No comprar ' || p_name || ';en la calle;2) Avisar a ' || p_brand || ';• no comprar ' || upper(p_name) || ' en la calle;Fuente: x;- fuera' WHEN 1 THEN '- nada;' || p_name WHEN 2 THEN p_name || ';Se recomienda:;- Revisar el lote ' || p_size || ';' || p_type ELSE p_type END AS body FROM {part}"""
@@ -260,18 +263,21 @@ def manual_review(spark, sf):
     return L.reviewed_pages(pages, files, F.expr("TIMESTAMP '2024-01-01'")).drop("revisado_en")
 
 
-@query("replaced_text", """SELECT * FROM (VALUES (1, 'nuevo', 0.9::DOUBLE, 'a'), (2, 'b', 0.3::DOUBLE, NULL::VARCHAR)) AS t(page_id, text, quality_score, "before")""")
+@query("replaced_text", """SELECT doc_id AS page_id, CASE WHEN doc_id % 3 = 0 THEN 'nuevo ' || lang ELSE text END AS text, CASE WHEN doc_id % 3 = 0 THEN 0.9 ELSE 0.25 END::DOUBLE AS quality_score, CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') END AS "before" FROM documents""")
 def replaced_text(spark, sf):
-    pages = spark.sql("SELECT * FROM VALUES (1, 'a', 0.2D, map('k', 'v')), (2, 'b', 0.3D, map('k', 'w')) AS t(page_id, text, quality_score, metadata)")
-    new = spark.sql("SELECT 1 AS page_id, 'nuevo' AS text")
-    r = L.replaced_text(pages, new, F.expr("TIMESTAMP '2024-01-01'"))
+    d = table(spark, sf, "documents")
+    pages = d.select(F.col("doc_id").alias("page_id"), "text", F.lit(0.25).alias("quality_score"), F.create_map(F.lit("k"), F.coalesce("source", F.lit(""))).alias("metadata"))
+    r = L.replaced_text(pages, d.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("nuevo "), "lang").alias("text")), F.expr("TIMESTAMP '2024-01-01'"))
     return r.select("page_id", "text", "quality_score", F.col("metadata").getItem("texto_anterior").alias("before"))
 
 
-@query("deep_merge", """SELECT * FROM (VALUES (1, '{"a": {"x": 1, "y": 3}, "b": 1, "c": [1]}'), (2, '{"z": 1}'), (3, '{}')) AS t(id, merged)""")
+OBJECTS = """SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN o || '"a": ' || o || '"x": ' || p_size || ', "y": 2' || c || ', "b": "' || p_name || '"' || c WHEN 2 THEN 'broken' END AS base, CASE p_partkey % 3 WHEN 0 THEN o || '"a": ' || o || '"y": 3' || c || ', "c": [' || p_size || ']' || c WHEN 1 THEN o || '"z": ' || p_size || c END AS patch
+  FROM (SELECT *, chr(123) AS o, chr(125) AS c FROM {part}) AS x"""
+
+
+@query("deep_merge", """SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN '{"a": {"x": ' || p_size || ', "y": 3}, "b": "' || p_name || '", "c": [' || p_size || ']}' WHEN 1 THEN '{"z": ' || p_size || '}' ELSE '{}' END AS merged FROM part""")
 def deep_merge(spark, sf):
-    v = spark.sql("""SELECT 1 AS id, '{"a": {"x": 1, "y": 2}, "b": 1}' AS base, '{"a": {"y": 3}, "c": [1]}' AS patch UNION ALL SELECT 2, null, '{"z": 1}' UNION ALL SELECT 3, 'broken', null""")
-    return v.select("id", L.merge_json("base", "patch").alias("merged"))
+    return derived(spark, sf, OBJECTS).select("id", L.merge_json("base", "patch").alias("merged"))
 
 
 # --- html -----------------------------------------------------------------------------------------------
@@ -304,12 +310,12 @@ def html_longest_text(spark, sf):
     return H.longest_text(H.anchors(table(spark, sf, "pages")))
 
 
-DETAIL_URLS = "SELECT * FROM (VALUES (1, 'http://x.pe/normas-legales/'), (1, 'http://x.pe/normas-legales/2024/rm-1/'), (1, 'http://x.pe/normas-legales/2024/rm-1-larga/'), (2, 'http://x.pe/otro'), (2, 'http://x.pe/normas-legales/page/2')) AS t(k, url)"
+DETAIL_URLS = """SELECT page_id % 60 AS k, CASE page_id % 5 WHEN 0 THEN 'http://x.pe/normas-legales/' WHEN 1 THEN 'http://x.pe/normas-legales/2024/rm-' || page_id || '/' WHEN 2 THEN 'http://x.pe/normas-legales/2024/rm-' || page_id || '-larga/' WHEN 3 THEN 'http://x.pe/otro' || page_id ELSE 'http://x.pe/normas-legales/page/' || (2 + page_id % 30) END AS url, page_id % 5 AS form FROM {pages}"""
 
 
-@query("canonical_url", "SELECT * FROM (VALUES (1, 'http://x.pe/normas-legales/2024/rm-1/'), (2, 'http://x.pe/otro')) AS t(k, canonical)")
+@query("canonical_url", f"SELECT k, arg_min(url, (form IN (0, 4), form NOT IN (1, 2), length(url), url)) AS canonical FROM ({DETAIL_URLS}) GROUP BY k")
 def canonical_url(spark, sf):
-    return H.canonical_url(values(spark, DETAIL_URLS), "k")
+    return H.canonical_url(derived(spark, sf, DETAIL_URLS), "k")
 
 
 HTML = """<div><a href="/alertas-modificaciones/2026/alerta-digemid-no-41-2026/">Alerta DIGEMID 41-2026 del 05/03/2026</a></div><article><a href="http://x.pe/archivos/normatividad/a.pdf">PDF</a> <a href="b.pdf?x=1">Otro</a> <a href="/alertas-modificaciones/2025/comunicado/">Comunicado</a></article><h2 class="x">Leer más</h2><div class="entry-title big">Retiro | DIGEMID</div>"""
@@ -319,19 +325,24 @@ def _page(spark):
     return spark.createDataFrame([(1, "http://x.pe/alertas/lista", HTML)], "page_id int, url string, html string")
 
 
-@query("html_alerts", """SELECT * FROM (VALUES (1, true, true, '41-2026', '2026-03-05', 'http://x.pe/alertas-modificaciones/2026/alerta-digemid-no-41-2026/'), (1, false, true, 'comunicado', NULL::VARCHAR, 'http://x.pe/alertas-modificaciones/2025/comunicado/')) AS t(page_id, strict, near, document_key, published_date, detail_url)""")
+LISTED = """SELECT page_id, 'http://x.pe/alertas/lista' AS url, replace(replace(replace('%s', '41-2026', (1 + page_id %% 90) || '-2026'), '05/03/2026', lpad(CAST(1 + page_id %% 28 AS STRING), 2, '0') || '/03/2026'), 'comunicado', 'comunicado-' || page_id) AS html FROM {pages}""" % HTML
+
+
+
+@query("html_alerts", """SELECT page_id, true AS strict, true AS near, (1 + page_id % 90) || '-2026' AS document_key, '2026-03-' || lpad((1 + page_id % 28)::VARCHAR, 2, '0') AS published_date, 'http://x.pe/alertas-modificaciones/2026/alerta-digemid-no-' || (1 + page_id % 90) || '-2026/' AS detail_url FROM pages
+UNION ALL SELECT page_id, false, true, 'comunicado-' || page_id, NULL, 'http://x.pe/alertas-modificaciones/2025/comunicado-' || page_id || '/' FROM pages""")
 def html_alerts(spark, sf):
-    return H.alerts(H.anchors(_page(spark))).select("page_id", "strict", "near", "document_key", "published_date", "detail_url")
+    return H.alerts(H.anchors(derived(spark, sf, LISTED))).select("page_id", "strict", "near", "document_key", "published_date", "detail_url")
 
 
-@query("html_detail", """SELECT * FROM (VALUES (1, 'Retiro | DIGEMID', '05/03/2026', '2026-03-05', 'http://x.pe/archivos/normatividad/a.pdf')) AS t(page_id, title, published_date_display, published_date, file_url)""")
+@query("html_detail", """SELECT page_id, 'Retiro | DIGEMID' AS title, lpad((1 + page_id % 28)::VARCHAR, 2, '0') || '/03/2026' AS published_date_display, '2026-03-' || lpad((1 + page_id % 28)::VARCHAR, 2, '0') AS published_date, 'http://x.pe/archivos/normatividad/a.pdf' AS file_url FROM pages""")
 def html_detail(spark, sf):
-    return H.detail(_page(spark))
+    return H.detail(derived(spark, sf, LISTED))
 
 
-@query("html_pdf", "SELECT 1 AS page_id, 'http://x.pe/archivos/normatividad/a.pdf' AS pdf")
+@query("html_pdf", "SELECT page_id, 'http://x.pe/archivos/normatividad/a.pdf' AS pdf FROM pages")
 def html_pdf(spark, sf):
-    return H.chosen_pdf(H.anchors(_page(spark)))
+    return H.chosen_pdf(H.anchors(derived(spark, sf, LISTED)))
 
 
 @query("html_inventory")

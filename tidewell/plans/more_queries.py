@@ -10,7 +10,7 @@ from tidewell.operators import merge as G
 from tidewell.operators import queues as U
 from tidewell.operators import reports as R
 from tidewell.operators import states as Z
-from tidewell.plans.base import query, table, values
+from tidewell.plans.base import derived, query, table, values
 from tidewell.sources import html as H
 
 
@@ -80,10 +80,12 @@ def registered_relations(spark, sf):
     return l.select("l_orderkey", "l_partkey").join(l.filter("l_returnflag = 'R'").select("l_orderkey", "l_partkey").distinct(), ["l_orderkey", "l_partkey"], "left_anti")
 
 
-@query("closing_clauses", "SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, false)) AS t(id, generic)")
+CLAUSES = """SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'DS' END AS tipo, CASE WHEN p_partkey % 7 = 0 THEN CAST(p_size AS STRING) WHEN p_partkey % 7 = 1 THEN '' END AS numero, CASE WHEN p_partkey % 5 = 0 THEN 2020 END AS anio, CASE p_partkey % 4 WHEN 0 THEN p_name || '. Quedan derogadas todas las normas' WHEN 1 THEN 'Deroga el decreto ' || p_size WHEN 2 THEN 'las disposiciones  que se opongan a ' || p_type END AS d FROM {part}"""
+
+
+@query("closing_clauses", f"SELECT id, tipo IS NULL AND coalesce(numero, '') = '' AND anio IS NULL AND id % 4 IN (0, 2) AS generic FROM ({CLAUSES})")
 def closing_clauses(spark, sf):
-    v = values(spark, "SELECT * FROM (VALUES (1, null, null, null, 'Quedan derogadas todas las normas'), (2, 'DS', null, null, 'quedan derogadas todas las normas'), (3, null, null, null, 'Deroga el decreto 5'), (4, null, null, 2020, 'disposiciones que se opongan')) AS t(id, tipo, numero, anio, d)")
-    return v.select("id", Z.is_closing_clause(F.col("tipo"), F.col("numero"), F.col("anio").cast("int"), F.col("d")).alias("generic"))
+    return derived(spark, sf, CLAUSES).select("id", Z.is_closing_clause(F.col("tipo"), F.col("numero"), F.col("anio").cast("int"), F.col("d")).alias("generic"))
 
 
 @query("source_rejections", "SELECT n_regionkey AS source, count(*) FILTER (n_nationkey % 3 = 0) AS taken, count(*) FILTER (n_nationkey % 3 <> 0) AS rejected, count(DISTINCT CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey % 3 END) AS reasons FROM nation GROUP BY 1")

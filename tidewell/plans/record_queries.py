@@ -14,6 +14,7 @@ from tidewell.operators import search as S
 from tidewell.operators import states as Z
 from tidewell.plans.base import COUNTS_SQL, HIGH, LOW, PAGES_SQL, derived, norm_pages, query, table, values
 from tidewell.plans.stems import stems_sql
+from tidewell.plans.text_queries import CLEAN
 
 QUERY = "that with heron enau lichen aux que"
 _WORDS = S.tokens_of(QUERY)
@@ -766,44 +767,50 @@ def activations(spark, sf):
     return Z.activated(o, F.expr("DATE '1998-01-01'"))
 
 
-INVITES = "SELECT * FROM (VALUES ('c1', '999', 'Ana', 'pendiente'), ('c2', null, '', 'pendiente'), ('c3', '1', 'X', 'usado')) AS t(codigo, telefono, nombre, estado)"
-USED = "SELECT * FROM (VALUES ('c1', 1), ('c2', 2), ('c3', 3)) AS t(codigo, telegram_chat_id)"
-GUESTS = "SELECT * FROM (VALUES (1, null, null, false), (2, '5', 'Bo', false), (3, '6', 'Cy', false), (4, '7', 'Di', true)) AS t(telegram_chat_id, telefono, nombre, plan_gratis_legado)"
+INVITES = """SELECT 'c' || c_custkey AS codigo, CASE WHEN c_custkey % 6 = 0 THEN 'usada' ELSE 'pendiente' END AS estado, CASE c_custkey % 2 WHEN 0 THEN '9' || c_custkey ELSE '' END AS telefono, CASE WHEN c_custkey % 7 <> 0 THEN 'Ana ' || c_custkey END AS nombre FROM {customer}"""
+USED = """SELECT 'c' || c_custkey AS codigo, c_custkey AS telegram_chat_id FROM {customer} WHERE c_custkey % 3 <> 1"""
+GUESTS = """SELECT c_custkey AS telegram_chat_id, CASE WHEN c_custkey % 3 <> 0 THEN '5' || c_custkey END AS telefono, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS nombre, c_custkey % 5 = 0 AS plan_gratis_legado FROM {customer}"""
 
 
-@query("invitations", "SELECT * FROM (VALUES (1, '999', 'Ana', true), (2, '5', 'Bo', true), (3, '6', 'Cy', false), (4, '7', 'Di', true)) AS t(telegram_chat_id, telefono, nombre, plan_gratis_legado)")
+@query("invitations", f"""SELECT g.telegram_chat_id, coalesce(nullif(i.telefono, ''), g.telefono) AS telefono, coalesce(nullif(i.nombre, ''), g.nombre) AS nombre, g.plan_gratis_legado OR i.codigo IS NOT NULL AS plan_gratis_legado FROM ({GUESTS}) g LEFT JOIN (SELECT * FROM ({USED}) JOIN ({INVITES}) USING (codigo) WHERE estado = 'pendiente') i USING (telegram_chat_id)""")
 def invitations(spark, sf):
-    return Z.used_invitations(values(spark, GUESTS), values(spark, INVITES), values(spark, USED))
+    return Z.used_invitations(derived(spark, sf, GUESTS), derived(spark, sf, INVITES), derived(spark, sf, USED))
 
 
-REL = "SELECT * FROM (VALUES (1, 'pendiente', 'deroga', 'DS', '14', 2002, 'Decreto 14', null), (2, 'pendiente', 'modifica', null, null, null, 'Ley General', null), (3, 'pendiente', 'modifica', 'RM', '1', 2020, 'RM 1', 'n1'), (4, 'confirmada', 'deroga', 'RM', '2', 2020, 'RM 2', 'n2'), (5, 'pendiente', 'deroga', 'RD', '3', 2020, 'RD 3', null), (6, 'pendiente', 'deja_sin_efecto', 'DS', '5', 2001, 'DS 5', null)) AS t(relation_id, estado, tipo_relacion, tipo, numero, anio, descripcion, affected_id)"
-DEC = "SELECT * FROM (VALUES (1, 'confirmar'), (2, 'confirmar'), (3, 'confirmar'), (4, 'rechazar'), (5, 'rechazar'), (6, 'confirmar')) AS t(relation_id, decision)"
-KNOWN = "SELECT * FROM (VALUES ('n1', 'RM-1-2020'), ('n9', 'DS-14-2002')) AS t(id, document_key)"
+REL = """SELECT c_custkey AS relation_id, CASE WHEN c_custkey % 7 = 0 THEN 'confirmada' ELSE 'pendiente' END AS estado, CASE c_custkey % 3 WHEN 0 THEN 'deroga' WHEN 1 THEN 'modifica' ELSE 'deja_sin_efecto' END AS tipo_relacion, CASE WHEN c_custkey % 4 <> 0 THEN 'DS' END AS tipo, CASE WHEN c_custkey % 4 <> 0 THEN '0' || (1 + c_custkey % 50) END AS numero, CASE WHEN c_custkey % 4 <> 0 THEN 1990 + c_nationkey END AS anio, 'Norma ' || c_custkey AS descripcion, CASE WHEN c_custkey % 5 = 0 THEN 'n' || (c_custkey % 40) END AS affected_id FROM {customer}"""
+DEC = """SELECT c_custkey AS relation_id, CASE WHEN c_custkey % 6 < 4 THEN 'confirmar' ELSE 'rechazar' END AS decision FROM {customer} WHERE c_custkey % 8 <> 1"""
+KNOWN = """SELECT 'k' || p_partkey AS id, 'DS-' || (p_partkey % 40) || '-' || (1990 + p_partkey % 25) AS document_key FROM {part}"""
 
 
-@query("relation_confirm", "SELECT * FROM (VALUES (1, 'confirmada', 'n9'), (2, 'confirmada', 'stub:NORM-LEY-GENERAL'), (3, 'confirmada', 'n1'), (4, 'confirmada', 'n2'), (5, 'rechazada', NULL), (6, 'confirmada', 'stub:DS-5-2001')) AS t(relation_id, estado, affected_id)")
+_DECIDED = f"""j AS (SELECT r.*, decision, CASE WHEN tipo IS NOT NULL THEN 'DS-' || try_cast(numero AS INT) || '-' || anio ELSE 'NORM-NORMA-' || relation_id END AS stub, CASE tipo_relacion WHEN 'modifica' THEN 'modificada' ELSE 'derogada' END AS validity FROM ({REL}) r LEFT JOIN ({DEC}) d USING (relation_id)),
+  k AS (SELECT document_key AS stub, min(id) AS existing FROM ({KNOWN}) GROUP BY 1), x AS (SELECT *, estado = 'pendiente' AND decision IS NOT NULL AS act, estado = 'pendiente' AND coalesce(decision = 'confirmar', false) AS yes FROM j LEFT JOIN k USING (stub))"""
+
+
+@query("relation_confirm", f"WITH {_DECIDED} SELECT relation_id, CASE WHEN yes THEN 'confirmada' WHEN act THEN 'rechazada' ELSE estado END AS estado, CASE WHEN yes THEN coalesce(affected_id, existing, 'stub:' || stub) ELSE affected_id END AS affected_id FROM x")
 def relation_confirm(spark, sf):
-    return Z.decided_relations(values(spark, REL), values(spark, DEC), values(spark, KNOWN))["relations"]
+    return Z.decided_relations(derived(spark, sf, REL), derived(spark, sf, DEC), derived(spark, sf, KNOWN))["relations"]
 
 
-@query("relation_stubs", "SELECT * FROM (VALUES ('NORM-LEY-GENERAL', 'modificada', 'Ley General'), ('DS-5-2001', 'derogada', 'DS 5')) AS t(stub, estado_vigencia, titulo)")
+@query("relation_stubs", f"WITH {_DECIDED} SELECT stub, arg_min(validity, relation_id) AS estado_vigencia, arg_min(descripcion, relation_id) AS titulo FROM x WHERE yes AND affected_id IS NULL AND existing IS NULL GROUP BY stub")
 def relation_stubs(spark, sf):
-    return Z.decided_relations(values(spark, REL), values(spark, DEC), values(spark, KNOWN))["stubs"]
+    return Z.decided_relations(derived(spark, sf, REL), derived(spark, sf, DEC), derived(spark, sf, KNOWN))["stubs"]
 
 
-@query("relation_updates", "SELECT 'n1' AS affected_id, 'modificada' AS estado_vigencia")
+@query("relation_updates", f"WITH {_DECIDED} SELECT affected_id, arg_max(validity, relation_id) AS estado_vigencia FROM x WHERE yes AND affected_id IS NOT NULL GROUP BY affected_id")
 def relation_updates(spark, sf):
-    return Z.decided_relations(values(spark, REL), values(spark, DEC), values(spark, KNOWN))["updates"]
+    return Z.decided_relations(derived(spark, sf, REL), derived(spark, sf, DEC), derived(spark, sf, KNOWN))["updates"]
 
 
-FOUND = "SELECT * FROM (VALUES ('a', 'deroga', 'DS', '014-2011', 2011, ' Decreto 14 ', 'queda  derogado el DECRETO'), ('a', 'deroga', null, null, null, 'quedan derogadas todas las normas', 'x'), ('a', 'cita', 'DS', '1', 2000, 'otra', 'x'), ('a', 'modifica', 'RM', '14', 2021, 'ya vista', 'x'), ('b', 'modifica', 'RM', '14', 2021, 'RM catorce', 'no esta')) AS t(origin_id, tipo_relacion, tipo, numero, anio, descripcion, fragmento)"
-SEEN = "SELECT * FROM (VALUES ('a', 'ya vista')) AS t(origin_id, descripcion)"
-TEXTS = "SELECT * FROM (VALUES ('a', 'Por tanto, queda derogado el decreto anterior'), ('b', 'nada')) AS t(doc_id, text)"
+FOUND = """SELECT doc_id AS origin_id, CASE doc_id % 7 WHEN 0 THEN 'menciona' WHEN 1 THEN 'modifica' ELSE 'deroga' END AS tipo_relacion, CASE WHEN doc_id % 4 <> 1 THEN 'DS' END AS tipo, CASE WHEN doc_id % 4 <> 1 THEN CAST(doc_id % 120 AS STRING) END AS numero, CASE WHEN doc_id % 4 <> 1 THEN 1990 + doc_id % 25 END AS anio, CASE WHEN doc_id % 8 = 1 THEN 'Quedan derogadas todas las normas' WHEN doc_id % 11 = 0 THEN '  ' ELSE ' Norma ' || doc_id END AS descripcion, CASE doc_id % 3 WHEN 0 THEN substr(text, 5, 60) WHEN 1 THEN 'no such words ' || doc_id END AS fragmento FROM {documents}"""
+SEEN = """SELECT doc_id AS origin_id, 'Norma ' || doc_id AS descripcion FROM {documents} WHERE doc_id % 6 = 0"""
+TEXTS = """SELECT doc_id, text FROM {documents}"""
 
 
-@query("relation_detection", "SELECT * FROM (VALUES ('a', 'Decreto 14', true, 'a'), ('b', 'RM catorce', false, 'b')) AS t(origin_id, descripcion, verificado, affected_id)")
+@query("relation_detection", f"""WITH f AS (SELECT origin_id, tipo, numero, anio, trim(descripcion) AS descripcion, coalesce(fragmento, '') AS fr FROM ({FOUND}) WHERE tipo_relacion <> 'menciona' AND trim(descripcion) <> '' AND NOT (tipo IS NULL AND starts_with(descripcion, 'Quedan'))),
+  n AS (SELECT *, try_cast(regexp_extract(numero, '([0-9]+)', 1) AS INT) AS num FROM ({NORMS})), c AS (SELECT f.*, {CLEAN.format('fr')} AS fc, {CLEAN.format("text")} AS tc FROM f JOIN documents ON doc_id = origin_id WHERE (origin_id, descripcion) NOT IN (SELECT origin_id, descripcion FROM ({SEEN})))
+SELECT origin_id, descripcion, fr <> '' AND contains(lower(coalesce(tc, '')), lower(fc)) AS verificado, coalesce((SELECT min(id) FROM n WHERE n.document_key = upper(c.tipo) || '-' || try_cast(c.numero AS INT) || '-' || c.anio), (SELECT min(id) FROM n WHERE n.anio = c.anio AND n.num = try_cast(c.numero AS INT))) AS affected_id FROM c""")
 def relation_detection(spark, sf):
-    return Z.new_relations(values(spark, FOUND), values(spark, SEEN), derived(spark, sf, NORMS), values(spark, TEXTS)).select("origin_id", "descripcion", "verificado", "affected_id")
+    return Z.new_relations(derived(spark, sf, FOUND), derived(spark, sf, SEEN), derived(spark, sf, NORMS), derived(spark, sf, TEXTS)).select("origin_id", "descripcion", "verificado", "affected_id")
 
 
 @query("audience_fan_out", f"""SELECT telegram_chat_id, audience, o_orderkey FROM (SELECT telegram_chat_id, 'plan' AS audience FROM ({_SUBS}) WHERE estado = 'activo' AND nivel <> 'gratis' AND fecha_fin >= {_TODAY} UNION ALL SELECT telegram_chat_id, 'prueba' FROM ({_USERS}) WHERE prueba_estado = 'activa'), (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5)""")

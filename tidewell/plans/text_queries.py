@@ -298,12 +298,14 @@ def line_kind_counts(spark, sf):
     return d.select("doc_id", n("heading", "headings"), n("paragraph", "paragraphs"), n("list_item", "list_items"), n("blank", "blanks"))
 
 
-VALUES_ = "SELECT * FROM (VALUES (1, 'Guardar a 25 °C y 30 °C segun articulo 5 del 01/02/2024, numeral 3.2.1 y articulo 5'), (2, null), (3, 'nada'), (4, 'de 2-8 C el 3-4-21; ver 1.2')) AS t(id, body)"
+VALUES_ = """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'Guardar a ' || t || ' °C y ' || (t + 5) || ' °C segun articulo ' || o_custkey || ' del ' || d || '/' || m || '/2024, numeral 3.' || m || '.1 y articulo ' || o_custkey WHEN 2 THEN 'nada ' || o_orderstatus WHEN 3 THEN 'de 2-' || t || ' C el ' || d || '-' || m || '-21; ver 1.' || d END AS body
+  FROM (SELECT *, o_orderkey % 40 AS t, day(o_orderdate) AS d, month(o_orderdate) AS m FROM {orders}) AS x"""
 
 
-@query("sensitive_values", """SELECT * FROM (VALUES (1, 'temperature=25 °C y 30 °C;date=01/02/2024;article=articulo 5;numeral=3.2.1'), (2, ''), (3, ''), (4, 'temperature=8 C;date=3-4-21;numeral=1.2')) AS t(id, found)""")
+@query("sensitive_values", """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'temperature=' || t || ' °C y ' || (t + 5) || ' °C;date=' || d || '/' || m || '/2024;article=articulo ' || o_custkey || ';numeral=3.' || m || '.1' WHEN 3 THEN 'temperature=' || t || ' C;date=' || d || '-' || m || '-21;numeral=1.' || d ELSE '' END AS found
+  FROM (SELECT *, o_orderkey % 40 AS t, day(o_orderdate) AS d, month(o_orderdate) AS m FROM orders)""")
 def sensitive_values(spark, sf):
-    return values(spark, VALUES_).select("id", F.array_join(F.transform(Q.sensitive_values(F.col("body")), lambda s: F.concat_ws("=", s.kind, s.value)), ";").alias("found"))
+    return derived(spark, sf, VALUES_).select("id", F.array_join(F.transform(Q.sensitive_values(F.col("body")), lambda s: F.concat_ws("=", s.kind, s.value)), ";").alias("found"))
 
 
 @query("review_flags", f"""WITH a AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(list_transform({_LINES}, lambda s: trim(s)), lambda s: s <> '') AS ls FROM documents),
@@ -352,10 +354,12 @@ def table_markdown(spark, sf):
     return v.select("id", Q.is_real_table(F.col("g")).alias("real"), Q.table_markdown(F.col("g")).alias("markdown"), Q.tables_markdown(F.array("g", "g")).alias("all"))
 
 
-@query("tolerant_json", """SELECT * FROM (VALUES (1, 'x'), (2, 'y'), (3, 'z'), (4, NULL::VARCHAR), (5, NULL::VARCHAR)) AS t(id, a)""")
+SAID = """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN j WHEN 1 THEN '```json ' || j || ' ```' WHEN 2 THEN 'said: ' || j || ' end' WHEN 3 THEN p_type END AS body FROM (SELECT *, chr(123) || '"a": "' || p_name || '"' || chr(125) AS j FROM {part}) AS x"""
+
+
+@query("tolerant_json", "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 < 3 THEN p_name END AS a FROM part")
 def tolerant_json(spark, sf):
-    v = spark.sql("""SELECT * FROM VALUES (1, '{"a": "x"}'), (2, '```json {"a": "y"} ```'), (3, 'said: {"a": "z"} end'), (4, 'none'), (5, null) AS t(id, body)""")
-    return v.select("id", X.tolerant_json(F.col("body"), "a string").a.alias("a"))
+    return derived(spark, sf, SAID).select("id", X.tolerant_json(F.col("body"), "a string").a.alias("a"))
 
 
 _SHORT = "SELECT 900001 AS item_id, 'of the' AS text UNION ALL SELECT 900002, 'zz' UNION ALL SELECT 900003, 'e la' UNION ALL SELECT 900004, 'n  the  A' UNION ALL SELECT 900005, ' ' UNION ALL SELECT 900006, 'no such words stand here'"
