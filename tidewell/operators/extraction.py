@@ -459,6 +459,7 @@ NARRATIVE_PATTERNS = {
 }
 NAMED_PRODUCT, NAMED_INGREDIENT = "OPDIVO", "NIVOLUMAB"
 FORMS = {"solución inyectable": r"(?i)soluci[oó]n\s+inyectable", "polvo": r"(?i)\bpolvo\b"}
+SEVERAL_FORMS = "El comparativo muestra más de una forma farmacéutica reportada."
 ABROAD = "Puerto Rico / Estados Unidos de América"
 REASON, FORGED = "comercialización ilegal / producto sin registro sanitario en Perú", " / presunta falsificación"
 #: Rows of the comparison that make it complete.
@@ -486,7 +487,7 @@ def narrative_alerts(documents: DataFrame, markers: tuple[str, ...] = NARRATIVE)
         "manufacturer_country": F.when(F.contains(plain, F.lit("PUERTO RICO")) & F.contains(plain, F.lit("ESTADOS UNIDOS")), ABROAD),
     }
     product = told.join(compared, "doc_id", "left").fillna(0, ["rows", "rows_complete"]).withColumns(fields | {
-        "dosage_form": F.nullif(F.array_join(forms, " / "), F.lit("")), "risk_summary": found["risk"],
+        "dosage_form": F.nullif(F.array_join(forms, " / "), F.lit("")), "dosage_observation": F.when(F.size(forms) > 1, SEVERAL_FORMS), "risk_summary": found["risk"],
         "alert_reason": F.concat(F.lit(REASON), F.when(F.contains(plain, F.lit("PRESUNTA FALSIFIC")), FORGED).otherwise("")),
         "without_registration": F.contains(plain, F.lit("COMERCIALIZACION ILEGAL")) & F.contains(plain, F.lit("NO CUENTA CON REGISTRO SANITARIO")),
     }).filter("product_name IS NOT NULL")

@@ -99,25 +99,25 @@ def layout_lines(spark, sf):
     return E.layout_lines(l).select("doc", "page", "y", "full_text", "col_producto", "col_departamento")
 
 
-ZONE = "SELECT * FROM (VALUES (1, 1, 0, 'Intro', null, null), (1, 1, 30, 'Datos del producto', null, null), (1, 1, 60, 'Ibuprofeno M0655', 'Ibuprofeno', 'M0655'), (1, 1, 90, 'Fin 77A', 'Fin', '77A'), (1, 1, 120, 'Debido al riesgo', null, null), (1, 1, 150, 'Lote', null, null), (2, 1, 0, 'nada', null, null)) AS t(doc, page, y, full_text, col_producto, col_lote)"
+ZONE = """SELECT p_partkey AS doc, page, y, replace(full_text, 'Ibuprofeno', p_name) AS full_text, replace(col_producto, 'Ibuprofeno', p_name) AS col_producto, col_lote FROM {part} CROSS JOIN (SELECT * FROM (VALUES (1, 1, 0, 'Intro', NULL, NULL), (1, 1, 30, 'Datos del producto', NULL, NULL), (1, 1, 60, 'Ibuprofeno M0655', 'Ibuprofeno', 'M0655'), (1, 1, 90, 'Fin 77A', 'Fin', '77A'), (1, 1, 120, 'Debido al riesgo', NULL, NULL), (1, 1, 150, 'Lote', NULL, NULL), (0, 1, 0, 'nada', NULL, NULL)) AS v(form, page, y, full_text, col_producto, col_lote)) AS t WHERE (p_partkey % 3 = 0) = (form = 0)"""
 
 
-@query("table_zone", "SELECT * FROM (VALUES (1, 30), (1, 60), (1, 90)) AS t(doc, y)")
+@query("table_zone", "SELECT p_partkey AS doc, y FROM part CROSS JOIN (VALUES (30), (60), (90)) AS t(y) WHERE p_partkey % 3 <> 0")
 def table_zone(spark, sf):
-    return E.table_zone(values(spark, ZONE)).select("doc", "y")
+    return E.table_zone(derived(spark, sf, ZONE)).select("doc", "y")
 
 
-@query("table_profile", "SELECT 1 AS doc, 'multiproduct' AS profile")
+@query("table_profile", "SELECT p_partkey AS doc, 'multiproduct' AS profile FROM part WHERE p_partkey % 3 <> 0")
 def table_profile(spark, sf):
-    return E.table_profile(E.table_zone(values(spark, ZONE)))
+    return E.table_profile(E.table_zone(derived(spark, sf, ZONE)))
 
 
-LOTS = "SELECT * FROM (VALUES (1, 1, 0, 'M0655 (envase'), (1, 1, 30, 'mediato)'), (1, 1, 60, 'M06551 (envase'), (1, 1, 90, 'inmediato)'), (1, 1, 120, 'otra cosa'), (1, 1, 150, 'mediato'), (1, 1, 180, '0380-20')) AS t(doc, page, y, col_lote)"
+LOTS = """SELECT p_partkey AS doc, page, y + p_size AS y, replace(col_lote, 'M0655', 'M0' || p_partkey || '5') AS col_lote FROM {part} CROSS JOIN (SELECT * FROM (VALUES (1, 0, 'M0655 (envase'), (1, 30, 'mediato)'), (1, 60, 'M06551 (envase'), (1, 90, 'inmediato)'), (1, 120, 'otra cosa'), (1, 150, 'mediato'), (1, 180, '0380-20')) AS v(page, y, col_lote)) AS t"""
 
 
-@query("lot_blocks", "SELECT * FROM (VALUES (1, 1, 'M0655 (envase mediato)', 15.0::DOUBLE), (1, 2, 'M06551 (envase inmediato)', 75.0::DOUBLE), (1, 3, '0380-20', 180.0::DOUBLE)) AS t(doc, block_id, text, center)")
+@query("lot_blocks", """SELECT p_partkey AS doc, b AS block_id, CASE b WHEN 1 THEN 'M0' || p_partkey || '5 (envase mediato)' WHEN 2 THEN 'M0' || p_partkey || '51 (envase inmediato)' ELSE '0380-20' END AS text, (p_size + CASE b WHEN 1 THEN 15 WHEN 2 THEN 75 ELSE 180 END)::DOUBLE AS center FROM part CROSS JOIN (VALUES (1), (2), (3)) AS t(b)""")
 def lot_blocks(spark, sf):
-    return E.blocks_by_y(values(spark, LOTS), "col_lote", E.starts_lot(F.col("col_lote")), E.continues_lot(F.col("col_lote"))).select("doc", F.col("block_id").cast("int").alias("block_id"), "text", "center")
+    return E.blocks_by_y(derived(spark, sf, LOTS), "col_lote", E.starts_lot(F.col("col_lote")), E.continues_lot(F.col("col_lote"))).select("doc", F.col("block_id").cast("int").alias("block_id"), "text", "center")
 
 
 LOT_TEXTS = """SELECT p_partkey AS id, CASE p_partkey % 12 WHEN 0 THEN '0' || p_partkey || '-20' WHEN 1 THEN CAST(1900000 + p_partkey AS STRING) WHEN 2 THEN 'M07' || p_partkey WHEN 3 THEN 'M0' || p_partkey || ' (envase mediato)' WHEN 4 THEN (8000 + p_partkey) || '*' WHEN 5 THEN (4000 + p_partkey) || '**' WHEN 6 THEN 'LOTE' WHEN 7 THEN 'MO' || p_partkey || '5' WHEN 8 THEN '03/20' || (10 + p_size % 20) WHEN 9 THEN p_type WHEN 10 THEN p_name END AS s FROM {part}"""
@@ -229,14 +229,14 @@ _ALERT = [
 ]
 
 
-@query("narrative_alerts", """SELECT * FROM (VALUES
-  (1, 'OPDIVO', 'nivolumab', '100 mg / 10 mL', 'BE-01234', 'ACME SA', 'Lab Uno', 'Puerto Rico / Estados Unidos de América', 'solución inyectable / polvo', 'No cuenta con registro sanitario en el país', 'comercialización ilegal / producto sin registro sanitario en Perú', true, 6, 0.92::DOUBLE, false),
-  (4, 'sospechoso', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'Producto sospechoso', 'comercialización ilegal / producto sin registro sanitario en Perú', false, 0, 0.76::DOUBLE, true),
-  (3, 'XYZ', NULL, NULL, NULL, NULL, 'Otro', NULL, NULL, 'presunta falsificación del producto XYZ', 'comercialización ilegal / producto sin registro sanitario en Perú / presunta falsificación', false, 0, 0.76::DOUBLE, true)
-) AS t(doc_id, product_name, active_ingredient, concentration, sanitary_registration, registration_holder, manufacturer, manufacturer_country, dosage_form, risk_summary, alert_reason, without_registration, rows_complete, confidence, manual_review)""")
+NARRATIVES = """SELECT p_partkey AS doc_id, CASE p_partkey %% 4 WHEN 0 THEN replace(replace(replace('%s', 'BE-01234', 'BE-0' || (1000 + p_partkey)), 'ACME SA', 'ACME ' || p_size || ' SA'), 'Lab Uno', 'Lab ' || p_type) WHEN 1 THEN 'Alerta de calidad;producto ABC ' || p_name WHEN 2 THEN 'Alerta por presunta falsificación del producto ' || p_name || '.;Fabricante: ' || p_type END AS body FROM {part}""" % ";".join(_ALERT)
+
+
+@query("narrative_alerts", """SELECT p_partkey AS doc_id, CASE WHEN o THEN 'OPDIVO' ELSE p_name END AS product_name, CASE WHEN o THEN 'nivolumab' END AS active_ingredient, CASE WHEN o THEN '100 mg / 10 mL' END AS concentration, CASE WHEN o THEN 'BE-0' || (1000 + p_partkey) END AS sanitary_registration, CASE WHEN o THEN 'ACME ' || p_size || ' SA' END AS registration_holder, CASE WHEN o THEN 'Lab ' || p_type ELSE p_type END AS manufacturer,
+  CASE WHEN o THEN 'Puerto Rico / Estados Unidos de América' END AS manufacturer_country, CASE WHEN o THEN 'solución inyectable / polvo' END AS dosage_form, CASE WHEN o THEN 'No cuenta con registro sanitario en el país' ELSE 'presunta falsificación del producto ' || p_name END AS risk_summary, 'comercialización ilegal / producto sin registro sanitario en Perú' || CASE WHEN o THEN '' ELSE ' / presunta falsificación' END AS alert_reason,
+  o AS without_registration, CASE WHEN o THEN 6 ELSE 0 END AS rows_complete, CASE WHEN o THEN 0.92 ELSE 0.76 END::DOUBLE AS confidence, NOT o AS manual_review, CASE WHEN o THEN 'El comparativo muestra más de una forma farmacéutica reportada.' END AS dosage_observation FROM (SELECT *, p_partkey % 4 = 0 AS o FROM part) WHERE p_partkey % 4 IN (0, 2)""")
 def narrative_alerts(spark, sf):
-    lines = [(1, _ALERT), (2, ["Alerta de calidad", "producto ABC"]), (3, ["Alerta por presunta falsificación del producto XYZ.", "Fabricante: Otro"]), (4, ["Producto sospechoso."]), (5, None), (6, [])]
-    found = E.narrative_alerts(spark.createDataFrame(lines, "doc_id int, lines array<string>"))
+    found = E.narrative_alerts(derived(spark, sf, NARRATIVES).select("doc_id", F.split("body", ";").alias("lines")))
     return found.withColumn("rows_complete", F.col("rows_complete").cast("int")).drop("rows")
 
 
