@@ -635,3 +635,37 @@ def test_op7_labels_of_strange_ids_take_no_place_of_the_sample(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(10**6 + i, i % 2) for i in range(4000)], "doc_id long, quality int")
     model = mil.train(texts, labels, sample=5)
     assert {r.doc_id % 2: r.score >= 0.5 for r in mil.score(texts, model).collect()} == {0: False, 1: True}
+
+
+def test_op8_links_are_the_same_in_cells_of_any_fineness(spark):
+    import random
+
+    r = random.Random(21)
+    base = [r.getrandbits(64) for _ in range(60)]
+    fps = {b for b in base} | {b ^ sum(1 << k for k in r.sample(range(64), r.randint(1, 5))) for b in base for _ in range(4)}
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    expected = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3}
+    node = {x: x for x in fps}
+
+    def root(x):
+        while node[x] != x:
+            x = node[x]
+        return x
+
+    for a, b in expected:
+        node[root(a)] = root(b)
+    for groups in simhash.GROUPS:
+        near = {(row.a % (1 << 64), row.b % (1 << 64)) for row in simhash.links(simhash.cells(df, 3, groups), 3).collect()}
+        assert near and all((a ^ b).bit_count() <= 3 for a, b in near)
+        own = {x: x for x in fps}
+
+        def find(x):
+            while own[x] != x:
+                x = own[x]
+            return x
+
+        for a, b in near:
+            own[find(a)] = find(b)
+        assert {frozenset(y for y in fps if find(y) == find(x)) for x in fps} == {frozenset(y for y in fps if root(y) == root(x)) for x in fps}
+    assert simhash.groups_for(10**5, 3) == 6 and simhash.groups_for(10**10, 3) > simhash.groups_for(10**8, 3) > 6

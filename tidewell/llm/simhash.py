@@ -5,9 +5,11 @@ the bit counts of its 32 segments of two bits.  Two fingerprints that differ in
 bits have counts whose Manhattan distance is at most d, so a range join of the
 counts within ``distance`` finds every pair.
 
-The range join is a grid: the segments are put in ``GROUPS`` groups, and a cell is
-the counts of ``GROUPS - distance`` of them.  A pair within the distance leaves at
-least so many groups without any difference, so it shares a cell.  Cells with one
+The range join is a grid: the segments are put in groups, and a cell is
+the counts of all groups but ``distance``.  A pair within the distance leaves at
+least so many groups without any difference, so it shares a cell.  More groups make more and finer cells; their number follows
+that of the fingerprints (``groups_for``), so that chance neighbours of a fingerprint stay
+few at any size, and every number of groups gives the same links.  Cells with one
 fingerprint are dropped; in the others a pass that keeps the Manhattan bound and
 then the exact bit count links fingerprints.  It emits a spanning forest of each
 cell's links, one row a fingerprint at most, never all pairs: a fingerprint reached
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from tidewell.llm.common import fair_join, id_and_text, nothing_held, rows_of, small_batches, stored
 
 SEED = 42
-GROUPS = 6
+#: Numbers of groups, and the neighbours by chance that a fingerprint may have in its cells.
+GROUPS, NEIGHBOURS = (6, 8, 10, 12), 50
 #: Fingerprints of a cell that one task compares; larger cells are split into blocks of this size.
 CELL = 20_000
 #: Rows of a cell up to which all its links are given.
@@ -98,21 +102,29 @@ def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def group_masks(groups: int = GROUPS) -> list[int]:
+def groups_for(rows: int, distance: int) -> int:
+    """The fewest groups whose cells hold few of ``rows`` fingerprints by chance: two random segments have equal counts
+    in three of eight cases."""
+    near = lambda g: rows * comb(g, distance) * (3 / 8) ** (32 * (g - distance) / g)
+    return next((g for g in GROUPS if g > distance and near(g) <= NEIGHBOURS), GROUPS[-1])
+
+
+def group_masks(groups: int) -> list[int]:
     """Bits of each group of whole segments."""
     edges = [round(32 * g / groups) for g in range(groups + 1)]
     return [((1 << 2 * edges[g + 1]) - 1) ^ ((1 << 2 * edges[g]) - 1) for g in range(groups)]
 
 
-def cells(distinct: DataFrame, distance: int) -> DataFrame:
+def cells(distinct: DataFrame, distance: int, groups: int | None = None) -> DataFrame:
     """``cell, id, bits``: a row for each choice of groups whose counts make a cell; a fingerprint is its own id."""
+    groups = groups or groups_for(distinct.count(), distance)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     fp = F.col("fp")
     half = F.shiftrightunsigned(fp, 1)
     counts = fp.bitwiseOR(half).bitwiseAND(F.lit(_PAIRS)).bitwiseOR(F.shiftleft(fp.bitwiseAND(half).bitwiseAND(F.lit(_PAIRS)), 1))
-    masks = group_masks()
+    masks = group_masks(groups)
     keys: list[Column] = []
-    for number, chosen in enumerate(combinations(masks, GROUPS - distance)):
+    for number, chosen in enumerate(combinations(masks, groups - distance)):
         keys.append(F.xxhash64(F.lit(number), F.col("counts").bitwiseAND(F.lit(signed(sum(chosen))))))
     return distinct.withColumn("counts", counts).select(F.explode(F.array(*keys)).alias("cell"), F.col("fp").alias("id"), F.col("fp").alias("bits"))
 
