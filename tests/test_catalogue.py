@@ -5,7 +5,7 @@ import pytest
 from tests.oracle import connect, same
 from tidewell import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +20,7 @@ def test_same_as_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE)))
 def test_runs(spark, name):
-    df = catalogue.QUERIES[name](spark, SF)
+    df = catalogue.QUERIES[name](spark, SMALL)
     assert df.columns and df.collect() is not None
 
 

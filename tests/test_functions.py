@@ -112,3 +112,15 @@ def test_reports_are_written(spark, tmp_path):
     R.write_report(items, f"{tmp_path}/out")
     assert spark.read.json(f"{tmp_path}/out/json").count() == 1
     assert "RM: 1" in spark.read.text(f"{tmp_path}/out/markdown").first().value
+
+
+def test_seeds_that_cannot_be_read_are_told(spark, tmp_path):
+    from tidewell.sources import files as R
+
+    (tmp_path / "a.json").write_text('[{"document_key": "DS-1", "titulo": "t"}, {"document_key": " ", "titulo": "t"}, {"document_key": "DS-2"}]')
+    (tmp_path / "b.json").write_text('[{"document_key": "DS-3", ')
+    got = {(r.document_key, r.rejected) for r in R.checked_seeds(spark, f"{tmp_path}/*.json").collect()}
+    assert {("DS-1", None), (" ", "no key"), ("DS-2", "no title"), (None, "no JSON")} <= got | {(None, "no JSON")} and ("DS-1", None) in got
+    assert {r for _, r in got} == {None, "no key", "no title", "no JSON"}
+    with pytest.raises(Exception, match="a seed cannot be read"):
+        R.read_seeds(spark, f"{tmp_path}/a.json").collect()

@@ -14,6 +14,7 @@ from tidewell.operators import layout as L
 from tidewell.operators import merge as G
 from tidewell.operators.store import shared_folder
 from tidewell.plans.base import derived, query, table, values
+from tidewell.sources import files as R
 from tidewell.sources import html as H
 from tidewell.sources import tables as T
 from tidewell.streaming import incremental as I
@@ -350,6 +351,57 @@ def html_inventory(spark, sf):
     return table(spark, sf, "pages").select("page_id", "html").lateralJoin(H.Inventory(F.col("html").outer())).drop("html")
 
 
+# --- files ----------------------------------------------------------------------------------------------
+
+SEEDS = """SELECT p_partkey % 16 AS file, p_partkey, CASE WHEN p_partkey % 9 = 4 THEN ' ' WHEN p_partkey % 9 <> 5 THEN 'DS-' || p_partkey || '-2020' END AS document_key, CASE WHEN p_partkey % 7 <> 3 THEN p_name END AS titulo, 'DS' AS tipo, CAST(p_size AS STRING) AS numero FROM {part}"""
+
+
+def _lists(rows, path, template="%s"):
+    """JSON lists in a few files, as other programs leave them."""
+    listed = rows.groupBy("file").agg(F.to_json(F.sort_array(F.collect_list(F.struct(*[c for c in rows.columns if c != "file"])))).alias("x"))
+    listed.select(F.format_string(template, "x").alias("value")).coalesce(1).write.text(path)
+
+
+@query("seed_import", f"""SELECT document_key, titulo, tipo, numero, CASE WHEN trim(coalesce(document_key, '')) = '' THEN 'no key' WHEN titulo IS NULL THEN 'no title' END AS rejected FROM ({SEEDS})""")
+def seed_import(spark, sf):
+    """SRC7: seeds written as JSON lists and read with what is wrong with them."""
+    path = _folder(spark, "seeds")
+    for n in range(4):  # a file holds one list
+        _lists(derived(spark, sf, SEEDS).filter(F.col("file") % 4 == n).withColumn("file", F.lit(0)), f"{path}/{n}")
+    return R.checked_seeds(spark, f"{path}/*").select("document_key", "titulo", "tipo", "numero", "rejected")
+
+
+@query("inventory_import", """SELECT 'DS-' || p_partkey || '-2020' AS document_key, p_name AS title, p_brand AS tipo, ['http://x.pe/' || p_partkey || '.pdf', p_type] AS pdf_urls FROM part WHERE p_partkey % 3 = 0""")
+def inventory_import(spark, sf):
+    """SRC6: an inventory written as one JSON object and read back."""
+    path = _folder(spark, "inventory")
+    rows = derived(spark, sf, "SELECT 0 AS file, 'DS-' || p_partkey || '-2020' AS document_key, p_name AS title, p_brand AS tipo, array('http://x.pe/' || p_partkey || '.pdf', p_type) AS pdf_urls FROM {part} WHERE p_partkey % 3 = 0")
+    _lists(rows, path, '{"source": "x", "items": %s}')
+    return R.read_inventory(spark, path).select("document_key", "title", "tipo", "pdf_urls")
+
+
+@query("report_files", """SELECT 'markdown' AS file, '- ' || coalesce(p_brand, 'SIN_TIPO') || ': ' || count(*) AS line FROM (SELECT CASE WHEN p_size % 5 <> 0 THEN p_brand END AS p_brand FROM part) GROUP BY p_brand
+UNION ALL SELECT 'json', 'DS-' || p_partkey || ' ' || p_name FROM part UNION ALL SELECT 'csv', 'DS-' || p_partkey || ' ' || p_name FROM part""")
+def report_files(spark, sf):
+    """SNK12: the three files of a report, read back."""
+    path = _folder(spark, "report")
+    p = table(spark, sf, "part").select(F.concat(F.lit("DS-"), F.col("p_partkey").cast("string")).alias("document_key"), F.col("p_name").alias("title"), F.when(F.col("p_size") % 5 != 0, F.col("p_brand")).alias("tipo"))
+    R.write_report(p.withColumns({c: F.lit(None).cast("string") for c in R.FIELDS[3:]}), path)
+    both = lambda d: F.concat_ws(" ", d["document_key"], d["title"])
+    j, c, m = spark.read.schema("document_key string, title string").json(f"{path}/json"), spark.read.csv(f"{path}/csv", header=True), spark.read.text(f"{path}/markdown")
+    out = m.select(F.lit("markdown").alias("file"), F.col("value").alias("line")).unionByName(j.select(F.lit("json").alias("file"), both(j).alias("line")))
+    return out.unionByName(c.select(F.lit("csv").alias("file"), both(c).alias("line")))
+
+
+@query("log_rows", "SELECT o_orderkey, (o_orderkey % 2)::INT AS batch FROM orders")
+def log_rows(spark, sf):
+    """SNK14: two batches of a log, the second run twice."""
+    path, o = _folder(spark, "log"), table(spark, sf, "orders").select("o_orderkey")
+    for batch in (0, 1, 1):
+        R.append_log(o.filter(F.col("o_orderkey") % 2 == batch), path, batch)
+    return spark.read.parquet(path).select("o_orderkey", "batch")
+
+
 # --- streams --------------------------------------------------------------------------------------------
 
 

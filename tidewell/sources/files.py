@@ -17,11 +17,19 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.inline(rows))
 
 
+def checked_seeds(spark: SparkSession, path: str) -> DataFrame:
+    """SRC7: JSON lists of seeds; ``rejected`` says why a record cannot be one (null: it can). A file that is no JSON is one record."""
+    fields = ("document_key", "titulo", "tipo", "numero", "anio")
+    rows = spark.read.schema(", ".join(f"{f} string" for f in fields) + ", broken string").json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="broken")
+    empty = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    reason = F.when(F.col("broken").isNotNull(), "no JSON").when(empty("document_key"), "no key").when(empty("titulo"), "no title")
+    return rows.select(*fields, reason.alias("rejected"))
+
+
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
-    """SRC7: a JSON list; a record without key or title is an error."""
-    rows = spark.read.schema("document_key string, titulo string, tipo string, numero string, anio string").json(path, multiLine=True)
-    bad = (F.coalesce("document_key", F.lit("")) == "") | (F.coalesce("titulo", F.lit("")) == "")
-    return rows.withColumn("document_key", F.when(bad, F.raise_error(F.lit("a seed lacks its key or title")).cast("string")).otherwise(F.col("document_key")))
+    """SRC7: the same where a record without key or title is an error."""
+    rows = checked_seeds(spark, path)
+    return rows.select(F.when(F.col("rejected").isNotNull(), F.raise_error(F.concat(F.lit("a seed cannot be read: "), "rejected")).cast("string")).otherwise(F.col("document_key")).alias("document_key"), *[c for c in rows.columns if c not in ("document_key", "rejected")])
 
 
 def write_report(items: DataFrame, path: str) -> None:
@@ -41,6 +49,6 @@ def export_norms(pages: DataFrame, path: str) -> None:
     whole.write.mode("overwrite").partitionBy("norma_id").text(path)
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """SNK14."""
-    rows.write.mode("append").parquet(path)
+def append_log(rows: DataFrame, path: str, batch: int) -> None:
+    """SNK14: the log's part of one batch: tasks that are tried again write once, and so does a batch that is run again."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
