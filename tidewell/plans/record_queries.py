@@ -301,25 +301,35 @@ def folder_paths(spark, sf):
 ITEMS = "SELECT p_partkey AS item_id, 'LEY-' || (p_size * 1000) AS document_key, 'LEY' AS tipo, (p_size * 1000)::VARCHAR AS numero, NULL AS anio, p_name AS titulo, 'http://x.pe/' || p_brand AS source_url FROM part"
 
 
-@query("import_classify")
-def import_classify(spark, sf):
-    p = table(spark, sf, "part")
-    rows = p.select(F.col("p_partkey").alias("item_id"), F.concat(F.lit("DS-"), F.col("p_size"), F.lit("-2"), F.format_string("%03d", F.col("p_partkey") % 1000)).alias("document_key"), F.lit("DS").alias("tipo"), F.col("p_size").cast("string").alias("numero"), F.concat(F.lit("2"), F.format_string("%03d", F.col("p_partkey") % 1000)).alias("anio"), F.col("p_name").alias("titulo"), F.concat(F.lit("http://x.pe/"), F.col("p_brand")).alias("source_url"))
-    return M.classified_items(rows.filter("item_id % 2 = 0"), rows.filter("item_id % 2 = 1").drop("item_id"))
-
-
 LEFT_ITEMS = """SELECT p_partkey AS item_id, CASE p_partkey % 6 WHEN 0 THEN 'DS-' || p_partkey || '-' || y WHEN 1 THEN 'DS-0' || p_partkey || '-' || y || '-SA' WHEN 2 THEN 'DS-' || (p_partkey + 1000000) || '-' || y WHEN 3 THEN 'X' END AS document_key, CASE WHEN p_partkey % 6 IN (0, 2) THEN 'DS' END AS tipo, CASE p_partkey % 6 WHEN 0 THEN CAST(p_partkey AS STRING) WHEN 2 THEN CAST(p_partkey + 1000000 AS STRING) END AS numero, CASE WHEN p_partkey % 6 IN (0, 2) THEN CAST(y AS STRING) END AS anio,
   CASE p_partkey % 6 WHEN 0 THEN 'Norma ' || p_name || ' ' || p_partkey WHEN 1 THEN 'Otra ' || p_partkey WHEN 2 THEN 'Nueva ' || p_partkey WHEN 3 THEN 'Nada' WHEN 4 THEN 'NORMA:  ' || p_name || ' ' || p_partkey END AS titulo, CASE p_partkey % 6 WHEN 0 THEN 'http://x.pe/e/' || p_partkey WHEN 1 THEN 'http://x.pe/z/' || p_partkey WHEN 2 THEN 'http://x.pe/v/' || p_partkey WHEN 3 THEN 'HTTP://X.pe/e/' || p_partkey || '/?q=1' END AS source_url FROM (SELECT *, 2000 + p_partkey % 25 AS y FROM {part}) AS x"""
 RIGHT_ITEMS = """SELECT 'DS-' || p_partkey || '-' || y AS document_key, 'DS' AS tipo, CAST(p_partkey AS STRING) AS numero, CAST(y AS STRING) AS anio, 'norma ' || p_name || ' ' || p_partkey AS titulo, 'http://x.pe/e/' || p_partkey AS source_url FROM (SELECT *, 2000 + p_partkey % 25 AS y FROM {part}) AS x WHERE p_partkey % 4 <> 3"""
 
 
-_REASONS = f"""l AS (SELECT *, regexp_extract(document_key, '^DS-0*([0-9]+)-([0-9]+)', ['n', 'y']) AS k, lower(regexp_extract(source_url, '^([a-zA-Z]+://[^/?#]*)', 1)) || regexp_replace(regexp_replace(regexp_extract(source_url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+$', ''), '/{{2,}}', '/', 'g') AS u,
-    trim(regexp_replace(regexp_replace(lower(titulo), '[^a-z0-9áéíóúüñ ]+', ' ', 'g'), ' +', ' ', 'g')) AS t FROM ({LEFT_ITEMS})),
-  r AS (SELECT *, trim(regexp_replace(regexp_replace(lower(titulo), '[^a-z0-9áéíóúüñ ]+', ' ', 'g'), ' +', ' ', 'g')) AS t FROM ({RIGHT_ITEMS})),
-  h AS (SELECT item_id, 1 AS o, 'exact_document_key' AS reason FROM l JOIN r USING (document_key) UNION SELECT item_id, 2, 'normalized_key' FROM l JOIN r ON r.document_key = 'DS-' || k.n || '-' || k.y UNION SELECT item_id, 3, 'type_number_year' FROM l JOIN r ON r.numero = coalesce(l.numero, k.n) AND r.anio = coalesce(l.anio, k.y)
-    UNION SELECT item_id, 5, 'source_url' FROM l JOIN r ON l.u = r.source_url UNION SELECT item_id, 6, 'title_similarity' FROM l JOIN r ON l.t = r.t AND (l.anio IS NULL AND k.y IN ('', NULL) OR coalesce(l.anio, k.y, r.anio) = r.anio)),
-  g AS (SELECT l.item_id, coalesce(string_agg(reason, ',' ORDER BY o), '') AS reasons, coalesce(bool_or(reason <> 'title_similarity'), false) AS strong, any_value(document_key) AS key, any_value(k) AS k, any_value(l.tipo) AS tipo FROM l LEFT JOIN h USING (item_id) GROUP BY l.item_id),
-  c AS (SELECT item_id, reasons, CASE WHEN starts_with(reasons, 'exact_document_key') THEN 'skipped_exact_existing' WHEN strong THEN 'skipped_possible_duplicate' WHEN coalesce(k.n, '') = '' THEN 'skipped_insufficient_data' ELSE 'new_candidate' END AS action FROM g)"""
+def _reasons_sql(left: str, right: str) -> str:
+    """CTEs to ``h(item_id, o, reason)`` by a join for each reason, and ``c(item_id, reasons, action)``."""
+    side = lambda rows: f"""(SELECT *, 'DS-' || n || coalesce('-' || y, '') AS key FROM (SELECT *, coalesce(numero, nullif(k.n, '')) AS n, nullif(regexp_extract(coalesce(anio, k.y, ''), '((?:19|20)[0-9]{{2}})', 1), '') AS y FROM (
+    SELECT *, regexp_extract(document_key, '^DS-0*([0-9]+)-([0-9]+)', ['n', 'y']) AS k, lower(regexp_extract(source_url, '^([a-zA-Z]+://[^/?#]*)', 1)) || regexp_replace(regexp_replace(regexp_extract(source_url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+$', ''), '/{{2,}}', '/', 'g') AS u,
+    trim(regexp_replace(regexp_replace(lower(titulo), '[^a-z0-9áéíóúüñ ]+', ' ', 'g'), ' +', ' ', 'g')) AS t FROM ({rows}))))"""
+    return f"""l AS {side(left)}, r AS {side(right)},
+  h AS (SELECT item_id, 1 AS o, 'exact_document_key' AS reason FROM l JOIN (SELECT DISTINCT document_key FROM r) USING (document_key) UNION SELECT item_id, 2, 'normalized_key' FROM l JOIN (SELECT DISTINCT key FROM r) USING (key) UNION SELECT item_id, 3, 'type_number_year' FROM l JOIN (SELECT DISTINCT n, y FROM r) USING (n, y)
+    UNION SELECT item_id, 5, 'source_url' FROM l JOIN (SELECT DISTINCT u FROM r) USING (u) UNION SELECT item_id, 6, 'title_similarity' FROM l JOIN (SELECT DISTINCT t, y AS y2 FROM r) USING (t) WHERE y IS NULL OR y2 IS NULL OR y = y2),
+  g AS (SELECT l.item_id, coalesce(string_agg(reason, ',' ORDER BY o), '') AS reasons, coalesce(bool_or(reason <> 'title_similarity'), false) AS strong, any_value(n) AS n, any_value(y) AS y FROM l LEFT JOIN h USING (item_id) GROUP BY l.item_id),
+  c AS (SELECT item_id, reasons, CASE WHEN starts_with(reasons, 'exact_document_key') THEN 'skipped_exact_existing' WHEN strong THEN 'skipped_possible_duplicate' WHEN n IS NULL OR y IS NULL THEN 'skipped_insufficient_data' ELSE 'new_candidate' END AS action FROM g)"""
+
+
+_REASONS = _reasons_sql(LEFT_ITEMS, RIGHT_ITEMS)
+
+
+LISTED = """SELECT p_partkey AS item_id, 'DS-' || p_size || '-' || y AS document_key, 'DS' AS tipo, CAST(p_size AS STRING) AS numero, y AS anio, p_name AS titulo, 'http://x.pe/' || p_brand AS source_url FROM (SELECT *, '2' || lpad(CAST(p_partkey % 1000 AS STRING), 3, '0') AS y FROM {part}) AS x"""
+_HALVES = _reasons_sql(f"SELECT * FROM ({LISTED}) WHERE item_id % 2 = 0", f"SELECT document_key, tipo, numero, anio, titulo, source_url FROM ({LISTED}) WHERE item_id % 2 = 1")
+
+
+@query("import_classify", f"WITH {_HALVES} SELECT item_id, tipo, n AS numero, y AS anio, key AS normalized_key, reasons, action FROM c JOIN l USING (item_id)")
+def import_classify(spark, sf):
+    """FLT16, JON7, JON8: one half of a listing against the other."""
+    rows = derived(spark, sf, LISTED)
+    return M.classified_items(rows.filter("item_id % 2 = 0"), rows.filter("item_id % 2 = 1").drop("item_id"))
 
 
 @query("import_reasons", f"WITH {_REASONS} SELECT * FROM c")
