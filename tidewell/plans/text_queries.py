@@ -345,12 +345,19 @@ def chart_flag(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", Q.maybe_chart(F.transform("embedding", lambda x: x.cast("double"))).alias("chart"))
 
 
-GRIDS = "SELECT 1 AS id, [['a', 'bb|b'], ['cccc']] AS g UNION ALL SELECT 2, [['Producto', 'Lote'], ['Ibuprofeno 400 mg', 'M0655'], ['Paracetamol', '']] "
+_CELLS = [["'Producto'", "'Lote'"], ["p_name || '|' || p_size", "'M0' || p_partkey"], ["p_type", "''"]]
+_MARKED = [[f"replace({c}, '|', chr(92) || '|')" for c in row] for row in _CELLS]
+_WIDE = [f"greatest({', '.join(f'length({row[i]})' for row in _MARKED)})" for i in (0, 1)]
+_LINE = lambda row: " || ' | ' || ".join(f"rpad({c}, ({w})::INT, ' ')" for c, w in zip(row, _WIDE, strict=True))
+_RULE = " || ' | ' || ".join(f"repeat('-', {w})" for w in _WIDE)
+_MARKDOWN = " || chr(10) || ".join(f"'| ' || {x} || ' |'" for x in (_LINE(_MARKED[0]), _RULE, _LINE(_MARKED[1]), _LINE(_MARKED[2])))
 
 
-@query("table_markdown", """SELECT * FROM (VALUES (1, false, '| a    | bb\\|b |' || chr(10) || '| ---- | ----- |' || chr(10) || '| cccc |       |', 'Tabla 1:' || chr(10) || '| a    | bb\\|b |' || chr(10) || '| ---- | ----- |' || chr(10) || '| cccc |       |' || chr(10) || '' || chr(10) || 'Tabla 2:' || chr(10) || '| a    | bb\\|b |' || chr(10) || '| ---- | ----- |' || chr(10) || '| cccc |       |'), (2, true, '| Producto          | Lote  |' || chr(10) || '| ----------------- | ----- |' || chr(10) || '| Ibuprofeno 400 mg | M0655 |' || chr(10) || '| Paracetamol       |       |', 'Tabla 1:' || chr(10) || '| Producto          | Lote  |' || chr(10) || '| ----------------- | ----- |' || chr(10) || '| Ibuprofeno 400 mg | M0655 |' || chr(10) || '| Paracetamol       |       |' || chr(10) || '' || chr(10) || 'Tabla 2:' || chr(10) || '| Producto          | Lote  |' || chr(10) || '| ----------------- | ----- |' || chr(10) || '| Ibuprofeno 400 mg | M0655 |' || chr(10) || '| Paracetamol       |       |')) AS t(id, real, markdown, "all")""")
+@query("table_markdown", f"""SELECT p_partkey AS id, true AS real, m AS markdown, 'Tabla 1:' || chr(10) || m || chr(10) || chr(10) || 'Tabla 2:' || chr(10) || m AS "all" FROM (SELECT p_partkey, {_MARKDOWN} AS m FROM part)""")
 def table_markdown(spark, sf):
-    v = spark.sql("SELECT * FROM VALUES (1, array(array('a', 'bb|b'), array('cccc'))), (2, array(array('Producto', 'Lote'), array('Ibuprofeno 400 mg', 'M0655'), array('Paracetamol', ''))) AS t(id, g)")
+    """QLT6, QLT7: a table of each part, with a bar in a cell."""
+    grid = F.array(*[F.array(*[F.expr(c) for c in row]) for row in _CELLS])
+    v = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), grid.alias("g"))
     return v.select("id", Q.is_real_table(F.col("g")).alias("real"), Q.table_markdown(F.col("g")).alias("markdown"), Q.tables_markdown(F.array("g", "g")).alias("all"))
 
 
