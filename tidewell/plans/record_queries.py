@@ -365,7 +365,7 @@ def scored_match(spark, sf):
 SELECT f.file_id, CASE WHEN s2 IS NULL OR score >= s2 + 20 THEN id END AS id, CASE WHEN id IS NULL THEN 'drive_only' WHEN s2 IS NULL OR score >= s2 + 20 THEN 'matched' ELSE 'manual_review' END AS state FROM f LEFT JOIN (SELECT * FROM w WHERE n = 1) w USING (file_id)""")
 def ambiguity_rule(spark, sf):
     f, r = _files(spark, sf)
-    return M.decided(M.scored_candidates(f, r), f)
+    return M.best_matches(f, r)
 
 
 @query("unreferenced_rows", "WITH f AS (SELECT s_suppkey * 7 AS file_id, 'BRAND#' || (s_suppkey % 25) AS k, s_name AS n FROM supplier) SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT file_id FROM f) AND upper(p_brand) NOT IN (SELECT upper(k) FROM f) AND upper(p_name) NOT IN (SELECT upper(n) FROM f)")
