@@ -49,16 +49,21 @@ def maybe_chart(areas: Column, low: float = 0.04, high: float = 0.75) -> Column:
 
 def page_method(plain: Column, second: Column, ocr: Column, confidence: Column, pixel_mean: Column) -> Column:
     """QLT4, QLT5: struct method, text, quality. A blank page first; else the first best of the layers
-    that are asked for: a second reading if the plain one is doubtful, OCR if all are poor or short."""
-    q1, q2 = quality_score(plain), quality_score(second)
+    that are asked for: a second reading if the plain one is doubtful, OCR if all are poor or short.
+
+    Each layer is scored once, the later ones only if they are asked for."""
     layer = lambda method, text, quality: F.struct(F.lit(method).alias("method"), stripped(text).alias("text"), quality.alias("quality"))
-    asked = (q1 < 0.75) & (stripped(second) != "") & (q2 > q1)
-    better = F.when(asked, layer("second", second, q2)).otherwise(layer("plain", plain, q1))
-    q3 = quality_score(ocr) * F.coalesce(confidence, F.lit(0.6))
-    asked = ((better.quality < 0.5) | (F.length(better.text) < 25)) & (stripped(ocr) != "")
-    third = F.struct(F.lit("ocr").alias("method"), stripped(ocr).alias("text"), q3.alias("quality"))
+
+    def third(better: Column) -> Column:
+        asked = ((better.quality < 0.5) | (F.length(better.text) < 25)) & (stripped(ocr) != "")
+        return let(F.when(asked, quality_score(ocr) * F.coalesce(confidence, F.lit(0.6))), lambda q: F.when(q > better.quality, layer("ocr", ocr, q)).otherwise(better))
+
+    def read(q1: Column) -> Column:
+        asked = F.when((q1 < 0.75) & (stripped(second) != ""), quality_score(second))
+        return let(let(asked, lambda q2: F.when(q2 > q1, layer("second", second, q2)).otherwise(layer("plain", plain, q1))), third)
+
     blank_page = F.struct(F.lit("blank").alias("method"), F.lit("").alias("text"), F.lit(1.0).alias("quality"))
-    return F.when((stripped(plain) == "") & (pixel_mean > 250), blank_page).otherwise(F.when(asked & (q3 > better.quality), third).otherwise(better))
+    return F.when((stripped(plain) == "") & (pixel_mean > 250), blank_page).otherwise(let(quality_score(plain), read))
 
 
 def mean_confidence(values: Column) -> Column:
@@ -69,21 +74,28 @@ def mean_confidence(values: Column) -> Column:
 
 def is_real_table(rows: Column) -> Column:
     """QLT6: at least two rows and columns, three filled cells, twenty characters."""
-    cells = F.filter(F.transform(F.flatten(rows), lambda c: stripped(c)), lambda c: c != "")
-    return (F.size(rows) >= 2) & (F.size(F.get(rows, F.lit(0))) >= 2) & (F.size(cells) >= 3) & (F.aggregate(cells, F.lit(0), lambda a, c: a + F.length(c)) >= 20)
+    full = lambda cells: (F.size(cells) >= 3) & (F.aggregate(cells, F.lit(0), lambda a, c: a + F.length(c)) >= 20)
+    return (F.size(rows) >= 2) & (F.size(F.get(rows, F.lit(0))) >= 2) & let(F.filter(F.transform(F.flatten(rows), lambda c: stripped(c)), lambda c: c != ""), full)
 
 
 def table_markdown(rows: Column) -> Column:
     """QLT7: a grid padded to its columns' widths; bars escaped; short rows filled."""
-    cells = F.transform(rows, lambda r: F.transform(r, lambda c: F.replace(clean(c), F.lit("|"), F.lit("\\|"))))
-    columns = F.array_max(F.transform(cells, lambda r: F.size(r)))
-    places = F.sequence(F.lit(0), columns - 1)
-    filled = F.transform(cells, lambda r: F.transform(places, lambda i: F.coalesce(F.get(r, i), F.lit(""))))
-    widths = F.transform(places, lambda i: F.greatest(F.lit(3), F.array_max(F.transform(filled, lambda r: F.length(F.get(r, i))))))
     line = lambda parts: F.concat(F.lit("| "), F.array_join(parts, " | "), F.lit(" |"))
-    body = F.transform(filled, lambda r: line(F.zip_with(r, widths, lambda c, w: F.rpad(c, w, " "))))
-    rule = line(F.transform(widths, lambda w: F.expr("repeat('-', 1)") if w is None else F.repeat(F.lit("-"), w)))
-    return F.array_join(F.concat(F.slice(body, 1, 1), F.array(rule), F.slice(body, 2, F.greatest(F.size(body), F.lit(1)))), "\n")
+
+    def drawn(g: Column) -> Column:
+        rule = line(F.transform(g.widths, lambda w: F.repeat(F.lit("-"), w)))
+        body = F.transform(g.filled, lambda r: line(F.zip_with(r, g.widths, lambda c, w: F.rpad(c, w, " "))))
+        return let(body, lambda b: F.array_join(F.concat(F.slice(b, 1, 1), F.array(rule), F.slice(b, 2, F.greatest(F.size(b), F.lit(1)))), "\n"))
+
+    def measured(filled: Column, places: Column) -> Column:
+        widths = F.transform(places, lambda i: F.greatest(F.lit(3), F.array_max(F.transform(filled, lambda r: F.length(F.get(r, i))))))
+        return let(F.struct(filled.alias("filled"), widths.alias("widths")), drawn)
+
+    def padded(cells: Column) -> Column:
+        places = F.sequence(F.lit(0), F.array_max(F.transform(cells, lambda r: F.size(r))) - 1)
+        return let(places, lambda p: let(F.transform(cells, lambda r: F.transform(p, lambda i: F.coalesce(F.get(r, i), F.lit("")))), lambda filled: measured(filled, p)))
+
+    return let(F.transform(rows, lambda r: F.transform(r, lambda c: F.replace(clean(c), F.lit("|"), F.lit("\\|")))), padded)
 
 
 def tables_markdown(tables: Column) -> Column:
@@ -141,7 +153,7 @@ def review_flags(raw: Column, ocr: Column, normalized: Column | None = None, lay
     hand = ocr & ((rare > 0.02) | (symbols > 0.14) | (short >= 5) | F.rlike(blank(raw), F.lit(r"[\\/_|]{3,}")))
     return F.struct(
         F.round(rare, 4).alias("rare_ratio"), F.round(symbols, 4).alias("symbol_ratio"), short.alias("short_fragments"),
-        (F.size(numeric) > 0).alias("numeric_error"), (F.size(roman) > 0).alias("roman_error"), (F.size(heads) > 0).alias("heading_error"), F.coalesce(hand, F.lit(False)).alias("handwriting"),
+        F.rlike(blank(raw), F.lit(CONFUSED)).alias("numeric_error"), F.rlike(blank(raw), F.lit(ROMAN_DOUBTFUL)).alias("roman_error"), (F.size(heads) > 0).alias("heading_error"), F.coalesce(hand, F.lit(False)).alias("handwriting"),
         F.rlike(blank(text), F.lit(SENSITIVE["temperature"])).alias("temperature_value"), told("numbered_list_split").alias("list_split"), told("index_alignment_issue").alias("index_alignment"), told("bad_layout_order").alias("layout_order"),
         F.slice(numeric, 1, 20).alias("numeric_tokens"), F.slice(roman, 1, 20).alias("roman_tokens"), F.slice(heads, 1, 12).alias("malformed_heading_lines"), matches.alias("matches"), sensitive_values(text).alias("values"),
     )
@@ -152,6 +164,8 @@ BEGIN, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 # Patterns of values that must not be misread (fixed values).
 CONFUSED = BEGIN + r"(\d+[A-Za-z]|[A-Za-z]\d+)" + END
 ROMAN, ROMAN_LIKE = BEGIN + r"([IVXLCDM]{1,8})" + END, BEGIN + r"([IVXLCDMil1]{1,8})" + END
+# A numeral like the last with a letter or digit in it that only looks like one of a numeral.
+ROMAN_DOUBTFUL = BEGIN + r"(?=[IVXLCDM]*[il1])[IVXLCDMil1]{1,8}" + END
 TEMPERATURE = r"((?<!\d)-?\d{1,3}\s*[°º]?\s*[Cc]" + END + ")"
 SENSITIVE = {
     "temperature": r"((?<!\d)-?\d{1,3}\s*[°º]?\s*[Cc](?:\s*y\s*-?\d{1,3}\s*[°º]?\s*[Cc])?)",

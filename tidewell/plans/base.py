@@ -45,6 +45,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over tasks: a small file's rows lie in a few row groups, each read by one task, where the work on a
+    row is what costs."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def values(spark: SparkSession, sql: str) -> DataFrame:
     """An inline fixture: the same SQL text runs in both engines."""
     return spark.sql(sql)

@@ -8,7 +8,7 @@ from tidewell.functions import keys as K
 from tidewell.functions import quality as Q
 from tidewell.functions import text as X
 from tidewell.operators import search as S
-from tidewell.plans.base import PAGES_SQL, SIGNS, STRIPPED, derived, norm_pages, quality_sql, query, table, values
+from tidewell.plans.base import PAGES_SQL, SIGNS, STRIPPED, derived, norm_pages, quality_sql, query, spread, table, values
 
 FOLD = f"translate({{}}, '{X.ACCENTED}', '{X.PLAIN}')"
 CLEAN = "trim(regexp_replace(coalesce({}, ''), '[\\s\\x{{a0}}]+', ' ', 'g'))"
@@ -317,7 +317,7 @@ SELECT doc_id, len(list_filter(ls, lambda s: length(s) <= 3)) AS short_fragments
   len(list_distinct(regexp_extract_all(apart, '(^|[^\\p{{L}}\\p{{N}}_])([0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}})($|[^\\p{{L}}\\p{{N}}_])', 2))) AS dates FROM b""")
 def review_flags(spark, sf):
     layout = F.struct((F.col("doc_id") % 2 == 0).alias("possible_numbered_list_split"), F.lit(None).cast("boolean").alias("possible_index_alignment_issue"), F.lit(False).alias("possible_bad_layout_order"))
-    d = table(spark, sf, "documents").select("doc_id", Q.review_flags(F.col("text"), F.lit(True), layout=layout).alias("f"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", Q.review_flags(F.col("text"), F.lit(True), layout=layout).alias("f"))
     return d.select("doc_id", F.col("f.short_fragments").cast("long").alias("short_fragments"), "f.numeric_error", "f.temperature_value", "f.list_split", "f.layout_order", F.size("f.matches.roman_numerals").cast("long").alias("romans"), "f.roman_error", F.size("f.malformed_heading_lines").cast("long").alias("malformed"), F.size("f.matches.dates").cast("long").alias("dates"))
 
 
@@ -330,9 +330,8 @@ b AS (SELECT *, q1 < 0.75 AND second <> '' AND q2 > q1 AS two FROM a), c AS (SEL
 SELECT id, CASE WHEN plain = '' AND px > 250 THEN 'blank' WHEN (q < 0.5 OR n < 25) AND ocr <> '' AND qo > q THEN 'ocr' WHEN two THEN 'second' ELSE 'plain' END AS method,
   round(CASE WHEN plain = '' AND px > 250 THEN 1.0 WHEN (q < 0.5 OR n < 25) AND ocr <> '' AND qo > q THEN qo ELSE q END, 3) AS quality FROM c""")
 def page_method(spark, sf):
-    v = derived(spark, sf, LAYERS)
     m = Q.page_method(F.col("plain"), F.col("second"), F.col("ocr"), F.col("conf").cast("double"), F.col("px"))
-    return v.select("id", m.method.alias("method"), F.round(m.quality, 3).alias("quality"))
+    return spread(derived(spark, sf, LAYERS)).select("id", m.alias("m")).select("id", "m.method", F.round("m.quality", 3).alias("quality"))
 
 
 @query("mean_confidence", "SELECT vec_id, round(list_avg(list_filter(embedding, lambda x: x >= 0)::DOUBLE[]) / 100, 6) AS confidence FROM embeddings")
@@ -357,7 +356,7 @@ _MARKDOWN = " || chr(10) || ".join(f"'| ' || {x} || ' |'" for x in (_LINE(_MARKE
 def table_markdown(spark, sf):
     """QLT6, QLT7: a table of each part, with a bar in a cell."""
     grid = F.array(*[F.array(*[F.expr(c) for c in row]) for row in _CELLS])
-    v = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), grid.alias("g"))
+    v = spread(table(spark, sf, "part")).select(F.col("p_partkey").alias("id"), grid.alias("g"))
     return v.select("id", Q.is_real_table(F.col("g")).alias("real"), Q.table_markdown(F.col("g")).alias("markdown"), Q.tables_markdown(F.array("g", "g")).alias("all"))
 
 
