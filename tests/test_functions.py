@@ -130,3 +130,14 @@ def test_registrations_of_over_six_digits(spark):
     """A narrative's registration number is given whole, whatever its length."""
     docs = spark.createDataFrame([(1, ["Comercialización ilegal del producto UNO", "R.S. BE-0120999 y"]), (2, ["Comercialización ilegal del producto DOS", "R.S. BE-01234 y"])], "doc_id int, lines array<string>")
     assert {r.doc_id: r.sanitary_registration for r in E.narrative_alerts(docs).collect()} == {1: "BE-0120999", 2: "BE-01234"}
+
+
+@pytest.mark.parametrize(("name", "inner", "most"), [
+    ("maker_country", "regexp_replace", 80), ("table_markdown", "regexp_replace", 6), ("narrative_products", "lote", 3), ("table_rows", "upper", 8), ("page_method", "26,", 3), ("review_flags", "regexp_extract_all", 5), ("alert_products", "ACCENTED", 6),
+])
+def test_a_value_used_several_times_is_computed_once(spark, name, inner, most):
+    """An expression that stands in a plan many times is computed as often."""
+    from tidewell import catalogue
+
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count(X.ACCENTED if inner == "ACCENTED" else inner) <= most

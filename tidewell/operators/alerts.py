@@ -35,6 +35,6 @@ def alert_products(documents: DataFrame) -> DataFrame:
     routed = documents.select("doc_id", "title", "text", lines.alias("lines"), kind.alias("alert_type"))
     routed = routed.withColumn("extractor", E.extractor(F.col("alert_type"), F.col("lines"))).filter("extractor <> 'ninguno'")
     number = E.alert_number(F.col("title"), F.col("text"), F.lit(None).cast("string"))
-    told = routed.select("doc_id", number.alias("alert_number"), "alert_type", "extractor", "lines", E.narrative_product(F.col("text")).alias("narrative"))
+    told = routed.select("doc_id", number.alias("alert_number"), "alert_type", "extractor", "lines", F.when(F.col("extractor") == "narrativo_ilegal", E.narrative_product(F.col("text"))).alias("narrative"))
     found = told.lateralJoin(AlertProducts(F.col("extractor").outer(), F.col("lines").outer(), F.col("narrative").outer()))
     return found.filter("status = 'ok'").drop("lines", "narrative", "status")

@@ -13,7 +13,7 @@ from tidewell.operators import extraction as E
 from tidewell.operators import layout as L
 from tidewell.operators import merge as G
 from tidewell.operators.store import shared_folder
-from tidewell.plans.base import derived, query, table, values
+from tidewell.plans.base import derived, query, spread, table, values
 from tidewell.sources import files as R
 from tidewell.sources import html as H
 from tidewell.sources import tables as T
@@ -48,7 +48,7 @@ UNION ALL SELECT doc_id, alert_number, 'producto_falsificado', 'falsificados', p
 UNION ALL SELECT doc_id, alert_number, 'otro', 'narrativo_ilegal', p_name, lot, NULL, 'Lab ' || p_type, 'India', NULL, NULL, 0.92::DOUBLE FROM a WHERE p_partkey % 4 = 2""")
 def alert_products(spark, sf):
     """EXR1-EXR9: products of alerts planted in documents, found by one pass over them; the other documents have none."""
-    found = A.alert_products(derived(spark, sf, ALERT_TEXTS))
+    found = A.alert_products(spread(derived(spark, sf, ALERT_TEXTS)))
     return found.select("doc_id", "alert_number", "alert_type", "extractor", "product_name", "lot_number", "sanitary_registration", "manufacturer", "manufacturer_country", "registration_holder", "analytical_result", "confidence")
 
 
@@ -70,7 +70,7 @@ TABLE_LINES = """SELECT p_partkey AS doc, CASE p_partkey % 3 WHEN 0 THEN 'Alerta
 UNION ALL SELECT p_partkey, p_brand, '77A' || p_size, 'Lab Dos', 'Chile' FROM part WHERE p_partkey % 3 = 0
 UNION ALL SELECT p_partkey, 'Crema ' || p_name || ' solo una celda', '1' || p_partkey, NULL, NULL FROM part WHERE p_partkey % 3 = 1""")
 def table_rows(spark, sf):
-    rows = derived(spark, sf, TABLE_LINES).select("doc", F.posexplode(F.split("body", ";")).alias("line_no", "line"))
+    rows = spread(derived(spark, sf, TABLE_LINES)).select("doc", F.posexplode(F.split("body", ";")).alias("line_no", "line"))
     return E.table_rows(rows).select("doc", "product_name", "lot_number", "manufacturer", "manufacturer_country")
 
 
@@ -134,8 +134,8 @@ MAKERS = """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'Lab ' || p_t
 
 @query("maker_country", """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'Lab ' || p_type || ' S.A.' WHEN 1 THEN 'Laboratorio ' || p_type || ' S.A.C.' WHEN 2 THEN p_name || ' Geneva' WHEN 3 THEN 'Lab ' || p_name WHEN 5 THEN p_type || ' incautados...' END AS maker, CASE p_partkey % 6 WHEN 0 THEN 'Ecuador' WHEN 1 THEN 'Perú' WHEN 2 THEN 'UK (Reino Unido)' WHEN 5 THEN 'Francia' END AS country, CASE WHEN p_partkey % 6 = 5 THEN 'Francia' END AS prefix FROM part""")
 def maker_country(spark, sf):
-    v = derived(spark, sf, MAKERS)
-    m, p = E.maker_and_country(F.col("s")), E.country_prefix(F.col("s"))
+    v = spread(derived(spark, sf, MAKERS)).select("id", E.maker_and_country(F.col("s")).alias("m"), E.country_prefix(F.col("s")).alias("p"))
+    m, p = F.col("m"), F.col("p")
     return v.select("id", m.maker.alias("maker"), m.country.alias("country"), p.country.alias("prefix"))
 
 
@@ -221,7 +221,7 @@ NARRATED = """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'El product
 @query("narrative_products", """SELECT p_partkey AS id, CASE WHEN p_partkey % 4 < 2 THEN p_name END AS product_name, CASE p_partkey % 4 WHEN 0 THEN 'AB' || p_partkey || 'X' WHEN 1 THEN 'conocido' END AS lot_number, CASE p_partkey % 4 WHEN 0 THEN 'Lab ' || p_type WHEN 1 THEN p_brand END AS manufacturer, CASE p_partkey % 4 WHEN 0 THEN 'India' WHEN 2 THEN 'Chile' END AS manufacturer_country,
   CASE WHEN p_partkey % 4 < 2 THEN 0.92 ELSE 0.76 END::DOUBLE AS confidence FROM part""")
 def narrative_products(spark, sf):
-    return derived(spark, sf, NARRATED).select("id", F.inline(F.array(E.narrative_product(F.col("body")))))
+    return spread(derived(spark, sf, NARRATED)).select("id", F.inline(F.array(E.narrative_product(F.col("body")))))
 
 
 _ALERT = [
