@@ -73,3 +73,17 @@ def test_few_candidates_are_evaluated_where_bounds_tell(monkeypatch):
     monkeypatch.setattr(pivots, "products", lambda a, b, plain: (seen.append(len(a)), real(a, b, plain))[1])
     pivots.search(block, values[0], block.norms[0], table[:, 0], 0, 10, pivots.LOW, pivots.HIGH, True)
     assert sum(seen) < 200
+
+
+def test_blocks_are_read_a_few_at_a_time(spark):
+    """Row groups of large cells are small: Spark's reader holds all rows of one at once."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from tidewell.llm import common, pivots
+
+    rows = spark.range(60_000, numPartitions=2).select(F.col("id").alias("vec_id"), F.array(*[F.rand(k).cast("float") for k in range(64)]).alias("embedding"))
+    table = pivots.pivot_table(rows.repartition(1), F.col("vec_id") % 1000 == 0, 10)
+    files = {f.removeprefix("file://") for f in table.inputFiles()}
+    groups = [m.row_group(g).total_byte_size for m in (pq.ParquetFile(f).metadata for f in files) for g in range(m.num_row_groups)]
+    assert sum(groups) > 4 * common.GROUP_BYTES and max(groups) <= 2 * common.GROUP_BYTES

@@ -78,6 +78,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a row group in a table of large cells. Spark's reader holds a row group's rows at once, whatever their size.
+GROUP_BYTES = 8 << 20
+
+
+def stored_large(df: DataFrame, name: str) -> DataFrame:
+    """``stored`` for rows of up to megabytes: the writer looks at its size after every few rows, not after a hundred."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    checks = {f"parquet.{what}.size.row.check.{end}": n for what in ("block", "page") for end, n in (("min", 1), ("max", 4))}
+    options = {"compression": "zstd", "parquet.block.size": GROUP_BYTES, "parquet.enable.dictionary": "false"} | checks
+    df.write.options(**{k: str(v) for k, v in options.items()}).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what Python is handed at once. Spark reads these settings of the session when a frame runs, so they stay set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

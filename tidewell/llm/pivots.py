@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import partitions, small_batches, stored
+from tidewell.llm.common import partitions, small_batches, stored, stored_large
 
 PIVOTS = 32
 #: Rows that pivots are chosen from; the choice changes the speed, never a result.
@@ -268,7 +268,7 @@ def pivot_table(rows: DataFrame, query: Column, k: int, key: str = "vec_id", vec
     pivots = farthest_first(sample)
     placed = stored(valid.mapInArrow(_placed(pivots, scale), _ddl(PLACED)), "placed")
     order = placed.repartitionByRange(partitions(spark), "cell", "near", "id").sortWithinPartitions("cell", "near", "id")
-    return stored(order.mapInArrow(_blocks(pivots, k), _ddl(BLOCKS)).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    return stored_large(order.mapInArrow(_blocks(pivots, k), _ddl(BLOCKS)).withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
 def top_k(rows: DataFrame, query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: float = 1024.0) -> DataFrame:
@@ -278,7 +278,7 @@ def top_k(rows: DataFrame, query: Column, k: int = 10, key: str = "vec_id", vect
     blocks = pivot_table(rows, query, k, key, vector, scale)
     found = blocks.filter(F.size("queries") > 0).mapInArrow(_queries, _ddl(QUERIES))
     one = found.groupBy("id").agg(F.min(F.struct("v", "d", "least", "least_id", "home")).alias("q")).select("id", "q.*")
-    groups = stored(one.repartitionByRange(partitions(spark), "home", "id").sortWithinPartitions("home", "id").mapInArrow(_groups, _ddl(GROUPS)), "queries")
+    groups = stored_large(one.repartitionByRange(partitions(spark), "home", "id").sortWithinPartitions("home", "id").mapInArrow(_groups, _ddl(GROUPS)), "queries")
     deals = 4 * partitions(spark)
     gap = F.array_max(F.transform(F.arrays_zip("low", "high", "q_low", "q_high"), lambda p: F.greatest(p.q_low - p.high, p.low - p.q_high, F.lit(0.0)) - LOOSE * (p.q_high + p.high)))
     upper = (F.pow("q_norm", F.lit(2)) + F.pow("norm", F.lit(2))) * (1 + 1e-9) / 2 + 1 - F.pow(F.greatest(gap, F.lit(0.0)), F.lit(2)) / 2
