@@ -113,3 +113,14 @@ def test_streams_fill_tables_and_outboxes(spark, tmp_path):
 
     I.delivered(stream, box, deliver, f"{tmp_path}/d").awaitTermination()
     assert set(sent) == {(k, n) for n in range(3) for k in range(n, 10)} and sent.count((3, 0)) == 2 and box.pending().collect() == []
+
+
+def test_assets_of_one_key_make_no_pairs(spark):
+    """Every join of wanted assets meets one row for a key, however many assets share it."""
+    from tidewell.operators import merge as G
+
+    assets = spark.range(50).selectExpr("id + 7 AS id", "'n' AS norma_id", "'pdf' AS asset_tipo", "CASE WHEN id % 2 = 0 THEN '' END AS asset_subtipo", "CASE WHEN id > 0 THEN 'f' END AS file_name", "CASE WHEN id < 2 THEN 'd' END AS drive_file_id")
+    wanted = spark.range(5).selectExpr("id AS wanted_id", "'n' AS norma_id", "'pdf' AS asset_tipo", "CAST(NULL AS STRING) AS asset_subtipo", "CASE WHEN id < 3 THEN 'f' END AS file_name", "CASE id WHEN 2 THEN 'd' WHEN 3 THEN 'd' WHEN 4 THEN 'e' END AS drive_file_id")
+    made = G.reused_assets(wanted, assets)
+    assert sorted((r.wanted_id, r.asset_id, r.action) for r in made.collect()) == [(0, 8, "reuse"), (1, 8, "reuse"), (2, 7, "reuse"), (3, 7, "reuse"), (4, None, "insert")]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("min(id#") == 2

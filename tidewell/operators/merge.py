@@ -109,11 +109,13 @@ def merged_entries(rows: DataFrame, key: str, order: list[Column], fields: list[
 
 def reused_assets(wanted: DataFrame, assets: DataFrame) -> DataFrame:
     """SNK8, JON18: for each wanted asset the first one of its norm with its file name, type and subtype, or with
-    its drive id and type; null where it must be inserted. The OR is two equi-joins."""
-    a = assets.select("norma_id", "asset_tipo", F.coalesce("asset_subtipo", F.lit("")).alias("sub"), "file_name", "drive_file_id", F.col("id").alias("asset_id"))
+    its drive id and type; null where it must be inserted. The OR is two equi-joins, each with the first asset of
+    every key: assets that share a key make no pairs."""
+    first = lambda by: a.groupBy(by).agg(F.min("id").alias("asset_id"))
+    a = assets.withColumn("sub", F.coalesce("asset_subtipo", F.lit("")))
     w = wanted.withColumn("sub", F.coalesce("asset_subtipo", F.lit("")))
-    by_name = w.join(a.drop("drive_file_id"), ["norma_id", "asset_tipo", "sub", "file_name"]).select("wanted_id", "asset_id")
-    by_drive = w.join(a.drop("file_name", "sub"), ["norma_id", "asset_tipo", "drive_file_id"]).select("wanted_id", "asset_id")
+    name, drive = ["norma_id", "asset_tipo", "sub", "file_name"], ["norma_id", "asset_tipo", "drive_file_id"]
+    by_name, by_drive = (w.join(first(by), by).select("wanted_id", "asset_id") for by in (name, drive))
     best = by_name.unionByName(by_drive).groupBy("wanted_id").agg(F.min("asset_id").alias("asset_id"))
     return wanted.join(best, "wanted_id", "left").withColumn("action", F.when(F.col("asset_id").isNull(), "insert").otherwise("reuse"))
 
