@@ -399,3 +399,16 @@ def test_units_are_kept_within_their_bytes_in_any_language(encoder):
         assert own[s] == encoder.make(s)
         assert own.used <= 100_000 and held(own) <= 200_000
     assert max(map(len, own.old)) < 300 and len(own.old) > 50
+
+
+def test_words_with_a_common_beginning_share_its_prefixes(monkeypatch):
+    """Only what lies behind a beginning that the word before had too is computed; the ids are those of the definition."""
+    encoder = bpe.prefix_encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    calls, one = [], bpe.Prefixes._last_of
+    monkeypatch.setattr(bpe.Prefixes, "_last_of", lambda self, data, end: calls.append(end) or one(self, data, end))
+    r = random.Random(5)
+    words = ["qzxv" * 3 + "".join(r.choice("abeñ") for _ in range(r.randint(1, 12))) for _ in range(300)]
+    fresh = bpe.PrefixEncoder(encoder.v.ranks, P.PATTERN)
+    for word, ids in zip(words, fresh.each(words), strict=True):
+        assert list(memoryview(ids).cast("I")) == encoder.v.merge(word.encode())
+    assert len(calls) < sum(len(w.encode()) for w in words) / 2

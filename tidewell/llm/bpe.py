@@ -29,6 +29,8 @@ from tidewell.llm.units import UNITS, WHITE, Encoder
 
 #: Token pairs kept in a worker.
 STORE = 400_000
+#: Rank of a pair that never merges.
+NEVER = 1 << 60
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,15 +44,26 @@ class Vocabulary:
         self.bytes = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.wholes: dict[int, bool] = {}
+        #: How long tokens of at least three bytes are at most, by their last three.
+        self.reach: dict[bytes, int] = {}
+        for token in ranks:
+            if len(token) > self.reach.get(token[-3:], 2):
+                self.reach[token[-3:]] = len(token)
 
     def merge(self, data: bytes) -> list[int]:
         """The definition: merge the pair of lowest rank, leftmost first, until no pair has a rank."""
+        rank = self.ranks.get
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if best == 1 << 60:
-                break
+        pairs = [rank(data[i : i + 2], NEVER) for i in range(len(data) - 1)]
+        while pairs and (best := min(pairs)) != NEVER:
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = rank(parts[at] + parts[at + 1], NEVER)
+            if at > 0:
+                pairs[at - 1] = rank(parts[at - 1] + parts[at], NEVER)
         return [self.ranks[p] for p in parts]
 
     def fits(self, first: int, second: int) -> bool:
@@ -64,6 +77,14 @@ class Vocabulary:
         return found
 
 
+    def whole(self, token: int) -> bool:
+        """Whether the bytes of a token encode to just it."""
+        found = self.wholes.get(token)
+        if found is None:
+            found = self.wholes[token] = self.merge(self.bytes[token]) == [token]
+        return found
+
+
 class Prefixes:
     """The last token of each byte prefix of one word."""
 
@@ -72,11 +93,18 @@ class Prefixes:
         self.append(data)
 
     def _last_of(self, data: bytes, end: int) -> int:
-        ranks, fits, last = self.v.ranks, self.v.fits, self.last
-        for start in range(max(0, end - self.v.longest), end):  # the longest candidate first
-            token = ranks.get(data[start:end])
-            if token is not None and (self.v.merge(data[:end]) == [token] if start == 0 else fits(last[start - 1], token)):
-                return token
+        v, last = self.v, self.last
+        token_of, pair_of = v.ranks.get, v.pairs.get
+        reach = v.reach.get(data[end - 3 : end], 2) if end >= 3 else end
+        for start in range(max(0, end - reach), end):  # the longest candidate first
+            token = token_of(data[start:end])
+            if token is not None:
+                if start == 0:
+                    fits = v.whole(token)
+                elif (fits := pair_of((last[start - 1], token))) is None:
+                    fits = v.fits(last[start - 1], token)
+                if fits:
+                    return token
         raise ValueError("the vocabulary lacks a single byte")
 
     def append(self, more: bytes) -> None:
@@ -85,6 +113,17 @@ class Prefixes:
         for end in range(len(self.last) + 1, len(self.data) + 1):
             self.last.append(self._last_of(self.data, end))
 
+    def turn(self, data: bytes) -> None:
+        """Become the prefixes of another word: entries of a common beginning stay, as they depend on it alone."""
+        old, same = self.data, 0
+        for a, b in zip(old, data):
+            if a != b:
+                break
+            same += 1
+        self.data = data[:same]
+        del self.last[same:]
+        self.append(data[same:])
+
     def edit(self, at: int, removed: int, inserted: bytes) -> int:
         """Replace ``removed`` bytes at ``at`` by ``inserted``; returns how many entries were computed."""
         data = self.data[:at] + inserted + self.data[at + removed :]
@@ -119,13 +158,24 @@ class PrefixEncoder(Encoder):
 
         super().__init__(size, [])
         self.v = Vocabulary(ranks)
+        self.prefixes = Prefixes(self.v)
         # White space in the pattern's sense is Unicode White_Space, which the library's own \s is not exactly.
         self.word = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]"))
 
     def letters(self, word: str) -> bytes:
         data = word.encode("utf-8", "surrogatepass")
         whole = self.v.ranks.get(data)
-        return array("I", [whole] if whole is not None else Prefixes(self.v, data).ids()).tobytes()
+        if whole is not None:
+            return array("I", [whole]).tobytes()
+        self.prefixes.turn(data)
+        return array("I", self.prefixes.ids()).tobytes()
+
+    def each(self, units: list[str]) -> list[bytes]:
+        """New units are taken in order, so that words with a common beginning follow each other."""
+        found = list(map(self.units.get, units))
+        for i in sorted((i for i, ids in enumerate(found) if ids is None), key=units.__getitem__):
+            found[i] = self.units[units[i]]
+        return found
 
     def make(self, text: str) -> bytes:
         return b"".join(map(self.letters, self.word.findall(text)))

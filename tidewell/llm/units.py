@@ -70,6 +70,10 @@ class Encoder:
         """Ids of letters that a blank may precede: one pre-token."""
         return self.make(word)
 
+    def each(self, units: list[str]) -> list[bytes]:
+        """Ids of the different units of a batch."""
+        return list(map(self.units.__getitem__, units))
+
     def _unit(self, unit: str) -> bytes:
         core = unit.rstrip(MARKS)
         if not core.removeprefix(" ").isalpha():
@@ -106,7 +110,8 @@ class Encoder:
             if line >= 0:
                 units[line] = "\n"
             at[bare] = len(words) + place
-            found = list(map(self.units.__getitem__, units + [words[i] for i in first.tolist()]))
+            units += [words[i] for i in first.tolist()]
+            found = self.each(units)
             sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
             flat = np.frombuffer(b"".join(found), "<u4")
             begins = np.cumsum(sizes, dtype=np.int32) - sizes
