@@ -69,3 +69,32 @@ def test_long_pages_are_read_in_little_time():
     S.word_similarity(" ".join(words[:4]), text)
     S.word_similarity("ab", "ab " * 300_000)
     assert time.process_time() - began < 20
+
+
+def test_a_task_reads_only_pages_that_may_be_among_the_best(monkeypatch):
+    """Each task returns its best documents; starts of stretches that cannot reach the best are not followed."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdehinorxyz"), rng.integers(2, 6))) for _ in range(400)]
+    pages = [(f"d{k % 9}", " ".join(rng.choice(words, 150))) for k in range(60)]
+    bound = [len(set(grams("Andiou heron xyz")) & set(grams(t))) / 17 for _, t in pages]
+    calls, one = [], S._followed
+    monkeypatch.setattr(S, "_followed", lambda *a: calls.append(1) or one(*a))
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in pages]), pa.array([t for _, t in pages]), pa.array(bound)], ["document_key", "text_content", "similarity"])
+    got = [(d, s) for b in S._task_best(iter([batch]), "Andiou heron xyz", 3, 0.15) for d, s in zip(*b.to_pydict().values(), strict=True)]
+    best = {}
+    for d, t in pages:
+        best[d] = max(best.get(d, 0), S.word_similarity("Andiou heron xyz", t))
+    assert sorted(got, key=lambda x: (-x[1], x[0])) == sorted(best.items(), key=lambda x: (-x[1], x[0]))[:3]
+    assert len(calls) < 3 * len(pages)
+
+
+def test_wanted_stems_are_looked_for_among_distinct_tokens(spark):
+    """Stems are made of the distinct tokens, before the wanted ones are picked; counts within and over rows of a page add up."""
+    rows = [("a", 1, "casa casas, perro"), ("a", 1, "casa"), ("b", 2, None), ("b", 3, "...")]
+    table = S.term_table(spark.createDataFrame(rows, "document_key string, page_number int, text_content string"))
+    stems = {r.term: r.tf for r in table.collect()}
+    assert sorted(stems.values()) == [1, 3] and table.filter("page_number <> 1").count() == 0
+    plan = table.filter(f"term = '{max(stems, key=stems.get)}'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "LogicalRDD" in plan

@@ -10,9 +10,11 @@ tokens that begin as a wanted stem does are stemmed there; a stored term table
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,7 @@ from pyspark.sql import types as T
 from tidewell.functions import spanish
 from tidewell.functions.text import ACCENTED, PLAIN, blank, let, lower_fold, quoted_in, squeezed
 from tidewell.operators.patterns import found_in
+from tidewell.operators.store import durable
 
 #: Words that a query does not search for (fixed values).
 STOP_WORDS = (
@@ -29,6 +32,10 @@ STOP_WORDS = (
 ).split()
 #: Normaliser of the rank: sum of 1/i^2 (fixed value), weight of a term, most places of a term.
 PI_SIXTH, WEIGHT, PLACES = 1.64493406685, 0.1, 255
+#: Starts of stretches that are followed together.
+STARTS = 1024
+#: Room for rounding in bounds.
+ROUND = 1 + 1e-9
 _FOLD = str.maketrans(ACCENTED, PLAIN)
 #: What separates tokens.
 BETWEEN = "[^a-záéíóúñü0-9]+"
@@ -176,28 +183,72 @@ def sources(pages: DataFrame) -> DataFrame:
 
 def trigrams(x: Column) -> Column:
     """Trigrams of the words, each with two blanks before and one behind it."""
-    words = F.filter(F.split(lower_fold(x), "[^a-z0-9]+"), lambda w: w != "")
+    words = F.array_distinct(F.filter(F.split(lower_fold(x), "[^a-z0-9]+"), lambda w: w != ""))
     grams = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
     return F.array_distinct(F.flatten(grams))
 
 
+def _wanted(spark: SparkSession, query: str) -> list[str]:
+    return spark.createDataFrame([(query,)], "q string").select(trigrams(F.col("q"))).first()[0]
+
+
+def _share(text: Column, grams: list[str]) -> Column:
+    """The share of a few trigrams that a text has: with three blanks between its words, each is found by a plain search."""
+    spaced = F.concat(F.lit("  "), F.regexp_replace(lower_fold(text), "[^a-z0-9]+", "   "), F.lit(" "))
+
+    def found(s: Column) -> Column:
+        n = F.lit(0)
+        for g in grams:
+            n = n + F.contains(s, F.lit(g)).cast("int")
+        return n
+
+    return let(spaced, found) / len(grams)
+
+
 def suggestions(pages: DataFrame, query: str, k: int = 3, least: float = 0.15, by_words: bool = True) -> DataFrame:
     """FTS5, AGG7: documents whose pages are the most similar to the query by ``word_similarity``, each by its best page.
 
     The share of the query's trigrams in the whole page bounds it from above, so only pages above ``least`` by their
     share go to Python. ``by_words=False``: by that share itself."""
-    wanted = F.broadcast(pages.sparkSession.createDataFrame([(query,)], "q string")).select(trigrams(F.col("q")).alias("wanted"))
-    score = F.size(F.array_intersect("wanted", trigrams(F.col("text_content")))) / F.size("wanted")
-    scored = pages.crossJoin(wanted).select("document_key", "text_content", score.alias("similarity"))  # one row on the right
+    grams = _wanted(pages.sparkSession, query)
+    if not grams:
+        return pages.select("document_key", F.lit(0.0).alias("similarity")).limit(0)
+    scored = pages.select("document_key", "text_content", _share(F.col("text_content"), grams).alias("similarity"))
     return _best(scored, query, k, least, by_words)
 
 
 def _best(scored: DataFrame, query: str, k: int, least: float, by_words: bool) -> DataFrame:
     if by_words:
-        scored = scored.filter(F.col("similarity") > least).select("document_key", word_similarity_udf(query)("text_content").alias("similarity"))
+        kept = scored.filter(F.col("similarity") > least).select("document_key", "text_content", "similarity")
+        kinds = T.StructType([kept.schema["document_key"], T.StructField("similarity", T.DoubleType())])
+        scored = kept.mapInArrow(lambda batches: _task_best(batches, query, k, least), kinds)
     return scored.groupBy("document_key").agg(F.max("similarity").alias("similarity")).filter(F.col("similarity") > least).orderBy(F.col("similarity").desc(), "document_key").limit(k)
 
 
+def _task_best(batches: Iterator[pa.RecordBatch], query: str, k: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Of a task's pages (``document_key, text_content, similarity`` as a bound) the best similarity of its ``k`` best
+    documents, by similarity and key. A page that cannot reach the last of these is not read."""
+    best: dict = {}
+    floor = least
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field("document_key").type
+        bounds = batch.column("similarity").to_numpy()
+        for i in np.argsort(-bounds, kind="stable").tolist():
+            if bounds[i] < floor:
+                break
+            key, text = batch.column("document_key")[i].as_py(), batch.column("text_content")[i].as_py()
+            found = word_similarity(query, text or "", np.nextafter(max(floor, best.get(key, 0.0)), 0.0))
+            if found >= floor and found > best.get(key, 0.0):
+                best[key] = found
+                if len(best) > k:
+                    best = dict(sorted(best.items(), key=lambda x: (-x[1], x[0] is not None, x[0]))[:k])
+                if len(best) == k:
+                    floor = max(floor, min(best.values()))
+    if best:
+        yield pa.RecordBatch.from_arrays([pa.array(list(best), kind), pa.array(list(best.values()), pa.float64())], ["document_key", "similarity"])
+
+
 def gram_table(pages: DataFrame, buckets: int = 64) -> DataFrame:
     """FTS5: each trigram of a page once, ``bucket`` by its hash, to be stored by bucket: a query reads the pages of its own trigrams."""
     rows = pages.select("document_key", "page_number", F.explode(trigrams(F.col("text_content"))).alias("gram"))
@@ -206,7 +257,7 @@ def gram_table(pages: DataFrame, buckets: int = 64) -> DataFrame:
 
 def suggestions_indexed(index: DataFrame, pages: DataFrame, query: str, k: int = 3, least: float = 0.15, buckets: int = 64) -> DataFrame:
     """FTS5, AGG7 over a stored trigram table: only pages that share enough trigrams with the query are read."""
-    grams = pages.sparkSession.createDataFrame([(query,)], "q string").select(trigrams(F.col("q"))).first()[0]
+    grams = _wanted(pages.sparkSession, query)
     if not grams:
         return pages.select("document_key", F.lit(0.0).alias("similarity")).limit(0)
     mine = index.filter(F.col("gram").isin(*grams) & F.col("bucket").isin(*_buckets(index, grams, buckets)))
@@ -227,14 +278,15 @@ def _grams(text: str) -> np.ndarray:
     return codes[inside]
 
 
-def word_similarity(query: str, text: str) -> float:
+def word_similarity(query: str, text: str, floor: float = 0.0) -> float:
     """Greatest similarity of the query's trigrams with those of a stretch of the text's trigrams (public definition):
     common ones over all different ones of both.
 
     The best stretch begins at one of the query's trigrams that is not in it again, and ends at the first of another
     after that. So each start is followed to its trigram's next place, or until the stretch has so many different
     trigrams that none of the query's would lift it above the best: all stretches count, whatever their length. Starts
-    with the most of the query's trigrams before that place go first, and end the search where these are too few."""
+    with the most of the query's trigrams before that place go first, and end the search where these are too few. The
+    first steps of many starts are taken together. A similarity of at most ``floor`` may come out as ``floor``."""
     wanted = np.unique(_grams(query))
     found = _grams(text)
     m = len(wanted)
@@ -247,22 +299,42 @@ def word_similarity(query: str, text: str) -> float:
     before, after = np.full(len(found), -1), np.full(len(found), len(found))
     before[order[1:][same]] = order[:-1][same]
     after[order[:-1][same]] = order[1:][same]
-    best, inside = 0.0, np.concatenate([[0], np.cumsum(ours)])
+    best, inside = floor, np.concatenate([[0], np.cumsum(ours)])
     most = np.minimum(inside[after[starts]] - inside[starts], m) / m
     order = np.argsort(-most, kind="stable")
-    for i, bound in zip(starts[order].tolist(), most[order].tolist(), strict=True):
-        if bound <= best:
+    starts, most = starts[order], most[order]
+    for low in range(0, len(starts), STARTS):
+        width = int(min(8 * m, m / best if best else 8 * m)) + 1
+        part = starts[low : low + STARTS][most[low : low + STARTS] > best]
+        if not len(part):
             break
-        at, end, step, different, common = i, int(after[i]), 8 * m, 0, 0
-        while at < end and different * best <= m:
-            new = before[at : min(at + step, end)] < i
-            places = np.flatnonzero(new & ours[at : at + len(new)])
-            counts = different + np.cumsum(new)
-            if len(places):
-                c = common + np.arange(1, len(places) + 1)
-                best = max(best, float((c / (m + counts[places] - c)).max()))
-            different, common = int(counts[-1]), common + len(places)
-            at, step = at + len(new), 2 * step
+        places = part[:, None] + np.arange(width)
+        held = places < after[part][:, None]
+        places = np.minimum(places, len(found) - 1)
+        new = (before[places] < part[:, None]) & held
+        mine = new & ours[places]
+        counts, common = np.cumsum(new, 1), np.cumsum(mine, 1)
+        best = max(best, float(np.max(common / (m + counts - common), where=mine, initial=0.0)))
+        ends, bounds, different, common = after[part], most[low : low + len(part)], counts[:, -1], common[:, -1]
+        open_ = np.flatnonzero((part + width < ends) & (bounds * m * ROUND > best * (m + different - common)))
+        for i, end, bound, d, c in zip(*(x[open_].tolist() for x in (part, ends, bounds, different, common)), strict=True):
+            best = _followed(before, ours, m, bound * m * ROUND, i, i + width, end, d, c, best)
+    return best
+
+
+def _followed(before: np.ndarray, ours: np.ndarray, m: int, most: float, start: int, at: int, end: int, different: int, common: int, best: float) -> float:
+    """The best similarity of ``best`` and the stretches from ``start`` that end at ``at`` or behind it; these have
+    ``most`` of the query's trigrams at most, so their similarity is at most ``most / (m + different - common)``."""
+    step = 8 * m
+    while at < end and most > best * (m + different - common):
+        new = before[at : min(at + step, end)] < start
+        places = np.flatnonzero(new & ours[at : at + len(new)])
+        counts = different + np.cumsum(new)
+        if len(places):
+            c = common + np.arange(1, len(places) + 1)
+            best = max(best, float((c / (m + counts[places] - c)).max()))
+        different, common = int(counts[-1]), common + len(places)
+        at, step = at + len(new), 2 * step
     return best
 
 
@@ -305,12 +377,13 @@ def term_table(pages: DataFrame, buckets: int = 64) -> DataFrame:
     """FTS4: the pages' stems with how often each occurs, ``bucket`` by the stem's hash: the one structure worth
     storing (``write.partitionBy("bucket")``), as a query then reads its own stems' buckets only.
 
-    Occurrences combine inside each page before anything is shuffled; each distinct token is stemmed once and joined
-    back, a token's rows being one for each page that holds it."""
-    tokens = F.filter(F.split(F.lower(blank(F.col("text_content"))), BETWEEN), lambda w: w != "")
-    rows = pages.select("document_key", "page_number", F.explode(tokens).alias("token"))
-    counted = rows.groupBy("document_key", "page_number", "token").agg(F.count(F.lit(1)).alias("tf"))
-    stems = counted.select("token").distinct().select("token", spanish.stem(F.col("token")).alias("term"))
+    Occurrences combine inside each page, in its sorted tokens, before a row is made of them. Each distinct token is
+    stemmed once: the stems are kept, as a wanted stem would otherwise be looked for by stemming every occurrence."""
+    tokens = F.sort_array(F.filter(F.split(F.lower(blank(F.col("text_content"))), BETWEEN), lambda w: w != ""))
+    runs = let(tokens, lambda t: let(F.filter(F.transform(t, lambda w, i: F.when((i == 0) | (w != F.get(t, i - 1)), i)), lambda i: i.isNotNull()), lambda first: F.transform(first, lambda i, n: F.struct(F.get(t, i).alias("token"), (F.coalesce(F.get(first, n + 1), F.size(t)) - i).alias("tf")))))
+    counted = pages.select("document_key", "page_number", F.inline(runs))
+    distinct = pages.select(F.explode(F.array_distinct(tokens)).alias("token")).distinct()
+    stems = durable(distinct.select("token", spanish.stem(F.col("token")).alias("term")))
     found = counted.join(stems, "token").groupBy("document_key", "page_number", "term").agg(F.sum("tf").alias("tf"))
     return found.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
 

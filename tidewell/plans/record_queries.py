@@ -12,7 +12,7 @@ from tidewell.operators import queues as U
 from tidewell.operators import reports as R
 from tidewell.operators import search as S
 from tidewell.operators import states as Z
-from tidewell.plans.base import COUNTS_SQL, HIGH, LOW, PAGES_SQL, derived, norm_pages, query, table, values
+from tidewell.plans.base import COUNTS_SQL, HIGH, LOW, PAGES_SQL, derived, norm_pages, query, spread, table, values
 from tidewell.plans.stems import stems_sql
 from tidewell.plans.text_queries import CLEAN
 
@@ -51,7 +51,7 @@ def search_topk(spark, sf):
 
 @query("search_indexed", _TOPK)
 def search_indexed(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("text").alias("text_content"), F.col("doc_id").alias("page_number"), F.col("source").alias("document_key"))
+    d = spread(table(spark, sf, "documents").select(F.col("text").alias("text_content"), F.col("doc_id").alias("page_number"), F.col("source").alias("document_key")))
     return S.search_terms(S.term_table(d), QUERY, 10).select(F.col("page_number").alias("doc_id"), "document_key", F.round("rank", 6).alias("rank"))
 
 
@@ -159,7 +159,7 @@ def fuzzy_suggest(spark, sf):
 
 @query("similar_alerts")
 def similar_alerts(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("source").alias("document_key"), F.col("text").alias("text_content"))
+    d = spread(table(spark, sf, "documents").select(F.col("source").alias("document_key"), F.col("text").alias("text_content")))
     return S.suggestions(d, "Andiou heron xyz").select("document_key", F.round("similarity", 6).alias("similarity"))
 
 
@@ -179,7 +179,7 @@ def word_similarity(spark, sf):
 @query("similar_indexed")
 def similar_indexed(spark, sf):
     """FTS5, AGG7 by the trigram table: the same suggestions as similar_alerts."""
-    d = table(spark, sf, "documents").select(F.col("source").alias("document_key"), F.col("doc_id").alias("page_number"), F.col("text").alias("text_content"))
+    d = spread(table(spark, sf, "documents").select(F.col("source").alias("document_key"), F.col("doc_id").alias("page_number"), F.col("text").alias("text_content")))
     return S.suggestions_indexed(S.gram_table(d), d, "Andiou heron xyz").select("document_key", F.round("similarity", 6).alias("similarity"))
 
 
