@@ -51,3 +51,14 @@ def test_reminders_begin_from_a_table(spark, tmp_path, parts):
     got = sorted((x.chat_id, x.number, x.at) for x in I.run_to_table(M.reminders(stream, before, "0 seconds"), f"{tmp_path}/out").collect())
     due = lambda c, sent, start, most=5: [(c, sent + k, start + dt.timedelta(days=2 * k)) for k in range(1, most - sent + 1)]
     assert got == sorted(due(1, 3, day(0)) + due(3, 0, day(-1), 2) + due(4, 0, day(1)) + due(5, 0, day(6)))
+
+
+def test_a_silence_of_just_the_days_counts(spark, tmp_path):
+    """To the microsecond; no source's rows go to Python."""
+    five = T0 + dt.timedelta(days=5)
+    rows = [("a", T0), ("b", T0), ("c", T0), ("b", five - dt.timedelta(microseconds=1)), ("a", five), ("c", five + dt.timedelta(microseconds=1)), ("z", dt.datetime(2024, 3, 1))]
+    stream = M.silences(stream_of(spark, f"{tmp_path}/in", rows, "source string, ts timestamp", 1), "0 seconds")
+    assert "Python" not in stream._jdf.queryExecution().analyzed().toString() and "InPandas" not in stream._jdf.queryExecution().analyzed().toString()
+    got = I.run_to_table(stream, f"{tmp_path}/out").collect()
+    expected = M.ended_silences(spark.createDataFrame(rows, "source string, ts timestamp"), F.expr(END)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, expected))

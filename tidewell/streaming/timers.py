@@ -16,6 +16,10 @@ from pyspark.sql import Window as W
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
+#: After so many days without a row a source is silent.
+SILENT_DAYS = 5
+
+
 def _millis(t: pd.Timestamp) -> int:
     return int(pd.Timestamp(t).timestamp() * 1000)
 
@@ -78,28 +82,6 @@ class Uploads(_Waiting):
         return self.out([(key[0], open_[0], pd.NA, "expired")])
 
 
-class Silence(_Waiting):
-    """A key that had no row for some days, told once for each silence."""
-
-    DAYS = 5
-    STATE, OUT = "last timestamp", ["source", "since"]
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out, last = [], self.state.get()[0] if self.state.exists() else None
-        told = last is not None and not list(self.handle.listTimers())
-        for r in _in_order(rows, ["ts"]):
-            if last is not None and not told and r.ts >= last + pd.Timedelta(days=self.DAYS):
-                out.append((key[0], last))
-            last, told = r.ts if last is None else max(last, r.ts), False
-        if last is not None:
-            self.state.update((last,))
-            self.timer(last + pd.Timedelta(days=self.DAYS))
-        return self.out(out)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        return self.out([(key[0], self.state.get()[0])])
-
-
 class Reminders(_Waiting):
     """A chat is reminded some days after it came or was last reminded, a few times, unless it has paid. What was sent
     before the stream began is the initial state."""
@@ -144,10 +126,13 @@ def uploads(stream: DataFrame, delay: str, minutes: int = 30) -> DataFrame:
     return rows.transformWithStateInPandas(Uploads(minutes), "chat_id long, id long, answer_id long, state string", "Append", "eventTime")
 
 
-def silences(stream: DataFrame, delay: str) -> DataFrame:
-    """AGG19 as a stream (``source, ts``): since when a source was silent, once its silence was too long."""
-    rows = stream.select("source", "ts").withWatermark("ts", delay).groupBy("source")
-    return rows.transformWithStateInPandas(Silence(), "source string, since timestamp", "Append", "eventTime")
+def silences(stream: DataFrame, delay: str, days: int = SILENT_DAYS) -> DataFrame:
+    """AGG19 as a stream (``source, ts``): since when a source was silent, once its silence was too long. Its rows are
+    sessions of Spark's own, so no row or source goes to Python; a session ends when the clock comes to the silence's end.
+    A row at a session's very end joins it, so the gap is a microsecond short of the days."""
+    gap = F.session_window("ts", f"{24 * days} hours -1 microseconds")
+    rows = stream.select("source", "ts").withWatermark("ts", delay).groupBy("source", gap).agg(F.count(F.lit(1)))
+    return rows.select("source", (F.col("session_window.end") - F.make_dt_interval(days=F.lit(days)) + F.expr("INTERVAL '0.000001' SECOND")).alias("since"))
 
 
 def reminders(stream: DataFrame, before: DataFrame, delay: str) -> DataFrame:
@@ -166,7 +151,7 @@ def ended_uploads(rows: DataFrame, until: Column, minutes: int = 30) -> DataFram
     return told.select("chat_id", "id", F.when(F.col("state") == "matched", F.col("after.id")).alias("answer_id"), "state")
 
 
-def ended_silences(rows: DataFrame, until: Column, days: int = Silence.DAYS) -> DataFrame:
+def ended_silences(rows: DataFrame, until: Column, days: int = SILENT_DAYS) -> DataFrame:
     """What ``silences`` gives of the same rows when its clock stands at ``until``."""
     after = F.lead("ts").over(W.partitionBy("source").orderBy("ts"))
     long = F.col("ts") + F.make_dt_interval(days=F.lit(days))
