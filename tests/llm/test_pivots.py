@@ -87,3 +87,14 @@ def test_blocks_are_read_a_few_at_a_time(spark):
     files = {f.removeprefix("file://") for f in table.inputFiles()}
     groups = [m.row_group(g).total_byte_size for m in (pq.ParquetFile(f).metadata for f in files) for g in range(m.num_row_groups)]
     assert sum(groups) > 4 * common.GROUP_BYTES and max(groups) <= 2 * common.GROUP_BYTES
+
+
+def test_each_block_is_handed_over_once_and_meets_shares_of_queries(spark, monkeypatch):
+    """No pair of query group and block is a row; shares of queries, strips and numbers of all sizes change nothing."""
+    for name, value in (("BLOCK_ROWS", 16), ("QUERY_ROWS", 3), ("STRIP", 5), ("ASKED_BYTES", 3000), ("MOST_SHARES", 3)):
+        monkeypatch.setattr(pivots, name, value)
+    rng = np.random.default_rng(3)
+    rows = [(i * 10, (rng.normal(size=4) * [1.0, 1.0, 1.0, 1e3, 1e5, 1e9][i % 6]).tolist()) for i in range(200)] + [(i, [1.0, 1.0, 0.0, -0.0]) for i in range(95, 130)]
+    assert found(spark, rows, 4) == sorted(brute(rows, 4))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert "Join" not in pivots.top_k(df, F.col("vec_id") % 100 == 0)._jdf.queryExecution().optimizedPlan().toString()
